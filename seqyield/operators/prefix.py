@@ -17,18 +17,24 @@ Here the rows are range-partitioned on the full ordering key instead:
    ``B`` (checked), and added.
 
 ``small=True`` is for inputs whose row count is bounded by construction (time
-buckets of a curve, a 3000-cell grid): one window, no checkpoint.
+buckets of a curve, a 3000-cell grid): one window, no checkpoint.  Otherwise
+the row count is checked first: up to ``SMALL_ROWS`` rows (a fixed bound,
+independent of the data size) one window is cheaper than the two phases;
+above it the two-phase plan runs, so no task ever holds more than a bounded
+share of the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqyield.session import ensure_checkpoint_dir
+from seqyield.session import ensure_checkpoint_dir, materialize
+
+# Above this many rows the running sums are computed in two phases.
+SMALL_ROWS = 1_000_000
 
 def _as_col(v: str | Column | int | float) -> Column:
     if isinstance(v, Column):
@@ -60,19 +66,15 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, st
     frame = (Window.partitionBy(*by).orderBy(*order_by)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    if small:
+    if small or df.count() <= SMALL_ROWS:
         out = base.select("*", *[F.sum(tmp[n]).over(frame).alias(n) for n in names])
         return out.drop(*tmp.values())
 
     ensure_checkpoint_dir(df.sparkSession)
     nb = n_buckets or default_buckets(df)
-    staged = (base.repartitionByRange(nb, *by, *order_by)
-              .withColumn("__bk", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    # The reliable copy is what later stages read; the cache only saves the
-    # checkpoint job from computing the input a second time.
-    bucketed = staged.checkpoint(eager=True)
-    staged.unpersist()
+    # The reliable copy is what later stages read (see ``materialize``).
+    bucketed = materialize(base.repartitionByRange(nb, *by, *order_by)
+                           .withColumn("__bk", F.spark_partition_id()))
 
     inner_frame = (Window.partitionBy("__bk", *by).orderBy(*order_by)
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -9,6 +9,12 @@ values around each requested rank are kept.
 
 Interpolation is ``lo + (hi - lo) * (h - floor(h))`` with ``h = (n - 1) * p``,
 the same arithmetic as pandas' default and SQL ``quantile_cont``.
+
+Size check first: when every group has at most ``SMALL_DISTINCT`` distinct
+values (approximate count with a safety margin), Spark's exact ``percentile``
+aggregate is used — its per-group value map is then bounded by that constant.
+Its interpolation is written ``(ceil - h) * lo + (h - floor) * hi``, which can
+differ from the form above in the last bit only.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ from pyspark.sql import functions as F
 from seqyield.functions.expr import nan_to_null
 from seqyield.operators.prefix import running_totals
 
+# Fast path bound: distinct values per group held in one aggregation buffer.
+SMALL_DISTINCT = 500_000
+
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
                     by: Sequence[str] | None = None, small: bool = False) -> DataFrame:
     """Rows ``(*by, p, q)``: exact quantile ``q`` of ``col`` at each probability ``p``.
@@ -30,11 +39,20 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     by = list(by or [])
     c = F.col(col) if isinstance(col, str) else col
     v = nan_to_null(c.cast("double"))
-    hist = (df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
-            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")))
-    pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by, small=small)
-
+    data = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
     spark = df.sparkSession
+    if not small:
+        widest = data.groupBy(*by).agg(F.approx_count_distinct("__v").alias("d")) \
+            .agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("g")).collect()[0]
+        small = (widest["d"] or 0) <= SMALL_DISTINCT * 0.8 and widest["g"] <= 10_000
+    if small:
+        arr = F.percentile(F.col("__v"), F.array(*[F.lit(float(p)) for p in probs]))
+        per = data.groupBy(*by).agg(arr.alias("__q"))
+        return per.select(*by, F.posexplode("__q").alias("__i", "q")).select(
+            *by, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "q")
+    hist = data.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by)
+
     probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
     # Group sizes from the (checkpointed) prefix: the last cumulative count.
     totals = pref.groupBy(*by).agg(F.max("__cum").alias("__N"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,31 +100,36 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
     pref = running_totals(hist, ["len"], {"__cum": F.col("len") * F.col("c"), "__idx": "c"})
     pref = pref.select("len", "c", (F.col("__cum") - F.col("len") * F.col("c")).alias("cb"),
                        (F.col("__idx") - F.col("c")).alias("ib"))
-    agg = hist.agg(F.sum(F.col("len") * F.col("c")).alias("t"), F.sum("c").alias("n")).collect()[0]
-    total, n = agg["t"], agg["n"]
-    if not n:
-        return spark.createDataFrame([], "label string, value long")
-    targets = [float(total) * p for p in percents]
-    cb, L, c = F.col("cb"), F.col("len"), F.col("c")
-    counts = pref.agg(*[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
-                        for i, T in enumerate(targets)],
-                      *[F.sum(_count_at_most(cb, L, c, T, strict=True)).alias(f"m{i}")
-                        for i, T in enumerate(targets)]).collect()[0]
-    picks, prev = [], -1
-    for i in range(len(targets)):
-        lo = max(counts[f"m{i}"] - 1, 0, prev + 1)
-        hi = min(counts[f"k{i}"] - 1, n - 2)
-        if lo > hi:
-            break
-        picks.append(lo)
-        prev = lo
-    if not picks:
-        return spark.createDataFrame([], "label string, value long")
-    cond = None
-    for ix in picks:
-        e = (F.col("ib") <= F.lit(ix)) & (F.lit(ix) < F.col("ib") + F.col("c"))
-        cond = e if cond is None else cond | e
-    rows = pref.where(cond).select("len", "ib", "c").collect()
+    # One row per distinct length; three small actions read it, so keep it for their duration.
+    pref = pref.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        agg = pref.agg(F.sum(F.col("len") * F.col("c")).alias("t"), F.sum("c").alias("n")).collect()[0]
+        total, n = agg["t"], agg["n"]
+        if not n:
+            return spark.createDataFrame([], "label string, value long")
+        targets = [float(total) * p for p in percents]
+        cb, L, c = F.col("cb"), F.col("len"), F.col("c")
+        counts = pref.agg(*[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
+                            for i, T in enumerate(targets)],
+                          *[F.sum(_count_at_most(cb, L, c, T, strict=True)).alias(f"m{i}")
+                            for i, T in enumerate(targets)]).collect()[0]
+        picks, prev = [], -1
+        for i in range(len(targets)):
+            lo = max(counts[f"m{i}"] - 1, 0, prev + 1)
+            hi = min(counts[f"k{i}"] - 1, n - 2)
+            if lo > hi:
+                break
+            picks.append(lo)
+            prev = lo
+        if not picks:
+            return spark.createDataFrame([], "label string, value long")
+        cond = None
+        for ix in picks:
+            e = (F.col("ib") <= F.lit(ix)) & (F.lit(ix) < F.col("ib") + F.col("c"))
+            cond = e if cond is None else cond | e
+        rows = pref.where(cond).select("len", "ib", "c").collect()
+    finally:
+        pref.unpersist()
     data = []
     for k, ix in enumerate(picks):
         val = next(r["len"] for r in rows if r["ib"] <= ix < r["ib"] + r["c"])

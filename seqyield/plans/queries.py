@@ -8,6 +8,7 @@ engine is meaningful.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from seqyield.operators import dist, flowcell, running, stats, trim
 from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
 from seqyield.plans.tables import events_fastq, events_summary, merged_reads
+from seqyield.session import shared_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,15 +31,27 @@ def r12(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 12)
 
 
+def _key(sf: str, stage: str) -> tuple:
+    path = f"{sf.rstrip('/')}/events.parquet"
+    try:
+        stamp = os.stat(path).st_mtime_ns
+    except OSError:
+        stamp = None
+    return (stage, os.path.abspath(sf), stamp)
+
+
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    return merged_reads(spark, sf)
+    """The merged, enriched read table, written once per session (many jobs hang off it)."""
+    return shared_table(spark, _key(sf, "reads"), lambda: merged_reads(spark, sf), "reads")
 
 
 def trimmed(spark: SparkSession, sf: str) -> DataFrame:
     """The trimmed read table with the time origin recomputed (as the pipeline does)."""
-    m = reads(spark, sf)
-    t = trim.trim_reads(m, bounds=trim.trim_bounds(m))
-    return elapsed_time(t.drop("start_time_float_by_sample"))
+    def build():
+        m = reads(spark, sf)
+        t = trim.trim_reads(m, bounds=trim.trim_bounds(m))
+        return elapsed_time(t.drop("start_time_float_by_sample"))
+    return shared_table(spark, _key(sf, "trimmed"), build, "trimmed")
 
 
 # --- reads ------------------------------------------------------------------

@@ -88,3 +88,34 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as a Parquet table under the checkpoint root and return the re-read frame.
+
+    The lineage cut of a reliable checkpoint, in columnar form: later jobs
+    read only the columns they need (pruning, pushed filters) instead of
+    recomputing the plan, and a lost executor re-reads files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def shared_table(spark: SparkSession, key: tuple, build, name: str = "table"):
+    """``materialize(build())`` once per application and key; later calls re-read the table.
+
+    Callers include the input files' modification times in ``key`` so a
+    changed input builds a new table.
+    """
+    k = (spark.sparkContext.applicationId, key)
+    path = _TABLES.get(k)
+    if path is None:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)
