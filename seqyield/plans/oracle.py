@@ -347,6 +347,33 @@ def _pair_hist() -> str:
             + "SELECT variable, bin, round(left_e, 6) AS \"left\", round(right_e, 6) AS \"right\", round(w, 6) AS bases FROM h")
 
 
+def _zfill(x: str) -> str:
+    return (f"(CASE WHEN length(CAST({x} AS VARCHAR)) >= 5 THEN CAST({x} AS VARCHAR) "
+            f"ELSE lpad(CAST({x} AS VARCHAR), 5, '0') END)")
+
+
+MANIFEST = """
+WITH s AS (SELECT 'run/sequencing_summary_' || p_partkey || '.txt' AS sequencing_summary_file, p_partkey AS number FROM part),
+f AS (SELECT 'run/fastq_' || p_partkey || '.fastq' AS fastq_file, p_partkey AS number FROM part WHERE p_size <= 40),
+d AS (SELECT DISTINCT 'run/reads/' || l_partkey AS fast5_dir, l_partkey AS number FROM lineitem),
+manifest AS (
+  SELECT s.number, sequencing_summary_file, fastq_file, fast5_dir, 'FAB00000' AS "FlowcellID",
+         CAST(4242 AS INTEGER) AS rnumber, 'run/reads/checksum.fast5.md5' AS md5_fast5,
+         'run/fastq/checksum.fastq.md5' AS md5_fastq
+  FROM s JOIN f USING (number) JOIN d USING (number))
+"""
+
+FASTQ_EXPECTED = """
+WITH fq AS (
+  SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id,
+         CAST(event_id AS INTEGER) AS read, CAST(user_id + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us,
+         event_type = 'error' AND event_id % 7 = 0 AS bad,
+         (event_id % 50) + 1 AS seq_len,
+         CASE WHEN event_id % 101 = 0 THEN event_id % 50 ELSE (event_id % 50) + 1 END AS qual_len
+  FROM events)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "merge_reads": READS + """
 SELECT read_id, run_id, channel, sample_id, read, num_events, sequence_length_template,
@@ -471,4 +498,29 @@ SELECT point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
 SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(pore_speed, 6) AS pore_speed,
        sequence_length_template, round(events_ratio, 6) AS events_ratio, qualitative_pass FROM ps""",
     "pair_histogram": _pair_hist(),
+    "fastq_headers": FASTQ_EXPECTED + """
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
+    "fastq_file_quarantine": FASTQ_EXPECTED + """
+SELECT read_id, run_id FROM fq WHERE run_id NOT IN (SELECT run_id FROM fq WHERE bad)""",
+    "bad_fastq_headers": FASTQ_EXPECTED + "SELECT read_id, run_id FROM fq WHERE bad",
+    "bad_fastq_files": FASTQ_EXPECTED + """
+SELECT run_id AS run_dir, count(*) FILTER (WHERE bad) AS bad_headers, count(*) AS headers
+FROM fq GROUP BY run_id HAVING count(*) FILTER (WHERE bad) > 0""",
+    "fastq_records": FASTQ_EXPECTED + """
+SELECT read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len, seq_len = qual_len AS framing_ok FROM fq""",
+    "summary_scan": READS + """
+SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
+       round(template_duration, 6) AS template_duration, sequence_length_template,
+       round(mean_qscore_template, 6) AS mean_qscore_template FROM ev""",
+    "batch_manifest": MANIFEST + "SELECT * FROM manifest",
+    "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
+    "archive_plan": MANIFEST + f""",
+n AS (SELECT *, {_zfill('number')} || '_FAB00000_4242' AS an FROM manifest),
+plan AS (
+  SELECT number, 'fast5' AS kind, fast5_dir AS source, an || '.fast5.tar.gz' AS target FROM n
+  UNION ALL SELECT number, 'fastq', fastq_file, 'fastq/' || an || '.fastq.gz' FROM n
+  UNION ALL SELECT number, 'summary', sequencing_summary_file, 'sequencing_summary/' || an || '.sequencing_summary.txt' FROM n),
+ex AS (SELECT DISTINCT {_zfill('p_partkey')} || '_FAB00000_4242.fast5.tar.gz' AS t FROM part WHERE p_size > 45)
+SELECT number, kind, source, target, CASE WHEN ex.t IS NOT NULL THEN 'skip' ELSE 'write' END AS action
+FROM plan LEFT JOIN ex ON plan.target = ex.t""",
 }

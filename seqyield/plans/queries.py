@@ -14,7 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqyield.operators import dist, flowcell, running, stats, trim
+from seqyield.functions.expr import batch_name
+from seqyield.operators import batches, dist, flowcell, running, stats, trim
+from seqyield.plans import files as runfiles
+from seqyield.sources import fastq as fq_src
+from seqyield.sources import summary as sum_src
 from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
 from seqyield.plans.tables import events_fastq, events_summary, merged_reads
@@ -308,6 +312,79 @@ def q_pair_histogram(spark, sf):
                     r6("bases").alias("bases"))
 
 
+# --- sources and run folders ------------------------------------------------------
+
+FASTQ_FILES = "*.txt.gz"   # Spark's text writer names its gzip parts *.txt.gz
+
+
+def _parsed_fastq(spark, sf):
+    d = runfiles.fastq_folder(spark, sf)
+    return fq_src.parse_fastq_header(fq_src.scan_fastq_lines(spark, d, FASTQ_FILES, recursive=True))
+
+
+def q_fastq_headers(spark, sf):
+    d = runfiles.fastq_folder(spark, sf)
+    h = fq_src.scan_fastq(spark, d, FASTQ_FILES, mode="record", recursive=True)
+    return h.select("read_id", "run_id", "sample_id", "read", "channel",
+                    F.unix_micros("start_time_utc").alias("start_time_us"))
+
+
+def q_fastq_file_quarantine(spark, sf):
+    d = runfiles.fastq_folder(spark, sf)
+    return fq_src.scan_fastq(spark, d, FASTQ_FILES, mode="file", recursive=True).select("read_id", "run_id")
+
+
+def q_bad_fastq_headers(spark, sf):
+    return _parsed_fastq(spark, sf).where("bad_header").select("read_id", "run_id")
+
+
+def q_bad_fastq_files(spark, sf):
+    b = fq_src.bad_fastq_files(_parsed_fastq(spark, sf))
+    return b.select(F.regexp_extract("file", r"run_id=([^/]+)", 1).alias("run_dir"), "bad_headers", "headers")
+
+
+def q_fastq_records(spark, sf):
+    d = runfiles.fastq_folder(spark, sf)
+    r = fq_src.scan_fastq_records(spark, d, FASTQ_FILES, recursive=True)
+    return r.select(F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"),
+                    F.length("seq").cast("long").alias("seq_len"), F.length("qual").cast("long").alias("qual_len"),
+                    "framing_ok")
+
+
+def q_summary_scan(spark, sf):
+    d = runfiles.summary_folder(spark, sf)
+    s = sum_src.scan_summary(spark, d, glob="*.csv")
+    return s.select("read_id", "run_id", "channel", r6("start_time_float").alias("start_time_float"),
+                    "num_events", r6("template_duration").alias("template_duration"), "sequence_length_template",
+                    r6("mean_qscore_template").alias("mean_qscore_template"))
+
+
+MD5_FAST5, MD5_FASTQ = "run/reads/checksum.fast5.md5", "run/fastq/checksum.fastq.md5"
+
+
+def _manifest(spark, sf):
+    summ, fq, dirs, f5_files = runfiles.batch_names(spark, sf)
+    return batches.batch_manifest(batches.summary_batches(summ), batches.fastq_batches(fq),
+                                  batches.fast5_batches(dirs), runfiles.FLOWCELL_ID,
+                                  batches.run_rnumber(f5_files), MD5_FAST5, MD5_FASTQ)
+
+
+def q_batch_manifest(spark, sf):
+    return _manifest(spark, sf)
+
+
+def q_drop_active_batch(spark, sf):
+    return batches.drop_active_batch(_manifest(spark, sf))
+
+
+def q_archive_plan(spark, sf):
+    part = runfiles.table(spark, sf, "part")
+    existing = part.where("p_size > 45").select(F.concat(
+        batch_name(F.col("p_partkey"), F.lit(runfiles.FLOWCELL_ID), F.lit(runfiles.RNUMBER)),
+        F.lit(".fast5.tar.gz")).alias("target"))
+    return batches.archive_plan(_manifest(spark, sf), existing)
+
+
 QUERIES: dict[str, Query] = {
     "merge_reads": q_merge_reads,
     "unmatched_reads": q_unmatched_reads,
@@ -354,4 +431,13 @@ QUERIES: dict[str, Query] = {
     "length_quality_hexbin": q_length_quality_hexbin,
     "pair_sample": q_pair_sample,
     "pair_histogram": q_pair_histogram,
+    "fastq_headers": q_fastq_headers,
+    "fastq_file_quarantine": q_fastq_file_quarantine,
+    "bad_fastq_headers": q_bad_fastq_headers,
+    "bad_fastq_files": q_bad_fastq_files,
+    "fastq_records": q_fastq_records,
+    "summary_scan": q_summary_scan,
+    "batch_manifest": q_batch_manifest,
+    "drop_active_batch": q_drop_active_batch,
+    "archive_plan": q_archive_plan,
 }

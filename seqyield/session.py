@@ -119,3 +119,17 @@ def shared_table(spark: SparkSession, key: tuple, build, name: str = "table"):
         build().write.parquet(path)
         _TABLES[k] = path
     return spark.read.parquet(path)
+
+
+_FOLDERS: dict[tuple, str] = {}
+
+
+def shared_folder(spark: SparkSession, key: tuple, write, name: str = "folder") -> str:
+    """Run ``write(path)`` once per application and key; return the folder path."""
+    k = (spark.sparkContext.applicationId, key)
+    path = _FOLDERS.get(k)
+    if path is None:
+        path = scratch_path(spark, name)
+        write(path)
+        _FOLDERS[k] = path
+    return path
