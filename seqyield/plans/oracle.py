@@ -512,6 +512,25 @@ SELECT read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS
 SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
        round(template_duration, 6) AS template_duration, sequence_length_template,
        round(mean_qscore_template, 6) AS mean_qscore_template FROM ev""",
+    "stream_reads": READS + """
+SELECT read_id, coalesce(mean_qscore_template > 9, false) AS pass,
+       CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
+       round(CAST(sequence_length_template AS DOUBLE) / nullif(template_duration, 0), 6) AS pore_speed,
+       round(CAST(num_events AS DOUBLE) / nullif(CAST(sequence_length_template AS DOUBLE), 0), 6) AS events_ratio
+FROM ev""",
+    "stream_merge": READS + """
+SELECT read_id, run_id, channel, sample_id, read, sequence_length_template FROM merged""",
+    "stream_yield": READS + """
+SELECT CAST(floor(epoch_us(start_time_utc) / 600000000) AS BIGINT) * 600000000 AS window_start_us,
+       CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
+       sum(sequence_length_template) AS bases, count(*) AS reads
+FROM ev GROUP BY 1, 2""",
+    "stream_channel_totals": READS + """
+SELECT channel, sum(sequence_length_template) AS channel_yield, count(*) AS reads FROM ev GROUP BY channel""",
+    "stream_running_yield": READS + """
+SELECT coalesce(mean_qscore_template > 9, false) AS pass, CAST(0 AS BIGINT) AS batch_id,
+       sum(sequence_length_template) AS quality_yield, count(*) AS quality_count
+FROM ev GROUP BY 1""",
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",

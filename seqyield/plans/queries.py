@@ -21,8 +21,10 @@ from seqyield.sources import fastq as fq_src
 from seqyield.sources import summary as sum_src
 from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
-from seqyield.plans.tables import events_fastq, events_summary, merged_reads
-from seqyield.session import shared_table
+from seqyield.functions.expr import micros
+from seqyield.plans.tables import SUMMARY_COLS, events_fastq, events_summary, merged_reads, reads_view
+from seqyield.session import scratch_path, shared_table
+from seqyield.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -385,6 +387,54 @@ def q_archive_plan(spark, sf):
     return batches.archive_plan(_manifest(spark, sf), existing)
 
 
+# --- streaming (run to completion on the data present: trigger availableNow) -------
+
+def _event_stream(spark, sf):
+    schema = runfiles.table(spark, sf, "events").schema
+    return jobs.file_stream(spark, sf, schema, glob="events.parquet", files_per_trigger=1)
+
+
+def q_stream_reads(spark, sf):
+    s = jobs.enrich_stream(reads_view(_event_stream(spark, sf)))
+    out = jobs.run_once(s.select("read_id", "pass", "qualitative_pass", "pore_speed", "events_ratio"),
+                        spark, "reads")
+    return out.select("read_id", "pass", "qualitative_pass", r6("pore_speed").alias("pore_speed"),
+                      r6("events_ratio").alias("events_ratio"))
+
+
+def q_stream_merge(spark, sf):
+    summary = reads_view(_event_stream(spark, sf)).select("arrival", *SUMMARY_COLS)
+    fq = reads_view(_event_stream(spark, sf))
+    rid = F.when(F.pmod(F.col("read"), F.lit(13)) == 0, F.concat("read_id", F.lit("-x"))).otherwise(F.col("read_id"))
+    fq = fq.select("arrival", rid.alias("read_id"), "run_id", "sample_id", "read", "channel", "start_time_utc")
+    m = jobs.stream_merge(summary, fq)
+    out = jobs.run_once(m.select("read_id", "run_id", "channel", "sample_id", "read", "sequence_length_template"),
+                        spark, "merge")
+    return out
+
+
+def q_stream_yield(spark, sf):
+    s = jobs.enrich_stream(reads_view(_event_stream(spark, sf)))
+    y = jobs.stream_yield(s)
+    dtype = y.schema["w"].dataType["start"].dataType
+    out = jobs.run_once(y.select(micros(F.col("w.start"), dtype).alias("window_start_us"), "qualitative_pass",
+                                 "bases", "reads"), spark, "yield", mode="complete")
+    return out
+
+
+def q_stream_channel_totals(spark, sf):
+    s = reads_view(_event_stream(spark, sf))
+    return jobs.run_once(jobs.stream_channel_totals(s), spark, "channels", mode="complete")
+
+
+def q_stream_running_yield(spark, sf):
+    s = jobs.enrich_stream(reads_view(_event_stream(spark, sf)))
+    out = scratch_path(spark, "stream-running")
+    q = jobs.running_yield_batches(s, out, scratch_path(spark, "stream-running-ckpt"))
+    q.awaitTermination()
+    return jobs.running_yield_totals(spark, out)
+
+
 QUERIES: dict[str, Query] = {
     "merge_reads": q_merge_reads,
     "unmatched_reads": q_unmatched_reads,
@@ -440,4 +490,9 @@ QUERIES: dict[str, Query] = {
     "batch_manifest": q_batch_manifest,
     "drop_active_batch": q_drop_active_batch,
     "archive_plan": q_archive_plan,
+    "stream_reads": q_stream_reads,
+    "stream_merge": q_stream_merge,
+    "stream_yield": q_stream_yield,
+    "stream_channel_totals": q_stream_channel_totals,
+    "stream_running_yield": q_stream_running_yield,
 }

@@ -37,11 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a merged read table (one row per read)."""
-    ev = table(spark, sf_dir, "events")
+    return reads_view(table(spark, sf_dir, "events"))
+
+
+def reads_view(ev: DataFrame) -> DataFrame:
+    """Read columns from an ``events``-shaped frame (batch or stream)."""
     ts_type = ev.schema["ts"].dataType
     eid = F.col("event_id")
     q = (F.pmod(eid * 7919, F.lit(1500)).cast("double") / F.lit(100.0))
+    extra = [F.col("arrival")] if "arrival" in ev.columns else []
     return ev.select(
+        *extra,
         eid.cast("string").alias("read_id"),
         F.col("event_type").alias("run_id"),
         F.lit("S1").alias("sample_id"),
