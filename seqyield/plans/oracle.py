@@ -374,6 +374,14 @@ WITH fq AS (
 """
 
 
+DOCS = """
+WITH docs AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS read_id, d.n_chars AS sequence_length_template,
+         coalesce(l.quality = 1, false) AS pass, d.lang AS sample_id
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "merge_reads": READS + """
 SELECT read_id, run_id, channel, sample_id, read, num_events, sequence_length_template,
@@ -498,6 +506,18 @@ SELECT point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
 SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(pore_speed, 6) AS pore_speed,
        sequence_length_template, round(events_ratio, 6) AS events_ratio, qualitative_pass FROM ps""",
     "pair_histogram": _pair_hist(),
+    "documents_nx": DOCS + _nx_compat("docs") + _nx_standard("docs")
+                    + " UNION ALL SELECT 'compat_' || label AS label, value FROM nx",
+    "documents_weighted_histogram": DOCS + _hist("docs", "sequence_length_template", "49",
+                                                 weight="sequence_length_template", lower="0.0") + """
+SELECT bin, round(left_e, 6) AS "left", round(right_e, 6) AS "right", round(w, 6) AS bases, round(density, 12) AS density FROM h""",
+    "documents_yield_by_quality": DOCS + """
+SELECT sample_id AS lang, pass, sum(sequence_length_template) AS bases, count(*) AS reads FROM docs GROUP BY 1, 2""",
+    "lineitem_running_quantity": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, epoch_us(l_shipdate) AS ship_us,
+       sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_qty
+FROM lineitem""",
     "fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
     "fastq_file_quarantine": FASTQ_EXPECTED + """

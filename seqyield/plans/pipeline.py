@@ -1,0 +1,82 @@
+"""The whole plot dataflow: read table in, every plot-ready table out.
+
+Order as in the reference: statistics before and after the trim, the time
+origin recomputed after the trim, running columns on trimmed rows only.  The
+merged, trimmed and running tables are each written once (reliable lineage
+cuts under the checkpoint root) because every output hangs off them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seqyield.operators import dist, flowcell, running, stats, trim
+from seqyield.operators.reads import check_single_sample, elapsed_time, enrich_reads, merge_reads
+from seqyield.session import materialize
+from seqyield.sources.fastq import scan_fastq
+from seqyield.sources.summary import scan_summary
+
+
+def read_table(spark: SparkSession, summary_dirs: str, fastq_dirs: str, fastq_mode: str = "record",
+               summary_glob: str = "*sequencing_summary*.txt", fastq_glob: str = "*.fastq.gz") -> DataFrame:
+    """Summary ⋈ FASTQ headers with the time axis and derived columns."""
+    summary = scan_summary(spark, summary_dirs, glob=summary_glob)
+    fastq = scan_fastq(spark, fastq_dirs, glob=fastq_glob, mode=fastq_mode)
+    return enrich_reads(elapsed_time(merge_reads(summary, fastq)))
+
+
+def plot_tables(reads: DataFrame, check_sample: bool = True) -> dict[str, DataFrame]:
+    """Every plot-ready table of a run, keyed by the plot's name."""
+    m = materialize(reads, "reads")
+    if check_sample:
+        check_single_sample(m)
+    bounds = trim.trim_bounds(m)
+    t = materialize(elapsed_time(trim.trim_reads(m, bounds=bounds).drop("start_time_float_by_sample")), "trimmed")
+    rc = materialize(running.running_columns(t), "running")
+    t99 = trim.quantile_trim(rc, "sequence_length_template", 0.99)
+    t98 = trim.quantile_trim(rc, "sequence_length_template", 0.98)
+    grid = flowcell.flowcell_grid(rc)
+    sample = dist.pair_sample(rc)
+    return {
+        "reads": rc,
+        "venn": trim.trim_exclusions(m, bounds=bounds),
+        "trim_counts": trim.trim_counts(m, t),
+        "report": stats.run_report({"unfiltered": m, "filtered": t}),
+        "yield": running.yield_curve(rc),
+        "quality_yield": running.yield_curve(rc, by_quality=True),
+        "read_count": running.reads_curve(rc),
+        "quality_read_count": running.reads_curve(rc, by_quality=True),
+        "weighted_hist": dist.weighted_histogram(rc),
+        "unweighted_hist": dist.histogram(t99, "sequence_length_template"),
+        "unweighted_kde": dist.kde_1d(t99, "sequence_length_template"),
+        "flowcellmap": grid,
+        "flowcellmap_limits": flowcell.grid_limits(grid),
+        "pore_speed": dist.binned_trend(rc, "start_time_float_by_sample", "pore_speed"),
+        "quality_hist": dist.histogram(rc, "mean_qscore_template"),
+        "quality_kde": dist.kde_1d(rc, "mean_qscore_template"),
+        "q_score_time_split": dist.quality_ridges(rc),
+        "speed_vs_qscore": dist.hexbin(rc, "pore_speed", "mean_qscore_template"),
+        "speed_vs_qscore_pearson": stats.pearson(rc, "pore_speed", "mean_qscore_template", with_p_value=True),
+        "length_vs_qscore": dist.hexbin(t98, "sequence_length_template", "mean_qscore_template"),
+        "length_vs_qscore_pearson": stats.pearson(t98, "sequence_length_template", "mean_qscore_template",
+                                                  with_p_value=True),
+        "events_ratio": dist.binned_trend(rc, "start_time_float_by_sample", "events_ratio"),
+        "pair_sample": sample,
+        "pair_hist": dist.pair_histogram(sample),
+        "pair_kde": dist.pair_kde_2d(sample),
+    }
+
+
+def write_tables(tables: dict[str, DataFrame], out_dir: str, name: str, mode: str = "overwrite") -> list[str]:
+    """One Parquet table per plot; the report is appended (reruns accumulate, as in the reference)."""
+    written = []
+    for key, df in tables.items():
+        path = f"{out_dir.rstrip('/')}/{name}.{key}"
+        df.write.mode("append" if key == "report" else mode).parquet(path)
+        written.append(path)
+    return written
+
+
+def run_pipeline(spark: SparkSession, summary_dirs: str, fastq_dirs: str, out_dir: str, name: str,
+                 **scan_options) -> list[str]:
+    return write_tables(plot_tables(read_table(spark, summary_dirs, fastq_dirs, **scan_options)), out_dir, name)

@@ -22,7 +22,9 @@ from seqyield.sources import summary as sum_src
 from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
 from seqyield.functions.expr import micros
-from seqyield.plans.tables import SUMMARY_COLS, events_fastq, events_summary, merged_reads, reads_view
+from seqyield.operators.prefix import running_totals
+from seqyield.plans.tables import (SUMMARY_COLS, documents_reads, events_fastq, events_summary, merged_reads,
+                                   reads_view)
 from seqyield.session import scratch_path, shared_table
 from seqyield.streaming import jobs
 
@@ -314,6 +316,40 @@ def q_pair_histogram(spark, sf):
                     r6("bases").alias("bases"))
 
 
+def q_pair_kde_2d(spark, sf):
+    k = dist.pair_kde_2d(dist.pair_sample(trimmed(spark, sf)))
+    return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"), "density")
+
+
+# --- second read table: documents (n_chars as length, labels.quality as pass) -------
+
+def q_documents_nx(spark, sf):
+    d = documents_reads(spark, sf)
+    return stats.nx_values(d, mode="standard").unionByName(
+        stats.nx_values(d, mode="compat").select(F.concat(F.lit("compat_"), "label").alias("label"), "value"))
+
+
+def q_documents_weighted_histogram(spark, sf):
+    return _hist_out(dist.weighted_histogram(documents_reads(spark, sf)), "bases")
+
+
+def q_documents_yield_by_quality(spark, sf):
+    d = documents_reads(spark, sf)
+    return d.groupBy(F.col("sample_id").alias("lang"), "pass").agg(
+        F.sum("sequence_length_template").alias("bases"), F.count(F.lit(1)).alias("reads"))
+
+
+# --- scale run: lineitem as a read table -----------------------------------------------
+
+def q_lineitem_running_quantity(spark, sf):
+    li = runfiles.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("long").alias("qty"),
+        micros("l_shipdate", runfiles.table(spark, sf, "lineitem").schema["l_shipdate"].dataType).alias("ship_us"))
+    order = ["ship_us", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
+    return running_totals(li, order, {"running_qty": "qty"})
+
+
 # --- sources and run folders ------------------------------------------------------
 
 FASTQ_FILES = "*.txt.gz"   # Spark's text writer names its gzip parts *.txt.gz
@@ -481,6 +517,11 @@ QUERIES: dict[str, Query] = {
     "length_quality_hexbin": q_length_quality_hexbin,
     "pair_sample": q_pair_sample,
     "pair_histogram": q_pair_histogram,
+    "pair_kde_2d": q_pair_kde_2d,
+    "documents_nx": q_documents_nx,
+    "documents_weighted_histogram": q_documents_weighted_histogram,
+    "documents_yield_by_quality": q_documents_yield_by_quality,
+    "lineitem_running_quantity": q_lineitem_running_quantity,
     "fastq_headers": q_fastq_headers,
     "fastq_file_quarantine": q_fastq_file_quarantine,
     "bad_fastq_headers": q_bad_fastq_headers,

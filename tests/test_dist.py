@@ -88,3 +88,25 @@ def test_quality_ridges_labels(spark):
     tb = dist.time_bins(df)
     labels = sorted({r["time_bin_label"] for r in tb.collect()})
     assert "0 - 00:07" in labels and len(labels) == 16
+
+
+def test_kde_2d_close_to_direct_sum(spark):
+    rng = random.Random(21)
+    rows = [(rng.gauss(0, 1), rng.gauss(5, 2)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    got = {(r["i"], r["j"]): r["density"] for r in dist.kde_2d(df, "x", "y", gridsize=30).collect()}
+    a = np.asarray(rows)
+    n = len(a)
+
+    def bw(v):
+        q75, q25 = np.percentile(v, [75, 25])
+        return 1.059 * min(v.std(ddof=1), (q75 - q25) / 1.349) * n ** (-0.2)
+    bx, by = bw(a[:, 0]), bw(a[:, 1])
+    gx = np.linspace(a[:, 0].min() - 3 * bx, a[:, 0].max() + 3 * bx, 30)
+    gy = np.linspace(a[:, 1].min() - 3 * by, a[:, 1].max() + 3 * by, 30)
+    kx = np.exp(-0.5 * ((gx[:, None] - a[None, :, 0]) / bx) ** 2)
+    ky = np.exp(-0.5 * ((gy[:, None] - a[None, :, 1]) / by) ** 2)
+    z = kx @ ky.T / (n * bx * by * 2 * math.pi)
+    peak = z.max()
+    for (i, j), d in got.items():
+        assert abs(d - z[i, j]) <= 0.02 * peak

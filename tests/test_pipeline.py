@@ -1,0 +1,30 @@
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from seqyield.plans import files as runfiles
+from seqyield.plans.pipeline import plot_tables, read_table, write_tables
+
+from .conftest import SF001
+
+
+def test_pipeline_from_files(spark, tmp_dir):
+    """Summary TSVs and gzip FASTQ written from `events`, then the whole plot dataflow."""
+    summary_dir = runfiles.summary_folder(spark, SF001)
+    fastq_dir = runfiles.fastq_folder(spark, SF001)
+    runs = [os.path.join(fastq_dir, d) for d in os.listdir(fastq_dir.replace("file:", "")) if d.startswith("run_id=")]
+    reads = read_table(spark, summary_dir, ",".join(runs), summary_glob="*.csv", fastq_glob="*.txt.gz")
+    n_summary = spark.read.option("header", True).option("sep", "\t").csv(summary_dir).count()
+    assert 0 < reads.count() < n_summary            # malformed headers drop their reads from the join
+    tables = plot_tables(reads)
+    rc = tables["reads"]
+    last = rc.agg(F.max("yield"), F.sum("sequence_length_template"), F.max("read_count"), F.count(F.lit(1))).collect()[0]
+    assert last[0] == last[1] and last[2] == last[3]
+    assert tables["flowcellmap"].count() == 3000
+    rep = {(r["stage"], r["section"], r["label"]) for r in tables["report"].collect()}
+    assert ("filtered", "nx", "N50") in rep and ("unfiltered", "total", "bases") in rep
+    paths = write_tables({k: tables[k] for k in ("yield", "report", "venn")}, tmp_dir, "run1")
+    write_tables({"report": tables["report"]}, tmp_dir, "run1")       # report appends
+    assert spark.read.parquet(paths[1]).count() == 2 * tables["report"].count()
