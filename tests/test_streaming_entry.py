@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) == {"pearson_test"}
+    assert set(q) - set(sql) == {"pearson_test", "pair_kde_2d"}
 
 
 def _norm(rows):
