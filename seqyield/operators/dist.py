@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqyield.session import literal_rows
 from seqyield.functions.expr import hhmm, nan_to_null
 from seqyield.operators.quantiles import exact_quantiles
 
@@ -32,17 +33,22 @@ def _num(c: str | Column) -> Column:
     return nan_to_null((F.col(c) if isinstance(c, str) else c).cast("double"))
 
 
-def _bin_of(x: Column, mn: Column, mx: Column, step: Column, nb: Column) -> Column:
-    """Index i with ``e_i <= x < e_(i+1)`` (last bin closed), ``e_i = i*step + mn``, ``e_nb = mx``.
+def _with_bin(df: DataFrame, x: str, mn: str, mx: str, step: str, nb: str, out: str = "bin") -> DataFrame:
+    """Add ``out`` = index i with ``e_i <= x < e_(i+1)`` (last bin closed), ``e_i = i*step + mn``,
+    ``e_nb = mx`` — the same membership as numpy's histogram for ``linspace`` edges.
 
-    Same membership as numpy's histogram for edges from ``linspace``.
+    Each step is its own column so no sub-expression is copied into the next.
     """
-    last = nb - 1
-    raw = F.least(F.greatest(F.floor((x - mn) / step).cast("long"), F.lit(0).cast("long")), last)
-    edge = lambda i: F.when(i >= nb, mx).otherwise(i.cast("double") * step + mn)
-    down = F.when((raw > 0) & (x < edge(raw)), raw - 1).otherwise(raw)
-    up = F.when((down < last) & (x >= edge(down + 1)), down + 1).otherwise(down)
-    return up
+    X, MN, MX, ST, NB = (F.col(c) for c in (x, mn, mx, step, nb))
+    last = NB - 1
+    edge = lambda i: F.when(i >= NB, MX).otherwise(i.cast("double") * ST + MN)
+    raw = F.least(F.greatest(F.floor((X - MN) / ST).cast("long"), F.lit(0).cast("long")), last)
+    df = df.withColumn("__raw", raw)
+    r = F.col("__raw")
+    df = df.withColumn("__down", F.when((r > 0) & (X < edge(r)), r - 1).otherwise(r))
+    d = F.col("__down")
+    df = df.withColumn(out, F.when((d < last) & (X >= edge(d + 1)), d + 1).otherwise(d))
+    return df.drop("__raw", "__down")
 
 
 def _edges(i: Column, mn: Column, mx: Column, step: Column, nb: Column):
@@ -88,8 +94,8 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
     # One row per group: bounded by the number of groups.
     joined = data.join(F.broadcast(stats), by, "inner") if by else data.crossJoin(F.broadcast(stats))
     lo, hi, step, nb = F.col("__lo"), F.col("__hi"), F.col("__step"), F.col("__nb")
-    binned = joined.where((F.col("__x") >= lo) & (F.col("__x") <= hi)).select(
-        *by, _bin_of(F.col("__x"), lo, hi, step, nb).alias("bin"), "__w")
+    binned = _with_bin(joined.where((F.col("__x") >= lo) & (F.col("__x") <= hi)),
+                       "__x", "__lo", "__hi", "__step", "__nb").select(*by, "bin", "__w")
     sums = binned.groupBy(*by, "bin").agg(F.sum("__w").alias("weight"))
     all_bins = stats.select(*by, "__lo", "__hi", "__step", "__nb", "__tw",
                             F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("bin"))
@@ -165,24 +171,34 @@ def _round_frac(x: Column, digits: int = 3) -> Column:
 
 def time_bins(df: DataFrame, time_col: str = "start_time_float_by_sample", bins: int = RIDGE_BINS) -> DataFrame:
     """Add equal-width, right-closed time bins (lowest edge lowered by 0.1 % of the range)
-    and their ``HH:MM - HH:MM`` label clipped to ``[0, max]``."""
-    st = df.agg(F.min(time_col).alias("__tmn"), F.max(time_col).alias("__tmx"))
-    j = df.crossJoin(F.broadcast(st))
-    t, mn, mx = F.col(time_col), F.col("__tmn"), F.col("__tmx")
-    step = (mx - mn) / bins
+    and their ``HH:MM - HH:MM`` label clipped to ``[0, max]``.
+
+    Rows only get a bin number; the ``bins`` labels are built once in a
+    ``bins``-row table (broadcast) and joined on the bin.
+    """
+    st = df.agg(F.min(time_col).alias("__tmn"), F.max(time_col).alias("__tmx")) \
+        .withColumn("__tst", (F.col("__tmx") - F.col("__tmn")) / bins)
+    mn, mx, step = F.col("__tmn"), F.col("__tmx"), F.col("__tst")
     adj = (mx - mn) * 0.001
     edge = lambda i: F.when(i <= 0, mn - adj).when(i >= bins, mx).otherwise(
         i.cast("double") * step + mn)
+    j = df.crossJoin(F.broadcast(st))
+    t = F.col(time_col)
     raw = F.least(F.greatest(F.ceil((t - mn) / step).cast("int") - 1, F.lit(0)), F.lit(bins - 1))
-    raw = F.when(step == 0, F.lit(0)).otherwise(raw)
-    down = F.when((raw > 0) & (t <= edge(raw)), raw - 1).otherwise(raw)
-    up = F.when((down < bins - 1) & (t > edge(down + 1)), down + 1).otherwise(down)
-    out = j.withColumn("time_bin", up)
-    left = F.greatest(_round_frac(edge(F.col("time_bin"))), F.lit(0.0))
-    right = F.least(_round_frac(edge(F.col("time_bin") + 1)), mx)
-    return (out.withColumn("time_bin_left", left).withColumn("time_bin_right", right)
-            .withColumn("time_bin_label", F.concat_ws(" - ", hhmm("time_bin_left"), hhmm("time_bin_right")))
-            .drop("__tmn", "__tmx"))
+    j = j.withColumn("__raw", F.when(step == 0, F.lit(0)).otherwise(raw))
+    r = F.col("__raw")
+    j = j.withColumn("__down", F.when((r > 0) & (t <= edge(r)), r - 1).otherwise(r))
+    d = F.col("__down")
+    j = j.withColumn("time_bin", F.when((d < bins - 1) & (t > edge(d + 1)), d + 1).otherwise(d)) \
+        .drop("__tmn", "__tmx", "__tst", "__raw", "__down")
+    labels = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("time_bin"))
+    b = F.col("time_bin")
+    labels = (labels.withColumn("__rl", _round_frac(edge(b))).withColumn("__rr", _round_frac(edge(b + 1)))
+              .select("time_bin", F.greatest(F.col("__rl"), F.lit(0.0)).alias("time_bin_left"),
+                      F.least(F.col("__rr"), mx).alias("time_bin_right")))
+    labels = labels.withColumn("time_bin_label",
+                               F.concat_ws(" - ", hhmm("time_bin_left"), hhmm("time_bin_right")))
+    return j.join(F.broadcast(labels), "time_bin", "inner")
 
 
 def quality_ridges(df: DataFrame, time_col: str = "start_time_float_by_sample",
@@ -220,7 +236,7 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
         cond = F.col("group").eqNullSafe(F.lit(g))
         centre = F.when(cond, expr) if centre is None else centre.when(cond, expr)
     if centre is None:
-        return df.sparkSession.createDataFrame(
+        return literal_rows(df.sparkSession, 
             [], "group string, x_centre double, reads long, y_mean double, ci_low double, "
                 "ci_high double, slope double, intercept double")
     binned = data.withColumn("x_centre", centre)
@@ -258,7 +274,7 @@ def hexbin(df: DataFrame, x_col: str, y_col: str, gridsize: int | None = None) -
     n = st["n"]
     spark = df.sparkSession
     if not n:
-        return spark.createDataFrame([], "lattice int, i long, j long, x_centre double, "
+        return literal_rows(spark, [], "lattice int, i long, j long, x_centre double, "
                                          "y_centre double, reads long")
     if gridsize is None:
         stacked = data.selectExpr("stack(2, 'x', __x, 'y', __y) as (__k, __v)")
@@ -365,7 +381,7 @@ def kde_2d(df: DataFrame, x_col: str, y_col: str, gridsize: int = KDE_GRID, cut:
     st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("__x").alias("sx"), F.stddev_samp("__y").alias("sy"),
                   F.min("__x").alias("x0"), F.max("__x").alias("x1"),
                   F.min("__y").alias("y0"), F.max("__y").alias("y1")).collect()[0]
-    empty = spark.createDataFrame([], "i int, j int, x double, y double, density double")
+    empty = literal_rows(spark, [], "i int, j int, x double, y double, density double")
     n = st["n"]
     if not n or n < 2:
         return empty

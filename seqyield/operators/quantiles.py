@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqyield.session import literal_rows
 from seqyield.functions.expr import nan_to_null
 from seqyield.operators.prefix import running_totals
 
@@ -53,7 +54,7 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     hist = data.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by)
 
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
+    probs_df = literal_rows(spark, [(float(p),) for p in probs], "p double")
     # Group sizes from the (checkpointed) prefix: the last cumulative count.
     totals = pref.groupBy(*by).agg(F.max("__cum").alias("__N"))
     h = (F.col("__N") - 1).cast("double") * F.col("p")

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqyield.session import literal_rows
 from seqyield.functions.expr import human_bases, nan_to_null
 from seqyield.operators.prefix import running_totals
 from seqyield.operators.quantiles import exact_quantiles
@@ -31,15 +32,31 @@ def describe(df: DataFrame, col: str, percentiles: Sequence[float] = DESCRIBE_PE
 
     Percentiles are exact (interpolated), not ``DataFrame.summary()``'s approximations.
     """
-    v = nan_to_null(F.col(col).cast("double"))
-    base = df.agg(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
-                  F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    head = base.selectExpr("stack(4, 'count', count, 'mean', mean, 'std', std, 'min', min) as (stat, value)")
-    tail = base.selectExpr("stack(1, 'max', max) as (stat, value)")
+    return describe_columns(df, [col], percentiles).drop("column")
+
+
+def describe_columns(df: DataFrame, cols: Sequence[str],
+                     percentiles: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
+    """:func:`describe` for several columns at once: ``(column, stat, value)``.
+
+    The columns are stacked into ``(column, value)`` so one aggregate and one
+    grouped exact-quantile pass serve all of them.
+    """
+    pairs = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
+    stacked = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column, __v)") \
+        .select("column", nan_to_null(F.col("__v")).alias("__v"))
+    v = F.col("__v")
+    base = stacked.groupBy("column").agg(
+        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    head = base.selectExpr("column", "stack(4, 'count', count, 'mean', mean, 'std', std, 'min', min) "
+                                     "as (stat, value)")
+    tail = base.selectExpr("column", "stack(1, 'max', max) as (stat, value)")
     labels = F.create_map(*[x for p in percentiles for x in (F.lit(float(p)), F.lit(_pct_label(p)))])
-    q = exact_quantiles(df, v, percentiles).select(labels[F.col("p")].alias("stat"), F.col("q").alias("value"))
+    q = exact_quantiles(stacked, "__v", percentiles, by=["column"]).select(
+        "column", labels[F.col("p")].alias("stat"), F.col("q").alias("value"))
     out = head.unionByName(q).unionByName(tail)
-    return out.select("stat", F.round("value", 2).alias("value"))
+    return out.select("column", "stat", F.round("value", 2).alias("value"))
 
 
 def _length_hist(df: DataFrame, length_col: str) -> DataFrame:
@@ -89,11 +106,11 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
         pref = running_totals(h, ["__neg"], {"__rc": F.col("len") * F.col("c")})
         tot = hist.agg(F.sum(F.col("len") * F.col("c")).alias("t")).collect()[0]["t"]
         if not tot:
-            return spark.createDataFrame([], "label string, value long")
+            return literal_rows(spark, [], "label string, value long")
         row = pref.agg(*[F.max(F.when(F.col("__rc").cast("double") >= F.lit(float(tot) * p), F.col("len")))
                          .alias(f"v{i}") for i, p in enumerate(percents)]).collect()[0]
         data = [(labels[i], row[f"v{i}"]) for i in range(len(percents)) if row[f"v{i}"] is not None]
-        return spark.createDataFrame(data, "label string, value long")
+        return literal_rows(spark, data, "label string, value long")
     if mode != "compat":
         raise ValueError("mode must be 'compat' or 'standard'")
 
@@ -106,7 +123,7 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
         agg = pref.agg(F.sum(F.col("len") * F.col("c")).alias("t"), F.sum("c").alias("n")).collect()[0]
         total, n = agg["t"], agg["n"]
         if not n:
-            return spark.createDataFrame([], "label string, value long")
+            return literal_rows(spark, [], "label string, value long")
         targets = [float(total) * p for p in percents]
         cb, L, c = F.col("cb"), F.col("len"), F.col("c")
         counts = pref.agg(*[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
@@ -122,7 +139,7 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
             picks.append(lo)
             prev = lo
         if not picks:
-            return spark.createDataFrame([], "label string, value long")
+            return literal_rows(spark, [], "label string, value long")
         cond = None
         for ix in picks:
             e = (F.col("ib") <= F.lit(ix)) & (F.lit(ix) < F.col("ib") + F.col("c"))
@@ -134,7 +151,7 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
     for k, ix in enumerate(picks):
         val = next(r["len"] for r in rows if r["ib"] <= ix < r["ib"] + r["c"])
         data.append((labels[k], val))
-    return spark.createDataFrame(data, "label string, value long")
+    return literal_rows(spark, data, "label string, value long")
 
 
 def run_duration(df: DataFrame, time_col: str = "start_time_float_by_sample") -> DataFrame:
@@ -152,22 +169,27 @@ def run_report(stages: dict[str, DataFrame], length_col: str = "sequence_length_
     """Rows ``(stage, section, label, value, human)`` for each named stage."""
     parts = []
     for stage, df in stages.items():
-        tot = total_yield(df, length_col).select(
+        one = df.agg(F.sum(F.col(length_col).cast("long")).alias("total_bases"),
+                     F.max(time_col).alias("duration_s"))
+        tot = one.select(
             F.lit("total").alias("section"), F.lit("bases").alias("label"),
             F.col("total_bases").cast("double").alias("value"), human_bases("total_bases").alias("human"))
-        ln = describe(df, length_col).select(F.lit("length").alias("section"), F.col("stat").alias("label"),
-                                             "value", F.lit(None).cast("string").alias("human"))
-        qu = describe(df, quality_col).select(F.lit("quality").alias("section"), F.col("stat").alias("label"),
-                                              "value", F.lit(None).cast("string").alias("human"))
+        names = {length_col: "length", quality_col: "quality"}
+        section = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+        desc = describe_columns(df, [length_col, quality_col]).select(
+            section[F.col("column")].alias("section"), F.col("stat").alias("label"), "value",
+            F.lit(None).cast("string").alias("human"))
         nx = nx_values(df, length_col, "compat").select(
             F.lit("nx").alias("section"), "label", F.col("value").cast("double").alias("value"),
             human_bases("value").alias("human"))
-        du = run_duration(df, time_col).select(
+        d = F.col("duration_s")
+        rem = d % 3600
+        du = one.select(
             F.lit("duration").alias("section"), F.lit("seconds").alias("label"),
-            F.round("duration_s", 1).alias("value"),
-            F.format_string("%d hours, %d minutes, %.0f seconds", F.col("hours").cast("long"),
-                            F.col("minutes").cast("long"), F.col("seconds")).alias("human"))
-        for p in (tot, ln, qu, nx, du):
+            F.round(d, 1).alias("value"),
+            F.format_string("%d hours, %d minutes, %.0f seconds", F.floor(d / 3600).cast("long"),
+                            F.floor(rem / 60).cast("long"), rem % 60).alias("human"))
+        for p in (tot, desc, nx, du):
             parts.append(p.select(F.lit(stage).alias("stage"), "*"))
     out = parts[0]
     for p in parts[1:]:
@@ -236,5 +258,5 @@ def pearson(df: DataFrame, x: str, y: str, with_p_value: bool = False) -> DataFr
         return res
     row = res.collect()[0]
     p = pearson_p_value(row["r"], row["n"])
-    return df.sparkSession.createDataFrame([(x, y, row["n"], row["r"], p)],
+    return literal_rows(df.sparkSession, [(x, y, row["n"], row["r"], p)],
                                            "x string, y string, n long, r double, p_value double")

@@ -99,10 +99,22 @@ def materialize(df, name: str = "table"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    _spread(df).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _spread(df):
+    """Give a table with fewer partitions than cores one file per core.
+
+    Only tiny inputs qualify (a large table already has more partitions than
+    cores), so at scale this never adds a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 _TABLES: dict[tuple, str] = {}
 
 
@@ -116,7 +128,7 @@ def shared_table(spark: SparkSession, key: tuple, build, name: str = "table"):
     path = _TABLES.get(k)
     if path is None:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        _spread(build()).write.parquet(path)
         _TABLES[k] = path
     return spark.read.parquet(path)
 
@@ -133,3 +145,19 @@ def shared_folder(spark: SparkSession, key: tuple, write, name: str = "folder")
         write(path)
         _FOLDERS[k] = path
     return path
+
+
+def literal_rows(spark: SparkSession, rows, schema: str):
+    """A small table from driver-side values, built JVM-side (``inline`` of literal structs).
+
+    ``createDataFrame`` on Python lists ships pickled rows to Python workers;
+    for a handful of scalars (bounds, picks, p-values) that is all overhead.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    st = T._parse_datatype_string(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
