@@ -124,18 +124,25 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     return h.select("bin", "left", "right", F.col("weight").cast("long").alias("reads"), "density")
 
 
+KDE_EXACT_ROWS = 2_000_000     # above this many rows in a group, values are pre-binned
+KDE_PREBIN = 64                # pre-binning cell = bandwidth / KDE_PREBIN
+
+
 def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: int = KDE_GRID,
            cut: float = KDE_CUT) -> DataFrame:
     """Gaussian density on ``gridsize`` points per group: ``(*by, point, x, density)``.
 
     Bandwidth: Scott's rule ``1.059 * min(sd, IQR/1.349) * n^(-1/5)`` (sd alone
     when the IQR is 0); support ``[min - cut*bw, max + cut*bw]``.  Rows are
-    reduced to distinct values with counts first, then each distinct value
-    meets the broadcast grid of its group.
+    reduced to distinct values with counts, and each distinct value meets the
+    broadcast grid of its group (#groups × ``gridsize`` rows).  A group with
+    more than ``KDE_EXACT_ROWS`` rows may have that many distinct values, so
+    its values are first snapped to cells of ``bw / KDE_PREBIN`` — the work is
+    then bounded by the support / cell ratio, not by the rows, and the density
+    moves by about ``(1/KDE_PREBIN)²`` relative.
     """
     by = list(by or [])
     data = df.select(*by, _num(col).alias("__x")).where("__x is not null")
-    hist = data.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
     stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"),
                                   F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     iq = exact_quantiles(data, "__x", [0.25, 0.75], by=by).groupBy(*by).agg(
@@ -144,11 +151,24 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
     stats = stats.join(iq, by, "left") if by else stats.crossJoin(iq)
     a = F.when(F.col("__iqr") > 0, F.least(F.col("__sd"), F.col("__iqr") / 1.349)).otherwise(F.col("__sd"))
     bw = (F.lit(1.059) * a * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
-    stats = stats.withColumn("__bw", bw).where("__bw is not null and __bw > 0")
+    # One row per group: collected once, then used as a broadcast table.
+    rows = stats.withColumn("__bw", bw).where("__bw is not null and __bw > 0").collect()
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stats.select(*by).schema.fields]
+                       + ["__n long", "__bw double", "__mn double", "__mx double"])
+    st = literal_rows(df.sparkSession, [tuple(r[b] for b in by) + (r["__n"], r["__bw"], r["__mn"], r["__mx"])
+                                        for r in rows], schema)
+    prebin = any(r["__n"] > KDE_EXACT_ROWS for r in rows)
+    if prebin:
+        cell = F.col("__bw") / KDE_PREBIN
+        snapped = data.join(F.broadcast(st.select(*by, "__bw", "__mn")), by, "inner") if by else \
+            data.crossJoin(F.broadcast(st.select("__bw", "__mn")))
+        data = snapped.select(*by, (F.col("__mn") + F.rint((F.col("__x") - F.col("__mn")) / cell) * cell)
+                              .alias("__x"))
+    hist = data.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
     lo = F.col("__mn") - cut * F.col("__bw")
     hi = F.col("__mx") + cut * F.col("__bw")
-    grid = stats.select(*by, "__n", "__bw", lo.alias("__lo"), hi.alias("__hi"),
-                        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    grid = st.select(*by, "__n", "__bw", lo.alias("__lo"), hi.alias("__hi"),
+                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
     grid = grid.withColumn("x", F.col("__lo") + F.col("point").cast("double")
                            * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1)))
     # The grid holds #groups × gridsize rows: broadcast by construction.

@@ -40,8 +40,8 @@ def flowcell_grid(df: DataFrame, channel_col: str = "channel",
                   length_col: str = "sequence_length_template", check: bool = True) -> DataFrame:
     """All 3000 cells ``(row, col, channel, bases)``; channels without reads have 0.
 
-    The grid is generated (``range``), the yields are at most one row per
-    channel; the join is a broadcast of the bounded grid side.
+    The grid is generated (``range``); the yields are one row per channel,
+    at most 3000 once ``check_channels`` has passed, so that side is broadcast.
     """
     y = channel_yield(df, channel_col, length_col)
     if check:
@@ -50,7 +50,8 @@ def flowcell_grid(df: DataFrame, channel_col: str = "channel",
     grid = spark.range(1, CHANNELS + 1).select(F.col("id").cast("int").alias("channel"))
     row, col = grid_cell(F.col("channel"))
     grid = grid.select(row.alias("row"), col.alias("col"), "channel")
-    return (y.join(F.broadcast(grid), "channel", "right")
+    bounded = F.broadcast(y) if check else y
+    return (grid.join(bounded, "channel", "left")
             .select("row", "col", "channel",
                     F.coalesce(F.col("channel_yield"), F.lit(0).cast("long")).alias("bases")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqyield.functions.expr import (guarded_ratio, micros, pass_flag, qualitative,
@@ -33,11 +33,19 @@ def unmatched_reads(summary: DataFrame, fastq: DataFrame, keys: Sequence[str] =
 
 def dedup_reads(df: DataFrame, keys: Sequence[str] = READ_KEYS,
                 prefer: Sequence[str] | None = None) -> DataFrame:
-    """One row per key.  With ``prefer`` the kept row is the first in that order (deterministic)."""
+    """One row per key.  With ``prefer`` the kept row is the first in that order (deterministic).
+
+    ``min_by`` over the row struct is an aggregate with map-side combine, so a
+    key holding a large share of the rows is reduced in every task before
+    the shuffle (a window would sort all of its rows in one task).
+    """
     if not prefer:
         return df.dropDuplicates(list(keys))
-    w = Window.partitionBy(*keys).orderBy(*prefer)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*[F.col(c) for c in prefer])
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order).alias("__row"))
+    return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def elapsed_time(df: DataFrame, time_col: str = "start_time_utc",

@@ -110,3 +110,17 @@ def test_kde_2d_close_to_direct_sum(spark):
     peak = z.max()
     for (i, j), d in got.items():
         assert abs(d - z[i, j]) <= 0.02 * peak
+
+
+def test_kde_prebinned_path_close(spark, monkeypatch):
+    monkeypatch.setattr(dist, "KDE_EXACT_ROWS", 0)
+    rng = random.Random(15)
+    vals = [rng.gauss(10, 2) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "q double")
+    got = sorted((r["point"], r["density"]) for r in dist.kde_1d(df, "q").collect())
+    a = np.asarray(vals)
+    q75, q25 = np.percentile(a, [75, 25])
+    bw = 1.059 * min(a.std(ddof=1), (q75 - q25) / 1.349) * len(a) ** (-0.2)
+    grid = np.linspace(a.min() - 3 * bw, a.max() + 3 * bw, 100)
+    dens = np.exp(-0.5 * ((grid[:, None] - a[None, :]) / bw) ** 2).sum(axis=1) / (len(a) * bw * math.sqrt(2 * math.pi))
+    assert [d for _, d in got] == pytest.approx(list(dens), rel=1e-3, abs=1e-6)

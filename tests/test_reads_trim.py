@@ -133,3 +133,13 @@ def test_trim_exclusions_modes(spark):
     compat = {r["region"]: r["reads"] for r in trim.trim_exclusions(df, mode="compat", bounds=b).collect()}
     assert compat["010"] == compat["110"] == compat["001"] == compat["011"] == 0
     assert compat["101"] == compat["111"] == kept[0]
+
+
+def test_dedup_hot_key(spark):
+    rows = [("hot", 1, f"r{i:05d}", float(1000 - i % 997)) for i in range(3000)] + [("cold", 2, "z", 5.0)]
+    df = spark.createDataFrame(rows, "run_id string, channel int, read_id string, t double")
+    out = {r["run_id"]: (r["read_id"], r["t"]) for r in dedup_reads(df, ("run_id", "channel"),
+                                                                    prefer=("t", "read_id")).collect()}
+    assert out["cold"] == ("z", 5.0)
+    best = min(rows[:3000], key=lambda r: (r[3], r[2]))
+    assert out["hot"] == (best[2], best[3])
