@@ -181,3 +181,14 @@ def relocate_summary(summary: DataFrame, out: str, mode: str = "ignore") -> Data
     rows = summary.withColumn("number", F.when(number != "", number.cast("long")))
     rows.write.mode(mode).partitionBy("number").parquet(out)
     return summary.sparkSession.read.parquet(out)
+
+
+def write_manifest(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The manifest as JSON lines (one object per batch, ``number`` kept)."""
+    manifest.coalesce(1).write.mode(mode).json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    schema = ("number long, sequencing_summary_file string, fastq_file string, fast5_dir string, "
+              "FlowcellID string, rnumber int, md5_fast5 string, md5_fastq string")
+    return spark.read.schema(schema).json(path)

@@ -235,7 +235,8 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
     """Mean of y at the nearest of ``bins`` percentile points of x, per group, with the
     least-squares line on the unbinned rows and a normal-approximation 95 % interval.
 
-    ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept)``.
+    ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept, y_axis_max)``;
+    ``y_axis_max`` is twice the mean of y over all rows, the plot's axis limit.
     """
     data = df.select(F.col(by).alias("group"), _num(x_col).alias("__x"), _num(y_col).alias("__y")) \
         .where("__x is not null and __y is not null")
@@ -260,7 +261,7 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
     if centre is None:
         return literal_rows(df.sparkSession, 
             [], "group string, x_centre double, reads long, y_mean double, ci_low double, "
-                "ci_high double, slope double, intercept double")
+                "ci_high double, slope double, intercept double, y_axis_max double")
     binned = data.withColumn("x_centre", centre)
     per_bin = binned.groupBy("group", "x_centre").agg(
         F.count(F.lit(1)).alias("reads"), F.avg("__y").alias("y_mean"),
@@ -268,9 +269,11 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
     half = 1.959963984540054 * F.col("__sd") / F.sqrt(F.col("reads").cast("double"))
     line = data.groupBy("group").agg(F.regr_slope("__y", "__x").alias("slope"),
                                      F.regr_intercept("__y", "__x").alias("intercept"))
-    return per_bin.join(line, "group").select(
+    # Axis limit: twice the mean of y over all rows (one-row aggregate).
+    limit = df.agg((2 * F.avg(_num(y_col))).alias("y_axis_max"))
+    return per_bin.join(line, "group").crossJoin(F.broadcast(limit)).select(
         "group", "x_centre", "reads", "y_mean", (F.col("y_mean") - half).alias("ci_low"),
-        (F.col("y_mean") + half).alias("ci_high"), "slope", "intercept")
+        (F.col("y_mean") + half).alias("ci_high"), "slope", "intercept", "y_axis_max")
 
 
 def _fd_bins(n: int, iqr: float | None, mn: float, mx: float) -> int:

@@ -150,12 +150,13 @@ tb AS (
   SELECT td.*, cen.cl[1 + len(list_filter(list_transform(range(1, 10), lambda i: (cen.cl[i] + cen.cl[i + 1]) / 2), lambda m: m < td.x))] AS x_centre
   FROM td JOIN cen USING ("group")),
 pb AS (SELECT "group", x_centre, count(*) AS reads, avg(y) AS y_mean, stddev_samp(y) AS sd FROM tb GROUP BY "group", x_centre),
-ln AS (SELECT "group", regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM td GROUP BY "group")
+ln AS (SELECT "group", regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM td GROUP BY "group"),
+lim AS (SELECT 2 * avg(CAST({y} AS DOUBLE)) AS y_axis_max FROM {src} WHERE NOT isnan(CAST({y} AS DOUBLE)))
 SELECT pb."group", round(x_centre, 6) AS x_centre, reads, round(y_mean, 6) AS y_mean,
        round(y_mean - 1.959963984540054 * sd / sqrt(CAST(reads AS DOUBLE)), 6) AS ci_low,
        round(y_mean + 1.959963984540054 * sd / sqrt(CAST(reads AS DOUBLE)), 6) AS ci_high,
-       round(slope, 12) AS slope, round(intercept, 6) AS intercept
-FROM pb JOIN ln USING ("group")
+       round(slope, 12) AS slope, round(intercept, 6) AS intercept, round(y_axis_max, 6) AS y_axis_max
+FROM pb JOIN ln USING ("group") CROSS JOIN lim
 """
 
 

@@ -279,7 +279,8 @@ def q_quality_ridges(spark, sf):
 def _trend_out(t):
     return t.select("group", r6("x_centre").alias("x_centre"), "reads", r6("y_mean").alias("y_mean"),
                     r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"),
-                    r12("slope").alias("slope"), r6("intercept").alias("intercept"))
+                    r12("slope").alias("slope"), r6("intercept").alias("intercept"),
+                    r6("y_axis_max").alias("y_axis_max"))
 
 
 def q_events_ratio_trend(spark, sf):

@@ -119,3 +119,40 @@ def test_scan_compact_checksums(spark, tmp_dir):
     plan = batches.archive_plan(m, spark.createDataFrame([("00000_FAB1_1.fast5.tar.gz",)], "target string"))
     acts = {(r["number"], r["kind"]): r["action"] for r in plan.collect()}
     assert acts[(0, "fast5")] == "skip" and acts[(1, "fast5")] == "write" and len(acts) == 6
+
+
+def test_batch_tables_checksums_manifest_io(spark, tmp_dir):
+    fq_dir = os.path.join(tmp_dir, "fq")
+    os.makedirs(fq_dir)
+    for b in (0, 1):
+        with gzip.open(os.path.join(fq_dir, f"fastq_{b}.fastq.gz"), "wt") as fh:
+            fh.write(f"@r{b} runid=a\nACGT\n+\n!!!!\n@s{b} runid=a\nAC\n+\n!!\n")
+    recs = fq.scan_fastq_records(spark, fq_dir)
+    t = batches.fastq_table(recs, os.path.join(tmp_dir, "fastq_table"))
+    assert sorted((r["number"], r["ordinal"]) for r in t.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    # summary rows by batch number, from the file they came from
+    sm_dir = os.path.join(tmp_dir, "sm")
+    os.makedirs(sm_dir)
+    for b in (3, 4):
+        with open(os.path.join(sm_dir, f"sequencing_summary_{b}.txt"), "w") as fh:
+            fh.write("read_id\trun_id\tchannel\n" + f"x{b}\ta\t1\n")
+    s = scan_summary(spark, sm_dir, with_file=True, with_time_columns=False,
+                     schema=__import__("pyspark.sql.types", fromlist=["StructType"]).StructType.fromDDL(
+                         "read_id string, run_id string, channel int"))
+    rel = batches.relocate_summary(s, os.path.join(tmp_dir, "summary_table"))
+    assert sorted((r["number"], r["read_id"]) for r in rel.collect()) == [(3, "x3"), (4, "x4")]
+    # checksums append across runs, and render as md5sum lines
+    files = spark.read.format("binaryFile").load(fq_dir)
+    out = os.path.join(tmp_dir, "sums")
+    batches.append_checksums(batches.checksums(files, "fastq"), out)
+    batches.append_checksums(batches.checksums(files, "fastq"), out)
+    sums = spark.read.parquet(out)
+    assert sums.count() == 4
+    line = batches.checksum_lines(sums).first()["line"]
+    assert len(line.split("  ")[0]) == 32 and line.split("  ")[1].startswith("fastq_")
+    # manifest JSON round trip keeps the batch number
+    m = spark.createDataFrame([(0, "s0", "f0", "d0", "FAB", 7, "a", "b")],
+                              "number long, sequencing_summary_file string, fastq_file string, fast5_dir string, "
+                              "FlowcellID string, rnumber int, md5_fast5 string, md5_fastq string")
+    batches.write_manifest(m, os.path.join(tmp_dir, "manifest"))
+    assert batches.read_manifest(spark, os.path.join(tmp_dir, "manifest")).collect() == m.collect()
