@@ -552,6 +552,12 @@ SELECT channel, sum(sequence_length_template) AS channel_yield, count(*) AS read
 SELECT coalesce(mean_qscore_template > 9, false) AS pass, CAST(0 AS BIGINT) AS batch_id,
        sum(sequence_length_template) AS quality_yield, count(*) AS quality_count
 FROM ev GROUP BY 1""",
+    "stream_summary": READS + """
+SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
+       round(template_duration, 6) AS template_duration, sequence_length_template,
+       round(mean_qscore_template, 6) AS mean_qscore_template FROM ev""",
+    "stream_fastq_headers": FASTQ_EXPECTED + """
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",

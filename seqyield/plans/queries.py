@@ -472,6 +472,23 @@ def q_stream_running_yield(spark, sf):
     return jobs.running_yield_totals(spark, out)
 
 
+def q_stream_summary(spark, sf):
+    s = jobs.stream_summary(spark, runfiles.summary_folder(spark, sf), glob="*.csv", files_per_trigger=1)
+    out = jobs.run_once(s.select("read_id", "run_id", "channel", "start_time_float", "num_events",
+                                 "template_duration", "sequence_length_template", "mean_qscore_template"),
+                        spark, "summary")
+    return out.select("read_id", "run_id", "channel", r6("start_time_float").alias("start_time_float"),
+                      "num_events", r6("template_duration").alias("template_duration"), "sequence_length_template",
+                      r6("mean_qscore_template").alias("mean_qscore_template"))
+
+
+def q_stream_fastq_headers(spark, sf):
+    h = jobs.stream_fastq_headers(spark, runfiles.fastq_folder(spark, sf), glob=FASTQ_FILES, recursive=True)
+    out = jobs.run_once(h.select("read_id", "run_id", "sample_id", "read", "channel",
+                                 F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "merge_reads": q_merge_reads,
     "unmatched_reads": q_unmatched_reads,
@@ -537,4 +554,6 @@ QUERIES: dict[str, Query] = {
     "stream_yield": q_stream_yield,
     "stream_channel_totals": q_stream_channel_totals,
     "stream_running_yield": q_stream_running_yield,
+    "stream_summary": q_stream_summary,
+    "stream_fastq_headers": q_stream_fastq_headers,
 }

@@ -148,3 +148,35 @@ def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append"
     if q.exception():
         raise q.exception()
     return spark.read.parquet(out)
+
+
+def stream_summary(spark: SparkSession, dirs, glob: str = "*sequencing_summary*.txt",
+                   files_per_trigger: int | None = 4) -> DataFrame:
+    """Summary TSV files as they arrive: same schema, NaN handling and renames as the batch scan."""
+    from seqyield.functions.expr import nans_to_null
+    from seqyield.operators.reads import summary_time_columns
+    from seqyield.sources.summary import SUMMARY_SCHEMA, split_dirs
+
+    paths = split_dirs(dirs)
+    if len(paths) != 1:
+        raise ValueError("a file stream reads one folder (use one query per folder)")
+    df = file_stream(spark, paths[0], SUMMARY_SCHEMA, fmt="csv", glob=glob, files_per_trigger=files_per_trigger,
+                     sep="\t", header="true", nanValue="nan")
+    return summary_time_columns(nans_to_null(df))
+
+
+def stream_fastq_headers(spark: SparkSession, folder: str, glob: str = "*.fastq.gz",
+                         files_per_trigger: int | None = 4, recursive: bool = False) -> DataFrame:
+    """FASTQ header rows as files arrive (record-level quarantine: bad headers are dropped)."""
+    from seqyield.sources.fastq import HEADER_RE, parse_fastq_header
+
+    r = spark.readStream.format("text").option("pathGlobFilter", glob)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    lines = r.load(folder).select(F.col("_metadata.file_path").alias("file"),
+                                  F.col("_metadata.file_modification_time").alias("arrival"), "value")
+    parsed = parse_fastq_header(lines.where(F.col("value").rlike(HEADER_RE)))
+    return parsed.where(~F.col("bad_header")).select("arrival", "read_id", "run_id", "sample_id", "read",
+                                                     "channel", "start_time_utc")
