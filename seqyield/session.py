@@ -90,7 +90,7 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", spread: bool = True):
     """Write ``df`` once as a Parquet table under the checkpoint root and return the re-read frame.
 
     The lineage cut of a reliable checkpoint, in columnar form: later jobs
@@ -99,7 +99,7 @@ def materialize(df, name: str = "table"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _spread(df).write.parquet(path)
+    (_spread(df) if spread else df).write.parquet(path)
     return spark.read.parquet(path)
 
 
