@@ -131,17 +131,20 @@ def archive_plan(manifest: DataFrame, existing: DataFrame | None = None, overwri
 
 
 def compact_batches(spark: SparkSession, fast5_root: str, out: str, mode: str = "ignore",
-                    numbers: Sequence[int] | None = None) -> DataFrame:
-    """Small-file compaction: every ``<n>/*.fast5`` into a Parquet table partitioned by batch.
-
-    Rows ``(number, member, length, md5, content)``; member is ``<n>/<file>``
-    like the archive layout.  Tasks are files; the write commits atomically.
+                    numbers: Sequence[int] | None = None, glob: str = "*.fast5",
+                    batch_dir: str = FAST5_DIR) -> DataFrame:
+    """Small-file compaction: every ``<n>/<glob>`` file into a Parquet table partitioned by batch.
+
+    Rows ``(number, member, length, md5, content)``; member is ``<folder>/<file>``
+    like the archive layout.  ``batch_dir`` is the folder-name pattern whose
+    first group is the batch number.  Tasks are files; the write commits
+    atomically, and ``mode='ignore'`` leaves an existing table untouched.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.fast5")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(fast5_root))
     parent = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    rows = files.where(parent.rlike(FAST5_DIR)).select(
-        parent.cast("long").alias("number"),
+    rows = files.where(parent.rlike(batch_dir)).select(
+        F.regexp_extract(parent, batch_dir, 1).cast("long").alias("number"),
         F.concat_ws("/", parent, basename(F.col("path"))).alias("member"),
         "length", F.md5("content").alias("md5"), "content")
     if numbers is not None:

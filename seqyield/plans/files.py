@@ -79,3 +79,13 @@ def batch_names(spark: SparkSession, sf: str):
                                          "l_linenumber", "l_suppkey").alias("path"))
     f5_dirs = li.select(F.format_string("run/reads/%d", "l_partkey").alias("path")).distinct()
     return summ, fq, f5_dirs, f5_files
+
+
+def batch_files_folder(spark: SparkSession, sf: str) -> str:
+    """Per-batch folders ``number=<n>/`` of text files from ``lineitem`` (batch = supplier key // 10)."""
+    def write(path):
+        li = table(spark, sf, "lineitem")
+        rows = li.select(F.floor(F.col("l_suppkey") / 10).cast("long").alias("number"),
+                         F.format_string("%d|%d|%d", "l_orderkey", "l_linenumber", "l_partkey").alias("value"))
+        rows.repartition(8, "number").write.partitionBy("number").text(path)
+    return shared_folder(spark, ("batch_files", os.path.abspath(sf), _stamp(sf, "lineitem")), write, "batches")

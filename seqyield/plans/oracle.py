@@ -559,6 +559,10 @@ SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float,
     "stream_fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
+    "compact_batches": """
+SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS number,
+       sum(length(printf('%d|%d|%d', l_orderkey, l_linenumber, l_partkey)) + 1) AS bytes
+FROM lineitem GROUP BY 1""",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",
 n AS (SELECT *, {_zfill('number')} || '_FAB00000_4242' AS an FROM manifest),

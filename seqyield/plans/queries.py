@@ -489,6 +489,13 @@ def q_stream_fastq_headers(spark, sf):
     return out
 
 
+def q_compact_batches(spark, sf):
+    src = runfiles.batch_files_folder(spark, sf)
+    t = batches.compact_batches(spark, src, scratch_path(spark, "compacted"), mode="errorifexists",
+                                glob="*.txt", batch_dir=r"^number=(\d+)$")
+    return t.groupBy("number").agg(F.sum("length").alias("bytes"))
+
+
 QUERIES: dict[str, Query] = {
     "merge_reads": q_merge_reads,
     "unmatched_reads": q_unmatched_reads,
@@ -549,6 +556,7 @@ QUERIES: dict[str, Query] = {
     "batch_manifest": q_batch_manifest,
     "drop_active_batch": q_drop_active_batch,
     "archive_plan": q_archive_plan,
+    "compact_batches": q_compact_batches,
     "stream_reads": q_stream_reads,
     "stream_merge": q_stream_merge,
     "stream_yield": q_stream_yield,
