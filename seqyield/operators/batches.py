@@ -86,10 +86,9 @@ def batch_manifest(summary: DataFrame, fastq: DataFrame, fast5: DataFrame, flowc
 def drop_active_batch(manifest: DataFrame) -> DataFrame:
     """Drop the highest batch number: it may still be written by the instrument.
 
-    The maximum is a one-row aggregate attached by a broadcast cross join.
+    The maximum is a scalar subquery.
     """
-    top = manifest.agg(F.max("number").alias("__top"))
-    return manifest.crossJoin(F.broadcast(top)).where(F.col("number") < F.col("__top")).drop("__top")
+    return manifest.where(F.col("number") < manifest.agg(F.max("number")).scalar())
 
 
 def run_rnumber(fast5_names: DataFrame, name_col: str = "path") -> int | None:

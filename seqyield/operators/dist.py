@@ -65,17 +65,19 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
     ``bins=None`` picks the Freedman–Diaconis count (at most 50) per group.
     Returns ``(*by, bin, left, right, weight, density)``; every bin appears.
     """
-    by = list(by or [])
+    out_by = list(by or [])
+    by = out_by or ["__all"]          # ungrouped: one constant group key
     v = _num(value).alias("__x")
     w = (F.lit(1.0) if weight is None else _num(weight)).alias("__w")
-    data = df.select(*by, v, w).where("__x is not null and __w is not null")
+    src = df if out_by else df.withColumn("__all", F.lit(0))
+    data = src.select(*by, v, w).where("__x is not null and __w is not null")
     stats = data.groupBy(*by).agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
                                   F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__tw"))
     if bins is None:
         iq = exact_quantiles(data, "__x", [0.25, 0.75], by=by)
         iq = iq.groupBy(*by).agg((F.max(F.when(F.col("p") == 0.75, F.col("q")))
                                   - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("__iqr"))
-        stats = stats.join(iq, by, "left") if by else stats.crossJoin(iq)
+        stats = stats.join(iq, by, "left")
         h = 2 * F.col("__iqr") / F.pow(F.col("__n").cast("double"), F.lit(1.0 / 3))
         fd = F.when(F.col("__n") < 2, F.lit(1)).when(
             F.coalesce(h, F.lit(0.0)) == 0, F.floor(F.sqrt(F.col("__n").cast("double")))
@@ -91,8 +93,9 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
              .withColumn("__hi", F.when(same, F.col("__mx") + 0.5).otherwise(F.col("__mx")))
              .withColumn("__nb", F.greatest(F.col("__nb"), F.lit(1).cast("long")))
              .withColumn("__step", (F.col("__hi") - F.col("__lo")) / F.col("__nb").cast("double")))
-    # One row per group: bounded by the number of groups.
-    joined = data.join(F.broadcast(stats), by, "inner") if by else data.crossJoin(F.broadcast(stats))
+    # One row per group, attached by an equi-join on the group key (broadcast:
+    # bounded by the number of groups).
+    joined = data.join(F.broadcast(stats), by, "inner")
     lo, hi, step, nb = F.col("__lo"), F.col("__hi"), F.col("__step"), F.col("__nb")
     binned = _with_bin(joined.where((F.col("__x") >= lo) & (F.col("__x") <= hi)),
                        "__x", "__lo", "__hi", "__step", "__nb").select(*by, "bin", "__w")
@@ -102,7 +105,7 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
     full = all_bins.join(sums, [*by, "bin"], "left")
     left, right = _edges(F.col("bin"), lo, hi, step, nb)
     wt = F.coalesce(F.col("weight"), F.lit(0.0))
-    cols = [*by, "bin", left.alias("left"), right.alias("right"), wt.alias("weight")]
+    cols = [*out_by, "bin", left.alias("left"), right.alias("right"), wt.alias("weight")]
     if density:
         cols.append(F.try_divide(wt, F.col("__tw") * step).alias("density"))
     return full.select(*cols)
@@ -134,8 +137,8 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
 
     Bandwidth: Scott's rule ``1.059 * min(sd, IQR/1.349) * n^(-1/5)`` (sd alone
     when the IQR is 0); support ``[min - cut*bw, max + cut*bw]``.  Rows are
-    reduced to distinct values with counts, and each distinct value meets the
-    broadcast grid of its group (#groups × ``gridsize`` rows).  A group with
+    reduced to distinct values with counts, and each distinct value generates
+    its contribution to the ``gridsize`` points of its group.  A group with
     more than ``KDE_EXACT_ROWS`` rows may have that many distinct values, so
     its values are first snapped to cells of ``bw / KDE_PREBIN`` — the work is
     then bounded by the support / cell ratio, not by the rows.  A value moves
@@ -143,43 +146,42 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
     the slope (under 1 % of the peak); on large groups the rounding errors
     average out far below that.
     """
-    by = list(by or [])
-    data = df.select(*by, _num(col).alias("__x")).where("__x is not null")
+    out_by = list(by or [])
+    by = out_by or ["__all"]          # ungrouped: one constant group key
+    src = df if out_by else df.withColumn("__all", F.lit(0))
+    data = src.select(*by, _num(col).alias("__x")).where("__x is not null")
     stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"),
                                   F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     iq = exact_quantiles(data, "__x", [0.25, 0.75], by=by).groupBy(*by).agg(
         (F.max(F.when(F.col("p") == 0.75, F.col("q")))
          - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("__iqr"))
-    stats = stats.join(iq, by, "left") if by else stats.crossJoin(iq)
+    stats = stats.join(iq, by, "left")
     a = F.when(F.col("__iqr") > 0, F.least(F.col("__sd"), F.col("__iqr") / 1.349)).otherwise(F.col("__sd"))
     bw = (F.lit(1.059) * a * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
-    # One row per group: collected once, then used as a broadcast table.
+    # One row per group: collected once, then used as a broadcast lookup table.
     rows = stats.withColumn("__bw", bw).where("__bw is not null and __bw > 0").collect()
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stats.select(*by).schema.fields]
                        + ["__n long", "__bw double", "__mn double", "__mx double"])
     st = literal_rows(df.sparkSession, [tuple(r[b] for b in by) + (r["__n"], r["__bw"], r["__mn"], r["__mx"])
                                         for r in rows], schema)
-    prebin = any(r["__n"] > KDE_EXACT_ROWS for r in rows)
-    if prebin:
+    st = st.withColumn("__lo", F.col("__mn") - cut * F.col("__bw")) \
+        .withColumn("__hi", F.col("__mx") + cut * F.col("__bw"))
+    if any(r["__n"] > KDE_EXACT_ROWS for r in rows):
         cell = F.col("__bw") / KDE_PREBIN
-        snapped = data.join(F.broadcast(st.select(*by, "__bw", "__mn")), by, "inner") if by else \
-            data.crossJoin(F.broadcast(st.select("__bw", "__mn")))
-        data = snapped.select(*by, (F.col("__mn") + F.rint((F.col("__x") - F.col("__mn")) / cell) * cell)
-                              .alias("__x"))
+        data = data.join(F.broadcast(st.select(*by, "__bw", "__mn")), by, "inner").select(
+            *by, (F.col("__mn") + F.rint((F.col("__x") - F.col("__mn")) / cell) * cell).alias("__x"))
     hist = data.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    lo = F.col("__mn") - cut * F.col("__bw")
-    hi = F.col("__mx") + cut * F.col("__bw")
-    grid = st.select(*by, "__n", "__bw", lo.alias("__lo"), hi.alias("__hi"),
-                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
-    grid = grid.withColumn("x", F.col("__lo") + F.col("point").cast("double")
-                           * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1)))
-    # The grid holds #groups × gridsize rows: broadcast by construction.
-    pairs = hist.join(F.broadcast(grid), by, "inner") if by else hist.crossJoin(F.broadcast(grid))
+    # Each distinct value generates its contribution to the group's grid points.
+    per = hist.join(F.broadcast(st), by, "inner").select(
+        *by, "__x", "__c", "__n", "__bw", "__lo", "__hi",
+        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    per = per.withColumn("x", F.col("__lo") + F.col("point").cast("double")
+                         * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1)))
     z = (F.col("x") - F.col("__x")) / F.col("__bw")
-    dens = pairs.groupBy(*by, "point", "x", "__n", "__bw").agg(
+    dens = per.groupBy(*by, "point", "x", "__n", "__bw").agg(
         F.sum(F.col("__c") * F.exp(-0.5 * z * z)).alias("__s"))
     norm = F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)
-    return dens.select(*by, "point", "x", (F.col("__s") / norm).alias("density"))
+    return dens.select(*out_by, "point", "x", (F.col("__s") / norm).alias("density"))
 
 
 def _round_frac(x: Column, digits: int = 3) -> Column:
@@ -195,16 +197,16 @@ def time_bins(df: DataFrame, time_col: str = "start_time_float_by_sample", bins:
     """Add equal-width, right-closed time bins (lowest edge lowered by 0.1 % of the range)
     and their ``HH:MM - HH:MM`` label clipped to ``[0, max]``.
 
-    Rows only get a bin number; the ``bins`` labels are built once in a
-    ``bins``-row table (broadcast) and joined on the bin.
+    The time range is a scalar subquery; rows only get a bin number, and the
+    ``bins`` labels are built once in a ``bins``-row table joined on the bin.
     """
-    st = df.agg(F.min(time_col).alias("__tmn"), F.max(time_col).alias("__tmx")) \
-        .withColumn("__tst", (F.col("__tmx") - F.col("__tmn")) / bins)
-    mn, mx, step = F.col("__tmn"), F.col("__tmx"), F.col("__tst")
+    st = df.agg(F.struct(F.min(time_col).alias("mn"), F.max(time_col).alias("mx"))).scalar()
+    mn, mx = st.getField("mn"), st.getField("mx")
+    step = (mx - mn) / bins
     adj = (mx - mn) * 0.001
     edge = lambda i: F.when(i <= 0, mn - adj).when(i >= bins, mx).otherwise(
         i.cast("double") * step + mn)
-    j = df.crossJoin(F.broadcast(st))
+    j = df
     t = F.col(time_col)
     raw = F.least(F.greatest(F.ceil((t - mn) / step).cast("int") - 1, F.lit(0)), F.lit(bins - 1))
     j = j.withColumn("__raw", F.when(step == 0, F.lit(0)).otherwise(raw))
@@ -212,8 +214,8 @@ def time_bins(df: DataFrame, time_col: str = "start_time_float_by_sample", bins:
     j = j.withColumn("__down", F.when((r > 0) & (t <= edge(r)), r - 1).otherwise(r))
     d = F.col("__down")
     j = j.withColumn("time_bin", F.when((d < bins - 1) & (t > edge(d + 1)), d + 1).otherwise(d)) \
-        .drop("__tmn", "__tmx", "__tst", "__raw", "__down")
-    labels = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("time_bin"))
+        .drop("__raw", "__down")
+    labels = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("time_bin"))
     b = F.col("time_bin")
     labels = (labels.withColumn("__rl", _round_frac(edge(b))).withColumn("__rr", _round_frac(edge(b + 1)))
               .select("time_bin", F.greatest(F.col("__rl"), F.lit(0.0)).alias("time_bin_left"),
@@ -269,11 +271,11 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
     half = 1.959963984540054 * F.col("__sd") / F.sqrt(F.col("reads").cast("double"))
     line = data.groupBy("group").agg(F.regr_slope("__y", "__x").alias("slope"),
                                      F.regr_intercept("__y", "__x").alias("intercept"))
-    # Axis limit: twice the mean of y over all rows (one-row aggregate).
-    limit = df.agg((2 * F.avg(_num(y_col))).alias("y_axis_max"))
-    return per_bin.join(line, "group").crossJoin(F.broadcast(limit)).select(
+    # Axis limit: twice the mean of y over all rows (a scalar subquery).
+    limit = df.agg(2 * F.avg(_num(y_col))).scalar()
+    return per_bin.join(line, "group").select(
         "group", "x_centre", "reads", "y_mean", (F.col("y_mean") - half).alias("ci_low"),
-        (F.col("y_mean") + half).alias("ci_high"), "slope", "intercept", "y_axis_max")
+        (F.col("y_mean") + half).alias("ci_high"), "slope", "intercept", limit.alias("y_axis_max"))
 
 
 def _fd_bins(n: int, iqr: float | None, mn: float, mx: float) -> int:
@@ -427,15 +429,17 @@ def kde_2d(df: DataFrame, x_col: str, y_col: str, gridsize: int = KDE_GRID, cut:
     cells = data.select(F.rint((F.col("__x") - lx) / fx).cast("int").alias("u"),
                         F.rint((F.col("__y") - ly) / fy).cast("int").alias("v")) \
         .groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
-    pts = spark.range(gridsize).select(F.col("id").cast("int").alias("g"))
-    gx = pts.select(F.col("g").alias("i"), (F.lit(lx) + F.col("g") * ((hx - lx) / (gridsize - 1))).alias("x"))
-    gy = pts.select(F.col("g").alias("j"), (F.lit(ly) + F.col("g") * ((hy - ly) / (gridsize - 1))).alias("y"))
+    # Separable kernel, one axis at a time; each cell / partial row generates
+    # its contributions to the grid points of that axis.
+    points = F.sequence(F.lit(0), F.lit(gridsize - 1))
+    t = cells.select("u", "v", "c", F.explode(points).alias("j"))
+    t = t.withColumn("y", F.lit(ly) + F.col("j") * ((hy - ly) / (gridsize - 1)))
     zy = (F.col("y") - (F.lit(ly) + F.col("v") * fy)) / by
-    t = cells.crossJoin(F.broadcast(gy)).groupBy("u", "j", "y").agg(
-        F.sum(F.col("c") * F.exp(-0.5 * zy * zy)).alias("t"))
+    t = t.groupBy("u", "j", "y").agg(F.sum(F.col("c") * F.exp(-0.5 * zy * zy)).alias("t"))
+    z = t.select("u", "j", "y", "t", F.explode(points).alias("i"))
+    z = z.withColumn("x", F.lit(lx) + F.col("i") * ((hx - lx) / (gridsize - 1)))
     zx = (F.col("x") - (F.lit(lx) + F.col("u") * fx)) / bx
-    z = t.crossJoin(F.broadcast(gx)).groupBy("i", "j", "x", "y").agg(
-        F.sum(F.col("t") * F.exp(-0.5 * zx * zx)).alias("s"))
+    z = z.groupBy("i", "j", "x", "y").agg(F.sum(F.col("t") * F.exp(-0.5 * zx * zx)).alias("s"))
     return z.select("i", "j", "x", "y", (F.col("s") / (n * bx * by * 2 * math.pi)).alias("density"))
 
 

@@ -54,28 +54,30 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     hist = data.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by)
 
-    probs_df = literal_rows(spark, [(float(p),) for p in probs], "p double")
-    # Group sizes from the (checkpointed) prefix: the last cumulative count.
-    totals = pref.groupBy(*by).agg(F.max("__cum").alias("__N"))
-    h = (F.col("__N") - 1).cast("double") * F.col("p")
-    targets = totals.crossJoin(F.broadcast(probs_df)).select(
-        *[F.col(b).alias(f"__t_{b}") for b in by], "p",
-        F.floor(h).cast("long").alias("__lo"), F.ceil(h).cast("long").alias("__hi"),
-        (h - F.floor(h)).alias("__frac"))
-    # Ungrouped: len(probs) rows, broadcast by construction.  Grouped: one row
-    # per (group, p); AQE broadcasts it at run time when it is small.
-    right = targets if by else F.broadcast(targets)
-
+    # Group sizes from the prefix (its last cumulative count), attached by an
+    # equi-join on the group key (one row per group; a constant key when ungrouped).
+    keys = by or ["__all"]
+    if not by:
+        pref = pref.withColumn("__all", F.lit(0))
+    totals = pref.groupBy(*keys).agg(F.max("__cum").alias("__total"))
+    rows = pref.join(totals, keys, "inner")
+    # Each distinct value checks the requested ranks in place (a literal array
+    # of targets), so no row is paired with anything: it keeps the targets
+    # whose lower or upper rank falls inside its run of equal values.
     start = F.col("__cum") - F.col("__n")
-    in_lo = (start <= F.col("__lo")) & (F.col("__lo") < F.col("__cum"))
-    in_hi = (start <= F.col("__hi")) & (F.col("__hi") < F.col("__cum"))
-    cond = in_lo | in_hi
-    for b in by:
-        cond = cond & pref[b].eqNullSafe(F.col(f"__t_{b}"))
-    hits = pref.join(right, on=cond, how="inner")
-    agg = hits.groupBy(*[F.col(f"__t_{b}").alias(b) for b in by], "p", "__frac").agg(
-        F.max(F.when(in_lo, F.col("__v"))).alias("__vlo"),
-        F.max(F.when(in_hi, F.col("__v"))).alias("__vhi"))
+    targets = F.array(*[F.lit(float(p)) for p in probs])
+
+    def info(p):
+        h = (F.col("__total") - 1).cast("double") * p
+        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        return F.struct(p.alias("p"), (h - F.floor(h)).alias("frac"),
+                        ((start <= lo) & (lo < F.col("__cum"))).alias("is_lo"),
+                        ((start <= hi) & (hi < F.col("__cum"))).alias("is_hi"))
+    hits = rows.select(*keys, "__v", F.explode(F.filter(F.transform(targets, info),
+                                                        lambda t: t["is_lo"] | t["is_hi"])).alias("t"))
+    agg = hits.groupBy(*keys, F.col("t.p").alias("p"), F.col("t.frac").alias("__frac")).agg(
+        F.max(F.when(F.col("t.is_lo"), F.col("__v"))).alias("__vlo"),
+        F.max(F.when(F.col("t.is_hi"), F.col("__v"))).alias("__vhi"))
     return agg.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac"))
                       .alias("q"))
 

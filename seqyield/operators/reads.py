@@ -53,14 +53,13 @@ def elapsed_time(df: DataFrame, time_col: str = "start_time_utc",
                  with_interval: bool = False) -> DataFrame:
     """Seconds since the earliest row of ``df`` (all rows, not per sample).
 
-    The minimum is a one-row aggregate attached by a broadcast cross join; the
-    rows themselves are never ordered or gathered.
+    The minimum is a scalar subquery (one partial-aggregated value); the rows
+    themselves are never ordered or gathered.
     """
     dtype = df.schema[time_col].dataType
     us = micros(time_col, dtype)
-    origin = df.agg(F.min(us).alias("__t0"))
-    out = df.crossJoin(F.broadcast(origin)).withColumn(
-        out_col, ((us - F.col("__t0")).cast("double") / 1e6)).drop("__t0")
+    origin = df.agg(F.min(us)).scalar()
+    out = df.withColumn(out_col, ((us - origin).cast("double") / 1e6))
     if with_interval:
         out = out.withColumn(out_col.replace("float", "timedelta"), seconds_to_interval(out_col))
     return out
