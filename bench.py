@@ -35,8 +35,10 @@ def main() -> None:
     if not os.environ.get("SPARK_CHECKPOINT_DIR_SET"):
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="seqyield-bench-ckpt-")
     spark = build_session(f"local[{cpus}]", app="seqyield-bench", shuffle_partitions=cpus, conf=conf)
-    # Warm-up: JVM start, first parquet footer reads, code generation.
-    QUERIES["total_yield"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm-up of the JVM and code generation on a table no headline query uses,
+    # so the shared read table is built (and timed) inside the first query.
+    spark.read.parquet(f"{sf_dir}/region.parquet").groupBy("r_regionkey").count() \
+        .write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         best = None
