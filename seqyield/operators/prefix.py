@@ -74,7 +74,7 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, st
     nb = n_buckets or default_buckets(df)
     # The reliable copy is what later stages read (see ``materialize``).
     bucketed = materialize(base.repartitionByRange(nb, *by, *order_by)
-                           .withColumn("__bk", F.spark_partition_id()), "buckets", spread=False)
+                           .withColumn("__bk", F.spark_partition_id()), "buckets")
 
     inner_frame = (Window.partitionBy("__bk", *by).orderBy(*order_by)
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
