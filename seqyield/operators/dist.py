@@ -197,11 +197,16 @@ def time_bins(df: DataFrame, time_col: str = "start_time_float_by_sample", bins:
     """Add equal-width, right-closed time bins (lowest edge lowered by 0.1 % of the range)
     and their ``HH:MM - HH:MM`` label clipped to ``[0, max]``.
 
-    The time range is a scalar subquery; rows only get a bin number, and the
-    ``bins`` labels are built once in a ``bins``-row table joined on the bin.
+    The time range (two scalars) is fetched once and used as literals; rows
+    only get a bin number, and the ``bins`` labels are built once in a
+    ``bins``-row table joined on the bin.
     """
-    st = df.agg(F.struct(F.min(time_col).alias("mn"), F.max(time_col).alias("mx"))).scalar()
-    mn, mx = st.getField("mn"), st.getField("mx")
+    lo_hi = df.agg(F.min(time_col).alias("mn"), F.max(time_col).alias("mx")).first()
+    if lo_hi is None or lo_hi["mn"] is None:
+        return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("time_bin", "int"), ("time_bin_left", "double"), ("time_bin_right", "double"),
+            ("time_bin_label", "string"))]).where(F.lit(False))
+    mn, mx = F.lit(float(lo_hi["mn"])), F.lit(float(lo_hi["mx"]))
     step = (mx - mn) / bins
     adj = (mx - mn) * 0.001
     edge = lambda i: F.when(i <= 0, mn - adj).when(i >= bins, mx).otherwise(
