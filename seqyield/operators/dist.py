@@ -27,6 +27,9 @@ PAIR_SAMPLE = 10_000
 PAIR_RATIO_MAX = 5
 PAIR_COLUMNS = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
 PAIR_BINS = 10
+# Display names of the pair view's variables.
+PAIR_DISPLAY_NAMES = {"mean_qscore_template": "Mean QScore Template", "pore_speed": "Pore Speed (b/s)",
+                      "sequence_length_template": "Read Length", "events_ratio": "Events / base"}
 
 
 def _num(c: str | Column) -> Column:
@@ -457,3 +460,8 @@ def pair_kde_2d(sample: DataFrame, columns: Sequence[str] = PAIR_COLUMNS, gridsi
                 F.lit(columns[b]).alias("x_var"), F.lit(columns[a]).alias("y_var"), "*")
             out = k if out is None else out.unionByName(k)
     return out
+
+
+def pair_view(sample: DataFrame, names: dict[str, str] = PAIR_DISPLAY_NAMES) -> DataFrame:
+    """The pair sample with the four variables under their display names (plus the pass class)."""
+    return sample.select(*[F.col(c).alias(n) for c, n in names.items()], "qualitative_pass")

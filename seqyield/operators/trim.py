@@ -119,3 +119,18 @@ def trim_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.agg(F.count(F.lit(1)).alias("reads")).select(F.lit("before").alias("stage"), "reads")
     a = after.agg(F.count(F.lit(1)).alias("reads")).select(F.lit("after").alias("stage"), "reads")
     return b.unionByName(a)
+
+
+def observed_trim(df: DataFrame, bounds: TrimBounds | None = None, **cols):
+    """Trim with row counts before/after collected as metrics of the job that uses the result.
+
+    Returns ``(trimmed, before, after)``; read ``before.get`` / ``after.get``
+    once an action on ``trimmed`` has run — no extra counting jobs.
+    """
+    from pyspark.sql import Observation
+
+    before, after = Observation("trim_before"), Observation("trim_after")
+    src = df.observe(before, F.count(F.lit(1)).alias("reads"))
+    out = trim_reads(src, bounds=bounds or trim_bounds(df, **{k: v for k, v in cols.items()
+                                                              if k in ("length_col", "time_col")}), **cols)
+    return out.observe(after, F.count(F.lit(1)).alias("reads")), before, after

@@ -62,6 +62,7 @@ def plot_tables(reads: DataFrame, check_sample: bool = True) -> dict[str, DataFr
                                                   with_p_value=True),
         "events_ratio": dist.binned_trend(rc, "start_time_float_by_sample", "events_ratio"),
         "pair_sample": sample,
+        "pair_view": dist.pair_view(sample),
         "pair_hist": dist.pair_histogram(sample),
         "pair_kde": dist.pair_kde_2d(sample),
     }

@@ -143,3 +143,19 @@ def test_dedup_hot_key(spark):
     assert out["cold"] == ("z", 5.0)
     best = min(rows[:3000], key=lambda r: (r[3], r[2]))
     assert out["hot"] == (best[2], best[3])
+
+
+def test_observed_trim_counts(spark):
+    df, _ = _trim_frame(spark, n=1500, seed=9)
+    out, before, after = trim.observed_trim(df)
+    n = out.count()
+    assert before.get["reads"] == 1500 and after.get["reads"] == n
+
+
+def test_pair_view_names(spark):
+    from seqyield.operators.dist import pair_view
+    df = spark.createDataFrame([(9.5, 400.0, 1000, 2.0, "Passed")],
+                               "mean_qscore_template double, pore_speed double, sequence_length_template long, "
+                               "events_ratio double, qualitative_pass string")
+    assert pair_view(df).columns == ["Mean QScore Template", "Pore Speed (b/s)", "Read Length", "Events / base",
+                                     "qualitative_pass"]
