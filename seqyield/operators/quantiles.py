@@ -24,13 +24,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqyield.session import literal_rows
 from seqyield.functions.expr import nan_to_null
 from seqyield.operators.prefix import running_totals
 
 # Fast path bound: distinct values per group held in one aggregation buffer.
 SMALL_DISTINCT = 500_000
 
+
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
                     by: Sequence[str] | None = None, small: bool = False) -> DataFrame:
     """Rows ``(*by, p, q)``: exact quantile ``q`` of ``col`` at each probability ``p``.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqyield.functions.expr import FAILED, PASSED
 from seqyield.operators.prefix import running_totals
 
 ORDER = ("start_time_float_by_sample", "read_id")
@@ -87,5 +86,3 @@ def reads_curve(df: DataFrame, time_col: str = "start_time_float_by_sample",
         out = out.unionByName(_curve(df, m, time_col, bin_seconds, quality_col, "read_count"))
     return out
 
-
-SERIES = ("All", PASSED, FAILED)
