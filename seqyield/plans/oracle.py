@@ -383,6 +383,54 @@ WITH docs AS (
 """
 
 
+def _kde2_pair(xv: str, yv: str, k: int) -> str:
+    """2-D density of one variable pair on the pair sample (pre-binned, separable)."""
+    return f""", d{k} AS (
+  SELECT CAST({xv} AS DOUBLE) AS x, CAST({yv} AS DOUBLE) AS y FROM ps
+  WHERE {xv} IS NOT NULL AND {yv} IS NOT NULL AND NOT isnan(CAST({xv} AS DOUBLE)) AND NOT isnan(CAST({yv} AS DOUBLE))),
+s{k} AS (
+  SELECT count(*) AS n, stddev_samp(x) AS sx, stddev_samp(y) AS sy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
+         quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS ix, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iy
+  FROM d{k}),
+b{k} AS (
+  SELECT *, 1.059 * (CASE WHEN ix > 0 THEN least(sx, ix / 1.349) ELSE sx END) * pow(CAST(n AS DOUBLE), -0.2) AS bwx,
+            1.059 * (CASE WHEN iy > 0 THEN least(sy, iy / 1.349) ELSE sy END) * pow(CAST(n AS DOUBLE), -0.2) AS bwy
+  FROM s{k}),
+g{k} AS (SELECT *, x0 - 3 * bwx AS lx, x1 + 3 * bwx AS hx, y0 - 3 * bwy AS ly, y1 + 3 * bwy AS hy FROM b{k}),
+f{k} AS (SELECT *, (hx - lx) / 396 AS fx, (hy - ly) / 396 AS fy FROM g{k}),
+c{k} AS (
+  SELECT CAST(round_even((d.x - f.lx) / f.fx, 0) AS INTEGER) AS u, CAST(round_even((d.y - f.ly) / f.fy, 0) AS INTEGER) AS v,
+         count(*) AS c
+  FROM d{k} d CROSS JOIN f{k} f GROUP BY 1, 2),
+t{k} AS (
+  SELECT c.u, j, f.ly + j * ((f.hy - f.ly) / 99) AS y,
+         sum(c.c * exp(-0.5 * (((f.ly + j * ((f.hy - f.ly) / 99)) - (f.ly + c.v * f.fy)) / f.bwy)
+                          * (((f.ly + j * ((f.hy - f.ly) / 99)) - (f.ly + c.v * f.fy)) / f.bwy))) AS t
+  FROM c{k} c CROSS JOIN f{k} f CROSS JOIN range(100) r(j) GROUP BY 1, 2, 3),
+z{k} AS (
+  SELECT i, t.j, f.lx + i * ((f.hx - f.lx) / 99) AS x, t.y,
+         sum(t.t * exp(-0.5 * (((f.lx + i * ((f.hx - f.lx) / 99)) - (f.lx + t.u * f.fx)) / f.bwx)
+                          * (((f.lx + i * ((f.hx - f.lx) / 99)) - (f.lx + t.u * f.fx)) / f.bwx))) AS s,
+         f.n, f.bwx, f.bwy
+  FROM t{k} t CROSS JOIN f{k} f CROSS JOIN range(100) r(i) GROUP BY 1, 2, 3, 4, f.n, f.bwx, f.bwy),
+o{k} AS (
+  SELECT '{xv}' AS x_var, '{yv}' AS y_var, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(x, 6) AS x, round(y, 6) AS y,
+         s / (n * bwx * bwy * 2 * pi()) AS dens
+  FROM z{k})
+"""
+
+
+def _pair_kde_2d() -> str:
+    cols = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
+    pairs = [(cols[b], cols[a]) for a in range(len(cols)) for b in range(a)]
+    body = "".join(_kde2_pair(x, y, k) for k, (x, y) in enumerate(pairs))
+    union = " UNION ALL ".join(
+        f"SELECT x_var, y_var, i, j, x, y, round(dens, 12) AS density, "
+        f"CASE WHEN dens < 1e-200 THEN '0' ELSE printf('%.6e', dens) END AS density_e FROM o{k}"
+        for k in range(len(pairs)))
+    return BASE + _pair_sample_cte() + body + union
+
+
 ORACLE_SQL: dict[str, str] = {
     "merge_reads": READS + """
 SELECT read_id, run_id, channel, sample_id, read, num_events, sequence_length_template,
@@ -507,6 +555,7 @@ SELECT point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
 SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(pore_speed, 6) AS pore_speed,
        sequence_length_template, round(events_ratio, 6) AS events_ratio, qualitative_pass FROM ps""",
     "pair_histogram": _pair_hist(),
+    "pair_kde_2d": _pair_kde_2d(),
     "documents_nx": DOCS + _nx_compat("docs") + _nx_standard("docs")
                     + " UNION ALL SELECT 'compat_' || label AS label, value FROM nx",
     "documents_weighted_histogram": DOCS + _hist("docs", "sequence_length_template", "49",

@@ -319,7 +319,11 @@ def q_pair_histogram(spark, sf):
 
 def q_pair_kde_2d(spark, sf):
     k = dist.pair_kde_2d(dist.pair_sample(trimmed(spark, sf)))
-    return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"), "density")
+    return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"),
+                    r12("density").alias("density"),
+                    # 7 significant digits; values below 1e-200 (down to subnormals) count as 0
+                    F.when(F.col("density") < 1e-200, F.lit("0"))
+                    .otherwise(F.format_string("%.6e", "density")).alias("density_e"))
 
 
 # --- second read table: documents (n_chars as length, labels.quality as pass) -------
