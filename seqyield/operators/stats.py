@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqyield.session import literal_rows
@@ -64,9 +64,9 @@ def _length_hist(df: DataFrame, length_col: str) -> DataFrame:
             .groupBy("len").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _count_at_most(cb, L, c, T: float, strict: bool):
+def _count_at_most(cb, L, c, T, strict: bool):
     """#j in 1..c with cb + j*L <= T (or < T when strict), exact for integer cb, L."""
-    Td = F.lit(float(T))
+    Td = T if isinstance(T, Column) else F.lit(float(T))
     if strict:
         j = F.ceil((Td - cb) / L).cast("long") - 1
         over = (cb + j * L).cast("double") >= Td
@@ -104,10 +104,9 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
     if mode == "standard":
         h = hist.withColumn("__neg", -F.col("len"))
         pref = running_totals(h, ["__neg"], {"__rc": F.col("len") * F.col("c")})
-        tot = hist.agg(F.sum(F.col("len") * F.col("c")).alias("t")).collect()[0]["t"]
-        if not tot:
-            return literal_rows(spark, [], "label string, value long")
-        row = pref.agg(*[F.max(F.when(F.col("__rc").cast("double") >= F.lit(float(tot) * p), F.col("len")))
+        # Total bases as a scalar subquery: one job for all targets.
+        tot = hist.agg(F.sum(F.col("len") * F.col("c"))).scalar().cast("double")
+        row = pref.agg(*[F.max(F.when(F.col("__rc").cast("double") >= tot * F.lit(float(p)), F.col("len")))
                          .alias(f"v{i}") for i, p in enumerate(percents)]).collect()[0]
         data = [(labels[i], row[f"v{i}"]) for i in range(len(percents)) if row[f"v{i}"] is not None]
         return literal_rows(spark, data, "label string, value long")
@@ -120,16 +119,18 @@ def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode:
     # One row per distinct length; three small actions read it, so keep it for their duration.
     pref = pref.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        agg = pref.agg(F.sum(F.col("len") * F.col("c")).alias("t"), F.sum("c").alias("n")).collect()[0]
-        total, n = agg["t"], agg["n"]
-        if not n:
-            return literal_rows(spark, [], "label string, value long")
-        targets = [float(total) * p for p in percents]
+        # Total bases as a scalar subquery, so totals and per-target counts come from one job.
+        total_col = pref.agg(F.sum(F.col("len") * F.col("c"))).scalar().cast("double")
         cb, L, c = F.col("cb"), F.col("len"), F.col("c")
-        counts = pref.agg(*[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
+        targets = [total_col * F.lit(float(p)) for p in percents]
+        counts = pref.agg(F.sum("c").alias("n"),
+                          *[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
                             for i, T in enumerate(targets)],
                           *[F.sum(_count_at_most(cb, L, c, T, strict=True)).alias(f"m{i}")
                             for i, T in enumerate(targets)]).collect()[0]
+        n = counts["n"]
+        if not n:
+            return literal_rows(spark, [], "label string, value long")
         picks, prev = [], -1
         for i in range(len(targets)):
             lo = max(counts[f"m{i}"] - 1, 0, prev + 1)
