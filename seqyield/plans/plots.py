@@ -78,6 +78,6 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, name: str, mode: st
     return written
 
 
-def run_pipeline(spark: SparkSession, summary_dirs: str, fastq_dirs: str, out_dir: str, name: str,
+def run_plots(spark: SparkSession, summary_dirs: str, fastq_dirs: str, out_dir: str, name: str,
                  **scan_options) -> list[str]:
     return write_tables(plot_tables(read_table(spark, summary_dirs, fastq_dirs, **scan_options)), out_dir, name)

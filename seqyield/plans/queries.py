@@ -54,7 +54,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trimmed(spark: SparkSession, sf: str) -> DataFrame:
-    """The trimmed read table with the time origin recomputed (as the pipeline does)."""
+    """The trimmed read table with the time origin recomputed (as the plot dataflow does)."""
     def build():
         m = reads(spark, sf)
         t = trim.trim_reads(m, bounds=trim.trim_bounds(m))

@@ -1,6 +1,6 @@
 """Structured Streaming jobs for a run that is still being written.
 
-The reference re-runs its whole pipeline from scratch; here the incremental
+The reference re-runs its whole dataflow from scratch; here the incremental
 parts run as streaming queries over the instrument's folders:
 
 * ``stream_reads`` — file source of summary rows (fixed schema, one or a few

@@ -5,12 +5,12 @@ import os
 from pyspark.sql import functions as F
 
 from seqyield.plans import files as runfiles
-from seqyield.plans.pipeline import plot_tables, read_table, write_tables
+from seqyield.plans.plots import plot_tables, read_table, write_tables
 
 from .conftest import SF001
 
 
-def test_pipeline_from_files(spark, tmp_dir):
+def test_plot_tables_from_files(spark, tmp_dir):
     """Summary TSVs and gzip FASTQ written from `events`, then the whole plot dataflow."""
     summary_dir = runfiles.summary_folder(spark, SF001)
     fastq_dir = runfiles.fastq_folder(spark, SF001)
