@@ -228,7 +228,7 @@ r3 AS (
   SELECT *, greatest({_round_frac(edge('time_bin'))}, 0.0) AS lft, least({_round_frac(edge('time_bin + 1'))}, mx) AS rgt FROM r2),
 rq AS (SELECT {_hhmm('lft')} || ' - ' || {_hhmm('rgt')} AS time_bin_label, mean_qscore_template FROM r3)
 {_kde('rq', 'mean_qscore_template', by='time_bin_label')}
-SELECT time_bin_label, point, round(gx, 6) AS x, round(density, 12) AS density FROM k
+SELECT time_bin_label, CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS density FROM k
 """
 
 
@@ -240,8 +240,8 @@ def _curve(measure: str, value: str, by_quality: bool) -> str:
                      f"{measure} AS v FROM trimmed GROUP BY 1, 2")
     union = " UNION ALL ".join(parts)
     return BASE + f""", cb AS ({union})
-SELECT series, time_bin, round(CAST(time_bin AS DOUBLE) * 60.0, 6) AS time_s, v AS {value}_in_bin,
-       sum(v) OVER (PARTITION BY series ORDER BY time_bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {value}
+SELECT series, time_bin, round(CAST(time_bin AS DOUBLE) * 60.0, 6) AS time_s, CAST(v AS BIGINT) AS {value}_in_bin,
+       CAST(sum(v) OVER (PARTITION BY series ORDER BY time_bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {value}
 FROM cb
 """
 
@@ -488,14 +488,14 @@ UNION ALL SELECT '111', count(*) FILTER (WHERE t0 AND e AND l0) FROM f""",
     "running_count": BASE + """
 SELECT read_id, row_number() OVER (ORDER BY start_time_float_by_sample, read_id) AS read_count FROM trimmed""",
     "running_yield": BASE + """
-SELECT read_id, sum(sequence_length_template) OVER (ORDER BY start_time_float_by_sample, read_id
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS yield FROM trimmed""",
+SELECT read_id, CAST(sum(sequence_length_template) OVER (ORDER BY start_time_float_by_sample, read_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS yield FROM trimmed""",
     "running_yield_by_channel": BASE + """
-SELECT read_id, channel, sum(sequence_length_template) OVER (PARTITION BY channel ORDER BY start_time_float_by_sample, read_id
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS channel_yield FROM trimmed""",
+SELECT read_id, channel, CAST(sum(sequence_length_template) OVER (PARTITION BY channel ORDER BY start_time_float_by_sample, read_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS channel_yield FROM trimmed""",
     "running_yield_by_pass": BASE + """
-SELECT read_id, pass, sum(sequence_length_template) OVER (PARTITION BY pass ORDER BY start_time_float_by_sample, read_id
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quality_yield FROM trimmed""",
+SELECT read_id, pass, CAST(sum(sequence_length_template) OVER (PARTITION BY pass ORDER BY start_time_float_by_sample, read_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS quality_yield FROM trimmed""",
     "running_count_by_pass": BASE + """
 SELECT read_id, pass, row_number() OVER (PARTITION BY pass ORDER BY start_time_float_by_sample, read_id) AS quality_count FROM trimmed""",
     "yield_curve": _curve("sum(sequence_length_template)", "yield", False),
@@ -503,10 +503,10 @@ SELECT read_id, pass, row_number() OVER (PARTITION BY pass ORDER BY start_time_f
     "reads_curve": _curve("count(*)", "read_count", False),
     "reads_curve_by_quality": _curve("count(*)", "read_count", True),
     "channel_yield": BASE + """
-SELECT channel, sum(sequence_length_template) AS channel_yield FROM trimmed GROUP BY channel""",
+SELECT channel, CAST(sum(sequence_length_template) AS BIGINT) AS channel_yield FROM trimmed GROUP BY channel""",
     "flowcell_grid": BASE + """
 , g AS (SELECT CAST(c AS INTEGER) AS channel FROM range(1, 3001) t(c)),
-cy AS (SELECT channel, sum(sequence_length_template) AS y FROM trimmed GROUP BY channel)
+cy AS (SELECT channel, CAST(sum(sequence_length_template) AS BIGINT) AS y FROM trimmed GROUP BY channel)
 SELECT CAST(((channel - 1) % 250) // 10 AS INTEGER) AS row,
        CAST(((channel - 1) // 250) * 10 + (channel - 1) % 10 AS INTEGER) AS col,
        g.channel, coalesce(cy.y, 0) AS bases
@@ -517,7 +517,7 @@ cy AS (SELECT channel, sum(sequence_length_template) AS y FROM trimmed GROUP BY
 cells AS (SELECT CAST(coalesce(cy.y, 0) AS DOUBLE) AS bases FROM g LEFT JOIN cy USING (channel))
 SELECT 'vmin' AS "limit", round(quantile_cont(bases, 0.02), 6) AS bases FROM cells
 UNION ALL SELECT 'vmax', round(quantile_cont(bases, 0.98), 6) FROM cells""",
-    "total_yield": READS + "SELECT sum(sequence_length_template) AS total_bases FROM reads",
+    "total_yield": READS + "SELECT CAST(sum(sequence_length_template) AS BIGINT) AS total_bases FROM reads",
     "describe_length": READS + _describe("sequence_length_template"),
     "describe_quality": READS + _describe("mean_qscore_template"),
     "run_duration": BASE + """
@@ -542,9 +542,9 @@ SELECT bin, round(left_e, 6) AS "left", round(right_e, 6) AS "right", CAST(w AS
     "quality_histogram": BASE + _hist("trimmed", "mean_qscore_template", None) + """
 SELECT bin, round(left_e, 6) AS "left", round(right_e, 6) AS "right", CAST(w AS BIGINT) AS reads, round(density, 12) AS density FROM h""",
     "length_kde": BASE + _qtrim("trimmed", 0.99, "t99") + _kde("t99", "sequence_length_template") + """
-SELECT point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
+SELECT CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
     "quality_kde": BASE + _kde("trimmed", "mean_qscore_template") + """
-SELECT point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
+SELECT CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS density FROM k""",
     "quality_ridges": _ridges(),
     "events_ratio_trend": _trend("trimmed", "events_ratio"),
     "pore_speed_trend": _trend("trimmed", "pore_speed"),
@@ -562,11 +562,11 @@ SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(po
                                                  weight="sequence_length_template", lower="0.0") + """
 SELECT bin, round(left_e, 6) AS "left", round(right_e, 6) AS "right", round(w, 6) AS bases, round(density, 12) AS density FROM h""",
     "documents_yield_by_quality": DOCS + """
-SELECT sample_id AS lang, pass, sum(sequence_length_template) AS bases, count(*) AS reads FROM docs GROUP BY 1, 2""",
+SELECT sample_id AS lang, pass, CAST(sum(sequence_length_template) AS BIGINT) AS bases, count(*) AS reads FROM docs GROUP BY 1, 2""",
     "lineitem_running_quantity": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, epoch_us(l_shipdate) AS ship_us,
-       sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_qty
+       CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_qty
 FROM lineitem""",
     "fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
@@ -593,13 +593,13 @@ SELECT read_id, run_id, channel, sample_id, read, sequence_length_template FROM
     "stream_yield": READS + """
 SELECT CAST(floor(epoch_us(start_time_utc) / 600000000) AS BIGINT) * 600000000 AS window_start_us,
        CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
-       sum(sequence_length_template) AS bases, count(*) AS reads
+       CAST(sum(sequence_length_template) AS BIGINT) AS bases, count(*) AS reads
 FROM ev GROUP BY 1, 2""",
     "stream_channel_totals": READS + """
-SELECT channel, sum(sequence_length_template) AS channel_yield, count(*) AS reads FROM ev GROUP BY channel""",
+SELECT channel, CAST(sum(sequence_length_template) AS BIGINT) AS channel_yield, count(*) AS reads FROM ev GROUP BY channel""",
     "stream_running_yield": READS + """
 SELECT coalesce(mean_qscore_template > 9, false) AS pass, CAST(0 AS BIGINT) AS batch_id,
-       sum(sequence_length_template) AS quality_yield, count(*) AS quality_count
+       CAST(sum(sequence_length_template) AS BIGINT) AS quality_yield, count(*) AS quality_count
 FROM ev GROUP BY 1""",
     "stream_summary": READS + """
 SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
@@ -610,7 +610,7 @@ SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NO
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
     "compact_batches": """
 SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS number,
-       sum(length(printf('%d|%d|%d', l_orderkey, l_linenumber, l_partkey)) + 1) AS bytes
+       CAST(sum(length(printf('%d|%d|%d', l_orderkey, l_linenumber, l_partkey)) + 1) AS BIGINT) AS bytes
 FROM lineitem GROUP BY 1""",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",

@@ -473,7 +473,7 @@ def q_stream_running_yield(spark, sf):
     out = scratch_path(spark, "stream-running")
     q = jobs.running_yield_batches(s, out, scratch_path(spark, "stream-running-ckpt"))
     q.awaitTermination()
-    return jobs.running_yield_totals(spark, out)
+    return jobs.running_yield_totals(spark, out).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 def q_stream_summary(spark, sf):
@@ -497,7 +497,7 @@ def q_compact_batches(spark, sf):
     src = runfiles.batch_files_folder(spark, sf)
     t = batches.compact_batches(spark, src, scratch_path(spark, "compacted"), mode="errorifexists",
                                 glob="*.txt", batch_dir=r"^number=(\d+)$")
-    return t.groupBy("number").agg(F.sum("length").alias("bytes"))
+    return t.groupBy(F.col("number").cast("long").alias("number")).agg(F.sum("length").alias("bytes"))
 
 
 QUERIES: dict[str, Query] = {
