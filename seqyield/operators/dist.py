@@ -60,6 +60,33 @@ def _edges(i: Column, mn: Column, mx: Column, step: Column, nb: Column):
     return left, right
 
 
+MAX_GROUPS = 100_000   # per-group parameter tables are collected (and broadcast) up to this size
+
+
+def _group_params(stats: DataFrame, by: Sequence[str], cols: Sequence[str]):
+    """Collect one parameter row per group (at most ``MAX_GROUPS``).
+
+    Returns a function attaching the parameters to a frame: literal columns
+    when there is no grouping, else an equi-join with a broadcast literal
+    table whose size the collect has just proven.
+    """
+    rows = stats.select(*by, *cols).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    spark = stats.sparkSession
+    if not by:
+        row = rows[0] if rows else None
+
+        def attach(df: DataFrame) -> DataFrame:
+            if row is None:
+                return df.where(F.lit(False)).select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
+            return df.select("*", *[F.lit(row[c]).alias(c) for c in cols])
+        return attach, rows
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.select(*by, *cols).schema.fields)
+    table = literal_rows(spark, [tuple(r) for r in rows], schema)
+    return (lambda df: df.join(F.broadcast(table), list(by), "inner")), rows
+
+
 def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None = None,
                           weight: str | Column | None = None, by: Sequence[str] | None = None,
                           lower: float | None = None, density: bool = True) -> DataFrame:
@@ -67,20 +94,20 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
 
     ``bins=None`` picks the Freedman–Diaconis count (at most 50) per group.
     Returns ``(*by, bin, left, right, weight, density)``; every bin appears.
+    Per-group parameters (range, bin count, total weight) are one small
+    aggregate, collected and attached as literals.
     """
-    out_by = list(by or [])
-    by = out_by or ["__all"]          # ungrouped: one constant group key
+    by = list(by or [])
     v = _num(value).alias("__x")
     w = (F.lit(1.0) if weight is None else _num(weight)).alias("__w")
-    src = df if out_by else df.withColumn("__all", F.lit(0))
-    data = src.select(*by, v, w).where("__x is not null and __w is not null")
+    data = df.select(*by, v, w).where("__x is not null and __w is not null")
     stats = data.groupBy(*by).agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
                                   F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__tw"))
     if bins is None:
         iq = exact_quantiles(data, "__x", [0.25, 0.75], by=by)
         iq = iq.groupBy(*by).agg((F.max(F.when(F.col("p") == 0.75, F.col("q")))
                                   - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("__iqr"))
-        stats = stats.join(iq, by, "left")
+        stats = stats.join(iq, by, "left") if by else stats.withColumn("__iqr", iq.select("__iqr").scalar())
         h = 2 * F.col("__iqr") / F.pow(F.col("__n").cast("double"), F.lit(1.0 / 3))
         fd = F.when(F.col("__n") < 2, F.lit(1)).when(
             F.coalesce(h, F.lit(0.0)) == 0, F.floor(F.sqrt(F.col("__n").cast("double")))
@@ -96,19 +123,20 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int | None =
              .withColumn("__hi", F.when(same, F.col("__mx") + 0.5).otherwise(F.col("__mx")))
              .withColumn("__nb", F.greatest(F.col("__nb"), F.lit(1).cast("long")))
              .withColumn("__step", (F.col("__hi") - F.col("__lo")) / F.col("__nb").cast("double")))
-    # One row per group, attached by an equi-join on the group key (broadcast:
-    # bounded by the number of groups).
-    joined = data.join(F.broadcast(stats), by, "inner")
+    attach, _ = _group_params(stats, by, ["__lo", "__hi", "__step", "__nb", "__tw"])
     lo, hi, step, nb = F.col("__lo"), F.col("__hi"), F.col("__step"), F.col("__nb")
+    joined = attach(data)
     binned = _with_bin(joined.where((F.col("__x") >= lo) & (F.col("__x") <= hi)),
                        "__x", "__lo", "__hi", "__step", "__nb").select(*by, "bin", "__w")
     sums = binned.groupBy(*by, "bin").agg(F.sum("__w").alias("weight"))
-    all_bins = stats.select(*by, "__lo", "__hi", "__step", "__nb", "__tw",
-                            F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("bin"))
+    # Every bin of every group, generated from the (literal) parameters.
+    params = attach(sums.select(*by).distinct()) if by else attach(df.sparkSession.range(1).drop("id"))
+    all_bins = params.select(*by, "__lo", "__hi", "__step", "__nb", "__tw",
+                             F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("bin"))
     full = all_bins.join(sums, [*by, "bin"], "left")
     left, right = _edges(F.col("bin"), lo, hi, step, nb)
     wt = F.coalesce(F.col("weight"), F.lit(0.0))
-    cols = [*out_by, "bin", left.alias("left"), right.alias("right"), wt.alias("weight")]
+    cols = [*by, "bin", left.alias("left"), right.alias("right"), wt.alias("weight")]
     if density:
         cols.append(F.try_divide(wt, F.col("__tw") * step).alias("density"))
     return full.select(*cols)
@@ -149,42 +177,36 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
     the slope (under 1 % of the peak); on large groups the rounding errors
     average out far below that.
     """
-    out_by = list(by or [])
-    by = out_by or ["__all"]          # ungrouped: one constant group key
-    src = df if out_by else df.withColumn("__all", F.lit(0))
-    data = src.select(*by, _num(col).alias("__x")).where("__x is not null")
+    by = list(by or [])
+    data = df.select(*by, _num(col).alias("__x")).where("__x is not null")
     stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"),
                                   F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     iq = exact_quantiles(data, "__x", [0.25, 0.75], by=by).groupBy(*by).agg(
         (F.max(F.when(F.col("p") == 0.75, F.col("q")))
          - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("__iqr"))
-    stats = stats.join(iq, by, "left")
+    stats = stats.join(iq, by, "left") if by else stats.withColumn("__iqr", iq.select("__iqr").scalar())
     a = F.when(F.col("__iqr") > 0, F.least(F.col("__sd"), F.col("__iqr") / 1.349)).otherwise(F.col("__sd"))
     bw = (F.lit(1.059) * a * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
-    # One row per group: collected once, then used as a broadcast lookup table.
-    rows = stats.withColumn("__bw", bw).where("__bw is not null and __bw > 0").collect()
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stats.select(*by).schema.fields]
-                       + ["__n long", "__bw double", "__mn double", "__mx double"])
-    st = literal_rows(df.sparkSession, [tuple(r[b] for b in by) + (r["__n"], r["__bw"], r["__mn"], r["__mx"])
-                                        for r in rows], schema)
-    st = st.withColumn("__lo", F.col("__mn") - cut * F.col("__bw")) \
-        .withColumn("__hi", F.col("__mx") + cut * F.col("__bw"))
+    stats = (stats.withColumn("__bw", bw).where("__bw is not null and __bw > 0")
+             .withColumn("__lo", F.col("__mn") - cut * F.col("__bw"))
+             .withColumn("__hi", F.col("__mx") + cut * F.col("__bw")))
+    # One parameter row per group, collected once and attached as literals.
+    attach, rows = _group_params(stats, by, ["__n", "__bw", "__mn", "__lo", "__hi"])
     if any(r["__n"] > KDE_EXACT_ROWS for r in rows):
         cell = F.col("__bw") / KDE_PREBIN
-        data = data.join(F.broadcast(st.select(*by, "__bw", "__mn")), by, "inner").select(
+        data = attach(data).select(
             *by, (F.col("__mn") + F.rint((F.col("__x") - F.col("__mn")) / cell) * cell).alias("__x"))
     hist = data.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
     # Each distinct value generates its contribution to the group's grid points.
-    per = hist.join(F.broadcast(st), by, "inner").select(
-        *by, "__x", "__c", "__n", "__bw", "__lo", "__hi",
-        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    per = attach(hist).select(*by, "__x", "__c", "__n", "__bw", "__lo", "__hi",
+                              F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
     per = per.withColumn("x", F.col("__lo") + F.col("point").cast("double")
                          * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1)))
     z = (F.col("x") - F.col("__x")) / F.col("__bw")
     dens = per.groupBy(*by, "point", "x", "__n", "__bw").agg(
         F.sum(F.col("__c") * F.exp(-0.5 * z * z)).alias("__s"))
     norm = F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)
-    return dens.select(*out_by, "point", "x", (F.col("__s") / norm).alias("density"))
+    return dens.select(*by, "point", "x", (F.col("__s") / norm).alias("density"))
 
 
 def _round_frac(x: Column, digits: int = 3) -> Column:

@@ -29,6 +29,8 @@ from seqyield.operators.prefix import running_totals
 
 # Fast path bound: distinct values per group held in one aggregation buffer.
 SMALL_DISTINCT = 500_000
+# Group totals are broadcast up to this many groups.
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
@@ -41,11 +43,12 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     c = F.col(col) if isinstance(col, str) else col
     v = nan_to_null(c.cast("double"))
     data = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
-    spark = df.sparkSession
+    groups = None
     if not small:
         widest = data.groupBy(*by).agg(F.approx_count_distinct("__v").alias("d")) \
             .agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("g")).collect()[0]
-        small = (widest["d"] or 0) <= SMALL_DISTINCT * 0.8 and widest["g"] <= 10_000
+        groups = widest["g"]
+        small = (widest["d"] or 0) <= SMALL_DISTINCT * 0.8 and groups <= 10_000
     if small:
         arr = F.percentile(F.col("__v"), F.array(*[F.lit(float(p)) for p in probs]))
         per = data.groupBy(*by).agg(arr.alias("__q"))
@@ -54,13 +57,16 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     hist = data.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by)
 
-    # Group sizes from the prefix (its last cumulative count), attached by an
-    # equi-join on the group key (one row per group; a constant key when ungrouped).
-    keys = by or ["__all"]
-    if not by:
-        pref = pref.withColumn("__all", F.lit(0))
-    totals = pref.groupBy(*keys).agg(F.max("__cum").alias("__total"))
-    rows = pref.join(totals, keys, "inner")
+    # Group sizes from the prefix (its last cumulative count): a scalar subquery
+    # when ungrouped; otherwise one row per group, broadcast when the group
+    # count (known from the size check) is bounded.
+    if by:
+        totals = pref.groupBy(*by).agg(F.max("__cum").alias("__total"))
+        bounded = groups is not None and groups <= MAX_BROADCAST_GROUPS
+        rows = pref.join(F.broadcast(totals) if bounded else totals, by, "inner")
+    else:
+        rows = pref.withColumn("__total", pref.agg(F.max("__cum")).scalar())
+    keys = list(by)
     # Each distinct value checks the requested ranks in place (a literal array
     # of targets), so no row is paired with anything: it keeps the targets
     # whose lower or upper rank falls inside its run of equal values.

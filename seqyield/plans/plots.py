@@ -19,15 +19,19 @@ from seqyield.sources.summary import scan_summary
 
 def read_table(spark: SparkSession, summary_dirs: str, fastq_dirs: str, fastq_mode: str = "record",
                summary_glob: str = "*sequencing_summary*.txt", fastq_glob: str = "*.fastq.gz") -> DataFrame:
-    """Summary ⋈ FASTQ headers with the time axis and derived columns."""
+    """Summary ⋈ FASTQ headers (the join; time axis and derived columns come in ``plot_tables``)."""
     summary = scan_summary(spark, summary_dirs, glob=summary_glob)
     fastq = scan_fastq(spark, fastq_dirs, glob=fastq_glob, mode=fastq_mode)
-    return enrich_reads(elapsed_time(merge_reads(summary, fastq)))
+    return merge_reads(summary, fastq)
 
 
-def plot_tables(reads: DataFrame, check_sample: bool = True) -> dict[str, DataFrame]:
-    """Every plot-ready table of a run, keyed by the plot's name."""
-    m = materialize(reads, "reads")
+def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataFrame]:
+    """Every plot-ready table of a run, keyed by the plot's name.
+
+    The join is written once; the time origin (a one-column minimum) and the
+    derived columns are computed on the written copy.
+    """
+    m = enrich_reads(elapsed_time(materialize(merged, "merged")))
     if check_sample:
         check_single_sample(m)
     bounds = trim.trim_bounds(m)

@@ -23,8 +23,8 @@ from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
 from seqyield.functions.expr import micros
 from seqyield.operators.prefix import running_totals
-from seqyield.plans.tables import (SUMMARY_COLS, documents_reads, events_fastq, events_summary, merged_reads,
-                                   reads_view)
+from seqyield.plans.tables import (SUMMARY_COLS, derive, documents_reads, events_fastq, events_summary,
+                                   merge_events, reads_view)
 from seqyield.session import scratch_path, shared_table
 from seqyield.streaming import jobs
 
@@ -49,8 +49,9 @@ def _key(sf: str, stage: str) -> tuple:
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    """The merged, enriched read table, written once per session (many jobs hang off it)."""
-    return shared_table(spark, _key(sf, "reads"), lambda: merged_reads(spark, sf), "reads")
+    """The merged read table: the join is written once per session (many jobs hang off it);
+    the time origin (a one-column minimum) and derived columns are computed on the written copy."""
+    return derive(shared_table(spark, _key(sf, "merged"), lambda: merge_events(spark, sf), "merged"))
 
 
 def trimmed(spark: SparkSession, sf: str) -> DataFrame:

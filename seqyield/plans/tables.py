@@ -77,10 +77,19 @@ def events_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(rid.alias("read_id"), "run_id", "sample_id", "read", "channel", "start_time_utc")
 
 
+def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """summary ⋈ FASTQ headers (the join only)."""
+    return merge_reads(events_summary(spark, sf_dir), events_fastq(spark, sf_dir))
+
+
+def derive(merged: DataFrame) -> DataFrame:
+    """Time origin and derived columns on top of a (written) merged table."""
+    return enrich_reads(elapsed_time(merged))
+
+
 def merged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """summary ⋈ FASTQ headers → elapsed time → derived columns (the untrimmed read table)."""
-    m = merge_reads(events_summary(spark, sf_dir), events_fastq(spark, sf_dir))
-    return enrich_reads(elapsed_time(m))
+    return derive(merge_events(spark, sf_dir))
 
 
 def documents_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
