@@ -8,16 +8,18 @@ Here the rows are range-partitioned on the full ordering key instead:
    so a single hot value of the first key is still split by the later keys
    (one time stamp holding a third of the rows lands in many buckets);
    ``spark_partition_id()`` is then the bucket number, monotone in the order.
-2. The bucketed rows are written once as a reliable checkpoint, so the bucket
-   of every row is fixed: both branches below read the same assignment, and a
-   lost executor re-reads it instead of re-sampling.
+2. The bucketed rows are written once as a Parquet table under the checkpoint
+   root (a reliable lineage cut), so the bucket of every row is fixed: both
+   branches below read the same assignment, and a lost executor re-reads it
+   instead of re-sampling.
 3. Running sums inside each bucket (window ``partitionBy(bucket, *by)``).
 4. One total per (bucket, group) — at most ``B`` + #groups rows — turned into
-   an exclusive offset, attached with a broadcast join whose size is bounded by
-   ``B`` (checked), and added.
+   an exclusive offset, attached with a join on the bucket (broadcast without
+   groups, where it has at most ``B`` rows; left to AQE's size check with
+   groups), and added.
 
 ``small=True`` is for inputs whose row count is bounded by construction (time
-buckets of a curve, a 3000-cell grid): one window, no checkpoint.  Otherwise
+buckets of a curve, a 3000-cell grid): one window, nothing written.  Otherwise
 the row count is checked first: up to ``SMALL_ROWS`` rows (a fixed bound,
 independent of the data size) one window is cheaper than the two phases;
 above it the two-phase plan runs, so no task ever holds more than a bounded
@@ -36,6 +38,7 @@ from seqyield.session import ensure_checkpoint_dir, materialize
 # Above this many rows the running sums are computed in two phases.
 SMALL_ROWS = 1_000_000
 
+
 def _as_col(v: str | Column | int | float) -> Column:
     if isinstance(v, Column):
         return v

@@ -2,9 +2,10 @@
 
 Only two things here are policy:
 
-* every job that needs a lineage cut uses a *reliable* checkpoint under the
-  folder the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-  chosen only when that setting is missing (tests, local runs);
+* every job that needs a lineage cut writes a table (Parquet) under the
+  folder the cluster names in ``spark.checkpoint.dir`` — shared, reliable
+  storage; a folder of our own is chosen only when that setting is missing
+  (tests, local runs);
 * scratch tables that a job writes for itself live under the same root, one
   fresh sub-folder per call, so concurrent jobs never share a folder.
 """
