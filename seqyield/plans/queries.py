@@ -472,8 +472,9 @@ def q_stream_channel_totals(spark, sf):
 def q_stream_running_yield(spark, sf):
     s = jobs.enrich_stream(reads_view(_event_stream(spark, sf)))
     out = scratch_path(spark, "stream-running")
-    q = jobs.running_yield_batches(s, out, scratch_path(spark, "stream-running-ckpt"))
-    q.awaitTermination()
+    with jobs.state_partitions(spark):
+        q = jobs.running_yield_batches(s, out, scratch_path(spark, "stream-running-ckpt"))
+        q.awaitTermination()
     return jobs.running_yield_totals(spark, out).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 

@@ -23,6 +23,7 @@ they stay batch jobs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,12 +140,31 @@ def running_yield_totals(spark: SparkSession, path: str) -> DataFrame:
                     F.sum("reads").over(w).alias("quality_count"))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Size the state-store partitions of a new streaming query to the cluster's cores.
+
+    Stateful operators keep ``spark.sql.shuffle.partitions`` state partitions
+    for the life of their checkpoint, and streaming shuffles are not coalesced
+    by AQE; a batch-oriented setting (often hundreds) would mean that many
+    small state tasks per micro-batch.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Run a stream to completion on the data present now; return the result table."""
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
-    q = run_to_table(df, out, ckpt, mode=mode)
-    q.awaitTermination()
+    with state_partitions(spark):
+        q = run_to_table(df, out, ckpt, mode=mode)
+        q.awaitTermination()
     if q.exception():
         raise q.exception()
     return spark.read.parquet(out)
