@@ -20,6 +20,7 @@ from seqyield.sources.fastq import fastq_record_text
 # Fixed values of the synthetic run folder.
 FLOWCELL_ID = "FAB00000"
 RNUMBER = 4242
+FASTQ_PARTS = 4
 
 
 def _stamp(sf: str, name: str):
@@ -41,13 +42,18 @@ def fastq_records_df(spark: SparkSession, sf: str) -> DataFrame:
     seq = F.substring(F.repeat(F.lit("ACGT"), 13), 1, n)
     qual_n = F.when(F.pmod(eid, F.lit(101)) == 0, n - 1).otherwise(n)
     qual = F.substring(F.repeat(F.lit("@I!#"), 13), 1, qual_n)
-    return r.select("run_id", fastq_record_text(F.col("read_id"), rest, seq, qual).alias("value"))
+    return r.select("run_id", F.pmod(eid, F.lit(FASTQ_PARTS)).cast("int").alias("part"),
+                    fastq_record_text(F.col("read_id"), rest, seq, qual).alias("value"))
 
 
 def fastq_folder(spark: SparkSession, sf: str) -> str:
-    """gzip FASTQ text, one sub-folder per run id."""
+    """gzip FASTQ text in ``run_id=<run>/part=<k>/`` folders, one file each.
+
+    The ``part`` salt splits every run over ``FASTQ_PARTS`` writer tasks, so a
+    run holding a large share of the reads is not written by one task.
+    """
     def write(path):
-        (fastq_records_df(spark, sf).repartition("run_id").write.partitionBy("run_id")
+        (fastq_records_df(spark, sf).repartition("run_id", "part").write.partitionBy("run_id", "part")
          .option("compression", "gzip").text(path))
     return shared_folder(spark, ("fastq", os.path.abspath(sf), _stamp(sf, "events")), write, "fastq")
 
@@ -86,6 +92,8 @@ def batch_files_folder(spark: SparkSession, sf: str) -> str:
     def write(path):
         li = table(spark, sf, "lineitem")
         rows = li.select(F.floor(F.col("l_suppkey") / 10).cast("long").alias("number"),
+                         F.pmod(F.col("l_orderkey"), F.lit(4)).alias("__salt"),
                          F.format_string("%d|%d|%d", "l_orderkey", "l_linenumber", "l_partkey").alias("value"))
-        rows.repartition(8, "number").write.partitionBy("number").text(path)
+        # salted: a batch holding many rows is written by several tasks (several files)
+        rows.repartition(8, "number", "__salt").drop("__salt").write.partitionBy("number").text(path)
     return shared_folder(spark, ("batch_files", os.path.abspath(sf), _stamp(sf, "lineitem")), write, "batches")

@@ -368,7 +368,7 @@ FASTQ_EXPECTED = """
 WITH fq AS (
   SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id,
          CAST(event_id AS INTEGER) AS read, CAST(user_id + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us,
-         event_type = 'error' AND event_id % 7 = 0 AS bad,
+         event_type = 'error' AND event_id % 7 = 0 AS bad, CAST(event_id % 4 AS INTEGER) AS part,
          (event_id % 50) + 1 AS seq_len,
          CASE WHEN event_id % 101 = 0 THEN event_id % 50 ELSE (event_id % 50) + 1 END AS qual_len
   FROM events)
@@ -571,11 +571,12 @@ FROM lineitem""",
     "fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
     "fastq_file_quarantine": FASTQ_EXPECTED + """
-SELECT read_id, run_id FROM fq WHERE run_id NOT IN (SELECT run_id FROM fq WHERE bad)""",
+SELECT read_id, run_id FROM fq f
+WHERE NOT EXISTS (SELECT 1 FROM fq b WHERE b.bad AND b.run_id = f.run_id AND b.part = f.part)""",
     "bad_fastq_headers": FASTQ_EXPECTED + "SELECT read_id, run_id FROM fq WHERE bad",
     "bad_fastq_files": FASTQ_EXPECTED + """
-SELECT run_id AS run_dir, count(*) FILTER (WHERE bad) AS bad_headers, count(*) AS headers
-FROM fq GROUP BY run_id HAVING count(*) FILTER (WHERE bad) > 0""",
+SELECT run_id AS run_dir, part, count(*) FILTER (WHERE bad) AS bad_headers, count(*) AS headers
+FROM fq GROUP BY run_id, part HAVING count(*) FILTER (WHERE bad) > 0""",
     "fastq_records": FASTQ_EXPECTED + """
 SELECT read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len, seq_len = qual_len AS framing_ok FROM fq""",
     "summary_scan": READS + """

@@ -384,7 +384,8 @@ def q_bad_fastq_headers(spark, sf):
 
 def q_bad_fastq_files(spark, sf):
     b = fq_src.bad_fastq_files(_parsed_fastq(spark, sf))
-    return b.select(F.regexp_extract("file", r"run_id=([^/]+)", 1).alias("run_dir"), "bad_headers", "headers")
+    return b.select(F.regexp_extract("file", r"run_id=([^/]+)", 1).alias("run_dir"),
+                    F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "bad_headers", "headers")
 
 
 def q_fastq_records(spark, sf):

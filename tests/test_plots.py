@@ -14,7 +14,9 @@ def test_plot_tables_from_files(spark, tmp_dir):
     """Summary TSVs and gzip FASTQ written from `events`, then the whole plot dataflow."""
     summary_dir = runfiles.summary_folder(spark, SF001)
     fastq_dir = runfiles.fastq_folder(spark, SF001)
-    runs = [os.path.join(fastq_dir, d) for d in os.listdir(fastq_dir.replace("file:", "")) if d.startswith("run_id=")]
+    root = fastq_dir.replace("file:", "")
+    runs = [os.path.join(root, d, p) for d in os.listdir(root) if d.startswith("run_id=")
+            for p in os.listdir(os.path.join(root, d)) if p.startswith("part=")]
     reads = read_table(spark, summary_dir, ",".join(runs), summary_glob="*.csv", fastq_glob="*.txt.gz")
     n_summary = spark.read.option("header", True).option("sep", "\t").csv(summary_dir).count()
     assert 0 < reads.count() < n_summary            # malformed headers drop their reads from the join
