@@ -36,27 +36,30 @@ def describe(df: DataFrame, col: str, percentiles: Sequence[float] = DESCRIBE_PE
 
 
 def describe_columns(df: DataFrame, cols: Sequence[str],
-                     percentiles: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
-    """:func:`describe` for several columns at once: ``(column, stat, value)``.
+                     percentiles: Sequence[float] = DESCRIBE_PERCENTILES,
+                     by: Sequence[str] | None = None) -> DataFrame:
+    """:func:`describe` for several columns (and groups) at once: ``(*by, column, stat, value)``.
 
     The columns are stacked into ``(column, value)`` so one aggregate and one
     grouped exact-quantile pass serve all of them.
     """
+    by = list(by or [])
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
-    stacked = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column, __v)") \
-        .select("column", nan_to_null(F.col("__v")).alias("__v"))
+    stacked = df.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {pairs}) as (column, __v)") \
+        .select(*by, "column", nan_to_null(F.col("__v")).alias("__v"))
     v = F.col("__v")
-    base = stacked.groupBy("column").agg(
+    keys = [*by, "column"]
+    base = stacked.groupBy(*keys).agg(
         F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    head = base.selectExpr("column", "stack(4, 'count', count, 'mean', mean, 'std', std, 'min', min) "
-                                     "as (stat, value)")
-    tail = base.selectExpr("column", "stack(1, 'max', max) as (stat, value)")
+    head = base.selectExpr(*[f"`{k}`" for k in keys],
+                           "stack(4, 'count', count, 'mean', mean, 'std', std, 'min', min) as (stat, value)")
+    tail = base.selectExpr(*[f"`{k}`" for k in keys], "stack(1, 'max', max) as (stat, value)")
     labels = F.create_map(*[x for p in percentiles for x in (F.lit(float(p)), F.lit(_pct_label(p)))])
-    q = exact_quantiles(stacked, "__v", percentiles, by=["column"]).select(
-        "column", labels[F.col("p")].alias("stat"), F.col("q").alias("value"))
+    q = exact_quantiles(stacked, "__v", percentiles, by=keys).select(
+        *keys, labels[F.col("p")].alias("stat"), F.col("q").alias("value"))
     out = head.unionByName(q).unionByName(tail)
-    return out.select("column", "stat", F.round("value", 2).alias("value"))
+    return out.select(*keys, "stat", F.round("value", 2).alias("value"))
 
 
 def _length_hist(df: DataFrame, length_col: str) -> DataFrame:
@@ -167,33 +170,35 @@ def run_report(stages: dict[str, DataFrame], length_col: str = "sequence_length_
                quality_col: str = "mean_qscore_template",
                time_col: str = "start_time_float_by_sample") -> DataFrame:
     """Rows ``(stage, section, label, value, human)`` for each named stage."""
-    parts = []
+    # All stages in one frame keyed by stage: one aggregate and one describe pass serve them all.
+    frames = [df.select(F.lit(stage).alias("stage"), F.col(length_col).alias("__len"),
+                        F.col(quality_col).alias("__q"), F.col(time_col).alias("__t"))
+              for stage, df in stages.items()]
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f)
+    one = both.groupBy("stage").agg(F.sum(F.col("__len").cast("long")).alias("total_bases"),
+                                    F.max("__t").alias("duration_s"))
+    tot = one.select(
+        "stage", F.lit("total").alias("section"), F.lit("bases").alias("label"),
+        F.col("total_bases").cast("double").alias("value"), human_bases("total_bases").alias("human"))
+    section = F.create_map(F.lit("__len"), F.lit("length"), F.lit("__q"), F.lit("quality"))
+    desc = describe_columns(both, ["__len", "__q"], by=["stage"]).select(
+        "stage", section[F.col("column")].alias("section"), F.col("stat").alias("label"), "value",
+        F.lit(None).cast("string").alias("human"))
+    d = F.col("duration_s")
+    rem = d % 3600
+    du = one.select(
+        "stage", F.lit("duration").alias("section"), F.lit("seconds").alias("label"),
+        F.round(d, 1).alias("value"),
+        F.format_string("%d hours, %d minutes, %.0f seconds", F.floor(d / 3600).cast("long"),
+                        F.floor(rem / 60).cast("long"), rem % 60).alias("human"))
+    out = tot.unionByName(desc).unionByName(du)
     for stage, df in stages.items():
-        one = df.agg(F.sum(F.col(length_col).cast("long")).alias("total_bases"),
-                     F.max(time_col).alias("duration_s"))
-        tot = one.select(
-            F.lit("total").alias("section"), F.lit("bases").alias("label"),
-            F.col("total_bases").cast("double").alias("value"), human_bases("total_bases").alias("human"))
-        names = {length_col: "length", quality_col: "quality"}
-        section = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-        desc = describe_columns(df, [length_col, quality_col]).select(
-            section[F.col("column")].alias("section"), F.col("stat").alias("label"), "value",
-            F.lit(None).cast("string").alias("human"))
         nx = nx_values(df, length_col, "compat").select(
-            F.lit("nx").alias("section"), "label", F.col("value").cast("double").alias("value"),
-            human_bases("value").alias("human"))
-        d = F.col("duration_s")
-        rem = d % 3600
-        du = one.select(
-            F.lit("duration").alias("section"), F.lit("seconds").alias("label"),
-            F.round(d, 1).alias("value"),
-            F.format_string("%d hours, %d minutes, %.0f seconds", F.floor(d / 3600).cast("long"),
-                            F.floor(rem / 60).cast("long"), rem % 60).alias("human"))
-        for p in (tot, desc, nx, du):
-            parts.append(p.select(F.lit(stage).alias("stage"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            F.lit(stage).alias("stage"), F.lit("nx").alias("section"), "label",
+            F.col("value").cast("double").alias("value"), human_bases("value").alias("human"))
+        out = out.unionByName(nx)
     return out
 
 
