@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import random
 
 import numpy as np
@@ -48,7 +50,10 @@ def test_two_phase_plan_has_no_single_partition_exchange(spark, monkeypatch):
     monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
     df, _ = _reads(spark, n=300)
     out = running_totals(df, ["start_time_float_by_sample", "read_id"], {"y": "sequence_length_template"})
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    plan = buf.getvalue()
     # only the bounded per-bucket totals may be gathered, never the rows
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
 

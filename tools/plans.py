@@ -4,6 +4,8 @@ Usage: python tools/plans.py [sf_dir]   (size checks are forced to the large-inp
 """
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -36,13 +38,18 @@ def main() -> None:
            "above bounded inputs — the per-bucket totals of a two-phase prefix sum (at most B rows) and the ",
            "final assembly of a handful of result rows. Broadcasts carry per-group parameter tables or ",
            "offsets whose size the code checks or bounds by construction. There are no nested-loop or ",
-           "cartesian joins.\n"]
+           "cartesian joins. The read merge carries no join hint: it is a broadcast hash join here only ",
+           "because the test tables are small, and Spark's size-based choice (with AQE) makes it a ",
+           "sort-merge join on the three read keys at scale.\n"]
     from seqyield.plans.tables import merge_events
     named = [("merge: summary ⋈ FASTQ headers (written once; the rest reads the written copy)",
               merge_events(spark, sf))] + [(n, None) for n in SHOW]
     for name, df in named:
         df = df if df is not None else QUERIES[name](spark, sf)
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        plan = buf.getvalue()
         lines = [ln.rstrip() for ln in plan.splitlines() if KEEP.search(ln)]
         lines = [re.sub(r"#\d+L?", "", ln) for ln in lines]
         lines = [re.sub(r"Location: InMemoryFileIndex\(\d+ paths\)\[file:[^,]*?/([a-z0-9_]+)-[0-9a-f]+[^,]*,", r"Location: \1,", ln)
