@@ -10,7 +10,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,8 +31,8 @@ def main() -> None:
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     conf = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
-    if not os.environ.get("SPARK_CHECKPOINT_DIR_SET"):
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="seqyield-bench-ckpt-")
+    # The checkpoint root comes from the session (spark.checkpoint.dir); build_session
+    # picks a folder of its own only when none is configured.
     spark = build_session(f"local[{cpus}]", app="seqyield-bench", shuffle_partitions=cpus, conf=conf)
     # Warm-up of the JVM and code generation on a table no headline query uses,
     # so the shared read table is built (and timed) inside the first query.
