@@ -16,10 +16,10 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    # Tests set their own checkpoint folder; a cluster names one in spark.checkpoint.dir.
-    ckpt = tempfile.mkdtemp(prefix="seqyield-test-ckpt-")
+    # The checkpoint folder comes from spark.checkpoint.dir when the environment names
+    # one; build_session falls back to a fresh local folder only when it is unset.
     s = build_session("local[4]", app="seqyield-tests", shuffle_partitions=4,
-                      conf={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+                      conf={"spark.driver.memory": "4g"})
     yield s
     s.stop()
 
