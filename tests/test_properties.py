@@ -47,3 +47,34 @@ def test_two_phase_quantiles_equal_pandas(spark, monkeypatch, values, probs):
         lo, hi = int(h // 1), int(-(-h // 1))
         exp = s[lo] + (s[hi] - s[lo]) * (h - lo)
         assert g == exp or abs(g - exp) <= 1e-9 * max(1.0, abs(exp))
+
+
+def _nx_loop(lengths):
+    """The reference's N-value loop, written out: ascending lengths, first index per target."""
+    s = sorted(lengths)
+    cum = []
+    acc = 0
+    for v in s:
+        acc += v
+        cum.append(acc)
+    total = acc
+    ps = [0.1, 0.25, 0.5, 0.75, 0.9]
+    nx = []
+    for i, v in enumerate(s):
+        if cum[i] <= total * ps[len(nx)] and (i + 1 < len(s) and total * ps[len(nx)] <= cum[i + 1]):
+            nx.append(v)
+        if len(nx) == len(ps):
+            break
+    return nx
+
+
+@SETTINGS
+@given(lengths=st.lists(st.one_of(st.integers(0, 60), st.just(7)), min_size=2, max_size=150),
+       two_phase=st.booleans())
+def test_nx_compat_equals_reference_loop(spark, monkeypatch, lengths, two_phase):
+    from seqyield.operators import stats
+    if two_phase:
+        monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
+    df = spark.createDataFrame([(x,) for x in lengths], "sequence_length_template long")
+    got = [r["value"] for r in stats.nx_values(df, mode="compat").orderBy("label").collect()]
+    assert got == _nx_loop(lengths)
