@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqyield.llm import exact_dedup, mixing, packing, quality, simhash_dedup
+from seqyield.llm import (exact_dedup, html_text, mixing, nearest, ngram_lm, packing, quality, simhash_dedup,
+                          substring_dedup)
+from seqyield.llm.common import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,18 +32,42 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 5) == 1
+    scored = ngram_lm.scores(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
+    "op4_lm_score": op4_lm_score,
+    "op5_html_text": op5_html_text,
     "op6_pack": op6_pack,
+    "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
