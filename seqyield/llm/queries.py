@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqyield.llm import (exact_dedup, html_text, mixing, nearest, ngram_lm, packing, quality, simhash_dedup,
-                          substring_dedup)
+from seqyield.llm import (exact_dedup, html_text, mixing, nearest, ngram_lm, packing, quality, secrets,
+                          simhash_dedup, substring_dedup)
 from seqyield.llm.common import crc_fold
 
 
@@ -56,6 +56,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(_table(spark, sf_dir, "documents"))
 
@@ -69,5 +74,6 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
 }
