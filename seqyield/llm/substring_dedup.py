@@ -105,15 +105,15 @@ def _order(id_col: str, kind: T.DataType) -> Column:
 
 
 #: Chunks of a block, one row for each of its documents: ends and digests packed.
-_CHUNKS = "row long, place long, block long, ends binary, words binary, digests binary"
+_CHUNKS = "row long, place long, id {}, block long, ends binary, words binary, digests binary"
 
 
 def _chunked(docs: DataFrame, average: int) -> DataFrame:
-    """``docs`` (row, place, text in UTF-8) as rows of ``_CHUNKS``; ends count code points."""
+    """``docs`` (row, place, id, text in UTF-8) as rows of ``_CHUNKS``; ends count code points."""
     def chunk(batches):
         for batch in batches:
             held, size = [], 0
-            for i, text in enumerate(batch.column(2)):
+            for i, text in enumerate(batch.column(3)):
                 held.append((i, text.as_py()))
                 size += len(held[-1][1])
                 if size > BLOCK_BYTES or len(held) >= BLOCK_ROWS:
@@ -136,10 +136,11 @@ def _chunked(docs: DataFrame, average: int) -> DataFrame:
         row = batch.column(0).take(index)
         block = pa.array(np.full(len(held), row[0].as_py()))
         return pa.RecordBatch.from_arrays(
-            [row, batch.column(1).take(index), block, *(pa.array(x, pa.binary()) for x in (ends, words, digests))],
-            names=["row", "place", "block", "ends", "words", "digests"])
+            [row, batch.column(1).take(index), batch.column(2).take(index), block, *(pa.array(x, pa.binary()) for x in (ends, words, digests))],
+            names=["row", "place", "id", "block", "ends", "words", "digests"])
 
-    return docs.mapInArrow(chunk, _CHUNKS)
+    return docs.select("row", "place", "id", "text").mapInArrow(
+        chunk, _CHUNKS.format(docs.schema["id"].dataType.simpleString()))
 
 
 def _spread(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +228,11 @@ def _runs(table: pa.Table, found: np.ndarray, min_words: int):
                    np.unique(first["row"][i:j + 1]).tolist())
 
 
-def _spans(narrow: DataFrame, average: int, min_words: int) -> DataFrame:
-    """Repeated passages of ``narrow`` (row, place, text in UTF-8): row, start, length, n_words, originals."""
+def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated passages of ``narrow`` (row, place, id, text in UTF-8): row, start, length, n_words, originals.
+
+    And (row, id) of all rows, as they were numbered when the texts were read.
+    """
     chunks, _ = stored(_chunked(narrow, average), "chunks")
     total = chunks.agg(F.coalesce(F.sum(F.length("digests")), F.lit(0))).head()[0] // 8
     found, _ = stored(repeated(chunks, max(1, -(-total // BUCKET))), "repeated")
@@ -240,8 +244,9 @@ def _spans(narrow: DataFrame, average: int, min_words: int) -> DataFrame:
         out = {n: pa.array(c, pa.int64()) for n, c in zip(("row", "start", "length", "n_words"), columns)}
         return pa.table(out | {"originals": pa.array(columns[4], pa.list_(pa.int64()))})
 
-    return chunks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+    spans = chunks.drop("id").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         passages_of, "row long, start long, length long, n_words long, originals array<long>")
+    return spans, chunks.select("row", "id")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE,
@@ -253,8 +258,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", av
     kind = docs.schema[id_col].dataType
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                          _order(id_col, kind).alias("place"), whole(text_col).cast("binary").alias("text"))
-    ids, _ = stored(narrow.select("row", "id"), "ids")
-    spans, _ = stored(_spans(narrow.select("row", "place", "text"), average, min_words), "spans")
+    spans, ids = _spans(narrow, average, min_words)
+    spans, _ = stored(spans, "spans")
     named = spans.select("row", "start", F.explode("originals").alias("original")).join(
         ids.select(F.col("row").alias("original"), "id"), "original").groupBy("row", "start").agg(
         F.sort_array(F.collect_set("id")).alias("originals"))
@@ -268,8 +273,8 @@ def without_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     row, cuts = free_names(docs, ["__row", "__cuts"])
     numbered, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     narrow = numbered.select(F.col(row).alias("row"), _order(id_col, docs.schema[id_col].dataType).alias("place"),
-                             whole(text_col).cast("binary").alias("text"))
-    spans = _spans(narrow, average, min_words).groupBy(F.col("row").alias(row)).agg(
+                             F.lit(None).cast("long").alias("id"), whole(text_col).cast("binary").alias("text"))
+    spans = _spans(narrow, average, min_words)[0].groupBy(F.col("row").alias(row)).agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
     text = F.col(f"`{text_col}`")
     # What lies between the cuts, then what follows the last.
