@@ -36,6 +36,8 @@ from seqyield.llm.common import free_names, stored, whole
 WINDOW = 32
 AVERAGE, LONGEST = 24, 4096
 MIN_WORDS = 25
+#: Code points from which a chunk counts on its own.
+TELLING = 16
 #: Bytes of text and documents of a block, and chunks a bucket aims at.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 23, 1 << 14
 BUCKET = 1 << 21
@@ -222,10 +224,14 @@ def _runs(table: pa.Table, found: np.ndarray, min_words: int):
     begun = np.where(number > 0, np.concatenate([[0], words[:-1]]), 0)
     before = np.concatenate([[False], repeat[:-1]]) & (number > 0)
     after = np.concatenate([repeat[1:], [False]]) & np.concatenate([document[1:] == document[:-1], [False]])
+    telling = ends - start >= TELLING
     for i, j in zip(np.nonzero(repeat & ~before)[0], np.nonzero(repeat & ~after)[0]):
-        if words[j] - begun[i] >= min_words:
+        # Chunks of a few letters repeat by chance: they neither begin nor end a passage, nor name its original.
+        some = np.nonzero(telling[i:j + 1])[0] + i
+        if len(some) and words[some[-1]] - begun[some[0]] >= min_words:
+            i, j = some[0], some[-1]
             yield (int(row[i]), int(start[i]), int(ends[j] - start[i]), int(words[j] - begun[i]),
-                   np.unique(first["row"][i:j + 1]).tolist())
+                   np.unique(first["row"][some]).tolist())
 
 
 def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame, DataFrame]:
