@@ -228,7 +228,7 @@ def _runs(table: pa.Table, found: np.ndarray, min_words: int):
     for i, j in zip(np.nonzero(repeat & ~before)[0], np.nonzero(repeat & ~after)[0]):
         # Chunks of a few letters repeat by chance: they neither begin nor end a passage, nor name its original.
         some = np.nonzero(telling[i:j + 1])[0] + i
-        if len(some) and words[some[-1]] - begun[some[0]] >= min_words:
+        if len(some) and words[j] - begun[i] >= min_words:
             i, j = some[0], some[-1]
             yield (int(row[i]), int(start[i]), int(ends[j] - start[i]), int(words[j] - begun[i]),
                    np.unique(first["row"][some]).tolist())
