@@ -58,6 +58,6 @@ def flowcell_grid(df: DataFrame, channel_col: str = "channel",
 
 def grid_limits(grid: DataFrame, percentiles=ROBUST_PERCENTILES) -> DataFrame:
     """Robust colour limits: the 2nd and 98th percentile of the 3000 cell values."""
-    q = exact_quantiles(grid, "bases", percentiles, small=True)
+    q = exact_quantiles(grid, "bases", percentiles)
     return q.select(F.when(F.col("p") == percentiles[0], "vmin").otherwise("vmax").alias("limit"),
                     F.col("q").alias("bases"))

@@ -1,42 +1,32 @@
-"""Two-phase ordered running totals — the one place where a global order is needed.
-
-A running sum ``over (order by k rows unbounded preceding)`` without a partition
-key makes Spark move every row into one task (``Exchange SinglePartition``).
-Here the rows are range-partitioned on the full ordering key instead:
-
-1. ``repartitionByRange(B, *by, *order)`` — Spark samples the *composite* key,
-   so a single hot value of the first key is still split by the later keys
-   (one time stamp holding a third of the rows lands in many buckets);
-   ``spark_partition_id()`` is then the bucket number, monotone in the order.
-2. The bucketed rows are written once as a Parquet table under the checkpoint
-   root (a reliable lineage cut), so the bucket of every row is fixed: both
-   branches below read the same assignment, and a lost executor re-reads it
-   instead of re-sampling.
-3. Running sums inside each bucket (window ``partitionBy(bucket, *by)``).
-4. One total per (bucket, group) — at most ``B`` + #groups rows — turned into
-   an exclusive offset, attached with a join on the bucket (broadcast without
-   groups, where it has at most ``B`` rows; left to AQE's size check with
-   groups), and added.
-
-``small=True`` is for inputs whose row count is bounded by construction (time
-buckets of a curve, a 3000-cell grid): one window, nothing written.  Otherwise
-the row count is checked first: up to ``SMALL_ROWS`` rows (a fixed bound,
-independent of the data size) one window is cheaper than the two phases;
-above it the two-phase plan runs, so no task ever holds more than a bounded
-share of the rows.
+"""Ordered running totals without a global sort in one task.
+
+1. Rows are range-partitioned once on the full ordering key.  Spark samples
+   the composite key, so one time value holding a third of the rows is still
+   cut by the later keys.
+2. Every partition is sorted where it lies and summed in Arrow batches with a
+   carried state of one number per sum: no second shuffle, and memory does not
+   depend on the number of rows.  The result is written once under the
+   checkpoint folder, which fixes every row's bucket.
+3. The totals of each (bucket, group) give an exclusive offset.  Groups are
+   contiguous in the order, so only the first group of a bucket can continue
+   from an earlier one: at most one offset row per bucket, which is broadcast.
+
+The same plan runs at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqyield.session import ensure_checkpoint_dir, materialize
-
-# Above this many rows the running sums are computed in two phases.
-SMALL_ROWS = 1_000_000
+from seqyield.session import materialize
 
 
 def _as_col(v: str | Column | int | float) -> Column:
@@ -47,59 +37,74 @@ def _as_col(v: str | Column | int | float) -> Column:
     return F.lit(v)
 
 
-def default_buckets(df: DataFrame) -> int:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, spark.sparkContext.defaultParallelism)
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it (NULL equals NULL)."""
+    a, b = column.slice(0, len(column) - 1), column.slice(1)
+    differs = pc.fill_null(pc.not_equal(a, b), False)
+    return np.asarray(pc.or_(differs, pc.not_equal(pc.is_null(a), pc.is_null(b))))
+
+
+def _summed(batches, measures: list[str], by: list[str], schema_names: list[str]):
+    """Append the task number and inclusive running sums to sorted batches."""
+    bucket = TaskContext.get().partitionId()
+    carry, last = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        starts = np.zeros(n, bool)
+        keys = [batch.column(batch.schema.get_field_index(k)) for k in by]
+        for k in keys:
+            starts[1:] |= _changes(k)
+        first = tuple(k[0].as_py() for k in keys)
+        if last is not None and first != last:
+            carry = None
+        group = np.cumsum(starts)
+        at = np.concatenate([[0], np.nonzero(starts)[0]])
+        sums = []
+        for i, m in enumerate(measures):
+            v = np.asarray(batch.column(batch.schema.get_field_index(m)))
+            run = np.cumsum(v)
+            run -= (run[at] - v[at])[group]
+            if carry is not None:
+                run[group == 0] += carry[i]
+            sums.append(run)
+        carry, last = [s[-1] for s in sums], tuple(k[n - 1].as_py() for k in keys)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, bucket, np.int32)), *map(pa.array, sums)], names=schema_names)
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, str | Column | int],
-                   by: Sequence[str] | None = None, n_buckets: int | None = None,
-                   small: bool = False) -> DataFrame:
+                   by: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Append one inclusive running-sum column per entry of ``sums``.
 
     ``order_by`` must be a total order (add a unique tie-breaker); the sums
-    restart for every value of ``by``.  Every input row is kept.
+    restart for every value of ``by``.  Integer measures give BIGINT sums, all
+    others DOUBLE; a NULL measure adds nothing.  Every input row is kept.
     """
-    by = list(by or [])
-    order_by = list(order_by)
-    names = list(sums)
-    tmp = {n: f"__m_{i}" for i, n in enumerate(names)}
-    base = df.select("*", *[_as_col(sums[n]).alias(tmp[n]) for n in names])
-    frame = (Window.partitionBy(*by).orderBy(*order_by)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-    if small or df.count() <= SMALL_ROWS:
-        out = base.select("*", *[F.sum(tmp[n]).over(frame).alias(n) for n in names])
-        return out.drop(*tmp.values())
-
-    ensure_checkpoint_dir(df.sparkSession)
-    nb = n_buckets or default_buckets(df)
-    # The reliable copy is what later stages read (see ``materialize``).
-    bucketed = materialize(base.repartitionByRange(nb, *by, *order_by)
-                           .withColumn("__bk", F.spark_partition_id()), "buckets")
-
-    inner_frame = (Window.partitionBy("__bk", *by).orderBy(*order_by)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = bucketed.select("*", *[F.sum(tmp[n]).over(inner_frame).alias(n) for n in names])
-
-    totals = bucketed.groupBy("__bk", *by).agg(*[F.sum(tmp[n]).alias(tmp[n]) for n in names])
-    # Exclusive prefix over the bucket totals of each group: at most B + #groups rows.
-    prev = (Window.partitionBy(*by).orderBy("__bk")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("__bk", *by, *[
-        F.coalesce(F.sum(tmp[n]).over(prev), F.lit(0)).alias(f"__o_{i}")
-        for i, n in enumerate(names)])
-
-    # Without groups the offsets table has at most B rows: broadcast is safe by
-    # construction.  With groups it has at most B + #groups - 1 rows (groups
-    # are contiguous in the range order); AQE broadcasts it when it is small.
-    right = offsets if by else F.broadcast(offsets)
-    keys = ["__bk", *by]
-    joined = inner.join(right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                                     *[f"__o_{i}" for i in range(len(names))]),
-                        on=[inner[k].eqNullSafe(F.col(f"__r_{k}")) for k in keys], how="inner")
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(n) + F.col(f"__o_{i}")).alias(n) for i, n in enumerate(names)])
-    return out
+    by, order_by, names = list(by or []), list(order_by), list(sums)
+    measures = [f"__m_{i}" for i in range(len(names))]
+    base = df.select("*", *[_as_col(sums[n]).alias(m) for n, m in zip(names, measures)])
+    kinds = ["long" if isinstance(base.schema[m].dataType, T.IntegralType) else "double" for m in measures]
+    base = base.withColumns({m: F.coalesce(F.col(m).cast(k), F.lit(0).cast(k)) for m, k in zip(measures, kinds)})
+    keys = [*by, *order_by]
+    dealt = base.repartitionByRange(n_buckets, *keys) if n_buckets else base.repartitionByRange(*keys)
+    local = [f"__s_{i}" for i in range(len(names))]
+    schema = T.StructType([*base.schema.fields, T.StructField("__bk", T.IntegerType()),
+                           *[T.StructField(s, T.LongType() if k == "long" else T.DoubleType())
+                             for s, k in zip(local, kinds)]])
+    columns = schema.names
+    rows = materialize(dealt.sortWithinPartitions(*keys).mapInArrow(
+        lambda batches: _summed(batches, measures, by, columns), schema), "buckets")
+
+    totals = rows.groupBy("__bk", *by).agg(*[F.sum(m).alias(m) for m in measures])
+    earlier = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__bk").alias("__r_bk"), *[F.col(k).alias(f"__r_{k}") for k in by],
+                            *[F.sum(m).over(earlier).alias(f"__o_{i}") for i, m in enumerate(measures)])
+    # A group that begins in its bucket has nothing before it: at most one row a bucket is left.
+    offsets = offsets.where(F.col("__o_0").isNotNull())
+    on = [rows["__bk"] == F.col("__r_bk"), *[rows[k].eqNullSafe(F.col(f"__r_{k}")) for k in by]]
+    joined = rows.join(F.broadcast(offsets), on, "left")
+    return joined.select(*[rows[c] for c in df.columns], *[
+        (F.col(s) + F.coalesce(F.col(f"__o_{i}"), F.lit(0).cast(k))).alias(n)
+        for i, (n, s, k) in enumerate(zip(names, local, kinds))])

@@ -1,20 +1,12 @@
 """Exact quantiles with linear interpolation, computed without one big group.
 
-``percentile()`` keeps a value→count map of the whole column in the final
-aggregation task; for continuous columns (time in seconds) that map grows with
-the data.  Here the column is first reduced to distinct values with counts
-(map-side combine: a hot value costs one entry), the counts are prefix-summed
-with the two-phase :func:`running_totals`, and only the one or two distinct
-values around each requested rank are kept.
+The column is reduced to distinct values with counts (map-side combine: a hot
+value costs one entry), the counts are summed in order by
+:func:`running_totals`, and only the one or two distinct values around each
+requested rank are kept.  The same plan runs at every size.
 
 Interpolation is ``lo + (hi - lo) * (h - floor(h))`` with ``h = (n - 1) * p``,
 the same arithmetic as pandas' default and SQL ``quantile_cont``.
-
-Size check first: when every group has at most ``SMALL_DISTINCT`` distinct
-values (approximate count with a safety margin), Spark's exact ``percentile``
-aggregate is used — its per-group value map is then bounded by that constant.
-Its interpolation is written ``(ceil - h) * lo + (h - floor) * hi``, which can
-differ from the form above in the last bit only.
 """
 
 from __future__ import annotations
@@ -27,46 +19,24 @@ from pyspark.sql import functions as F
 from seqyield.functions.expr import nan_to_null
 from seqyield.operators.prefix import running_totals
 
-# Fast path bound: distinct values per group held in one aggregation buffer.
-SMALL_DISTINCT = 500_000
-# Group totals are broadcast up to this many groups.
-MAX_BROADCAST_GROUPS = 1_000_000
-
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
-                    by: Sequence[str] | None = None, small: bool = False) -> DataFrame:
+                    by: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(*by, p, q)``: exact quantile ``q`` of ``col`` at each probability ``p``.
 
     NULL and NaN are skipped; a group without values yields no rows.
     """
     by = list(by or [])
     c = F.col(col) if isinstance(col, str) else col
-    v = nan_to_null(c.cast("double"))
-    data = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
-    groups = None
-    if not small:
-        widest = data.groupBy(*by).agg(F.approx_count_distinct("__v").alias("d")) \
-            .agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("g")).collect()[0]
-        groups = widest["g"]
-        small = (widest["d"] or 0) <= SMALL_DISTINCT * 0.8 and groups <= 10_000
-    if small:
-        arr = F.percentile(F.col("__v"), F.array(*[F.lit(float(p)) for p in probs]))
-        per = data.groupBy(*by).agg(arr.alias("__q"))
-        return per.select(*by, F.posexplode("__q").alias("__i", "q")).select(
-            *by, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "q")
-    hist = data.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    data = df.select(*by, nan_to_null(c.cast("double")).alias("__v")).where(F.col("__v").isNotNull())
+    # -0.0 and 0.0 are one value.
+    hist = data.groupBy(*by, (F.col("__v") + F.lit(0.0)).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     pref = running_totals(hist, ["__v"], {"__cum": "__n"}, by=by)
-
-    # Group sizes from the prefix (its last cumulative count): a scalar subquery
-    # when ungrouped; otherwise one row per group, broadcast when the group
-    # count (known from the size check) is bounded.
     if by:
-        totals = pref.groupBy(*by).agg(F.max("__cum").alias("__total"))
-        bounded = groups is not None and groups <= MAX_BROADCAST_GROUPS
-        rows = pref.join(F.broadcast(totals) if bounded else totals, by, "inner")
+        totals = pref.groupBy(*[F.col(b).alias(f"__t_{b}") for b in by]).agg(F.sum("__n").alias("__total"))
+        rows = pref.join(totals, [pref[b].eqNullSafe(F.col(f"__t_{b}")) for b in by])
     else:
-        rows = pref.withColumn("__total", pref.agg(F.max("__cum")).scalar())
-    keys = list(by)
+        rows = pref.withColumn("__total", pref.agg(F.sum("__n")).scalar())
     # Each distinct value checks the requested ranks in place (a literal array
     # of targets), so no row is paired with anything: it keeps the targets
     # whose lower or upper rank falls inside its run of equal values.
@@ -79,18 +49,15 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
         return F.struct(p.alias("p"), (h - F.floor(h)).alias("frac"),
                         ((start <= lo) & (lo < F.col("__cum"))).alias("is_lo"),
                         ((start <= hi) & (hi < F.col("__cum"))).alias("is_hi"))
-    hits = rows.select(*keys, "__v", F.explode(F.filter(F.transform(targets, info),
-                                                        lambda t: t["is_lo"] | t["is_hi"])).alias("t"))
-    agg = hits.groupBy(*keys, F.col("t.p").alias("p"), F.col("t.frac").alias("__frac")).agg(
+    hits = rows.select(*by, "__v", F.explode(F.filter(F.transform(targets, info),
+                                                      lambda t: t["is_lo"] | t["is_hi"])).alias("t"))
+    agg = hits.groupBy(*by, F.col("t.p").alias("p"), F.col("t.frac").alias("__frac")).agg(
         F.max(F.when(F.col("t.is_lo"), F.col("__v"))).alias("__vlo"),
         F.max(F.when(F.col("t.is_hi"), F.col("__v"))).alias("__vhi"))
-    return agg.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac"))
-                      .alias("q"))
+    return agg.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
 
 
-def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
-                    small: bool = False) -> list[float | None]:
+def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float]) -> list[float | None]:
     """Driver-side scalars for the ungrouped case (at most ``len(probs)`` rows come back)."""
-    rows = exact_quantiles(df, col, probs, small=small).collect()
-    found = {float(r["p"]): r["q"] for r in rows}
+    found = {float(r["p"]): r["q"] for r in exact_quantiles(df, col, probs).collect()}
     return [found.get(float(p)) for p in probs]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqyield.operators.prefix import running_totals
+from seqyield.session import materialize
 
 ORDER = ("start_time_float_by_sample", "read_id")
 
@@ -18,7 +19,7 @@ def running_columns(df: DataFrame, length_col: str = "sequence_length_template",
     Time order with the read id as tie-breaker.  The per-pass-class running
     values need no separate pass: for a row of class c they equal the global
     running sum of ``length * [class = c]`` — so four of the five columns come
-    from one two-phase prefix sum, and ``channel_yield`` from a second one
+    from one pass, and ``channel_yield`` from a second one
     partitioned by channel (range-split, so a hot channel spans many tasks).
     """
     p = F.col(pass_col)
@@ -55,11 +56,15 @@ def running_yield(df: DataFrame, length_col: str = "sequence_length_template", b
 
 def _curve(df: DataFrame, measure, time_col: str, bin_seconds: float, series: str | None,
            value_name: str) -> DataFrame:
+    """Sums per time bin, cumulated per series; ``series`` adds a curve per value beside "All"."""
     t_bin = F.floor(F.col(time_col) / F.lit(float(bin_seconds))).cast("long")
-    keys = [F.lit("All").alias("series")] if series is None else [F.col(series).alias("series")]
+    keys = [F.col(series).alias("series")] if series else [F.lit("All").alias("series")]
     per_bin = df.groupBy(*keys, t_bin.alias("time_bin")).agg(measure.alias("__v"))
-    # One row per (series, time bin): bounded by run length / bin width, not by reads.
-    cum = running_totals(per_bin, ["time_bin"], {value_name: "__v"}, by=["series"], small=True)
+    if series:
+        per_bin = materialize(per_bin, "curve")
+        per_bin = per_bin.unionByName(per_bin.groupBy("time_bin").agg(F.sum("__v").alias("__v"))
+                                      .withColumn("series", F.lit("All")))
+    cum = running_totals(per_bin, ["time_bin"], {value_name: "__v"}, by=["series"])
     return cum.select("series", "time_bin",
                       (F.col("time_bin") * F.lit(float(bin_seconds))).alias("time_s"),
                       F.col("__v").alias(f"{value_name}_in_bin"), value_name)
@@ -69,20 +74,12 @@ def yield_curve(df: DataFrame, length_col: str = "sequence_length_template",
                 time_col: str = "start_time_float_by_sample", bin_seconds: float = 60.0,
                 by_quality: bool = False, quality_col: str = "qualitative_pass") -> DataFrame:
     """Cumulative bases at the end of each time bin; ``by_quality`` adds Passed/Failed series."""
-    m = F.sum(F.col(length_col).cast("long"))
-    out = _curve(df, m, time_col, bin_seconds, None, "yield")
-    if by_quality:
-        out = out.unionByName(_curve(df, m, time_col, bin_seconds, quality_col, "yield"))
-    return out
+    return _curve(df, F.sum(F.col(length_col).cast("long")), time_col, bin_seconds,
+                  quality_col if by_quality else None, "yield")
 
 
 def reads_curve(df: DataFrame, time_col: str = "start_time_float_by_sample",
                 bin_seconds: float = 60.0, by_quality: bool = False,
                 quality_col: str = "qualitative_pass") -> DataFrame:
     """Cumulative read count at the end of each time bin."""
-    m = F.count(F.lit(1))
-    out = _curve(df, m, time_col, bin_seconds, None, "read_count")
-    if by_quality:
-        out = out.unionByName(_curve(df, m, time_col, bin_seconds, quality_col, "read_count"))
-    return out
-
+    return _curve(df, F.count(F.lit(1)), time_col, bin_seconds, quality_col if by_quality else None, "read_count")

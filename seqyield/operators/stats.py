@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,99 +61,75 @@ def describe_columns(df: DataFrame, cols: Sequence[str],
     return out.select(*keys, "stat", F.round("value", 2).alias("value"))
 
 
-def _length_hist(df: DataFrame, length_col: str) -> DataFrame:
-    return (df.select(F.col(length_col).cast("long").alias("len")).where(F.col("len").isNotNull())
-            .groupBy("len").agg(F.count(F.lit(1)).alias("c")))
-
-
-def _count_at_most(cb, L, c, T: float, strict: bool):
-    """#j in 1..c with cb + j*L <= T (or < T when strict), exact for integer cb, L."""
-    Td = F.lit(float(T))
-    if strict:
-        j = F.ceil((Td - cb) / L).cast("long") - 1
-        over = (cb + j * L).cast("double") >= Td
-        under = (cb + (j + 1) * L).cast("double") < Td
-        zero_len = F.when(cb.cast("double") < Td, c).otherwise(F.lit(0).cast("long"))
-    else:
-        j = F.floor((Td - cb) / L).cast("long")
-        over = (cb + j * L).cast("double") > Td
-        under = (cb + (j + 1) * L).cast("double") <= Td
-        zero_len = F.when(cb.cast("double") <= Td, c).otherwise(F.lit(0).cast("long"))
-    j = F.when(over, j - 1).when(under, j + 1).otherwise(j)
-    j = F.least(F.greatest(j, F.lit(0).cast("long")), c)
-    return F.when(L == 0, zero_len).otherwise(j)
+def _up_to(before, length, count, target, strict: bool):
+    """How many of ``count`` equal lengths, summed on top of ``before``, stay at or (strict) under the target."""
+    k = (F.ceil((target - before) / length) - 1) if strict else F.floor((target - before) / length)
+    k = k.cast("long")
+    total = lambda n: (before + n * length).cast("double")
+    fits = (lambda n: total(n) < target) if strict else (lambda n: total(n) <= target)
+    # The division may be off by one in the last bit; the comparison on whole numbers decides.
+    k = F.when(~fits(k), k - 1).when(fits(k + 1), k + 1).otherwise(k)
+    k = F.least(F.greatest(k, F.lit(0).cast("long")), count)
+    return F.when(length == 0, F.when(fits(F.lit(0).cast("long")), count).otherwise(F.lit(0).cast("long"))).otherwise(k)
 
 
 def nx_values(df: DataFrame, length_col: str = "sequence_length_template", mode: str = "compat",
-              percents: Sequence[float] = NX_PERCENTS) -> DataFrame:
-    """``(label, value)`` rows N10 … N90.
+              percents: Sequence[float] = NX_PERCENTS, by: str | None = None) -> DataFrame:
+    """``(label, value)`` rows N10 … N90, for each value of ``by`` if given.
 
     ``standard``: the usual N-statistic — the largest length L such that reads
     of length ≥ L hold at least p of all bases.
 
-    ``compat``: the reference's loop over lengths sorted *ascending*: for the
-    next percentage, the first index i (after the previous pick) with
-    ``cum[i] <= p*total <= cum[i+1]`` yields ``len[i]``; when no such index
-    exists the list stops there (so it can be shorter than five).
+    ``compat``: what the reference picks from the lengths in *ascending* order.
+    For the next percentage it is the first read after the previous pick whose
+    cumulative bases do not exceed the target while the next read's reach it;
+    when there is none the list ends (so it can be shorter than five).
 
-    Both work on the distinct-length histogram, prefix-summed in two phases;
-    the per-target counting is one aggregate, and only a handful of values
-    reach the driver.
+    Both work on the histogram of distinct lengths, summed in order once;
+    everything after is small aggregates of that table.
     """
-    hist = _length_hist(df, length_col)
-    spark = df.sparkSession
+    if mode not in ("compat", "standard"):
+        raise ValueError("mode must be 'compat' or 'standard'")
+    key = F.col(by) if by else F.lit(0)
+    hist = (df.select(key.alias("__g"), F.col(length_col).cast("long").alias("len")).where(F.col("len").isNotNull())
+            .groupBy("__g", "len").agg(F.count(F.lit(1)).alias("c")))
+    length, count = F.col("len"), F.col("c")
     labels = [f"N{round(p * 100):02d}" for p in percents]
     if mode == "standard":
-        h = hist.withColumn("__neg", -F.col("len"))
-        pref = running_totals(h, ["__neg"], {"__rc": F.col("len") * F.col("c")})
-        tot = hist.agg(F.sum(F.col("len") * F.col("c")).alias("t")).collect()[0]["t"]
-        if not tot:
-            return literal_rows(spark, [], "label string, value long")
-        row = pref.agg(*[F.max(F.when(F.col("__rc").cast("double") >= F.lit(float(tot) * p), F.col("len")))
-                         .alias(f"v{i}") for i, p in enumerate(percents)]).collect()[0]
-        data = [(labels[i], row[f"v{i}"]) for i in range(len(percents)) if row[f"v{i}"] is not None]
-        return literal_rows(spark, data, "label string, value long")
-    if mode != "compat":
-        raise ValueError("mode must be 'compat' or 'standard'")
-
-    pref = running_totals(hist, ["len"], {"__cum": F.col("len") * F.col("c"), "__idx": "c"})
-    pref = pref.select("len", "c", (F.col("__cum") - F.col("len") * F.col("c")).alias("cb"),
-                       (F.col("__idx") - F.col("c")).alias("ib"))
-    # One row per distinct length; three small actions read it, so keep it for their duration.
-    pref = pref.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        agg = pref.agg(F.sum(F.col("len") * F.col("c")).alias("t"), F.sum("c").alias("n")).collect()[0]
-        total, n = agg["t"], agg["n"]
-        if not n:
-            return literal_rows(spark, [], "label string, value long")
-        targets = [float(total) * p for p in percents]
-        cb, L, c = F.col("cb"), F.col("len"), F.col("c")
-        counts = pref.agg(*[F.sum(_count_at_most(cb, L, c, T, strict=False)).alias(f"k{i}")
-                            for i, T in enumerate(targets)],
-                          *[F.sum(_count_at_most(cb, L, c, T, strict=True)).alias(f"m{i}")
-                            for i, T in enumerate(targets)]).collect()[0]
-        picks, prev = [], -1
-        for i in range(len(targets)):
-            lo = max(counts[f"m{i}"] - 1, 0, prev + 1)
-            hi = min(counts[f"k{i}"] - 1, n - 2)
-            if lo > hi:
-                break
-            picks.append(lo)
-            prev = lo
-        if not picks:
-            return literal_rows(spark, [], "label string, value long")
-        cond = None
-        for ix in picks:
-            e = (F.col("ib") <= F.lit(ix)) & (F.lit(ix) < F.col("ib") + F.col("c"))
-            cond = e if cond is None else cond | e
-        rows = pref.where(cond).select("len", "ib", "c").collect()
-    finally:
-        pref.unpersist()
-    data = []
-    for k, ix in enumerate(picks):
-        val = next(r["len"] for r in rows if r["ib"] <= ix < r["ib"] + r["c"])
-        data.append((labels[k], val))
-    return literal_rows(spark, data, "label string, value long")
+        pref = running_totals(hist.withColumn("__neg", -length), ["__neg"], {"__rc": length * count}, by=["__g"])
+        total = pref.groupBy(F.col("__g").alias("__k")).agg(F.sum(length * count).cast("double").alias("__t"))
+        rows = pref.join(total, F.col("__g").eqNullSafe(F.col("__k"))).where("__t > 0")
+        best = rows.groupBy("__g").agg(*[
+            F.max(F.when(F.col("__rc").cast("double") >= F.col("__t") * float(p), length)).alias(f"v{i}")
+            for i, p in enumerate(percents)])
+        out = best.select("__g", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("label"), F.col(f"v{i}").alias("value")) for i, n in enumerate(labels)])).alias("x"))
+        out = out.select("__g", "x.label", "x.value").where("value is not null")
+        return out.select(*([F.col("__g").alias(by)] if by else []), "label", "value")
+
+    pref = running_totals(hist, ["len"], {"__cum": length * count, "__idx": count}, by=["__g"])
+    pref = pref.select("__g", "len", "c", (F.col("__cum") - length * count).alias("before"),
+                       (F.col("__idx") - count).alias("first"))
+    total = pref.groupBy(F.col("__g").alias("__k")).agg(F.sum(length * count).cast("double").alias("__t"),
+                                                        F.sum("c").alias("__n"))
+    rows = pref.join(total, F.col("__g").eqNullSafe(F.col("__k")))
+    target = lambda p: F.col("__t") * F.lit(float(p))
+    counted = rows.groupBy("__g", "__n").agg(*[
+        F.sum(_up_to(F.col("before"), length, count, target(p), strict)).alias(f"{name}{i}")
+        for name, strict in (("upto", False), ("under", True)) for i, p in enumerate(percents)])
+    # The reads that may be picked for a target are consecutive: from the last one under it
+    # (and past the previous pick) to the last one not over it, the very last read excepted.
+    picks, previous, going = [], F.lit(-1).cast("long"), F.lit(True)
+    for i, name in enumerate(labels):
+        low = F.greatest(F.col(f"under{i}") - 1, F.lit(0).cast("long"), previous + 1)
+        high = F.least(F.col(f"upto{i}") - 1, F.col("__n") - 2)
+        going = going & (low <= high)
+        picks.append(F.struct(F.lit(name).alias("label"), F.when(going, low).alias("at")))
+        previous = low
+    picks = counted.select(F.col("__g").alias("__k"), F.filter(F.array(*picks), lambda x: x["at"].isNotNull()).alias("__p"))
+    found = pref.join(picks, F.col("__g").eqNullSafe(F.col("__k"))).select("__g", "len", F.explode(F.filter(
+        "__p", lambda x: (F.col("first") <= x["at"]) & (x["at"] < F.col("first") + count))).alias("x"))
+    return found.select(*([F.col("__g").alias(by)] if by else []), F.col("x.label").alias("label"), F.col("len").alias("value"))
 
 
 def run_duration(df: DataFrame, time_col: str = "start_time_float_by_sample") -> DataFrame:
@@ -168,17 +143,25 @@ def run_duration(df: DataFrame, time_col: str = "start_time_float_by_sample") ->
 
 def run_report(stages: dict[str, DataFrame], length_col: str = "sequence_length_template",
                quality_col: str = "mean_qscore_template",
-               time_col: str = "start_time_float_by_sample") -> DataFrame:
-    """Rows ``(stage, section, label, value, human)`` for each named stage."""
-    # All stages in one frame keyed by stage: one aggregate and one describe pass serve them all.
+               time_col: str = "start_time_float_by_sample", sample_col: str = "sample_id") -> DataFrame:
+    """Rows ``(stage, section, label, value, human)`` for each named stage.
+
+    The duration is the largest time of the rows given: pass trimmed rows with
+    their time since the run's start, not since the first read that was kept.
+    """
+    # All stages in one frame keyed by stage: one aggregate, one describe and one N pass serve them all.
     frames = [df.select(F.lit(stage).alias("stage"), F.col(length_col).alias("__len"),
-                        F.col(quality_col).alias("__q"), F.col(time_col).alias("__t"))
+                        F.col(quality_col).alias("__q"), F.col(time_col).alias("__t"),
+                        (F.col(sample_col) if sample_col in df.columns else F.lit(None)).cast("string").alias("__sample"))
               for stage, df in stages.items()]
     both = frames[0]
     for f in frames[1:]:
         both = both.unionByName(f)
     one = both.groupBy("stage").agg(F.sum(F.col("__len").cast("long")).alias("total_bases"),
-                                    F.max("__t").alias("duration_s"))
+                                    F.max("__t").alias("duration_s"), F.min("__sample").alias("sample"))
+    nothing = F.lit(None).cast("double")
+    sample = one.select("stage", F.lit("sample").alias("section"), F.lit("id").alias("label"), nothing.alias("value"),
+                        F.col("sample").alias("human"))
     tot = one.select(
         "stage", F.lit("total").alias("section"), F.lit("bases").alias("label"),
         F.col("total_bases").cast("double").alias("value"), human_bases("total_bases").alias("human"))
@@ -193,52 +176,46 @@ def run_report(stages: dict[str, DataFrame], length_col: str = "sequence_length_
         F.round(d, 1).alias("value"),
         F.format_string("%d hours, %d minutes, %.0f seconds", F.floor(d / 3600).cast("long"),
                         F.floor(rem / 60).cast("long"), rem % 60).alias("human"))
-    out = tot.unionByName(desc).unionByName(du)
-    for stage, df in stages.items():
-        nx = nx_values(df, length_col, "compat").select(
-            F.lit(stage).alias("stage"), F.lit("nx").alias("section"), "label",
-            F.col("value").cast("double").alias("value"), human_bases("value").alias("human"))
-        out = out.unionByName(nx)
-    return out
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the regularized incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+    nx = nx_values(both, "__len", "compat", by="stage").select(
+        "stage", F.lit("nx").alias("section"), "label", F.col("value").cast("double").alias("value"),
+        human_bases("value").alias("human"))
+    return sample.unionByName(tot).unionByName(desc).unionByName(du).unionByName(nx)
+
+
+#: Degrees of freedom from which the t distribution's tail is taken through the normal's.
+NORMAL_FROM = 500
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the regularised incomplete beta function, evaluated by convergents."""
+    up, up0, down, down0 = 1.0, 0.0, 1.0, 1.0   # convergents up/down of 1/(1+ d1/(1+ d2/(1+ ...
+    value = None
+    for k in range(1, 100_000):
+        m = k // 2
+        if k % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        up, up0 = up + d * up0, up
+        down, down0 = down + d * down0, down
+        scale = 1.0 / down
+        up, up0, down, down0 = up * scale, up0 * scale, 1.0, down0 * scale
+        if value is not None and abs(up - value) <= 1e-15 * abs(up):
+            return up
+        value = up
+    raise ArithmeticError(f"incomplete beta did not converge for a={a}, b={b}, x={x}")
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function I_x(a, b)."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1.0 - x))
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def pearson_p_value(r: float | None, n: int) -> float | None:
@@ -250,7 +227,14 @@ def pearson_p_value(r: float | None, n: int) -> float | None:
         return 0.0
     df_ = n - 2
     t2 = r * r * df_ / (1.0 - r * r)
-    return betainc_reg(df_ / 2.0, 0.5, df_ / (df_ + t2))
+    if df_ < NORMAL_FROM:
+        return betainc_reg(df_ / 2.0, 0.5, df_ / (df_ + t2))
+    # Many degrees of freedom: the normal deviate with the same tail, by its expansion in 1/df.
+    a = df_ - 0.5
+    b = 48.0 * a * a
+    w = math.sqrt(a * math.log1p(t2 / df_))
+    z = w + (w ** 3 + 3 * w) / b - (4 * w ** 7 + 33 * w ** 5 + 240 * w ** 3 + 855 * w) / (10 * b * (b + 0.8 * w ** 4 + 100))
+    return math.erfc(z / math.sqrt(2.0))
 
 
 def pearson(df: DataFrame, x: str, y: str, with_p_value: bool = False) -> DataFrame:

@@ -82,11 +82,10 @@ def trim_exclusions(df: DataFrame, length_col: str = "sequence_length_template",
     ``(time_excluded, ratio_excluded, length_excluded, reads)``; the all-false
     row is the kept set.  One pass, one small group-by.
 
-    ``compat``: the seven region counts the reference draws
-    ``(region, reads)`` in the order Abc, aBc, ABc, abC, AbC, aBC, ABC with
-    A = time, B = events ratio, C = length.  Its "not" predicates are a copy of
-    the ratio test, a never-true time test and ``length > bound``, so five
-    regions are empty or equal to the kept set.
+    ``compat``: ``(region, reads)`` of the seven regions the reference draws
+    (three digits for time, events ratio and length).  There, a region outside
+    the time set is always empty, two regions count the kept reads, and one the
+    reads inside time and ratio that are longer than the bound.
     """
     b = bounds or trim_bounds(df, length_col, time_col)
     length_ok, ratio_ok, time_ok = _conditions(b, length_col, ratio_col, time_col)
@@ -99,19 +98,13 @@ def trim_exclusions(df: DataFrame, length_col: str = "sequence_length_template",
             .agg(F.count(F.lit(1)).alias("reads"))
     if mode != "compat":
         raise ValueError("mode must be 'correct' or 'compat'")
-    too_long = F.col(length_col) > F.lit(b.length_max)
-    time_not = (F.col(time_col) < F.lit(b.time_min)) & (F.col(time_col) > F.lit(b.time_max))
-    t = {0: time_ok, 1: time_not}
-    e = {0: ratio_ok, 1: ratio_ok}
-    ln = {0: length_ok, 1: too_long}
-    regions = [("100", t[0] & e[1] & ln[1]), ("010", t[1] & e[0] & ln[1]),
-               ("110", t[1] & e[1] & ln[0]), ("001", t[1] & e[1] & ln[0]),
-               ("101", t[0] & e[1] & ln[0]), ("011", t[1] & e[0] & ln[0]),
-               ("111", t[0] & e[0] & ln[0])]
-    counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{name}")
-                      for name, c in regions])
-    stack = ", ".join(f"'{name}', r{name}" for name, _ in regions)
-    return counts.selectExpr(f"stack({len(regions)}, {stack}) as (region, reads)")
+    # Only two kinds of region can be other than empty: the kept reads, and reads that the
+    # length bound alone removes.
+    long_only = time_ok & ratio_ok & (F.col(length_col) > F.lit(b.length_max))
+    counts = df.agg(F.count_if(F.coalesce(length_ok & ratio_ok & time_ok, F.lit(False))).alias("kept"),
+                    F.count_if(F.coalesce(long_only, F.lit(False))).alias("long_only"))
+    return counts.selectExpr("stack(7, '100', long_only, '010', 0L, '110', 0L, '001', 0L, '101', kept, '011', 0L, "
+                             "'111', kept) as (region, reads)")
 
 
 def trim_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 READS = r"""
 WITH ev AS (
   SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id, event_id AS read,
-         CAST(user_id + 1 AS INTEGER) AS channel, ts AS start_time_utc,
+         CAST(user_id % 3000 + 1 AS INTEGER) AS channel, ts AS start_time_utc,
          CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS start_time_float,
          CAST(regexp_extract(props, '"k":\s*(\d+)', 1) AS BIGINT) * 100 AS num_events,
          CAST(event_id % 97 AS DOUBLE) / CAST(10 AS DOUBLE) AS template_duration,
@@ -278,24 +278,25 @@ def _human(n: str) -> str:
 
 
 def _nx_compat(src: str, s: str = "") -> str:
-    """CTEs ending in ``nx{s}(label, value)``: row-level form of the reference loop
-    (valid when each target has its own crossing read, as in the test data)."""
-    targets = " UNION ALL ".join(f"SELECT {j} AS j, 'N{round(p * 100):02d}' AS label, CAST({p} AS DOUBLE) AS p"
-                                 for j, p in enumerate((0.1, 0.25, 0.5, 0.75, 0.9)))
-    return f""", ns{s} AS (
+    """CTEs ending in ``nx{s}(label, value)``: target after target, the first read past the previous
+    pick whose cumulative bases do not exceed the target while the next read's reach it."""
+    out = f""", ns{s} AS (
   SELECT sequence_length_template AS len,
          sum(sequence_length_template) OVER (ORDER BY sequence_length_template ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
          row_number() OVER (ORDER BY sequence_length_template) - 1 AS idx
-  FROM {src}),
+  FROM {src} WHERE sequence_length_template IS NOT NULL),
 nn{s} AS (SELECT *, lead(cum) OVER (ORDER BY idx) AS nxt FROM ns{s}),
-tot{s} AS (SELECT sum(sequence_length_template) AS t FROM {src}),
-tg{s} AS ({targets}),
-hit{s} AS (
-  SELECT tg.j, tg.label, min(nn.idx) AS idx
-  FROM tg{s} tg CROSS JOIN tot{s} tot
-  JOIN nn{s} nn ON CAST(nn.cum AS DOUBLE) <= CAST(tot.t AS DOUBLE) * tg.p AND CAST(tot.t AS DOUBLE) * tg.p <= CAST(nn.nxt AS DOUBLE)
-  GROUP BY tg.j, tg.label),
-nx{s} AS (SELECT hit.label, nn.len AS value FROM hit{s} hit JOIN nn{s} nn USING (idx))
+tot{s} AS (SELECT CAST(sum(sequence_length_template) AS DOUBLE) AS t FROM {src})"""
+    labels = []
+    for j, p in enumerate((0.1, 0.25, 0.5, 0.75, 0.9)):
+        before = f", hit{s}_{j - 1} h" if j else ""
+        past = "AND nn.idx > h.idx" if j else ""
+        out += f""",
+hit{s}_{j} AS (SELECT min(nn.idx) AS idx FROM nn{s} nn, tot{s} tot{before}
+  WHERE CAST(nn.cum AS DOUBLE) <= tot.t * {p} AND tot.t * {p} <= CAST(nn.nxt AS DOUBLE) {past})"""
+        labels.append(f"SELECT 'N{round(p * 100):02d}' AS label, nn.len AS value FROM nn{s} nn JOIN hit{s}_{j} USING (idx)")
+    return out + f""",
+nx{s} AS ({" UNION ALL ".join(labels)})
 """
 
 
@@ -315,30 +316,37 @@ def _report() -> str:
     def stage(name: str, src: str, s: str) -> str:
         d_len = _describe("sequence_length_template", src).strip()
         d_q = _describe("mean_qscore_template", src).strip()
+        # trimmed0 still counts time from the run's first read
+        last = f"(SELECT max(start_time_float_by_sample) FROM {src})"
         return f"""
 SELECT '{name}' AS stage, 'total' AS section, 'bases' AS label, CAST(sum(sequence_length_template) AS DOUBLE) AS value,
        {_human('sum(sequence_length_template)')} AS human FROM {src}
+UNION ALL SELECT '{name}', 'sample', 'id', NULL, min(sample_id) FROM {src}
 UNION ALL SELECT '{name}', 'length', stat, value, NULL FROM ({d_len})
 UNION ALL SELECT '{name}', 'quality', stat, value, NULL FROM ({d_q})
 UNION ALL SELECT '{name}', 'nx', label, CAST(value AS DOUBLE), {_human('value')} FROM nx{s}
-UNION ALL SELECT '{name}', 'duration', 'seconds', round(max(start_time_float_by_sample), 1),
-       printf('%d hours, %d minutes, %.0f seconds', CAST(floor(max(start_time_float_by_sample) / 3600) AS BIGINT),
-              CAST(floor(fmod(max(start_time_float_by_sample), 3600) / 60) AS BIGINT),
-              fmod(fmod(max(start_time_float_by_sample), 3600), 60)) FROM {src}"""
+UNION ALL SELECT '{name}', 'duration', 'seconds', round({last}, 1),
+       printf('%d hours, %d minutes, %.0f seconds', CAST(floor({last} / 3600) AS BIGINT),
+              CAST(floor(fmod({last}, 3600) / 60) AS BIGINT), fmod(fmod({last}, 3600), 60))"""
 
-    return (BASE + _nx_compat("reads", "_u") + _nx_compat("trimmed", "_f")
+    return (BASE + _nx_compat("reads", "_u") + _nx_compat("trimmed0", "_f")
             + "SELECT stage, section, label, round(value, 6) AS value, human FROM ("
-            + stage("unfiltered", "reads", "_u") + "\nUNION ALL" + stage("filtered", "trimmed", "_f") + ")")
+            + stage("unfiltered", "reads", "_u") + "\nUNION ALL" + stage("filtered", "trimmed0", "_f") + ")")
 
 
-def _pair_sample_cte() -> str:
-    return """, ps AS (
+def _pair_sample_cte(k: int = 10000) -> str:
+    return f""", ps AS (
   SELECT read_id, mean_qscore_template, pore_speed, sequence_length_template, events_ratio, qualitative_pass
   FROM trimmed WHERE events_ratio < 5
-  ORDER BY md5('seqyield' || read_id), read_id LIMIT 10000)
+  ORDER BY md5('seqyield' || read_id), read_id LIMIT {k})
 """
 
 
+_SAMPLE_OUT = """
+SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(pore_speed, 6) AS pore_speed,
+       sequence_length_template, round(events_ratio, 6) AS events_ratio, qualitative_pass FROM ps"""
+
+
 def _pair_hist() -> str:
     union = " UNION ALL ".join(
         f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value, CAST(sequence_length_template AS DOUBLE) AS wt FROM ps"
@@ -367,7 +375,7 @@ manifest AS (
 FASTQ_EXPECTED = """
 WITH fq AS (
   SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id,
-         CAST(event_id AS INTEGER) AS read, CAST(user_id + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us,
+         CAST(event_id AS INTEGER) AS read, CAST(user_id % 3000 + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us,
          event_type = 'error' AND event_id % 7 = 0 AS bad, CAST(event_id % 4 AS INTEGER) AS part,
          (event_id % 50) + 1 AS seq_len,
          CASE WHEN event_id % 101 = 0 THEN event_id % 50 ELSE (event_id % 50) + 1 END AS qual_len
@@ -384,9 +392,10 @@ WITH docs AS (
 
 
 def _kde2_pair(xv: str, yv: str, k: int) -> str:
-    """2-D density of one variable pair on the pair sample (pre-binned, separable)."""
+    """2-D density of one variable pair on the pair sample: the kernel products of all reads, summed
+    (for each grid line the reads' kernel values as one list, then a dot product per grid point)."""
     return f""", d{k} AS (
-  SELECT CAST({xv} AS DOUBLE) AS x, CAST({yv} AS DOUBLE) AS y FROM ps
+  SELECT read_id, CAST({xv} AS DOUBLE) AS x, CAST({yv} AS DOUBLE) AS y FROM ps
   WHERE {xv} IS NOT NULL AND {yv} IS NOT NULL AND NOT isnan(CAST({xv} AS DOUBLE)) AND NOT isnan(CAST({yv} AS DOUBLE))),
 s{k} AS (
   SELECT count(*) AS n, stddev_samp(x) AS sx, stddev_samp(y) AS sy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
@@ -397,26 +406,17 @@ b{k} AS (
             1.059 * (CASE WHEN iy > 0 THEN least(sy, iy / 1.349) ELSE sy END) * pow(CAST(n AS DOUBLE), -0.2) AS bwy
   FROM s{k}),
 g{k} AS (SELECT *, x0 - 3 * bwx AS lx, x1 + 3 * bwx AS hx, y0 - 3 * bwy AS ly, y1 + 3 * bwy AS hy FROM b{k}),
-f{k} AS (SELECT *, (hx - lx) / 396 AS fx, (hy - ly) / 396 AS fy FROM g{k}),
-c{k} AS (
-  SELECT CAST(round_even((d.x - f.lx) / f.fx, 0) AS INTEGER) AS u, CAST(round_even((d.y - f.ly) / f.fy, 0) AS INTEGER) AS v,
-         count(*) AS c
-  FROM d{k} d CROSS JOIN f{k} f GROUP BY 1, 2),
-t{k} AS (
-  SELECT c.u, j, f.ly + j * ((f.hy - f.ly) / 99) AS y,
-         sum(c.c * exp(-0.5 * (((f.ly + j * ((f.hy - f.ly) / 99)) - (f.ly + c.v * f.fy)) / f.bwy)
-                          * (((f.ly + j * ((f.hy - f.ly) / 99)) - (f.ly + c.v * f.fy)) / f.bwy))) AS t
-  FROM c{k} c CROSS JOIN f{k} f CROSS JOIN range(100) r(j) GROUP BY 1, 2, 3),
-z{k} AS (
-  SELECT i, t.j, f.lx + i * ((f.hx - f.lx) / 99) AS x, t.y,
-         sum(t.t * exp(-0.5 * (((f.lx + i * ((f.hx - f.lx) / 99)) - (f.lx + t.u * f.fx)) / f.bwx)
-                          * (((f.lx + i * ((f.hx - f.lx) / 99)) - (f.lx + t.u * f.fx)) / f.bwx))) AS s,
-         f.n, f.bwx, f.bwy
-  FROM t{k} t CROSS JOIN f{k} f CROSS JOIN range(100) r(i) GROUP BY 1, 2, 3, 4, f.n, f.bwx, f.bwy),
+p{k} AS (SELECT k, lx + k * ((hx - lx) / 99) AS gx, ly + k * ((hy - ly) / 99) AS gy, n, bwx, bwy FROM g{k} CROSS JOIN range(100) r(k)),
+e{k} AS (
+  SELECT p.k, p.gx, p.gy, p.n, p.bwx, p.bwy,
+         list(exp(-0.5 * ((p.gx - d.x) / p.bwx) * ((p.gx - d.x) / p.bwx)) ORDER BY d.read_id) AS ex,
+         list(exp(-0.5 * ((p.gy - d.y) / p.bwy) * ((p.gy - d.y) / p.bwy)) ORDER BY d.read_id) AS ey
+  FROM p{k} p CROSS JOIN d{k} d GROUP BY ALL),
 o{k} AS (
-  SELECT '{xv}' AS x_var, '{yv}' AS y_var, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(x, 6) AS x, round(y, 6) AS y,
-         s / (n * bwx * bwy * 2 * pi()) AS dens
-  FROM z{k})
+  SELECT '{xv}' AS x_var, '{yv}' AS y_var, CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j,
+         round(a.gx, 6) AS x, round(b.gy, 6) AS y,
+         round(list_dot_product(a.ex, b.ey) / (a.n * a.bwx * a.bwy * 2 * pi()), 12) AS density
+  FROM e{k} a CROSS JOIN e{k} b)
 """
 
 
@@ -424,11 +424,28 @@ def _pair_kde_2d() -> str:
     cols = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
     pairs = [(cols[b], cols[a]) for a in range(len(cols)) for b in range(a)]
     body = "".join(_kde2_pair(x, y, k) for k, (x, y) in enumerate(pairs))
-    union = " UNION ALL ".join(
-        f"SELECT x_var, y_var, i, j, x, y, round(dens, 12) AS density, "
-        f"CASE WHEN dens < 1e-200 THEN '0' ELSE printf('%.6e', dens) END AS density_e FROM o{k}"
-        for k in range(len(pairs)))
-    return BASE + _pair_sample_cte() + body + union
+    return BASE + _pair_sample_cte() + body + " UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(len(pairs)))
+
+
+_PEARSON = """
+, pr AS (
+  SELECT 'pore_speed' AS x, 'mean_qscore_template' AS y, count(*) AS n, corr(pore_speed, mean_qscore_template) AS r
+  FROM trimmed WHERE pore_speed IS NOT NULL AND mean_qscore_template IS NOT NULL
+  UNION ALL
+  SELECT 'sequence_length_template', 'mean_qscore_template', count(*), corr(CAST(sequence_length_template AS DOUBLE), mean_qscore_template)
+  FROM t98 WHERE mean_qscore_template IS NOT NULL)"""
+
+
+def _pearson_test() -> str:
+    """p-value by Simpson's rule over the t density, from 0 to |t| in 20,000 steps."""
+    return BASE + _qtrim("trimmed", 0.98, "t98") + _PEARSON + """,
+pt AS (SELECT *, n - 2.0 AS df, abs(r) * sqrt((n - 2.0) / (1 - r * r)) AS t FROM pr),
+pc AS (SELECT *, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c, t / 20000 AS h FROM pt),
+pi AS (
+  SELECT x, y, n, r, sum((CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+                         * c * pow(1 + (k * h) * (k * h) / df, -(df + 1) / 2)) * any_value(h) / 3 AS inner_half
+  FROM pc CROSS JOIN range(20001) g(k) GROUP BY x, y, n, r)
+SELECT x, y, n, round(r, 9) AS r, round(1 - 2 * inner_half, 9) AS p_value FROM pi"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -527,13 +544,8 @@ SELECT round(duration_s, 6) AS duration_s, round(floor(duration_s / 3600), 6) AS
     "nx_compat": READS + _nx_compat("reads") + "SELECT label, value FROM nx",
     "nx_standard": READS + _nx_standard("reads"),
     "run_report": _report(),
-    "pearson": BASE + _qtrim("trimmed", 0.98, "t98") + """
-SELECT 'pore_speed' AS x, 'mean_qscore_template' AS y, count(*) AS n, round(corr(pore_speed, mean_qscore_template), 9) AS r
-FROM trimmed WHERE pore_speed IS NOT NULL AND mean_qscore_template IS NOT NULL
-UNION ALL
-SELECT 'sequence_length_template', 'mean_qscore_template', count(*),
-       round(corr(CAST(sequence_length_template AS DOUBLE), mean_qscore_template), 9)
-FROM t98 WHERE mean_qscore_template IS NOT NULL""",
+    "pearson": BASE + _qtrim("trimmed", 0.98, "t98") + _PEARSON + " SELECT x, y, n, round(r, 9) AS r FROM pr",
+    "pearson_test": _pearson_test(),
     "weighted_histogram": BASE + _hist("trimmed", "sequence_length_template", "49",
                                        weight="sequence_length_template", lower="0.0") + """
 SELECT bin, round(left_e, 6) AS "left", round(right_e, 6) AS "right", round(w, 6) AS bases, round(density, 12) AS density FROM h""",
@@ -551,9 +563,11 @@ SELECT CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS
     "speed_quality_hexbin": BASE + _hexbin("trimmed", "pore_speed", "mean_qscore_template"),
     "length_quality_hexbin": BASE + _qtrim("trimmed", 0.98, "t98") + _hexbin("t98", "sequence_length_template",
                                                                               "mean_qscore_template"),
-    "pair_sample": BASE + _pair_sample_cte() + """
-SELECT read_id, round(mean_qscore_template, 6) AS mean_qscore_template, round(pore_speed, 6) AS pore_speed,
-       sequence_length_template, round(events_ratio, 6) AS events_ratio, qualitative_pass FROM ps""",
+    "pair_sample": BASE + _pair_sample_cte() + _SAMPLE_OUT,
+    "pair_sample_500": BASE + _pair_sample_cte(500) + _SAMPLE_OUT,
+    "pair_view": BASE + _pair_sample_cte() + """
+SELECT round(mean_qscore_template, 6) AS "Mean QScore Template", round(pore_speed, 6) AS "Pore Speed (b/s)",
+       sequence_length_template AS "Read Length", round(events_ratio, 6) AS "Events / base", qualitative_pass FROM ps""",
     "pair_histogram": _pair_hist(),
     "pair_kde_2d": _pair_kde_2d(),
     "documents_nx": DOCS + _nx_compat("docs") + _nx_standard("docs")

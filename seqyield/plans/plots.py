@@ -2,8 +2,9 @@
 
 Order as in the reference: statistics before and after the trim, the time
 origin recomputed after the trim, running columns on trimmed rows only.  The
-merged, trimmed and running tables are each written once (reliable lineage
-cuts under the checkpoint root) because every output hangs off them.
+merged and the trimmed table are each written once (reliable lineage cuts
+under the checkpoint root) because every output hangs off them; ``run_plots``
+deletes all scratch tables when its outputs are written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqyield.operators import dist, flowcell, running, stats, trim
 from seqyield.operators.reads import check_single_sample, elapsed_time, enrich_reads, merge_reads
-from seqyield.session import materialize
+from seqyield.session import clean_scratch, materialize
 from seqyield.sources.fastq import scan_fastq
 from seqyield.sources.summary import scan_summary
 
@@ -35,36 +36,39 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
     if check_sample:
         check_single_sample(m)
     bounds = trim.trim_bounds(m)
-    t = materialize(elapsed_time(trim.trim_reads(m, bounds=bounds).drop("start_time_float_by_sample")), "trimmed")
-    rc = materialize(running.running_columns(t), "running")
-    t99 = trim.quantile_trim(rc, "sequence_length_template", 0.99)
-    t98 = trim.quantile_trim(rc, "sequence_length_template", 0.98)
-    grid = flowcell.flowcell_grid(rc)
-    sample = dist.pair_sample(rc)
+    kept = trim.trim_reads(m, bounds=bounds)
+    t = materialize(elapsed_time(kept.withColumnRenamed("start_time_float_by_sample", "run_time")), "trimmed")
+    # The filtered report counts time from the run's first read, as it is printed before the origin moves.
+    as_printed = t.drop("start_time_float_by_sample").withColumnRenamed("run_time", "start_time_float_by_sample")
+    rc = running.running_columns(t.drop("run_time"))
+    t99 = trim.quantile_trim(t, "sequence_length_template", 0.99)
+    t98 = trim.quantile_trim(t, "sequence_length_template", 0.98)
+    grid = flowcell.flowcell_grid(t)
+    sample = materialize(dist.pair_sample(t), "pairs")
     return {
         "reads": rc,
         "venn": trim.trim_exclusions(m, bounds=bounds),
         "trim_counts": trim.trim_counts(m, t),
-        "report": stats.run_report({"unfiltered": m, "filtered": t}),
-        "yield": running.yield_curve(rc),
-        "quality_yield": running.yield_curve(rc, by_quality=True),
-        "read_count": running.reads_curve(rc),
-        "quality_read_count": running.reads_curve(rc, by_quality=True),
-        "weighted_hist": dist.weighted_histogram(rc),
+        "report": stats.run_report({"unfiltered": m, "filtered": as_printed}),
+        "yield": running.yield_curve(t),
+        "quality_yield": running.yield_curve(t, by_quality=True),
+        "read_count": running.reads_curve(t),
+        "quality_read_count": running.reads_curve(t, by_quality=True),
+        "weighted_hist": dist.weighted_histogram(t),
         "unweighted_hist": dist.histogram(t99, "sequence_length_template"),
         "unweighted_kde": dist.kde_1d(t99, "sequence_length_template"),
         "flowcellmap": grid,
         "flowcellmap_limits": flowcell.grid_limits(grid),
-        "pore_speed": dist.binned_trend(rc, "start_time_float_by_sample", "pore_speed"),
-        "quality_hist": dist.histogram(rc, "mean_qscore_template"),
-        "quality_kde": dist.kde_1d(rc, "mean_qscore_template"),
-        "q_score_time_split": dist.quality_ridges(rc),
-        "speed_vs_qscore": dist.hexbin(rc, "pore_speed", "mean_qscore_template"),
-        "speed_vs_qscore_pearson": stats.pearson(rc, "pore_speed", "mean_qscore_template", with_p_value=True),
+        "pore_speed": dist.binned_trend(t, "start_time_float_by_sample", "pore_speed"),
+        "quality_hist": dist.histogram(t, "mean_qscore_template"),
+        "quality_kde": dist.kde_1d(t, "mean_qscore_template"),
+        "q_score_time_split": dist.quality_ridges(t),
+        "speed_vs_qscore": dist.hexbin(t, "pore_speed", "mean_qscore_template"),
+        "speed_vs_qscore_pearson": stats.pearson(t, "pore_speed", "mean_qscore_template", with_p_value=True),
         "length_vs_qscore": dist.hexbin(t98, "sequence_length_template", "mean_qscore_template"),
         "length_vs_qscore_pearson": stats.pearson(t98, "sequence_length_template", "mean_qscore_template",
                                                   with_p_value=True),
-        "events_ratio": dist.binned_trend(rc, "start_time_float_by_sample", "events_ratio"),
+        "events_ratio": dist.binned_trend(t, "start_time_float_by_sample", "events_ratio"),
         "pair_sample": sample,
         "pair_view": dist.pair_view(sample),
         "pair_hist": dist.pair_histogram(sample),
@@ -83,5 +87,7 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, name: str, mode: st
 
 
 def run_plots(spark: SparkSession, summary_dirs: str, fastq_dirs: str, out_dir: str, name: str,
-                 **scan_options) -> list[str]:
-    return write_tables(plot_tables(read_table(spark, summary_dirs, fastq_dirs, **scan_options)), out_dir, name)
+              **scan_options) -> list[str]:
+    written = write_tables(plot_tables(read_table(spark, summary_dirs, fastq_dirs, **scan_options)), out_dir, name)
+    clean_scratch(spark)
+    return written

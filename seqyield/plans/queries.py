@@ -8,7 +8,6 @@ engine is meaningful.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from seqyield.functions.expr import micros
 from seqyield.operators.prefix import running_totals
 from seqyield.plans.tables import (SUMMARY_COLS, derive, documents_reads, events_fastq, events_summary,
                                    merge_events, reads_view)
-from seqyield.session import scratch_path, shared_table
+from seqyield.session import path_stamp, scratch_path, shared_table
 from seqyield.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,28 +38,32 @@ def r12(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 12)
 
 
-def _key(sf: str, stage: str) -> tuple:
-    path = f"{sf.rstrip('/')}/events.parquet"
-    try:
-        stamp = os.stat(path).st_mtime_ns
-    except OSError:
-        stamp = None
-    return (stage, os.path.abspath(sf), stamp)
+def _key(spark: SparkSession, sf: str, stage: str, table: str = "events") -> tuple:
+    """Key of a shared table: a changed input makes another one."""
+    return (stage, sf.rstrip("/"), path_stamp(spark, f"{sf.rstrip('/')}/{table}.parquet"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     """The merged read table: the join is written once per session (many jobs hang off it);
     the time origin (a one-column minimum) and derived columns are computed on the written copy."""
-    return derive(shared_table(spark, _key(sf, "merged"), lambda: merge_events(spark, sf), "merged"))
+    return derive(shared_table(spark, _key(spark, sf, "merged"), lambda: merge_events(spark, sf), "merged"))
 
 
 def trimmed(spark: SparkSession, sf: str) -> DataFrame:
-    """The trimmed read table with the time origin recomputed (as the plot dataflow does)."""
+    """The trimmed read table with the time origin recomputed (as the plot dataflow does).
+
+    ``run_time`` keeps the time since the run's first read, kept or not.
+    """
     def build():
         m = reads(spark, sf)
         t = trim.trim_reads(m, bounds=trim.trim_bounds(m))
-        return elapsed_time(t.drop("start_time_float_by_sample"))
-    return shared_table(spark, _key(sf, "trimmed"), build, "trimmed")
+        return elapsed_time(t.withColumnRenamed("start_time_float_by_sample", "run_time"))
+    return shared_table(spark, _key(spark, sf, "trimmed"), build, "trimmed")
+
+
+def sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair sample, drawn once."""
+    return shared_table(spark, _key(spark, sf, "pairs"), lambda: dist.pair_sample(trimmed(spark, sf)), "pairs")
 
 
 # --- reads ------------------------------------------------------------------
@@ -133,25 +136,31 @@ def q_trim_exclusions_compat(spark, sf):
 
 # --- running totals -------------------------------------------------------------
 
+def _narrow(spark, sf, *more):
+    """The columns a running total needs: no other travels through its shuffle."""
+    return trimmed(spark, sf).select("read_id", "start_time_float_by_sample", "sequence_length_template", *more)
+
+
 def q_running_count(spark, sf):
-    return running.running_count(trimmed(spark, sf)).select("read_id", "read_count")
+    t = trimmed(spark, sf).select("read_id", "start_time_float_by_sample")
+    return running.running_count(t).select("read_id", "read_count")
 
 
 def q_running_yield(spark, sf):
-    return running.running_yield(trimmed(spark, sf)).select("read_id", "yield")
+    return running.running_yield(_narrow(spark, sf)).select("read_id", "yield")
 
 
 def q_running_yield_by_channel(spark, sf):
-    return running.running_yield(trimmed(spark, sf), by="channel").select("read_id", "channel", "channel_yield")
+    return running.running_yield(_narrow(spark, sf, "channel"), by="channel").select("read_id", "channel", "channel_yield")
 
 
 def q_running_yield_by_pass(spark, sf):
-    rc = running.running_columns(trimmed(spark, sf), include_channel=False)
+    rc = running.running_columns(_narrow(spark, sf, "pass"), include_channel=False)
     return rc.select("read_id", "pass", "quality_yield")
 
 
 def q_running_count_by_pass(spark, sf):
-    rc = running.running_columns(trimmed(spark, sf), include_channel=False)
+    rc = running.running_columns(_narrow(spark, sf, "pass"), include_channel=False)
     return rc.select("read_id", "pass", "quality_count")
 
 
@@ -219,6 +228,8 @@ def q_nx_standard(spark, sf):
 def q_run_report(spark, sf):
     m = reads(spark, sf)
     t = trimmed(spark, sf)
+    # As the reference prints it: the filtered statistics come before the time origin is moved.
+    t = t.drop("start_time_float_by_sample").withColumnRenamed("run_time", "start_time_float_by_sample")
     rep = stats.run_report({"unfiltered": m, "filtered": t})
     return rep.select("stage", "section", "label", r6("value").alias("value"), "human")
 
@@ -236,7 +247,7 @@ def q_pearson_test(spark, sf):
     a = stats.pearson(t, "pore_speed", "mean_qscore_template", with_p_value=True)
     b = stats.pearson(trim.quantile_trim(t, "sequence_length_template", 0.98),
                       "sequence_length_template", "mean_qscore_template", with_p_value=True)
-    return a.unionByName(b)
+    return a.unionByName(b).select("x", "y", "n", F.round("r", 9).alias("r"), F.round("p_value", 9).alias("p_value"))
 
 
 # --- distributions --------------------------------------------------------------
@@ -305,26 +316,35 @@ def q_length_quality_hexbin(spark, sf):
     return _hex_out(dist.hexbin(t, "sequence_length_template", "mean_qscore_template"))
 
 
-def q_pair_sample(spark, sf):
-    s = dist.pair_sample(trimmed(spark, sf))
+def _sample_out(s):
     return s.select("read_id", r6("mean_qscore_template").alias("mean_qscore_template"),
                     r6("pore_speed").alias("pore_speed"), "sequence_length_template",
                     r6("events_ratio").alias("events_ratio"), "qualitative_pass")
 
 
+def q_pair_sample(spark, sf):
+    return _sample_out(sample(spark, sf))
+
+
+def q_pair_sample_500(spark, sf):
+    """A sample smaller than the table at every scale factor."""
+    return _sample_out(dist.pair_sample(trimmed(spark, sf), k=500))
+
+
+def q_pair_view(spark, sf):
+    v = dist.pair_view(sample(spark, sf))
+    return v.select(*[(r6(c) if t == "double" else F.col(f"`{c}`")).alias(c) for c, t in v.dtypes])
+
+
 def q_pair_histogram(spark, sf):
-    h = dist.pair_histogram(dist.pair_sample(trimmed(spark, sf)))
+    h = dist.pair_histogram(sample(spark, sf))
     return h.select("variable", "bin", r6("left").alias("left"), r6("right").alias("right"),
                     r6("bases").alias("bases"))
 
 
 def q_pair_kde_2d(spark, sf):
-    k = dist.pair_kde_2d(dist.pair_sample(trimmed(spark, sf)))
-    return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"),
-                    r12("density").alias("density"),
-                    # 7 significant digits; values below 1e-200 (down to subnormals) count as 0
-                    F.when(F.col("density") < 1e-200, F.lit("0"))
-                    .otherwise(F.format_string("%.6e", "density")).alias("density_e"))
+    k = dist.pair_kde_2d(sample(spark, sf))
+    return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"), r12("density").alias("density"))
 
 
 # --- second read table: documents (n_chars as length, labels.quality as pass) -------
@@ -548,6 +568,8 @@ QUERIES: dict[str, Query] = {
     "speed_quality_hexbin": q_speed_quality_hexbin,
     "length_quality_hexbin": q_length_quality_hexbin,
     "pair_sample": q_pair_sample,
+    "pair_sample_500": q_pair_sample_500,
+    "pair_view": q_pair_view,
     "pair_histogram": q_pair_histogram,
     "pair_kde_2d": q_pair_kde_2d,
     "documents_nx": q_documents_nx,

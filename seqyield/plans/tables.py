@@ -8,7 +8,7 @@ read_id                    event_id as text
 run_id                     event_type
 sample_id                  constant ``S1``
 read                       event_id
-channel                    user_id + 1
+channel                    user_id mod 3000 + 1
 start_time_utc             ts
 start_time_float           seconds of ts since the epoch
 sequence_length_template   round(value * 100), half up
@@ -52,7 +52,7 @@ def reads_view(ev: DataFrame) -> DataFrame:
         F.col("event_type").alias("run_id"),
         F.lit("S1").alias("sample_id"),
         eid.alias("read"),
-        (F.col("user_id") + 1).cast("int").alias("channel"),
+        (F.pmod(F.col("user_id"), F.lit(3000)) + 1).cast("int").alias("channel"),
         F.col("ts").alias("start_time_utc"),
         (micros("ts", ts_type).cast("double") / 1e6).alias("start_time_float"),
         (F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("long") * 100).alias("num_events"),
@@ -87,11 +87,6 @@ def derive(merged: DataFrame) -> DataFrame:
     return enrich_reads(elapsed_time(merged))
 
 
-def merged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """summary ⋈ FASTQ headers → elapsed time → derived columns (the untrimmed read table)."""
-    return derive(merge_events(spark, sf_dir))
-
-
 def documents_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a second read table: n_chars is the length, labels.quality the pass flag."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")

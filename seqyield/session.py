@@ -79,16 +79,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path (not created) under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+_SCRATCH: list[tuple[str, str]] = []
+
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so a local path can be handed to Python I/O."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this application; call it when no frame reads them any more.
+
+    Returns how many were deleted.
+    """
+    app = spark.sparkContext.applicationId
+    mine = [path for owner, path in _SCRATCH if owner == app]
+    for path in mine:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+    _SCRATCH[:] = [x for x in _SCRATCH if x[0] != app]
+    for table in (_TABLES, _FOLDERS):
+        for key in [k for k in table if k[0] == app]:
+            del table[key]
+    return len(mine)
+
+
+def path_stamp(spark: SparkSession, path: str) -> tuple:
+    """(number of files, bytes, latest modification) of a file or folder, through its file system.
+
+    Works on any store Spark reads, so a changed input is noticed there too.
+    """
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return (0, 0, 0)
+    status = fs.getFileStatus(p)
+    found = [status] if status.isFile() else list(fs.listStatus(p))
+    return (len(found), sum(f.getLen() for f in found),
+            max([status.getModificationTime(), *(f.getModificationTime() for f in found)]))
 
 
 def materialize(df, name: str = "table"):
@@ -96,7 +128,8 @@ def materialize(df, name: str = "table"):
 
     The lineage cut of a reliable checkpoint, in columnar form: later jobs
     read only the columns they need (pruning, pushed filters) instead of
-    recomputing the plan, and a lost executor re-reads files.
+    recomputing the plan, and a lost executor re-reads files.  The table stays
+    until :func:`clean_scratch`, as the returned frame reads it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
