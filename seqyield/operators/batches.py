@@ -3,9 +3,10 @@
 A run folder holds per-batch files: ``sequencing_summary_<n>.txt``,
 ``fastq_<n>.fastq`` and a folder ``<n>/`` of ``.fast5`` files.  Listings come
 from Spark's file index (``binaryFile`` with the content column pruned); the
-manifest is two inner joins on the batch number; compaction and checksums are
-ordinary Spark writes whose commit protocol replaces the ``.tmp``-and-rename
-dance, and ``mode('ignore')`` really skips existing output.
+manifest is two inner joins on the batch number.  ``tidy`` archives a run into
+tables partitioned by batch: it writes the batches its plan finds due and no
+others, each as a partition that is replaced as a whole, so a rerun adds what
+has arrived since and repeats nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqyield.functions.expr import basename, batch_name, rnumber_from_fast5
+from seqyield.session import file_system, materialize
+from seqyield.sources.fastq import scan_fastq_records
+from seqyield.sources.summary import scan_summary
 
 # Batch name patterns, anchored at both ends (the reference's are open-ended).
 SUMMARY_NAME = r"^sequencing_summary_(\d+)\.txt$"
@@ -129,32 +133,107 @@ def archive_plan(manifest: DataFrame, existing: DataFrame | None = None, overwri
     return out.select("number", "kind", "source", "target", action.alias("action"))
 
 
-def compact_batches(spark: SparkSession, fast5_root: str, out: str, mode: str = "ignore",
-                    numbers: Sequence[int] | None = None, glob: str = "*.fast5",
-                    batch_dir: str = FAST5_DIR) -> DataFrame:
-    """Small-file compaction: every ``<n>/<glob>`` file into a Parquet table partitioned by batch.
+#: Bytes of source files an output file of the compaction aims at.
+COMPACT_BYTES = 256 << 20
+ARCHIVE_KINDS = ("fast5", "fastq", "summary")
+
+
+def write_batches(rows: DataFrame, out: str, *columns: str) -> None:
+    """Write ``rows`` partitioned by ``columns`` (the batch number); partitions that are written are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(columns or ("number",))).parquet(out)
+
 
-    Rows ``(number, member, length, md5, content)``; member is ``<folder>/<file>``
-    like the archive layout.  ``batch_dir`` is the folder-name pattern whose
-    first group is the batch number.  Tasks are files; the write commits
-    atomically, and ``mode='ignore'`` leaves an existing table untouched.
+def fast5_members(spark: SparkSession, folders: str | Sequence[str], glob: str = "*.fast5",
+                  batch_dir: str = FAST5_DIR, content: bool = True) -> DataFrame:
+    """``(number, member, length[, md5, content])`` of the files in batch folders.
+
+    ``folders`` are batch folders or a folder of them; ``member`` is ``<folder>/<file>``.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(fast5_root))
+             .option("recursiveFileLookup", "true").load(folders))
     parent = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
     rows = files.where(parent.rlike(batch_dir)).select(
         F.regexp_extract(parent, batch_dir, 1).cast("long").alias("number"),
-        F.concat_ws("/", parent, basename(F.col("path"))).alias("member"),
-        "length", F.md5("content").alias("md5"), "content")
-    if numbers is not None:
-        rows = rows.where(F.col("number").isin(list(numbers)))
-    rows.write.mode(mode).partitionBy("number").parquet(out)
+        F.concat_ws("/", parent, basename(F.col("path"))).alias("member"), "length", "content")
+    return rows.withColumn("md5", F.md5("content")) if content else rows.drop("content")
+
+
+def compact_batches(spark: SparkSession, folders: str | Sequence[str], out: str, glob: str = "*.fast5",
+                    batch_dir: str = FAST5_DIR, file_bytes: int = COMPACT_BYTES) -> DataFrame:
+    """Small-file compaction: every ``<n>/<glob>`` file into a Parquet table partitioned by batch.
+
+    Rows ``(number, member, length, md5, content)``.  A batch is dealt over as
+    many tasks as its bytes ask for, so it becomes that many files.  Batches
+    that are given are replaced, all others are left as they are.
+    """
+    sizes = fast5_members(spark, folders, glob, batch_dir, content=False)
+    parts = sizes.groupBy(F.col("number").alias("__n")).agg(
+        F.greatest(F.ceil(F.sum("length") / F.lit(file_bytes)), F.lit(1)).cast("long").alias("__parts"))
+    rows = fast5_members(spark, folders, glob, batch_dir)
+    dealt = rows.join(parts, rows["number"] == parts["__n"]).withColumn(
+        "__part", F.pmod(F.xxhash64("member"), F.col("__parts")))
+    write_batches(dealt.repartition("number", "__part").drop("__n", "__parts", "__part"), out)
     return spark.read.parquet(out)
 
 
-def checksums(files: DataFrame, kind: str) -> DataFrame:
-    """``(kind, file, md5)`` for ``binaryFile`` rows (content held per row: files < 2 GB)."""
-    return files.select(F.lit(kind).alias("kind"), basename(F.col("path")).alias("file"),
+def archived(spark: SparkSession, out: str) -> DataFrame | None:
+    """``(kind, number)`` of the batches already in the archive tables under ``out``; None if there is none."""
+    found = None
+    for kind in ARCHIVE_KINDS:
+        fs, path = file_system(spark, f"{out}/{kind}")
+        if fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path)):
+            own = spark.read.parquet(f"{out}/{kind}").select(F.lit(kind).alias("kind"), F.col("number").cast("long").alias("number")).distinct()
+            found = own if found is None else found.unionByName(own)
+    return found
+
+
+def tidy(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_dir: str, out: str, flowcell_id: str,
+         overwrite: bool = False, keep_active: bool = False, fastq_options: dict | None = None) -> DataFrame:
+    """Archive a run: inventory, active batch dropped, plan, and the due batches written.
+
+    Under ``out`` come the tables ``fast5``, ``fastq``, ``summary`` and
+    ``checksums``, partitioned by batch.  Returns the plan that was carried
+    out, ``(number, kind, source, target, action)``; with ``overwrite`` batches
+    that exist are written again, otherwise they are skipped.
+    """
+    summ, fq, f5 = scan_batches(spark, summary_dir, fastq_dir, fast5_dir)
+    names = list_paths(spark, fast5_dir, "*.fast5", recursive=True)
+    manifest = batch_manifest(summ, fq, f5, flowcell_id, run_rnumber(names), "checksum.fast5.md5", "checksum.fastq.md5")
+    if not keep_active:
+        manifest = drop_active_batch(manifest)
+    plan, done = archive_plan(manifest), archived(spark, out)
+    if done is not None:
+        done = done.withColumnsRenamed({"kind": "__kind", "number": "__number"}).withColumn("__done", F.lit(True))
+        plan = plan.join(done, (plan["kind"] == F.col("__kind")) & (plan["number"] == F.col("__number")), "left")
+        plan = plan.withColumn("action", F.when(F.col("__done"), F.lit("overwrite" if overwrite else "skip")).otherwise("write"))
+    plan = materialize(plan.select("number", "kind", "source", "target", "action"), "plan")
+    # One path per batch and kind that is due: as many as the manifest has rows.
+    due = {k: [] for k in ARCHIVE_KINDS}
+    for r in plan.where("action <> 'skip'").select("kind", "source").orderBy("kind", "source").collect():
+        due[r["kind"]].append(r["source"])
+    sums = []
+    if due["fast5"]:
+        t = compact_batches(spark, due["fast5"], f"{out}/fast5")
+        numbers = plan.where("kind = 'fast5' and action <> 'skip'").select(F.col("number").alias("__n"))
+        sums.append(t.join(numbers, t["number"] == F.col("__n"), "left_semi").select(
+            F.lit("fast5").alias("kind"), F.col("number").cast("long").alias("number"),
+            basename(F.col("member")).alias("file"), "md5"))
+    if due["fastq"]:
+        fastq_table(scan_fastq_records(spark, due["fastq"], "*.fastq", **(fastq_options or {})), f"{out}/fastq")
+        files = spark.read.format("binaryFile").load(due["fastq"])
+        number = F.regexp_extract(basename(F.col("path")), FASTQ_NAME, 1).cast("long")
+        sums.append(checksums(files.withColumn("number", number), "fastq", "number"))
+    if due["summary"]:
+        relocate_summary(scan_summary(spark, due["summary"], glob="*.txt", with_file=True, with_time_columns=False), f"{out}/summary")
+    if sums:
+        both = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
+        write_batches(both, f"{out}/checksums", "kind", "number")
+    return plan
+
+
+def checksums(files: DataFrame, kind: str, *carried: str) -> DataFrame:
+    """``(kind, *carried, file, md5)`` for ``binaryFile`` rows (content held per row: files < 2 GB)."""
+    return files.select(F.lit(kind).alias("kind"), *carried, basename(F.col("path")).alias("file"),
                         F.md5("content").alias("md5"))
 
 
@@ -168,26 +247,27 @@ def checksum_lines(sums: DataFrame) -> DataFrame:
     return sums.select("kind", F.concat_ws("  ", "md5", "file").alias("line"))
 
 
-def fastq_table(records: DataFrame, out: str, mode: str = "ignore") -> DataFrame:
-    """Compressed FASTQ record table partitioned by batch number (from ``fastq_<n>`` names)."""
-    number = F.regexp_extract(basename(F.col("file")), r"^fastq_(\d+)\.fastq(?:\.gz)?$", 1)
-    rows = records.withColumn("number", F.when(number != "", number.cast("long")))
-    rows.write.mode(mode).partitionBy("number").parquet(out)
+def _with_number(rows: DataFrame, pattern: str) -> DataFrame:
+    number = F.regexp_extract(basename(F.col("file")), pattern, 1)
+    return rows.withColumn("number", F.when(number != "", number.cast("long")))
+
+
+def fastq_table(records: DataFrame, out: str) -> DataFrame:
+    """Compressed FASTQ record table partitioned by batch number (from ``fastq_<n>`` names); given batches are replaced."""
+    write_batches(_with_number(records, r"^fastq_(\d+)\.fastq(?:\.gz)?$"), out)
     return records.sparkSession.read.parquet(out)
 
 
-def relocate_summary(summary: DataFrame, out: str, mode: str = "ignore") -> DataFrame:
+def relocate_summary(summary: DataFrame, out: str) -> DataFrame:
     """Summary rows as a Parquet table partitioned by batch number (from the ``file`` column,
-    see ``scan_summary(with_file=True)``)."""
-    number = F.regexp_extract(basename(F.col("file")), r"sequencing_summary_(\d+)", 1)
-    rows = summary.withColumn("number", F.when(number != "", number.cast("long")))
-    rows.write.mode(mode).partitionBy("number").parquet(out)
+    see ``scan_summary(with_file=True)``); given batches are replaced."""
+    write_batches(_with_number(summary, r"sequencing_summary_(\d+)"), out)
     return summary.sparkSession.read.parquet(out)
 
 
 def write_manifest(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The manifest as JSON lines (one object per batch, ``number`` kept)."""
-    manifest.coalesce(1).write.mode(mode).json(path)
+    """The manifest as JSON lines in number order, file by file (one object per batch)."""
+    manifest.orderBy("number").write.mode(mode).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -1,77 +1,163 @@
 """Run folders written by Spark from the driver's tables, for the source and file operators.
 
-``events`` becomes gzip FASTQ text (one folder per run id, some malformed
-headers in the ``error`` run, some records with broken framing) and TSV
-summary files; ``part``/``lineitem`` become batch file names.  Every folder is
-written once per session under the checkpoint root.
+``events`` is cut into files of ``READS_PER_FILE`` reads, so the number of
+files, and of tasks that write and read them, follows the table.  Every folder
+is written once per session under the checkpoint root, with the names an
+instrument gives its files:
+
+* summary TSV files in two folders; the second has its columns in reverse order;
+* gzip FASTQ files in two folders: every third file has malformed headers,
+  another third has records with a short quality line, and one file is empty;
+* a run folder with plain FASTQ, summary files and folders of ``.fast5`` files;
+* Parquet files of ``events`` with increasing modification times, as a stream.
 """
 
 from __future__ import annotations
 
-import os
+import gzip
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqyield.plans.tables import events_reads, table
-from seqyield.session import shared_folder
+from seqyield.session import file_system, path_stamp, scratch_path, shared_folder
 from seqyield.sources.fastq import fastq_record_text
 
 # Fixed values of the synthetic run folder.
 FLOWCELL_ID = "FAB00000"
 RNUMBER = 4242
-FASTQ_PARTS = 4
+READS_PER_FILE = 500
+FAST5_PER_BATCH = 5
+#: Arrival of the first streamed file, and how late every fourth file of the second stream is.
+FIRST_ARRIVAL_MS, LATE_MS = 1_700_000_000_000, 2 * 3600 * 1000
 
 
-def _stamp(sf: str, name: str):
-    try:
-        return os.stat(f"{sf.rstrip('/')}/{name}.parquet").st_mtime_ns
-    except OSError:
-        return None
+def _key(spark: SparkSession, kind: str, sf: str, name: str) -> tuple:
+    return (kind, sf.rstrip("/"), path_stamp(spark, f"{sf.rstrip('/')}/{name}.parquet"))
 
 
-def fastq_records_df(spark: SparkSession, sf: str) -> DataFrame:
-    r = events_reads(spark, sf)
+def chunk(read: str = "read") -> Column:
+    """Number of the file a read is in."""
+    return F.floor(F.col(read) / READS_PER_FILE).cast("long")
+
+
+def _place(spark: SparkSession, source: str, name, arrival=None) -> None:
+    """Give the files of a partitioned folder their names: ``name(values of the partition folders)``."""
+    fs, root = file_system(spark, source)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def below(folder, values):
+        for status in fs.listStatus(folder):
+            own = status.getPath().getName()
+            if status.isDirectory() and "=" in own:
+                yield from below(status.getPath(), [*values, int(own.split("=")[1])])
+            elif own.startswith("part-"):
+                yield values, status.getPath()
+    for values, part in list(below(root, [])):
+        target = path(name(*values))
+        fs.mkdirs(target.getParent())
+        fs.rename(part, target)
+        if arrival:
+            fs.setTimes(target, arrival(*values), -1)
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, read, value): one FASTQ record per event."""
+    r = events_reads(spark, sf).withColumn("file", chunk())
     eid = F.col("read")
     iso = F.date_format(F.col("start_time_utc").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     rest = F.format_string("runid=%s sampleid=%s read=%d ch=%d start_time=%s",
                            "run_id", "sample_id", eid, "channel", iso)
-    bad = (F.col("run_id") == "error") & (F.pmod(eid, F.lit(7)) == 0)
-    rest = F.when(bad, F.concat(rest, F.lit(" flag"))).otherwise(rest)
+    one, two = F.pmod("file", F.lit(3)) == 1, F.pmod("file", F.lit(3)) == 2
+    rest = F.when(one & (F.pmod(eid, F.lit(77)) == 0), F.lit("flag")).when(
+        one & (F.col("run_id") == "error") & (F.pmod(eid, F.lit(7)) == 0), F.concat(rest, F.lit(" flag"))).otherwise(rest)
     n = (F.pmod(eid, F.lit(50)) + 1).cast("int")
     seq = F.substring(F.repeat(F.lit("ACGT"), 13), 1, n)
-    qual_n = F.when(F.pmod(eid, F.lit(101)) == 0, n - 1).otherwise(n)
-    qual = F.substring(F.repeat(F.lit("@I!#"), 13), 1, qual_n)
-    return r.select("run_id", F.pmod(eid, F.lit(FASTQ_PARTS)).cast("int").alias("part"),
-                    fastq_record_text(F.col("read_id"), rest, seq, qual).alias("value"))
+    short = two & (F.pmod(eid, F.lit(101)) == 0)
+    qual = F.substring(F.repeat(F.lit("@I!#"), 13), 1, F.when(short, n - 1).otherwise(n))
+    return r.select("file", "read", fastq_record_text(F.col("read_id"), rest, seq, qual).alias("value"))
 
 
-def fastq_folder(spark: SparkSession, sf: str) -> str:
-    """gzip FASTQ text in ``run_id=<run>/part=<k>/`` folders, one file each.
-
-    The ``part`` salt splits every run over ``FASTQ_PARTS`` writer tasks, so a
-    run holding a large share of the reads is not written by one task.
-    """
-    def write(path):
-        (fastq_records_df(spark, sf).repartition("run_id", "part").write.partitionBy("run_id", "part")
-         .option("compression", "gzip").text(path))
-    return shared_folder(spark, ("fastq", os.path.abspath(sf), _stamp(sf, "events")), write, "fastq")
+def _by_file(df: DataFrame, *columns: str) -> DataFrame:
+    """One task per file, its rows in order of their number; written without the number."""
+    return df.repartition(*columns).sortWithinPartitions(*columns, "read").drop("read")
 
 
-def summary_folder(spark: SparkSession, sf: str) -> str:
-    """Summary TSV files with the 13 columns of the instrument's layout."""
+def fastq_folders(spark: SparkSession, sf: str) -> str:
+    """Two folders (comma list) of ``fastq_<n>.fastq.gz``, odd numbers in the second."""
     def write(path):
-        r = events_reads(spark, sf)
-        rows = r.select(
-            F.concat(F.lit("batch_"), F.col("run_id"), F.lit(".fast5")).alias("filename"),
-            "read_id", "run_id", "channel", F.col("start_time_float").alias("start_time"),
-            F.col("template_duration").alias("duration"), "num_events",
-            F.col("start_time_float").alias("template_start"),
-            F.col("num_events").alias("num_events_template"), "template_duration",
-            "sequence_length_template", "mean_qscore_template",
-            F.lit(-0.0003).alias("strand_score_template"))
-        rows.repartition(4).write.option("sep", "\t").option("header", True).csv(path)
-    return shared_folder(spark, ("summary", os.path.abspath(sf), _stamp(sf, "events")), write, "summary")
+        raw = scratch_path(spark, "fastq-raw")
+        _by_file(_records(spark, sf), "file").write.partitionBy("file").option("compression", "gzip").text(raw)
+        _place(spark, raw, lambda k: f"{path}/{'ab'[k % 2]}/fastq_{k}.fastq.gz")
+        fs, empty = file_system(spark, f"{path}/a/fastq_999999.fastq.gz")
+        out = fs.create(empty)
+        out.write(bytearray(gzip.compress(b"")))
+        out.close()
+        file_system(spark, path)[0].mkdirs(file_system(spark, f"{path}/b")[1])
+    root = shared_folder(spark, _key(spark, "fastq", sf, "events"), write, "fastq")
+    return f"{root}/a,{root}/b"
+
+
+def _summary_rows(spark: SparkSession, sf: str) -> DataFrame:
+    r = events_reads(spark, sf)
+    broken = F.pmod(F.col("read"), F.lit(333)) == 0
+    return r.select(
+        chunk().alias("file"), "read",
+        F.concat(F.lit("batch_"), F.col("run_id"), F.lit(".fast5")).alias("filename"),
+        "read_id", "run_id", "channel", F.col("start_time_float").alias("start_time"),
+        F.col("template_duration").alias("duration"), "num_events",
+        F.col("start_time_float").alias("template_start"),
+        F.col("num_events").alias("num_events_template"),
+        F.when(broken, F.lit("?")).otherwise(F.col("template_duration").cast("string")).alias("template_duration"),
+        "sequence_length_template", F.coalesce(F.col("mean_qscore_template").cast("string"), F.lit("nan")).alias("mean_qscore_template"),
+        F.lit(-0.0003).alias("strand_score_template"))
+
+
+def summary_folders(spark: SparkSession, sf: str) -> str:
+    """Two folders (comma list) of ``sequencing_summary_<n>.txt``; the second has the columns reversed."""
+    def write(path):
+        rows = _by_file(_summary_rows(spark, sf), "file")
+        names = [c for c in rows.columns if c != "file"]
+        for k, (folder, order) in enumerate((("a", names), ("b", names[::-1]))):
+            raw = scratch_path(spark, "summary-raw")
+            rows.where(F.pmod("file", F.lit(2)) == k).select("file", *order).write.partitionBy("file") \
+                .option("sep", "\t").option("header", True).csv(raw)
+            file_system(spark, path)[0].mkdirs(file_system(spark, f"{path}/{folder}")[1])
+            _place(spark, raw, lambda n, folder=folder: f"{path}/{folder}/sequencing_summary_{n}.txt")
+    root = shared_folder(spark, _key(spark, "summary", sf, "events"), write, "summary")
+    return f"{root}/a,{root}/b"
+
+
+def run_folder(spark: SparkSession, sf: str, first_half: bool = False) -> str:
+    """``run/`` with summaries, plain FASTQ and ``reads/<n>/*.fast5``; ``first_half`` has the lower batch numbers."""
+    def write(path):
+        records, rows = _records(spark, sf), _summary_rows(spark, sf)
+        members = events_reads(spark, sf).select(
+            chunk().alias("file"), F.pmod("read", F.lit(FAST5_PER_BATCH)).alias("member"), "read",
+            F.concat_ws("|", "read_id", "run_id", "channel").alias("value"))
+        if first_half:
+            last = events_reads(spark, sf).agg(F.max(chunk())).head()[0] or 0
+            records, rows, members = (d.where(F.col("file") <= last // 2) for d in (records, rows, members))
+        raw = scratch_path(spark, "run-raw")
+        _by_file(records, "file").write.partitionBy("file").text(f"{raw}/fastq")
+        _by_file(rows, "file").write.partitionBy("file").option("sep", "\t").option("header", True).csv(f"{raw}/summary")
+        _by_file(members, "file", "member").write.partitionBy("file", "member").text(f"{raw}/fast5")
+        _place(spark, f"{raw}/fastq", lambda k: f"{path}/fastq_{k}.fastq")
+        _place(spark, f"{raw}/summary", lambda k: f"{path}/sequencing_summary_{k}.txt")
+        _place(spark, f"{raw}/fast5", lambda k, m: f"{path}/reads/{k}/PC_{RNUMBER}_FAH_{m}_ch_{m}_strand.fast5")
+    return shared_folder(spark, _key(spark, "run-half" if first_half else "run", sf, "events"), write, "run")
+
+
+def event_stream_folder(spark: SparkSession, sf: str, late: bool = False) -> str:
+    """``events_<n>.parquet`` one second apart; with ``late`` every fourth arrives two hours later."""
+    def write(path):
+        raw = scratch_path(spark, "events-raw")
+        ev = table(spark, sf, "events")
+        ev.withColumn("file", chunk("event_id")).repartition("file").sortWithinPartitions("file", "event_id") \
+            .write.partitionBy("file").parquet(raw)
+        _place(spark, raw, lambda k: f"{path}/events_{k:08d}.parquet",
+               lambda k: FIRST_ARRIVAL_MS + 1000 * k + (LATE_MS if late and k % 4 == 3 else 0))
+    return shared_folder(spark, _key(spark, "events-late" if late else "events", sf, "events"), write, "events")
 
 
 def batch_names(spark: SparkSession, sf: str):
@@ -85,15 +171,3 @@ def batch_names(spark: SparkSession, sf: str):
                                          "l_linenumber", "l_suppkey").alias("path"))
     f5_dirs = li.select(F.format_string("run/reads/%d", "l_partkey").alias("path")).distinct()
     return summ, fq, f5_dirs, f5_files
-
-
-def batch_files_folder(spark: SparkSession, sf: str) -> str:
-    """Per-batch folders ``number=<n>/`` of text files from ``lineitem`` (batch = supplier key // 10)."""
-    def write(path):
-        li = table(spark, sf, "lineitem")
-        rows = li.select(F.floor(F.col("l_suppkey") / 10).cast("long").alias("number"),
-                         F.pmod(F.col("l_orderkey"), F.lit(4)).alias("__salt"),
-                         F.format_string("%d|%d|%d", "l_orderkey", "l_linenumber", "l_partkey").alias("value"))
-        # salted: a batch holding many rows is written by several tasks (several files)
-        rows.repartition(8, "number", "__salt").drop("__salt").write.partitionBy("number").text(path)
-    return shared_folder(spark, ("batch_files", os.path.abspath(sf), _stamp(sf, "lineitem")), write, "batches")

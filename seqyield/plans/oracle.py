@@ -372,14 +372,45 @@ manifest AS (
   FROM s JOIN f USING (number) JOIN d USING (number))
 """
 
+# The run files: 500 reads each; every third file has malformed headers, another third short quality lines.
 FASTQ_EXPECTED = """
-WITH fq AS (
-  SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id,
-         CAST(event_id AS INTEGER) AS read, CAST(user_id % 3000 + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us,
-         event_type = 'error' AND event_id % 7 = 0 AS bad, CAST(event_id % 4 AS INTEGER) AS part,
-         (event_id % 50) + 1 AS seq_len,
-         CASE WHEN event_id % 101 = 0 THEN event_id % 50 ELSE (event_id % 50) + 1 END AS qual_len
-  FROM events)
+WITH f0 AS (
+  SELECT CAST(event_id AS VARCHAR) AS read_id, event_type AS run_id, 'S1' AS sample_id, event_id AS read,
+         CAST(user_id % 3000 + 1 AS INTEGER) AS channel, epoch_us(ts) AS start_time_us, ts, event_id // 500 AS number,
+         event_id % 500 AS ordinal, (event_id % 50) + 1 AS seq_len,
+         event_id // 500 % 3 = 1 AND event_id % 77 = 0 AS bare,
+         event_id // 500 % 3 = 1 AND event_type = 'error' AND event_id % 7 = 0 AS flagged,
+         event_id // 500 % 3 = 2 AND event_id % 101 = 0 AS short
+  FROM events),
+fq AS (SELECT *, bare OR flagged AS bad, seq_len - CAST(short AS INTEGER) AS qual_len FROM f0)
+"""
+
+# Summary rows as the files hold them: every 333rd template duration is unreadable.
+SUMMARY_EXPECTED = """
+, sm AS (
+  SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
+         CASE WHEN read % 333 = 0 THEN NULL ELSE round(template_duration, 6) END AS template_duration,
+         sequence_length_template, round(mean_qscore_template, 6) AS mean_qscore_template, read // 500 AS number FROM ev)
+"""
+_SUMMARY_COLUMNS = ("read_id, run_id, channel, start_time_float, num_events, template_duration, "
+                    "sequence_length_template, mean_qscore_template")
+
+# The plan of archiving the run folder: all batches but the last, three targets each.
+_RUN_PLAN = """
+WITH b AS (SELECT DISTINCT event_id // 500 AS number FROM events),
+half AS (SELECT max(number) // 2 AS last FROM b),
+pl AS (
+  SELECT number, unnest(['fast5', 'fastq', 'summary']) AS kind,
+         unnest([CAST(number AS VARCHAR), 'fastq_' || number || '.fastq', 'sequencing_summary_' || number || '.txt']) AS source,
+         unnest([z || '.fast5.tar.gz', 'fastq/' || z || '.fastq.gz', 'sequencing_summary/' || z || '.sequencing_summary.txt']) AS target
+  FROM (SELECT number, lpad(CAST(number AS VARCHAR), 5, '0') || '_FAB00000_4242' AS z FROM b))
+"""
+
+_MEMBERS = """
+WITH mb AS (
+  SELECT event_id // 500 AS number, event_id % 5 AS m,
+         string_agg(event_id || '|' || event_type || '|' || (user_id % 3000 + 1), chr(10) ORDER BY event_id) || chr(10) AS content
+  FROM events GROUP BY 1, 2)
 """
 
 
@@ -583,20 +614,57 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT
            CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_qty
 FROM lineitem""",
     "fastq_headers": FASTQ_EXPECTED + """
-SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short""",
     "fastq_file_quarantine": FASTQ_EXPECTED + """
 SELECT read_id, run_id FROM fq f
-WHERE NOT EXISTS (SELECT 1 FROM fq b WHERE b.bad AND b.run_id = f.run_id AND b.part = f.part)""",
-    "bad_fastq_headers": FASTQ_EXPECTED + "SELECT read_id, run_id FROM fq WHERE bad",
+WHERE NOT EXISTS (SELECT 1 FROM fq b WHERE (b.bad OR b.short) AND b.number = f.number)""",
+    "bad_fastq_headers": FASTQ_EXPECTED + """
+SELECT read_id, '@' || read_id || ' ' || CASE WHEN bare THEN 'flag' ELSE
+         printf('runid=%s sampleid=%s read=%d ch=%d start_time=%s flag', run_id, sample_id, read, channel,
+                strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) END AS header
+FROM fq WHERE bad""",
     "bad_fastq_files": FASTQ_EXPECTED + """
-SELECT run_id AS run_dir, part, count(*) FILTER (WHERE bad) AS bad_headers, count(*) AS headers
-FROM fq GROUP BY run_id, part HAVING count(*) FILTER (WHERE bad) > 0""",
+SELECT number, count(*) FILTER (WHERE bad) AS bad_headers, count(*) FILTER (WHERE short) AS bad_framing, count(*) AS records
+FROM fq GROUP BY number HAVING count(*) FILTER (WHERE bad OR short) > 0
+UNION ALL SELECT 999999, 0, 0, 0""",
     "fastq_records": FASTQ_EXPECTED + """
-SELECT read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len, seq_len = qual_len AS framing_ok FROM fq""",
-    "summary_scan": READS + """
-SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
-       round(template_duration, 6) AS template_duration, sequence_length_template,
-       round(mean_qscore_template, 6) AS mean_qscore_template FROM ev""",
+SELECT number, ordinal, read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len,
+       NOT short AS framing_ok FROM fq""",
+    "summary_scan": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm WHERE number % 2 = 0",
+    "summary_scan_reordered": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm",
+    "summary_broken_cells": """
+SELECT event_id // 500 AS number, count(*) AS rows, count(*) FILTER (WHERE event_id % 333 = 0) AS broken_rows,
+       count(*) FILTER (WHERE event_id % 333 = 0) AS broken_cells FROM events GROUP BY 1""",
+    "summary_intervals": READS + """
+SELECT read_id, round(start_time_float, 3) AS start_s, round(start_time_float, 3) AS template_s FROM ev""",
+    "single_sample": READS + "SELECT min(sample_id) AS sample_id, count(DISTINCT sample_id) AS samples FROM merged",
+    "scan_batches": """
+SELECT DISTINCT event_id // 500 AS number, 'sequencing_summary_' || (event_id // 500) || '.txt' AS sequencing_summary_file,
+       'fastq_' || (event_id // 500) || '.fastq' AS fastq_file, CAST(event_id // 500 AS VARCHAR) AS fast5_dir,
+       CAST(4242 AS INTEGER) AS rnumber FROM events""",
+    "manifest_round_trip": """
+SELECT DISTINCT event_id // 500 AS number, 'FAB00000' AS "FlowcellID", CAST(4242 AS INTEGER) AS rnumber,
+       'run/reads/checksum.fast5.md5' AS md5_fast5, 'run/fastq/checksum.fastq.md5' AS md5_fastq, true AS in_order FROM events""",
+    "tidy_first_run": _RUN_PLAN + """
+SELECT number, kind, source, target, 'write' AS action FROM pl, half WHERE number < last""",
+    "tidy_rerun_new_batch": _RUN_PLAN + """
+, held AS (
+  SELECT event_id // 500 AS number, 'fast5' AS kind, count(DISTINCT event_id % 5) AS rows FROM events GROUP BY 1
+  UNION ALL SELECT event_id // 500, 'fastq', count(*) FROM events GROUP BY 1
+  UNION ALL SELECT event_id // 500, 'summary', count(*) FROM events GROUP BY 1)
+SELECT pl.number, pl.kind, CASE WHEN pl.number < half.last THEN 'skip' ELSE 'write' END AS action, held.rows
+FROM pl JOIN held USING (number, kind), half WHERE pl.number < (SELECT max(number) FROM b)""",
+    "compact_batches": _MEMBERS + """
+SELECT number, number || '/PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS member,
+       CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5, true AS content_ok
+FROM mb WHERE number < (SELECT max(number) FROM mb)""",
+    "fastq_table": FASTQ_EXPECTED + """
+SELECT number, ordinal, read_id, NOT short AS framing_ok FROM fq WHERE number < (SELECT max(number) FROM fq)""",
+    "relocate_summary": READS + SUMMARY_EXPECTED + """
+SELECT number, read_id, sequence_length_template FROM sm WHERE number < (SELECT max(number) FROM sm)""",
+    "checksums": _MEMBERS + """
+SELECT number, md5(content) || '  PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS line
+FROM mb WHERE number < (SELECT max(number) FROM mb)""",
     "stream_reads": READS + """
 SELECT read_id, coalesce(mean_qscore_template > 9, false) AS pass,
        CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
@@ -604,7 +672,9 @@ SELECT read_id, coalesce(mean_qscore_template > 9, false) AS pass,
        round(CAST(num_events AS DOUBLE) / nullif(CAST(sequence_length_template AS DOUBLE), 0), 6) AS events_ratio
 FROM ev""",
     "stream_merge": READS + """
-SELECT read_id, run_id, channel, sample_id, read, sequence_length_template FROM merged""",
+SELECT read_id, run_id, channel, sample_id, read, sequence_length_template FROM merged WHERE read // 500 % 4 <> 3""",
+    "stream_merge_given_up": READS + """
+SELECT read_id, run_id, channel FROM merged WHERE read // 500 % 4 = 3""",
     "stream_yield": READS + """
 SELECT CAST(floor(epoch_us(start_time_utc) / 600000000) AS BIGINT) * 600000000 AS window_start_us,
        CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
@@ -613,20 +683,15 @@ FROM ev GROUP BY 1, 2""",
     "stream_channel_totals": READS + """
 SELECT channel, CAST(sum(sequence_length_template) AS BIGINT) AS channel_yield, count(*) AS reads FROM ev GROUP BY channel""",
     "stream_running_yield": READS + """
-SELECT coalesce(mean_qscore_template > 9, false) AS pass, CAST(0 AS BIGINT) AS batch_id,
-       CAST(sum(sequence_length_template) AS BIGINT) AS quality_yield, count(*) AS quality_count
-FROM ev GROUP BY 1""",
-    "stream_summary": READS + """
-SELECT read_id, run_id, channel, round(start_time_float, 6) AS start_time_float, num_events,
-       round(template_duration, 6) AS template_duration, sequence_length_template,
-       round(mean_qscore_template, 6) AS mean_qscore_template FROM ev""",
+SELECT coalesce(mean_qscore_template > 9, false) AS pass, read // 2500 AS batch_id,
+       CAST(sum(sum(sequence_length_template)) OVER w AS BIGINT) AS quality_yield,
+       CAST(sum(count(*)) OVER w AS BIGINT) AS quality_count
+FROM ev GROUP BY 1, 2
+WINDOW w AS (PARTITION BY coalesce(mean_qscore_template > 9, false) ORDER BY read // 2500)""",
+    "stream_summary": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm WHERE number % 2 = 1",
     "stream_fastq_headers": FASTQ_EXPECTED + """
-SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad""",
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short AND number % 2 = 0""",
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
-    "compact_batches": """
-SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS number,
-       CAST(sum(length(printf('%d|%d|%d', l_orderkey, l_linenumber, l_partkey)) + 1) AS BIGINT) AS bytes
-FROM lineitem GROUP BY 1""",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",
 n AS (SELECT *, {_zfill('number')} || '_FAB00000_4242' AS an FROM manifest),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqyield.functions.expr import batch_name
@@ -19,12 +19,12 @@ from seqyield.plans import files as runfiles
 from seqyield.sources import fastq as fq_src
 from seqyield.sources import summary as sum_src
 from seqyield.operators.quantiles import exact_quantiles
-from seqyield.operators.reads import dedup_reads, elapsed_time, unmatched_reads
+from seqyield.operators.reads import check_single_sample, dedup_reads, elapsed_time, unmatched_reads
 from seqyield.functions.expr import micros
 from seqyield.operators.prefix import running_totals
 from seqyield.plans.tables import (SUMMARY_COLS, derive, documents_reads, events_fastq, events_summary,
                                    merge_events, reads_view)
-from seqyield.session import path_stamp, scratch_path, shared_table
+from seqyield.session import path_stamp, scratch_path, shared_folder, shared_table
 from seqyield.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,50 +378,77 @@ def q_lineitem_running_quantity(spark, sf):
 
 # --- sources and run folders ------------------------------------------------------
 
-FASTQ_FILES = "*.txt.gz"   # Spark's text writer names its gzip parts *.txt.gz
+def _parsed_fastq(spark, sf):
+    return fq_src.parse_fastq(fq_src.scan_fastq_records(spark, runfiles.fastq_folders(spark, sf)))
 
 
-def _parsed_fastq(spark, sf):
-    d = runfiles.fastq_folder(spark, sf)
-    return fq_src.parse_fastq_header(fq_src.scan_fastq_lines(spark, d, FASTQ_FILES, recursive=True))
+def _file_number(c="file"):
+    return F.regexp_extract(F.col(c), r"_(\d+)\.[^/]*$", 1).cast("long").alias("number")
 
 
 def q_fastq_headers(spark, sf):
-    d = runfiles.fastq_folder(spark, sf)
-    h = fq_src.scan_fastq(spark, d, FASTQ_FILES, mode="record", recursive=True)
+    h = fq_src.scan_fastq(spark, runfiles.fastq_folders(spark, sf), mode="record")
     return h.select("read_id", "run_id", "sample_id", "read", "channel",
                     F.unix_micros("start_time_utc").alias("start_time_us"))
 
 
 def q_fastq_file_quarantine(spark, sf):
-    d = runfiles.fastq_folder(spark, sf)
-    return fq_src.scan_fastq(spark, d, FASTQ_FILES, mode="file", recursive=True).select("read_id", "run_id")
+    return fq_src.scan_fastq(spark, runfiles.fastq_folders(spark, sf), mode="file").select("read_id", "run_id")
 
 
 def q_bad_fastq_headers(spark, sf):
-    return _parsed_fastq(spark, sf).where("bad_header").select("read_id", "run_id")
+    return _parsed_fastq(spark, sf).where("bad_header").select("read_id", "header")
 
 
 def q_bad_fastq_files(spark, sf):
-    b = fq_src.bad_fastq_files(_parsed_fastq(spark, sf))
-    return b.select(F.regexp_extract("file", r"run_id=([^/]+)", 1).alias("run_dir"),
-                    F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "bad_headers", "headers")
+    listing = fq_src.list_files(spark, runfiles.fastq_folders(spark, sf))
+    return fq_src.bad_fastq_files(_parsed_fastq(spark, sf), listing).select(
+        _file_number(), "bad_headers", "bad_framing", "records")
 
 
 def q_fastq_records(spark, sf):
-    d = runfiles.fastq_folder(spark, sf)
-    r = fq_src.scan_fastq_records(spark, d, FASTQ_FILES, recursive=True)
-    return r.select(F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"),
+    r = fq_src.scan_fastq_records(spark, runfiles.fastq_folders(spark, sf))
+    return r.select(_file_number(), "ordinal", F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"),
                     F.length("seq").cast("long").alias("seq_len"), F.length("qual").cast("long").alias("qual_len"),
                     "framing_ok")
 
 
+SUMMARY_OUT = ("read_id", "run_id", "channel", "start_time_float", "num_events", "template_duration",
+               "sequence_length_template", "mean_qscore_template")
+
+
+def _summary_out(s):
+    return s.select(*[(r6(c) if s.schema[c].dataType.simpleString() == "double" else F.col(c)).alias(c) for c in SUMMARY_OUT])
+
+
 def q_summary_scan(spark, sf):
-    d = runfiles.summary_folder(spark, sf)
-    s = sum_src.scan_summary(spark, d, glob="*.csv")
-    return s.select("read_id", "run_id", "channel", r6("start_time_float").alias("start_time_float"),
-                    "num_events", r6("template_duration").alias("template_duration"), "sequence_length_template",
-                    r6("mean_qscore_template").alias("mean_qscore_template"))
+    """The first folder: columns in the instrument's order."""
+    return _summary_out(sum_src.scan_summary(spark, runfiles.summary_folders(spark, sf).split(",")[0]))
+
+
+def q_summary_scan_reordered(spark, sf):
+    """Both folders: files whose columns stand in two orders."""
+    return _summary_out(sum_src.scan_summary(spark, runfiles.summary_folders(spark, sf)))
+
+
+def q_summary_broken_cells(spark, sf):
+    b = sum_src.broken_cells(spark, runfiles.summary_folders(spark, sf))
+    return b.select(_file_number(), "rows", "broken_rows", "broken_cells")
+
+
+def q_summary_intervals(spark, sf):
+    s = sum_src.scan_summary(spark, runfiles.summary_folders(spark, sf))
+    us = lambda c: F.round((F.extract(F.lit("DAY"), c) * 86400 + F.extract(F.lit("HOUR"), c) * 3600
+                            + F.extract(F.lit("MINUTE"), c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double"), 3)
+    return s.select("read_id", us(F.col("start_time_timedelta")).alias("start_s"),
+                    us(F.col("template_start_time_timedelta")).alias("template_s"))
+
+
+def q_single_sample(spark, sf):
+    """The one sample id of the read table (an error where there are several)."""
+    m = reads(spark, sf)
+    check_single_sample(m)
+    return m.agg(F.min("sample_id").alias("sample_id"), F.countDistinct("sample_id").alias("samples"))
 
 
 MD5_FAST5, MD5_FASTQ = "run/reads/checksum.fast5.md5", "run/fastq/checksum.fastq.md5"
@@ -450,11 +477,100 @@ def q_archive_plan(spark, sf):
     return batches.archive_plan(_manifest(spark, sf), existing)
 
 
+def _base(c):
+    return F.regexp_extract(F.col(c), r"([^/]*)$", 1)
+
+
+def _run_dirs(spark, sf, first_half=False):
+    run = runfiles.run_folder(spark, sf, first_half)
+    return run, run, f"{run}/reads"
+
+
+def _scanned_manifest(spark, sf):
+    run = runfiles.run_folder(spark, sf)
+    names = batches.list_paths(spark, f"{run}/reads", "*.fast5", recursive=True)
+    return batches.batch_manifest(*batches.scan_batches(spark, *_run_dirs(spark, sf)), runfiles.FLOWCELL_ID,
+                                  batches.run_rnumber(names), MD5_FAST5, MD5_FASTQ)
+
+
+def q_scan_batches(spark, sf):
+    """The manifest of a run folder that is listed, not made up."""
+    m = _scanned_manifest(spark, sf)
+    return m.select("number", *[_base(c).alias(c) for c in ("sequencing_summary_file", "fastq_file", "fast5_dir")], "rnumber")
+
+
+def q_manifest_round_trip(spark, sf):
+    """Written in number order and read back: each row with its place in the files."""
+    path = scratch_path(spark, "manifest")
+    batches.write_manifest(_scanned_manifest(spark, sf), path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("at"),
+                                         F.get_json_object("value", "$.number").cast("long").alias("number"))
+    back = batches.read_manifest(spark, path).select("number", "FlowcellID", "rnumber", "md5_fast5", "md5_fastq")
+    # In number order: no line of a file has a larger number than the next one.
+    following = Window.partitionBy("name").orderBy("at")
+    sorted_ = lines.withColumn("next", F.lead("number").over(following)).select(
+        F.col("number").alias("n"), (F.col("next").isNull() | (F.col("next") > F.col("number"))).alias("in_order"))
+    return back.join(sorted_, back["number"] == F.col("n")).drop("n")
+
+
+def _archive(spark, sf):
+    """An archive in two runs: the first half of the batches, then all of them."""
+    def write(path):
+        first = batches.tidy(spark, *_run_dirs(spark, sf, True), path, runfiles.FLOWCELL_ID)
+        second = batches.tidy(spark, *_run_dirs(spark, sf), path, runfiles.FLOWCELL_ID)
+        for name, plan in (("first", first), ("second", second)):
+            plan.select("number", "kind", _base("source").alias("source"), "target", "action").write.parquet(f"{path}/plans/{name}")
+    return shared_folder(spark, _key(spark, sf, "archive"), write, "archive")
+
+
+def q_tidy_first_run(spark, sf):
+    return spark.read.parquet(f"{_archive(spark, sf)}/plans/first")
+
+
+def q_tidy_rerun_new_batch(spark, sf):
+    """The second run's plan, and what the archive holds of every batch afterwards."""
+    path = _archive(spark, sf)
+    held = None
+    for kind in batches.ARCHIVE_KINDS:
+        t = spark.read.parquet(f"{path}/{kind}").groupBy(F.col("number").cast("long").alias("n")).agg(
+            F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("k"), "n", "rows")
+        held = t if held is None else held.unionByName(t)
+    plan = spark.read.parquet(f"{path}/plans/second")
+    return plan.join(held, (plan["kind"] == held["k"]) & (plan["number"] == held["n"]), "left").select(
+        "number", "kind", "action", "rows")
+
+
+def q_compact_batches(spark, sf):
+    t = spark.read.parquet(f"{_archive(spark, sf)}/fast5")
+    return t.select(F.col("number").cast("long").alias("number"), "member", "length", "md5",
+                    (F.md5("content") == F.col("md5")).alias("content_ok"))
+
+
+def q_fastq_table(spark, sf):
+    t = spark.read.parquet(f"{_archive(spark, sf)}/fastq")
+    return t.select(F.col("number").cast("long").alias("number"), "ordinal",
+                    F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"), "framing_ok")
+
+
+def q_relocate_summary(spark, sf):
+    t = spark.read.parquet(f"{_archive(spark, sf)}/summary")
+    return t.select(F.col("number").cast("long").alias("number"), "read_id", "sequence_length_template")
+
+
+def q_checksums(spark, sf):
+    t = spark.read.parquet(f"{_archive(spark, sf)}/checksums").select("kind", "number", "file", "md5")
+    lines = batches.checksum_lines(t).select("kind", "line").where("kind = 'fast5'")
+    return t.where("kind = 'fast5'").select(F.col("number").cast("long").alias("number"), F.concat_ws("  ", "md5", "file").alias("line")) \
+        .join(lines.select("line").distinct(), "line", "left_semi")
+
+
 # --- streaming (run to completion on the data present: trigger availableNow) -------
 
-def _event_stream(spark, sf):
+def _event_stream(spark, sf, late=False):
+    """``events`` as a stream of several files, five to a micro-batch, oldest first."""
     schema = runfiles.table(spark, sf, "events").schema
-    return jobs.file_stream(spark, sf, schema, glob="events.parquet", files_per_trigger=1)
+    return jobs.file_stream(spark, runfiles.event_stream_folder(spark, sf, late), schema, glob="events_*.parquet",
+                            files_per_trigger=5)
 
 
 def q_stream_reads(spark, sf):
@@ -465,29 +581,37 @@ def q_stream_reads(spark, sf):
                       r6("events_ratio").alias("events_ratio"))
 
 
-def q_stream_merge(spark, sf):
+def _merged_stream(spark, sf):
+    """Summary rows and FASTQ rows that arrive as files; every fourth FASTQ file comes two hours late."""
     summary = reads_view(_event_stream(spark, sf)).select("arrival", *SUMMARY_COLS)
-    fq = reads_view(_event_stream(spark, sf))
+    fq = reads_view(_event_stream(spark, sf, late=True))
     rid = F.when(F.pmod(F.col("read"), F.lit(13)) == 0, F.concat("read_id", F.lit("-x"))).otherwise(F.col("read_id"))
     fq = fq.select("arrival", rid.alias("read_id"), "run_id", "sample_id", "read", "channel", "start_time_utc")
     m = jobs.stream_merge(summary, fq)
-    out = jobs.run_once(m.select("read_id", "run_id", "channel", "sample_id", "read", "sequence_length_template"),
-                        spark, "merge")
-    return out
+    return jobs.run_once(m.select("read_id", "run_id", "channel", "sample_id", "read", "sequence_length_template"),
+                         spark, "merge")
+
+
+def q_stream_merge(spark, sf):
+    return _merged_stream(spark, sf)
+
+
+def q_stream_merge_given_up(spark, sf):
+    return jobs.given_up(events_summary(spark, sf), events_fastq(spark, sf), _merged_stream(spark, sf))
 
 
 def q_stream_yield(spark, sf):
     s = jobs.enrich_stream(reads_view(_event_stream(spark, sf)))
     y = jobs.stream_yield(s)
     dtype = y.schema["w"].dataType["start"].dataType
-    out = jobs.run_once(y.select(micros(F.col("w.start"), dtype).alias("window_start_us"), "qualitative_pass",
-                                 "bases", "reads"), spark, "yield", mode="complete")
-    return out
+    return jobs.run_once(y.select(micros(F.col("w.start"), dtype).alias("window_start_us"), "qualitative_pass",
+                                  "bases", "reads"), spark, "yield", mode="update",
+                         keys=["window_start_us", "qualitative_pass"])
 
 
 def q_stream_channel_totals(spark, sf):
     s = reads_view(_event_stream(spark, sf))
-    return jobs.run_once(jobs.stream_channel_totals(s), spark, "channels", mode="complete")
+    return jobs.run_once(jobs.stream_channel_totals(s), spark, "channels", mode="update", keys=["channel"])
 
 
 def q_stream_running_yield(spark, sf):
@@ -500,27 +624,15 @@ def q_stream_running_yield(spark, sf):
 
 
 def q_stream_summary(spark, sf):
-    s = jobs.stream_summary(spark, runfiles.summary_folder(spark, sf), glob="*.csv", files_per_trigger=1)
-    out = jobs.run_once(s.select("read_id", "run_id", "channel", "start_time_float", "num_events",
-                                 "template_duration", "sequence_length_template", "mean_qscore_template"),
-                        spark, "summary")
-    return out.select("read_id", "run_id", "channel", r6("start_time_float").alias("start_time_float"),
-                      "num_events", r6("template_duration").alias("template_duration"), "sequence_length_template",
-                      r6("mean_qscore_template").alias("mean_qscore_template"))
+    """The folder whose columns stand in reverse order."""
+    s = jobs.stream_summary(spark, runfiles.summary_folders(spark, sf).split(",")[1], files_per_trigger=2)
+    return _summary_out(jobs.run_once(s.select(*SUMMARY_OUT), spark, "summary"))
 
 
 def q_stream_fastq_headers(spark, sf):
-    h = jobs.stream_fastq_headers(spark, runfiles.fastq_folder(spark, sf), glob=FASTQ_FILES, recursive=True)
-    out = jobs.run_once(h.select("read_id", "run_id", "sample_id", "read", "channel",
-                                 F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
-    return out
-
-
-def q_compact_batches(spark, sf):
-    src = runfiles.batch_files_folder(spark, sf)
-    t = batches.compact_batches(spark, src, scratch_path(spark, "compacted"), mode="errorifexists",
-                                glob="*.txt", batch_dir=r"^number=(\d+)$")
-    return t.groupBy(F.col("number").cast("long").alias("number")).agg(F.sum("length").alias("bytes"))
+    h = jobs.stream_fastq_headers(spark, runfiles.fastq_folders(spark, sf).split(",")[0], files_per_trigger=2)
+    return jobs.run_once(h.select("read_id", "run_id", "sample_id", "read", "channel",
+                                  F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
 
 
 QUERIES: dict[str, Query] = {
@@ -582,12 +694,24 @@ QUERIES: dict[str, Query] = {
     "bad_fastq_files": q_bad_fastq_files,
     "fastq_records": q_fastq_records,
     "summary_scan": q_summary_scan,
+    "summary_scan_reordered": q_summary_scan_reordered,
+    "summary_broken_cells": q_summary_broken_cells,
+    "summary_intervals": q_summary_intervals,
+    "single_sample": q_single_sample,
+    "scan_batches": q_scan_batches,
+    "manifest_round_trip": q_manifest_round_trip,
+    "tidy_first_run": q_tidy_first_run,
+    "tidy_rerun_new_batch": q_tidy_rerun_new_batch,
+    "fastq_table": q_fastq_table,
+    "relocate_summary": q_relocate_summary,
+    "checksums": q_checksums,
     "batch_manifest": q_batch_manifest,
     "drop_active_batch": q_drop_active_batch,
     "archive_plan": q_archive_plan,
     "compact_batches": q_compact_batches,
     "stream_reads": q_stream_reads,
     "stream_merge": q_stream_merge,
+    "stream_merge_given_up": q_stream_merge_given_up,
     "stream_yield": q_stream_yield,
     "stream_channel_totals": q_stream_channel_totals,
     "stream_running_yield": q_stream_running_yield,

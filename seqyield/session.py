@@ -87,7 +87,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SCRATCH: list[tuple[str, str]] = []
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as its object."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -100,7 +101,7 @@ def clean_scratch(spark: SparkSession) -> int:
     app = spark.sparkContext.applicationId
     mine = [path for owner, path in _SCRATCH if owner == app]
     for path in mine:
-        fs, p = _file_system(spark, path)
+        fs, p = file_system(spark, path)
         fs.delete(p, True)
     _SCRATCH[:] = [x for x in _SCRATCH if x[0] != app]
     for table in (_TABLES, _FOLDERS):
@@ -114,7 +115,7 @@ def path_stamp(spark: SparkSession, path: str) -> tuple:
 
     Works on any store Spark reads, so a changed input is noticed there too.
     """
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return (0, 0, 0)
     status = fs.getFileStatus(p)

@@ -1,11 +1,10 @@
-"""FASTQ sources: header table from a text scan, record table from a Python Data Source.
+"""FASTQ sources: records framed from text, headers parsed and judged record by record.
 
-Header scan.  ``spark.read.text`` splits gzip input per file (one task each,
-in parallel across files); a line is a header when it matches
-``^@\\S+\\s+.*=``.  Phred+33 quality characters never include a space, so a
-quality line that starts with ``@`` cannot match; sequence lines never start
-with ``@``; separators start with ``+``.  Limit: a header without any
-``key=value`` token is not recognised.
+Framing.  A gzip file is never split, so its lines reach one task in order and
+are grouped by four as Arrow batches pass through; plain files are read whole,
+one row per file (below 2 GB each).  A record is well framed when its header
+starts with ``@``, its separator with ``+``, and its sequence and quality are
+equally long; what is left over at a file's end is a badly framed record.
 
 Header parsing follows the reference: the id is the first token without
 leading ``@``; every further whitespace token must split on ``=`` into exactly
@@ -15,9 +14,9 @@ integers, ``start_time`` an ISO instant.
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +24,10 @@ from pyspark.sql import types as T
 from seqyield.sources.summary import split_dirs
 
 FASTQ_GLOB = "*.fastq.gz"
-HEADER_RE = r"^@\S+\s+.*="
 # Header keys of the reference and the columns they become.
 HEADER_KEYS = {"runid": "run_id", "sampleid": "sample_id", "read": "read", "ch": "channel",
                "start_time": "start_time_utc"}
+HEADER_COLUMNS = ("read_id", "run_id", "sample_id", "read", "channel", "start_time_utc")
 
 
 def header_value(h: Column, key: str) -> Column:
@@ -40,18 +39,18 @@ def header_value(h: Column, key: str) -> Column:
 def header_tokens_bad(h: Column) -> Column:
     """True when a token after the id does not split on '=' into exactly two parts."""
     tokens = F.split(F.regexp_replace(h, r"\s+$", ""), r"\s+")
-    rest = F.slice(tokens, 2, 1 << 20)
+    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
     return F.exists(rest, lambda t: F.size(F.split(t, "=")) != 2)
 
 
-def parse_fastq_header(df: DataFrame, header_col: str = "value") -> DataFrame:
+def parse_fastq_header(df: DataFrame, header_col: str = "header") -> DataFrame:
     """Add the six header columns and ``bad_header`` (malformed token, missing key,
     non-numeric ``read``/``ch`` or unparsable ``start_time``)."""
     h = F.col(header_col)
     out = df.withColumn("read_id", F.regexp_extract(h, r"^@+(\S*)", 1))
     raw = {k: header_value(h, k) for k in HEADER_KEYS}
     out = (out.withColumn("run_id", raw["runid"]).withColumn("sample_id", raw["sampleid"])
-           .withColumn("read", raw["read"].try_cast("int"))
+           .withColumn("read", raw["read"].try_cast("long"))
            .withColumn("channel", raw["ch"].try_cast("int"))
            .withColumn("start_time_utc", F.try_to_timestamp(raw["start_time"])))
     missing = None
@@ -63,137 +62,133 @@ def parse_fastq_header(df: DataFrame, header_col: str = "value") -> DataFrame:
     return out.withColumn("bad_header", F.coalesce(bad, F.lit(True)))
 
 
-def scan_fastq_lines(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
-                     recursive: bool = False) -> DataFrame:
-    """Header lines with their file: ``(file, value)``."""
-    r = spark.read.option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    df = r.text(split_dirs(dirs)).select(F.col("_metadata.file_path").alias("file"), "value")
-    return df.where(F.col("value").rlike(HEADER_RE))
-
-
-def scan_fastq(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
-               mode: str = "record", recursive: bool = False) -> DataFrame:
-    """Header table ``(read_id, run_id, sample_id, read, channel, start_time_utc)``.
-
-    ``mode='record'`` drops malformed headers only; ``mode='file'`` drops every
-    row of a file that has one (the reference's behaviour).
-    """
-    parsed = parse_fastq_header(scan_fastq_lines(spark, dirs, glob, recursive))
-    good = quarantine(parsed, mode)
-    return good.select("read_id", "run_id", "sample_id", "read", "channel", "start_time_utc")
-
-
-def bad_fastq_files(parsed: DataFrame) -> DataFrame:
-    """Files with at least one malformed header: ``(file, bad_headers, headers)``."""
-    return (parsed.groupBy("file").agg(F.count_if("bad_header").alias("bad_headers"),
-                                        F.count(F.lit(1)).alias("headers"))
-            .where("bad_headers > 0"))
-
-
-def quarantine(parsed: DataFrame, mode: str = "record") -> DataFrame:
-    if mode == "record":
-        return parsed.where(~F.col("bad_header"))
-    if mode == "file":
-        # One row per bad file: a small anti-join side, broadcast by AQE when it is small.
-        return parsed.join(bad_fastq_files(parsed).select("file"), "file", "left_anti")
-    raise ValueError("mode must be 'record' or 'file'")
-
-
 def fastq_record_text(read_id: Column, header_rest: Column, seq: Column, qual: Column) -> Column:
     """One 4-line FASTQ record as a single text value (for writing test folders)."""
     return F.concat_ws("\n", F.concat(F.lit("@"), read_id, F.lit(" "), header_rest), seq, F.lit("+"), qual)
 
 
-# --- record-level Data Source -------------------------------------------------------
-
 RECORD_SCHEMA = "file string, ordinal long, header string, seq string, plus string, qual string"
 
-try:  # pragma: no cover - import guard for older Spark builds
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-except ImportError:  # pragma: no cover
-    DataSource = object  # type: ignore[assignment,misc]
-    DataSourceReader = object  # type: ignore[assignment,misc]
-    InputPartition = object  # type: ignore[assignment,misc]
-
-
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
 
+def _framed(batches, kept: int):
+    """Groups of four lines per file; ``kept`` columns (the file first) are carried along."""
+    state = None   # constant columns, lines waiting, records so far
+    for batch in batches:
+        heads, ordinals, lines = [], [], [[], [], [], []]
+
+        def put(head, ordinal, four):
+            heads.append(head)
+            ordinals.append(ordinal)
+            for place, line in zip(lines, four):
+                place.append(line)
+
+        def rest(s):
+            if s and s[1]:
+                put(s[0], s[2], [*s[1], *[None] * (4 - len(s[1]))])
+
+        constants = [batch.column(i).to_pylist() for i in range(kept)]
+        for n, text in enumerate(batch.column(kept).to_pylist()):
+            head = tuple(c[n] for c in constants)
+            if state is None or state[0][0] != head[0]:
+                rest(state)
+                state = [head, [], 0]
+            waiting = state[1]
+            for line in text.split("\n"):
+                waiting.append(line)
+                if len(waiting) == 4:
+                    put(head, state[2], waiting)
+                    waiting.clear()
+                    state[2] += 1
+        yield heads, ordinals, lines, [batch.schema.field(i).type for i in range(kept)]
+    if state and state[1]:
+        yield [state[0]], [state[2]], [[x] for x in [*state[1], *[None] * (4 - len(state[1]))]], None
+
+
+def frame_records(lines: DataFrame, carried: Sequence[str] = ("file",), value_col: str = "value") -> DataFrame:
+    """Records ``(*carried, ordinal, header, seq, plus, qual, framing_ok)`` of text rows in file order.
+
+    ``carried`` are columns that are constant within a file, the file first.
+    """
+    fields = [lines.schema[c] for c in carried]
+    out = T.StructType([*fields, T.StructField("ordinal", T.LongType()),
+                        *[T.StructField(c, T.StringType()) for c in ("header", "seq", "plus", "qual")]])
+    names, kept = out.names, len(fields)
+
+    def frame(batches):
+        types = None
+        for heads, ordinals, four, seen in _framed(batches, kept):
+            types = seen or types
+            if heads:
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([h[i] for h in heads], t) for i, t in enumerate(types)],
+                     pa.array(ordinals, pa.int64()), *[pa.array(x, pa.string()) for x in four]], names=names)
+
+    framed = lines.select(*carried, value_col).mapInArrow(frame, out)
+    # A line end at the end of a plain file leaves one empty line, which is no record.
+    framed = framed.where(~((F.col("header") == "") & F.col("seq").isNull()))
+    ok = (F.col("header").startswith("@") & F.col("plus").startswith("+")
+          & (F.length("seq") == F.length("qual")))
+    return framed.withColumn("framing_ok", F.coalesce(ok, F.lit(False)))
 
-class FastqReader(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
-
-    def partitions(self):
-        return [_FilePartition(f) for f in self.files]
 
-    def read(self, partition) -> Iterator[tuple]:
-        path = partition.path
-        opener = gzip.open if path.endswith(".gz") else open
-        with opener(path, "rt") as fh:
-            ordinal = 0
-            while True:
-                header = fh.readline()
-                if not header:
-                    break
-                seq = fh.readline().rstrip("\n")
-                plus = fh.readline().rstrip("\n")
-                qual = fh.readline().rstrip("\n")
-                yield (path, ordinal, header.rstrip("\n"), seq, plus, qual)
-                ordinal += 1
+def _reader(reader, glob: str, recursive: bool):
+    reader = reader.option("pathGlobFilter", glob)
+    return reader.option("recursiveFileLookup", "true") if recursive else reader
 
 
-class FastqDataSource(DataSource):
-    """``spark.read.format("fastq").option("files", "a.fastq.gz,b.fastq.gz").load()``.
+def scan_fastq_records(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
+                       recursive: bool = False, whole_files: bool | None = None) -> DataFrame:
+    """Whole records of all files with a framing flag.
 
-    One partition per file (gzip is not splittable); rows keep their in-file
-    ``ordinal``.  Used where whole records are needed: framing checks and the
-    compacted FASTQ table.
+    ``whole_files`` reads one row per file; by default where the names do not end in ``.gz``.
     """
+    whole = not glob.endswith(".gz") if whole_files is None else whole_files
+    reader = _reader(spark.read, glob, recursive).option("wholetext", str(whole).lower())
+    text = reader.text(split_dirs(dirs)).select(F.col("_metadata.file_path").alias("file"), "value")
+    return frame_records(text)
 
-    @classmethod
-    def name(cls):
-        return "fastq"
 
-    def schema(self):
-        return RECORD_SCHEMA
+def parse_fastq(records: DataFrame) -> DataFrame:
+    """Records with the header columns, ``bad_header`` and ``bad_record`` (header or framing)."""
+    parsed = parse_fastq_header(records)
+    return parsed.withColumn("bad_record", F.col("bad_header") | ~F.col("framing_ok"))
 
-    def reader(self, schema):
-        files = [f for f in self.options.get("files", "").split(",") if f]
-        return FastqReader(files)
 
+def scan_fastq(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
+               mode: str = "record", recursive: bool = False) -> DataFrame:
+    """Header table ``(read_id, run_id, sample_id, read, channel, start_time_utc)``.
 
-def register_fastq_source(spark: SparkSession) -> None:
-    spark.dataSource.register(FastqDataSource)
+    ``mode='record'`` drops malformed records only; ``mode='file'`` drops every
+    row of a file that has one, in its header or its framing.
+    """
+    return quarantine(parse_fastq(scan_fastq_records(spark, dirs, glob, recursive)), mode).select(*HEADER_COLUMNS)
 
 
-def list_files(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
-               recursive: bool = False) -> list[str]:
-    """File paths through Spark's file index (content not read)."""
-    r = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    rows = r.load(split_dirs(dirs)).select("path").collect()
-    return sorted(r["path"].replace("file:", "", 1) if r["path"].startswith("file:") else r["path"]
-                  for r in rows)
+def bad_fastq_files(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Files that are not wholly well formed: ``(file, bad_headers, bad_framing, records)``.
+
+    With ``files`` (a listing with column ``path``), files without any record are reported too.
+    """
+    found = parsed.groupBy("file").agg(F.count_if("bad_header").alias("bad_headers"),
+                                       F.count_if(~F.col("framing_ok")).alias("bad_framing"),
+                                       F.count(F.lit(1)).alias("records"))
+    if files is not None:
+        zero = F.lit(0).cast("long")
+        found = files.select(F.col("path").alias("file")).join(found, "file", "left").select(
+            "file", *[F.coalesce(c, zero).alias(c) for c in ("bad_headers", "bad_framing", "records")])
+    return found.where("bad_headers > 0 or bad_framing > 0 or records = 0")
 
 
-def scan_fastq_records(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
-                       recursive: bool = False) -> DataFrame:
-    """Whole records with a framing flag: sequence and quality of equal length, ``+`` separator."""
-    register_fastq_source(spark)
-    files = list_files(spark, dirs, glob, recursive)
-    df = spark.read.format("fastq").option("files", ",".join(files)).load()
-    ok = (F.col("header").startswith("@") & F.col("plus").startswith("+")
-          & (F.length("seq") == F.length("qual")))
-    return df.withColumn("framing_ok", F.coalesce(ok, F.lit(False)))
+def quarantine(parsed: DataFrame, mode: str = "record") -> DataFrame:
+    if mode == "record":
+        return parsed.where(~F.col("bad_record"))
+    if mode == "file":
+        # One row per bad file: a small anti-join side, broadcast by AQE when it is small.
+        return parsed.join(bad_fastq_files(parsed).select("file"), "file", "left_anti")
+    raise ValueError("mode must be 'record' or 'file'")
 
 
-def header_schema() -> T.StructType:
-    return T.StructType([T.StructField("read_id", T.StringType()), T.StructField("run_id", T.StringType()),
-                         T.StructField("sample_id", T.StringType()), T.StructField("read", T.IntegerType()),
-                         T.StructField("channel", T.IntegerType()),
-                         T.StructField("start_time_utc", T.TimestampType())])
+def list_files(spark: SparkSession, dirs: str | Sequence[str], glob: str = FASTQ_GLOB,
+               recursive: bool = False) -> DataFrame:
+    """``(path, length)`` of the files through Spark's file index; contents are not read."""
+    return _reader(spark.read.format("binaryFile"), glob, recursive).load(split_dirs(dirs)).select("path", "length")

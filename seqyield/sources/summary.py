@@ -1,14 +1,15 @@
-"""Sequencing-summary TSV scan (header in every file, tab separated)."""
+"""Sequencing-summary TSV scan: columns by header name, broken cells counted."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqyield.functions.expr import nans_to_null
+from seqyield.functions.expr import nan_to_null
 from seqyield.operators.reads import summary_time_columns
 
 SUMMARY_SCHEMA = T.StructType([
@@ -37,25 +38,109 @@ def split_dirs(dirs: str | Sequence[str]) -> list[str]:
     return list(dirs)
 
 
+def _is_header(cells: Column, schema: T.StructType) -> Column:
+    """A header line holds the names of the columns, whatever their order."""
+    return F.size(F.array_intersect(cells, F.array(*[F.lit(n) for n in schema.names]))) * 2 > len(schema.names)
+
+
+def summary_cells(lines: DataFrame, schema: T.StructType = SUMMARY_SCHEMA) -> DataFrame:
+    """Lines ``(file, value)`` of summary files as ``(file, cells)``: the cells of each row by schema order.
+
+    Every file's own header says where its columns are; the rows meet it by
+    file name.  A file that lacks a column makes the job fail with an error
+    naming the file and the column.
+    """
+    split = lines.select("file", F.split("value", "\t").alias("cells"))
+    header = _is_header(F.col("cells"), schema)
+    headers = split.where(header).groupBy(F.col("file").alias("__file")).agg(F.first("cells").alias("__names"))
+    missing = F.array_except(F.array(*[F.lit(n) for n in schema.names]), F.col("__names"))
+    places = headers.select("__file", F.when(F.size(missing) > 0, F.raise_error(F.concat(
+        F.lit("summary file "), F.col("__file"), F.lit(" has no column "), F.array_join(missing, ", ")))).otherwise(
+        F.array(*[F.array_position("__names", n).cast("int") - 1 for n in schema.names])).alias("__at"))
+    rows = split.where(~header).join(places, F.col("file") == F.col("__file"), "left")
+    at = F.coalesce(F.col("__at"), F.raise_error(F.concat(F.lit("summary file without a header: "), F.col("file"))))
+    return rows.select("file", F.transform(at, lambda i: F.get("cells", i)).alias("cells"))
+
+
+def align_cells(lines: DataFrame, schema: T.StructType = SUMMARY_SCHEMA) -> DataFrame:
+    """:func:`summary_cells` for a stream: lines ``(file, arrival, value)`` to ``(file, arrival, cells)``.
+
+    A stream cannot join a file with itself; a file's lines reach one task in
+    order here, and its first line is the header.
+    """
+    names = schema.names
+
+    def align(batches):
+        current, places = None, None
+        for batch in batches:
+            kept, cells = [], []
+            for i, (file, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                row = value.split("\t")
+                if file != current:
+                    missing = [n for n in names if n not in row]
+                    if missing:
+                        raise ValueError(f"summary file {file} has no column {', '.join(missing)}")
+                    current, places = file, [row.index(n) for n in names]
+                elif value:
+                    kept.append(i)
+                    cells.append([row[p] if p < len(row) else None for p in places])
+            if kept:
+                index = pa.array(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(cells, pa.list_(pa.string()))],
+                    names=["file", "arrival", "cells"])
+
+    kind = lines.schema["arrival"].dataType.simpleString()
+    return lines.select("file", "arrival", "value").mapInArrow(align, f"file string, arrival {kind}, cells array<string>")
+
+
+def _value(cell: Column, kind: T.DataType) -> Column:
+    """A cell's value: empty cells and ``nan`` are missing, and so is what does not parse."""
+    if isinstance(kind, T.StringType):
+        return F.nullif(cell, F.lit(""))
+    parsed = F.when(F.lower(F.trim(cell)) == "nan", F.lit(None)).otherwise(cell).try_cast(kind)
+    return nan_to_null(parsed).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else parsed
+
+
+def _broken(cell: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.lit(False)
+    blank = cell.isNull() | (F.trim(cell) == "") | (F.lower(F.trim(cell)) == "nan")
+    return ~blank & cell.try_cast(kind).isNull()
+
+
+def read_lines(spark: SparkSession, dirs: str | Sequence[str], glob: str = SUMMARY_GLOB,
+               recursive: bool = False) -> DataFrame:
+    r = spark.read.option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    return r.text(split_dirs(dirs)).select(F.col("_metadata.file_path").alias("file"), "value").where("value <> ''")
+
+
+def cells_to_rows(cells: DataFrame, schema: T.StructType = SUMMARY_SCHEMA, carried: Sequence[str] = ()) -> DataFrame:
+    return cells.select(*carried, *[_value(F.get("cells", F.lit(i)), f.dataType).alias(f.name)
+                                    for i, f in enumerate(schema.fields)])
+
+
 def scan_summary(spark: SparkSession, dirs: str | Sequence[str], glob: str = SUMMARY_GLOB,
                  schema: T.StructType = SUMMARY_SCHEMA, with_time_columns: bool = True,
                  with_file: bool = False, recursive: bool = False) -> DataFrame:
     """All summary files of the given folders (not recursive) as one DataFrame.
 
-    Fixed schema (no inference pass), ``nan`` cells and NaN → NULL; with
+    Columns are taken by name from each file's header; ``nan`` and empty cells
+    are NULL, and so are cells that do not parse (see ``broken_cells``).  With
     ``with_time_columns`` the two time columns are renamed and added as intervals.
     """
-    r = (spark.read.schema(schema).option("sep", "\t").option("header", True)
-         .option("nanValue", "nan").option("pathGlobFilter", glob).option("mode", "PERMISSIVE"))
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    df = r.csv(split_dirs(dirs))
-    if with_file:
-        df = df.withColumn("file", F.col("_metadata.file_path"))
-    df = nans_to_null(df)
+    cells = summary_cells(read_lines(spark, dirs, glob, recursive), schema)
+    df = cells_to_rows(cells, schema, ["file"] if with_file else [])
     return summary_time_columns(df) if with_time_columns else df
 
 
-def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write rows in the summary layout (TSV with header) — used to build test folders."""
-    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+def broken_cells(spark: SparkSession, dirs: str | Sequence[str], glob: str = SUMMARY_GLOB,
+                 schema: T.StructType = SUMMARY_SCHEMA, recursive: bool = False) -> DataFrame:
+    """``(file, rows, broken_rows, broken_cells)``: what does not parse, per file."""
+    cells = summary_cells(read_lines(spark, dirs, glob, recursive), schema)
+    flags = [_broken(F.get("cells", F.lit(i)), f.dataType).cast("long") for i, f in enumerate(schema.fields)]
+    counted = cells.select("file", sum(flags[1:], flags[0]).alias("broken"))
+    return counted.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("broken") > 0).alias("broken_rows"),
+                                       F.sum("broken").alias("broken_cells"))

@@ -8,9 +8,11 @@ parts run as streaming queries over the instrument's folders:
 * ``stream_merge`` — stream–stream inner join of summary and FASTQ-header rows
   on the read keys.  The summary side only has run-relative seconds, so both
   sides use *arrival time* (the file's modification time) as event time, with a
-  watermark each and a bounded arrival gap: join state is released by arrival;
+  watermark each and a bounded arrival gap: join state is released by arrival,
+  and ``given_up`` lists the pairs whose halves came further apart;
 * ``stream_yield`` — yield and read count per event-time window and pass class,
-  with a watermark on the read start time;
+  with a watermark on the read start time; each micro-batch writes the windows
+  it changed (update mode), so the watermark releases finished windows' state;
 * ``stream_channel_totals`` — running total per channel;
 * ``stream_running_yield`` — running totals per pass class, kept as one row per
   micro-batch in an idempotent ``foreachBatch`` table (keyed by batch id), so a
@@ -73,6 +75,13 @@ def stream_merge(summary: DataFrame, fastq: DataFrame, keys: Sequence[str] = REA
                     *[f[c] for c in others])
 
 
+def given_up(summary: DataFrame, fastq: DataFrame, merged: DataFrame, keys: Sequence[str] = READ_KEYS) -> DataFrame:
+    """Keys that are on both sides (batch frames of the streams' inputs) but not in the merged table."""
+    keys = list(keys)
+    both = summary.select(*keys).join(fastq.select(*keys), keys, "left_semi")
+    return both.join(merged.select(*keys), keys, "left_anti").distinct()
+
+
 def stream_yield(reads: DataFrame, time_col: str = "start_time_utc", window: str = "10 minutes",
                  watermark: str = "1 hour", length_col: str = "sequence_length_template",
                  quality_col: str = "qualitative_pass") -> DataFrame:
@@ -94,23 +103,37 @@ def stream_channel_totals(reads: DataFrame, channel_col: str = "channel",
         F.sum(F.col(length_col).cast("long")).alias("channel_yield"), F.count(F.lit(1)).alias("reads"))
 
 
+def _write_batch(path: str):
+    """Store a micro-batch as partition ``batch_id=N``; a replayed one replaces itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    return write
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
                  available_now: bool = True, processing_time: str | None = None):
     """Start a streaming write.
 
     ``append``: Parquet file sink (exactly-once through its commit log).
-    ``complete``: each micro-batch rewrites the whole (bounded) aggregate table
-    through ``foreachBatch`` — the result table equals the batch aggregate.
+    ``update``: each micro-batch stores the rows it changed as partition
+    ``batch_id=N``; ``latest`` reads the newest row of every key.
     """
     w = df.writeStream.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
     if mode == "append":
         return w.outputMode("append").format("parquet").option("path", path).start()
-    if mode == "complete":
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-        return w.outputMode("complete").foreachBatch(write).start()
-    raise ValueError("mode must be 'append' or 'complete'")
+    if mode == "update":
+        return w.outputMode("update").foreachBatch(_write_batch(path)).start()
+    raise ValueError("mode must be 'append' or 'update'")
+
+
+def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key of an ``update`` table (map-side combined, no window)."""
+    t = spark.read.parquet(path)
+    rest = [c for c in t.columns if c not in (*keys, "batch_id")]
+    newest = t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("row"))
+    return newest.select(*keys, "row.*")
 
 
 def running_yield_batches(reads: DataFrame, path: str, checkpoint: str, pass_col: str = "pass",
@@ -120,12 +143,11 @@ def running_yield_batches(reads: DataFrame, path: str, checkpoint: str, pass_col
     Running totals up to batch N are the sums over partitions ≤ N (see
     :func:`running_yield_totals`); order holds between micro-batches, not inside one.
     """
+    store = _write_batch(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(F.col(pass_col).alias("pass"))
-         .agg(F.sum(F.col(length_col).cast("long")).alias("bases"), F.count(F.lit(1)).alias("reads"))
-         .withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(path))
+        store(batch.groupBy(F.col(pass_col).alias("pass")).agg(
+            F.sum(F.col(length_col).cast("long")).alias("bases"), F.count(F.lit(1)).alias("reads")), batch_id)
     w = reads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
@@ -158,7 +180,8 @@ def state_partitions(spark: SparkSession, n: int | None = None):
         spark.conf.set(key, old)
 
 
-def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append",
+             keys: Sequence[str] | None = None) -> DataFrame:
     """Run a stream to completion on the data present now; return the result table."""
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
@@ -167,36 +190,41 @@ def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append"
         q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(out)
+    return latest(spark, out, keys or []) if mode == "update" else spark.read.parquet(out)
+
+
+def _text_stream(spark: SparkSession, folder: str, glob: str, files_per_trigger: int | None,
+                 recursive: bool = False) -> DataFrame:
+    r = spark.readStream.format("text").option("pathGlobFilter", glob)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    return r.load(folder).select(F.col("_metadata.file_path").alias("file"),
+                                 F.col("_metadata.file_modification_time").alias("arrival"), "value")
 
 
 def stream_summary(spark: SparkSession, dirs, glob: str = "*sequencing_summary*.txt",
                    files_per_trigger: int | None = 4) -> DataFrame:
-    """Summary TSV files as they arrive: same schema, NaN handling and renames as the batch scan."""
-    from seqyield.functions.expr import nans_to_null
+    """Summary TSV files as they arrive: columns by header name and renames as in the batch scan.
+
+    A file's rows stay together in arrival order, so its header line says where
+    its columns are (files below ``spark.sql.files.maxPartitionBytes`` each).
+    """
     from seqyield.operators.reads import summary_time_columns
-    from seqyield.sources.summary import SUMMARY_SCHEMA, split_dirs
+    from seqyield.sources.summary import SUMMARY_SCHEMA, align_cells, cells_to_rows, split_dirs
 
     paths = split_dirs(dirs)
     if len(paths) != 1:
         raise ValueError("a file stream reads one folder (use one query per folder)")
-    df = file_stream(spark, paths[0], SUMMARY_SCHEMA, fmt="csv", glob=glob, files_per_trigger=files_per_trigger,
-                     sep="\t", header="true", nanValue="nan")
-    return summary_time_columns(nans_to_null(df))
+    lines = _text_stream(spark, paths[0], glob, files_per_trigger)
+    return summary_time_columns(cells_to_rows(align_cells(lines), SUMMARY_SCHEMA, ["arrival"]))
 
 
 def stream_fastq_headers(spark: SparkSession, folder: str, glob: str = "*.fastq.gz",
                          files_per_trigger: int | None = 4, recursive: bool = False) -> DataFrame:
-    """FASTQ header rows as files arrive (record-level quarantine: bad headers are dropped)."""
-    from seqyield.sources.fastq import HEADER_RE, parse_fastq_header
+    """FASTQ header rows as files arrive (record-level quarantine: malformed records are dropped)."""
+    from seqyield.sources.fastq import HEADER_COLUMNS, frame_records, parse_fastq, quarantine
 
-    r = spark.readStream.format("text").option("pathGlobFilter", glob)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    lines = r.load(folder).select(F.col("_metadata.file_path").alias("file"),
-                                  F.col("_metadata.file_modification_time").alias("arrival"), "value")
-    parsed = parse_fastq_header(lines.where(F.col("value").rlike(HEADER_RE)))
-    return parsed.where(~F.col("bad_header")).select("arrival", "read_id", "run_id", "sample_id", "read",
-                                                     "channel", "start_time_utc")
+    lines = _text_stream(spark, folder, glob, files_per_trigger, recursive)
+    return quarantine(parse_fastq(frame_records(lines, ("file", "arrival")))).select("arrival", *HEADER_COLUMNS)
