@@ -157,9 +157,8 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
 
     Bandwidth: Scott's rule ``1.059 * min(sd, IQR/1.349) * n^(-1/5)`` (sd alone
     when the IQR is 0); support ``[min - cut*bw, max + cut*bw]``.  Every row
-    adds to the ``gridsize`` sums of its group in one partially aggregated
-    pass; the sums are unfolded afterwards, so the result is exact at any size
-    and no row is copied.
+    adds its kernel to the ``gridsize`` sums of its group, a matrix per Arrow
+    batch, so the result is exact at any size and no row is copied.
     """
     by = list(by or [])
     data = df.select(*by, _num(col).alias("__x")).where("__x is not null")
@@ -175,17 +174,31 @@ def kde_1d(df: DataFrame, col: str, by: Sequence[str] | None = None, gridsize: i
              .withColumn("__lo", F.col("__mn") - cut * F.col("__bw"))
              .withColumn("__hi", F.col("__mx") + cut * F.col("__bw")))
     params = ["__n", "__bw", "__lo", "__hi"]
-    rows = _group_params(stats, by, params)(data)
-    point = lambda k: F.col("__lo") + F.lit(float(k)) * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1))
+    rows = _group_params(stats, by, params)(data).select(*by, *params, "__x")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names, steps = [*rows.columns[:-1], "__sums"], np.arange(gridsize, dtype=float)
 
-    def kernel(k):
-        z = (point(k) - F.col("__x")) / F.col("__bw")
-        return F.exp(-0.5 * z * z)
-    sums = rows.groupBy(*by, *params).agg(*[F.sum(kernel(k)).alias(f"__s{k}") for k in range(gridsize)])
+    def kernels(batches):
+        for batch in batches:
+            _, bw, lo, hi, x = (np.asarray(batch.column(i), float) for i in range(len(by), batch.num_columns))
+            sums = np.exp(-0.5 * (((lo[:, None] + steps * ((hi - lo) / (gridsize - 1))[:, None]) - x[:, None]) / bw[:, None]) ** 2)
+            group = np.zeros(len(x), np.int64)
+            for i in range(len(by)):
+                codes = np.asarray(batch.column(i).dictionary_encode(null_encoding="encode").indices)
+                group = np.unique(group * (len(x) + 1) + codes, return_inverse=True)[1]
+            order = np.argsort(group, kind="stable")
+            starts = np.concatenate([[0], np.nonzero(np.diff(group[order]))[0] + 1]) if len(x) else order
+            sums = np.add.reduceat(sums[order], starts) if len(x) else sums
+            first = batch.take(pa.array(order[starts]))
+            yield pa.RecordBatch.from_arrays([*first.columns[:-1], pa.array(list(sums), pa.list_(pa.float64()))],
+                                             names=names)
+
+    # Every batch sends one row of sums per group it holds; the grid points are added up from those.
+    added = rows.mapInArrow(kernels, kinds + ", __sums array<double>").select(
+        *by, *params, F.posexplode("__sums").alias("point", "__s")).groupBy(*by, *params, "point").agg(F.sum("__s").alias("__s"))
+    x = F.col("__lo") + F.col("point").cast("double") * ((F.col("__hi") - F.col("__lo")) / (gridsize - 1))
     norm = F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)
-    unfolded = sums.select(*by, *params, F.posexplode(F.array(*[
-        F.struct(point(k).alias("x"), F.col(f"__s{k}").alias("s")) for k in range(gridsize)])).alias("point", "g"))
-    return unfolded.select(*by, "point", F.col("g.x").alias("x"), (F.col("g.s") / norm).alias("density"))
+    return added.select(*by, "point", x.alias("x"), (F.col("__s") / norm).alias("density"))
 
 
 def _round_frac(x: Column, digits: int = 3) -> Column:

@@ -90,7 +90,7 @@ def test_quality_ridges_labels(spark):
     assert "0 - 00:07" in labels and len(labels) == 16
 
 
-def test_kde_2d_close_to_direct_sum(spark):
+def test_kde_2d_is_the_direct_sum(spark):
     rng = random.Random(21)
     rows = [(rng.gauss(0, 1), rng.gauss(5, 2)) for _ in range(800)]
     df = spark.createDataFrame(rows, "x double, y double")
@@ -107,22 +107,27 @@ def test_kde_2d_close_to_direct_sum(spark):
     kx = np.exp(-0.5 * ((gx[:, None] - a[None, :, 0]) / bx) ** 2)
     ky = np.exp(-0.5 * ((gy[:, None] - a[None, :, 1]) / by) ** 2)
     z = kx @ ky.T / (n * bx * by * 2 * math.pi)
-    peak = z.max()
+    assert len(got) == 900
     for (i, j), d in got.items():
-        assert abs(d - z[i, j]) <= 0.02 * peak
+        assert d == pytest.approx(z[i, j], rel=1e-9, abs=1e-300)
 
 
-def test_kde_prebinned_path_close(spark, monkeypatch):
-    monkeypatch.setattr(dist, "KDE_EXACT_ROWS", 0)
+def test_kde_by_group_is_exact(spark):
     rng = random.Random(15)
-    vals = [rng.gauss(10, 2) for _ in range(3000)]
-    df = spark.createDataFrame([(v,) for v in vals], "q double")
-    got = sorted((r["point"], r["density"]) for r in dist.kde_1d(df, "q").collect())
-    a = np.asarray(vals)
-    q75, q25 = np.percentile(a, [75, 25])
-    bw = 1.059 * min(a.std(ddof=1), (q75 - q25) / 1.349) * len(a) ** (-0.2)
-    grid = np.linspace(a.min() - 3 * bw, a.max() + 3 * bw, 100)
-    dens = np.exp(-0.5 * ((grid[:, None] - a[None, :]) / bw) ** 2).sum(axis=1) / (len(a) * bw * math.sqrt(2 * math.pi))
-    # snapping to bw/64 cells moves a value by at most half a cell: the density by
-    # at most half a cell times its slope (< 1 % of the peak; here about 2e-4)
-    assert [d for _, d in got] == pytest.approx(list(dens), abs=2e-3 * dens.max())
+    rows = [("big" if i % 10 else "small", rng.gauss(10, 2)) for i in range(3000)]
+    got = dist.kde_1d(spark.createDataFrame(rows, "g string, q double"), "q", by=["g"]).collect()
+    for g in ("big", "small"):
+        a = np.asarray([v for k, v in rows if k == g])
+        q75, q25 = np.percentile(a, [75, 25])
+        bw = 1.059 * min(a.std(ddof=1), (q75 - q25) / 1.349) * len(a) ** (-0.2)
+        grid = np.linspace(a.min() - 3 * bw, a.max() + 3 * bw, 100)
+        dens = np.exp(-0.5 * ((grid[:, None] - a[None, :]) / bw) ** 2).sum(axis=1) / (len(a) * bw * math.sqrt(2 * math.pi))
+        mine = sorted((r["point"], r["density"]) for r in got if r["g"] == g)
+        assert [d for _, d in mine] == pytest.approx(list(dens), rel=1e-9)
+
+
+def test_trend_with_many_groups(spark):
+    rows = [(f"g{i % 200}", float(i), float(i % 7)) for i in range(4000)]
+    out = dist.binned_trend(spark.createDataFrame(rows, "qualitative_pass string, t double, y double"), "t", "y")
+    assert out.select("group").distinct().count() == 200
+    assert out.agg({"reads": "sum"}).head()[0] == 4000

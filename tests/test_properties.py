@@ -1,12 +1,10 @@
-"""Property tests: the distributed (two-phase) paths equal brute force on random data."""
+"""Property tests: the distributed operators equal brute force on random data."""
 from __future__ import annotations
 
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from seqyield.operators import prefix as pmod
-from seqyield.operators import quantiles as qmod
 from seqyield.operators.prefix import running_totals
 from seqyield.operators.quantiles import quantile_values
 
@@ -21,8 +19,7 @@ SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=[Health
 
 @SETTINGS
 @given(rows=rows_strategy, buckets=st.integers(1, 7))
-def test_two_phase_running_sums_equal_brute_force(spark, monkeypatch, rows, buckets):
-    monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
+def test_running_sums_equal_brute_force(spark, rows, buckets):
     data = [(t, g, m, f"id{i:04d}") for i, (t, g, m) in enumerate(rows)]
     df = spark.createDataFrame(data, "t int, g string, m long, id string")
     out = running_totals(df, ["t", "id"], {"s": "m", "c": 1}, by=["g"], n_buckets=buckets)
@@ -37,8 +34,7 @@ def test_two_phase_running_sums_equal_brute_force(spark, monkeypatch, rows, buck
 @given(values=st.lists(st.one_of(st.integers(-50, 50).map(float), st.floats(-1e6, 1e6, allow_nan=False)),
                        min_size=1, max_size=150),
        probs=st.lists(st.floats(0, 1), min_size=1, max_size=4, unique=True))
-def test_two_phase_quantiles_equal_pandas(spark, monkeypatch, values, probs):
-    monkeypatch.setattr(qmod, "SMALL_DISTINCT", 0)
+def test_quantiles_equal_pandas(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = quantile_values(df, "v", probs)
     s = pd.Series(values, dtype="float64").sort_values().reset_index(drop=True)
@@ -49,32 +45,24 @@ def test_two_phase_quantiles_equal_pandas(spark, monkeypatch, values, probs):
         assert g == exp or abs(g - exp) <= 1e-9 * max(1.0, abs(exp))
 
 
-def _nx_loop(lengths):
-    """The reference's N-value loop, written out: ascending lengths, first index per target."""
-    s = sorted(lengths)
-    cum = []
-    acc = 0
-    for v in s:
-        acc += v
-        cum.append(acc)
-    total = acc
-    ps = [0.1, 0.25, 0.5, 0.75, 0.9]
-    nx = []
-    for i, v in enumerate(s):
-        if cum[i] <= total * ps[len(nx)] and (i + 1 < len(s) and total * ps[len(nx)] <= cum[i + 1]):
-            nx.append(v)
-        if len(nx) == len(ps):
-            break
-    return nx
-
-
 @SETTINGS
-@given(lengths=st.lists(st.one_of(st.integers(0, 60), st.just(7)), min_size=2, max_size=150),
-       two_phase=st.booleans())
-def test_nx_compat_equals_reference_loop(spark, monkeypatch, lengths, two_phase):
+@given(lengths=st.lists(st.one_of(st.integers(0, 60), st.just(7)), min_size=2, max_size=150))
+def test_nx_compat_picks_sit_at_their_targets(spark, lengths):
+    """Every value is that of a read whose cumulative bases do not pass the target while the next
+    read's reach it, at ever later places; where the list ends, no later read would do."""
+    from itertools import accumulate
+
     from seqyield.operators import stats
-    if two_phase:
-        monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
     df = spark.createDataFrame([(x,) for x in lengths], "sequence_length_template long")
-    got = [r["value"] for r in stats.nx_values(df, mode="compat").orderBy("label").collect()]
-    assert got == _nx_loop(lengths)
+    got = {r["label"]: r["value"] for r in stats.nx_values(df, mode="compat").collect()}
+    ordered, total = sorted(lengths), float(sum(lengths))
+    sums = list(accumulate(ordered))
+    place, ended = -1, False
+    for p in (0.1, 0.25, 0.5, 0.75, 0.9):
+        fits = [i for i in range(place + 1, len(ordered) - 1) if sums[i] <= total * p <= sums[i + 1]]
+        label = f"N{round(p * 100):02d}"
+        ended = ended or not fits
+        assert (label in got) == (not ended)
+        if not ended:
+            place = min(fits)
+            assert got[label] == ordered[place]

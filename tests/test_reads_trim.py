@@ -7,7 +7,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqyield.operators import quantiles as qmod
 from seqyield.operators import trim
 from seqyield.operators.quantiles import exact_quantiles, quantile_values
 from seqyield.operators.reads import (check_single_sample, dedup_reads, elapsed_time, enrich_reads,
@@ -64,10 +63,7 @@ def _pandas_q(values, p):
     return pd.Series(values, dtype="float64").quantile(p)
 
 
-@pytest.mark.parametrize("force_two_phase", [False, True])
-def test_exact_quantiles_match_pandas(spark, monkeypatch, force_two_phase):
-    if force_two_phase:
-        monkeypatch.setattr(qmod, "SMALL_DISTINCT", 0)
+def test_exact_quantiles_match_pandas(spark):
     rng = random.Random(7)
     # a hot value holds a third of the rows; the rest is continuous
     vals = [12.5] * 700 + [rng.uniform(0, 100) for _ in range(1400)] + [None] * 5 + [float("nan")] * 3
@@ -79,8 +75,7 @@ def test_exact_quantiles_match_pandas(spark, monkeypatch, force_two_phase):
         assert g == pytest.approx(_pandas_q(clean, p), rel=1e-12, abs=1e-12)
 
 
-def test_exact_quantiles_grouped_two_phase(spark, monkeypatch):
-    monkeypatch.setattr(qmod, "SMALL_DISTINCT", 0)
+def test_exact_quantiles_grouped(spark):
     rng = random.Random(3)
     rows = [("a" if i % 3 else "b", float(rng.randint(0, 500))) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -133,6 +128,8 @@ def test_trim_exclusions_modes(spark):
     compat = {r["region"]: r["reads"] for r in trim.trim_exclusions(df, mode="compat", bounds=b).collect()}
     assert compat["010"] == compat["110"] == compat["001"] == compat["011"] == 0
     assert compat["101"] == compat["111"] == kept[0]
+    inside = (F.col("start_time_float_by_sample") > b.time_min) & (F.col("start_time_float_by_sample") < b.time_max)
+    assert compat["100"] == df.where(inside & (F.col("events_ratio") < 20) & (F.col("sequence_length_template") > b.length_max)).count()
 
 
 def test_dedup_hot_key(spark):

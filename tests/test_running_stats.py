@@ -4,13 +4,11 @@ import contextlib
 import io
 import random
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from seqyield.functions.expr import hhmm, human_bases, zfill
-from seqyield.operators import prefix as pmod
 from seqyield.operators import running, stats
 from seqyield.operators.flowcell import flowcell_grid
 from seqyield.operators.prefix import running_totals
@@ -27,10 +25,7 @@ def _reads(spark, n=1500, seed=1, hot=True):
                                        "sequence_length_template long, pass boolean, channel int"), rows
 
 
-@pytest.mark.parametrize("force_two_phase", [False, True])
-def test_running_columns_match_pandas(spark, monkeypatch, force_two_phase):
-    if force_two_phase:
-        monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
+def test_running_columns_match_pandas(spark):
     df, rows = _reads(spark)
     got = {r["read_id"]: r for r in running.running_columns(df).collect()}
     pdf = pd.DataFrame(rows, columns=["read_id", "t", "len", "pass", "channel"]).sort_values(["t", "read_id"])
@@ -46,16 +41,24 @@ def test_running_columns_match_pandas(spark, monkeypatch, force_two_phase):
             (r["read_count"], r["yield"], r["channel_yield"], r["quality_yield"], r["quality_count"])
 
 
-def test_two_phase_plan_has_no_single_partition_exchange(spark, monkeypatch):
-    monkeypatch.setattr(pmod, "SMALL_ROWS", 0)
+def test_plan_moves_rows_once(spark):
+    """One range shuffle while the buckets are written; afterwards only bucket totals move."""
     df, _ = _reads(spark, n=300)
     out = running_totals(df, ["start_time_float_by_sample", "read_id"], {"y": "sequence_length_template"})
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         out.explain()
-    plan = buf.getvalue()
-    # only the bounded per-bucket totals may be gathered, never the rows
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    rows, totals = buf.getvalue().split("BroadcastExchange", 1)
+    assert "Exchange" not in rows and "Window" not in rows
+    assert "SinglePartition" in totals            # at most one row a bucket
+
+
+def test_running_totals_with_nulls_and_floats(spark):
+    rows = [(None, 1, 0.5), (None, 2, None), ("a", 1, 0.25), ("a", 3, 1.0), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, t int, v double")
+    got = {(r["g"], r["t"]): r["s"] for r in running_totals(df, ["t"], {"s": "v"}, by=["g"], n_buckets=4).collect()}
+    assert got == {(None, 1): 0.5, (None, 2): 0.5, ("a", 1): 0.25, ("a", 2): 0.25, ("a", 3): 1.25}
+    assert running_totals(df.limit(0), ["t"], {"s": "v"}).count() == 0
 
 
 def test_equal_times_ordered_by_id(spark):
@@ -82,27 +85,44 @@ def _nx(spark, lengths, mode):
     return [(r["label"], r["value"]) for r in stats.nx_values(df, mode=mode).orderBy("label").collect()]
 
 
-def _nx_loop(lengths):
-    """The reference's loop, written out for the test."""
-    s = sorted(lengths)
-    cum = np.cumsum(s)
-    total = sum(s)
-    ps = [0.1, 0.25, 0.5, 0.75, 0.9]
-    nx = []
-    for i, v in enumerate(s):
-        if cum[i] <= total * ps[len(nx)] <= (cum[i + 1] if i + 1 < len(s) else float("-inf")):
-            nx.append(v)
-        if len(nx) == len(ps):
-            break
-    return nx
-
-
 def test_nx_compat_cases(spark):
+    """Lists worked out by hand.
+
+    1, 1, 100 (total 102): for 10.2 the second read is under the target (2) and the third reaches it;
+    for 25.5 only the last read would do, which has no next one, so the list ends.
+    1..100: the picked lengths stand where the cumulative sum n(n+1)/2 passes 505, 1262.5, 2525, 3787.5, 4545.
+    """
     assert [v for _, v in _nx(spark, [100, 1, 1], "compat")] == [1]
     assert [v for _, v in _nx(spark, list(range(1, 101)), "compat")] == [31, 49, 70, 86, 94]
-    rng = random.Random(4)
-    lengths = [rng.randint(0, 3000) for _ in range(2000)] + [7] * 500
-    assert [v for _, v in _nx(spark, lengths, "compat")] == _nx_loop(lengths)
+    # Ten reads of 10: the sums 10, 20, ... meet the targets 10, 25, 50, 75 and 90 at reads 1, 2, 4 or 5, 7, 8 or 9.
+    assert _nx(spark, [10] * 10, "compat") == [("N10", 10), ("N25", 10), ("N50", 10), ("N75", 10), ("N90", 10)]
+    # 4, 4, 8, 84 (sums 4, 8, 16, 100): 10 lies between 8 and 16, 25 between 16 and 100, 50 would need the last read.
+    assert _nx(spark, [84, 8, 4, 4], "compat") == [("N10", 4), ("N25", 8)]
+    assert _nx(spark, [], "compat") == [] and _nx(spark, [], "standard") == []
+
+
+def test_nx_by_group(spark):
+    df = spark.createDataFrame([("a", x) for x in range(1, 101)] + [("b", x) for x in (100, 1, 1)], "g string, sequence_length_template long")
+    for mode in ("compat", "standard"):
+        got = {(r["g"], r["label"]): r["value"] for r in stats.nx_values(df, mode=mode, by="g").collect()}
+        for g, lengths in (("a", list(range(1, 101))), ("b", [100, 1, 1])):
+            assert {k: v for (h, k), v in got.items() if h == g} == dict(_nx(spark, lengths, mode))
+
+
+def test_report_keeps_the_original_time_origin(spark):
+    """The trim removes the earliest read: the filtered duration still counts from it."""
+    rows = [("r0", 0.0, 10**6, 1.0), *[(f"r{i}", 100.0 + i, 1000 + i, 1.0) for i in range(1, 1001)]]
+    df = spark.createDataFrame(rows, "read_id string, start_time_float_by_sample double, sequence_length_template long, events_ratio double") \
+        .withColumn("mean_qscore_template", F.lit(9.5)).withColumn("sample_id", F.lit("S1"))
+    from seqyield.operators.trim import trim_reads
+    kept = trim_reads(df)
+    assert kept.where("read_id = 'r0'").count() == 0
+    rep = {(r["stage"], r["section"], r["label"]): (r["value"], r["human"]) for r in
+           stats.run_report({"unfiltered": df, "filtered": kept}).collect()}
+    last = kept.agg(F.max("start_time_float_by_sample")).head()[0]
+    assert rep["filtered", "duration", "seconds"][0] == last > 1000
+    assert rep["unfiltered", "duration", "seconds"] == (1100.0, "0 hours, 18 minutes, 20 seconds")
+    assert rep["filtered", "sample", "id"] == (None, "S1")
 
 
 def test_nx_standard_brute_force(spark):
@@ -148,6 +168,17 @@ def test_pearson_p_value():
     assert stats.pearson_p_value(0.0, 10) == pytest.approx(1.0)
     assert stats.pearson_p_value(0.5, 10) == pytest.approx(0.141, abs=1e-3)
     assert stats.pearson_p_value(1.0, 10) == 0.0
+    # t = 1 has the tail of the normal distribution in the limit
+    for n in (10**10, 10**12, 10**15):
+        r = 1 / (n - 1) ** 0.5
+        assert stats.pearson_p_value(r, n) == pytest.approx(0.31731050786, rel=1e-8)
+    # both forms agree where one takes over from the other
+    for r in (0.01, 0.05, 0.1, 0.2):
+        import math
+        df = stats.NORMAL_FROM
+        t2 = r * r * df / (1 - r * r)
+        assert stats.pearson_p_value(r, df + 2) == pytest.approx(stats.betainc_reg(df / 2, 0.5, df / (df + t2)), rel=1e-9)
+        assert math.isfinite(t2)
 
 
 def test_flowcell_positions(spark):
@@ -170,7 +201,7 @@ def test_flowcell_positions(spark):
 
 
 def test_range_buckets_split_a_hot_time_value(spark):
-    """The two-phase sums rely on this: a third of the rows at one time value still spread
+    """The running sums rely on this: a third of the rows at one time value still spread
     over the buckets, because the range bounds are sampled on (time, id)."""
     n = 60_000
     df = spark.range(n).select(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from seqyield.operators import batches
 from seqyield.sources import fastq as fq
-from seqyield.sources.summary import scan_summary
+from pyspark.sql.types import StructType
+
+from seqyield.sources.summary import SUMMARY_SCHEMA, broken_cells, scan_summary
 
 GOOD = "@{id} runid=f00d sampleid=S1 read={r} ch={ch} start_time=2018-09-12T01:02:0{s}Z"
 
@@ -29,16 +31,20 @@ def test_header_parsing_and_quarantine(spark, tmp_dir):
     open(os.path.join(tmp_dir, "skip.txt"), "w").write("@zzz a=b\n")
     with gzip.open(os.path.join(tmp_dir, "empty.fastq.gz"), "wt"):
         pass
+    with gzip.open(os.path.join(tmp_dir, "d.fastq.gz"), "wt") as fh:      # no "=" anywhere, then a cut record
+        fh.write("@r6 flag\nACGT\n+\n@@!!\n" + GOOD.format(id="r7", r=2**40, ch=1, s=5) + "\nACGT\n+\n@@!!\n@r8 x\nAC\n")
     rec = {r["read_id"]: r for r in fq.scan_fastq(spark, tmp_dir).collect()}
-    assert set(rec) == {"r1", "r2", "r3"}            # quality lines starting with '@' are not headers
+    assert set(rec) == {"r1", "r2", "r3", "r7"}            # quality lines starting with '@' are not headers
     assert rec["r2"]["channel"] == 9                   # duplicate key: last wins
+    assert rec["r7"]["read"] == 2**40                  # more than 32 bits
     assert rec["r1"]["read"] == 1 and rec["r1"]["sample_id"] == "S1"
     assert rec["r1"]["start_time_utc"].isoformat().startswith("2018-09-12")
     files = {r["read_id"] for r in fq.scan_fastq(spark, tmp_dir, mode="file").collect()}
     assert files == {"r1", "r2"}                       # b and c hold a malformed header
-    parsed = fq.parse_fastq_header(fq.scan_fastq_lines(spark, tmp_dir))
-    bad = {os.path.basename(r["file"]) for r in fq.bad_fastq_files(parsed).collect()}
-    assert bad == {"b.fastq.gz", "c.fastq.gz"}
+    parsed = fq.parse_fastq(fq.scan_fastq_records(spark, tmp_dir))
+    bad = {os.path.basename(r["file"]): (r["bad_headers"], r["bad_framing"], r["records"])
+           for r in fq.bad_fastq_files(parsed, fq.list_files(spark, tmp_dir)).collect()}
+    assert bad == {"b.fastq.gz": (1, 0, 2), "c.fastq.gz": (1, 0, 1), "d.fastq.gz": (2, 1, 3), "empty.fastq.gz": (0, 0, 0)}
 
 
 def test_fastq_records_framing(spark, tmp_dir):
@@ -46,6 +52,12 @@ def test_fastq_records_framing(spark, tmp_dir):
         fh.write("@r1 runid=a\nACGT\n+\n@@!!\n@r2 runid=a\nACGT\n+\n!!!\n")
     rows = {r["ordinal"]: r["framing_ok"] for r in fq.scan_fastq_records(spark, tmp_dir).collect()}
     assert rows == {0: True, 1: False}
+    # a comma in a name, plain text read whole, and a quality line that looks like a header
+    with open(os.path.join(tmp_dir, "y,z.fastq"), "w") as fh:
+        fh.write("".join(f"@q{i} a=b\nACGT\n+\n@a=b\n" for i in range(5000)))
+    plain = fq.scan_fastq_records(spark, tmp_dir, "*.fastq")
+    assert plain.count() == 5000 and plain.where("framing_ok").count() == 5000
+    assert plain.agg(F.max("ordinal")).head()[0] == 4999
 
 
 def test_summary_scan_nan_and_names(spark, tmp_dir):
@@ -63,6 +75,23 @@ def test_summary_scan_nan_and_names(spark, tmp_dir):
     assert rows["r2"]["strand_score_template"] is None
 
 
+def test_summary_columns_by_name(spark, tmp_dir):
+    names = SUMMARY_SCHEMA.names
+    cells = dict(zip(names, ["f", "r1", "run", "5", "1.5", "2", "10", "1.5", "10", "x", "100", "9.5", "0"]))
+    for k, order in enumerate((names, names[::-1], [names[1], names[0], *names[2:]])):
+        with open(os.path.join(tmp_dir, f"sequencing_summary_{k}.txt"), "w") as fh:
+            fh.write("\t".join(order) + "\n" + "\t".join(cells[n] for n in order) + "\n")
+    rows = scan_summary(spark, tmp_dir).collect()
+    assert len(rows) == 3 and {(r["filename"], r["read_id"], r["channel"], r["sequence_length_template"]) for r in rows} == {("f", "r1", 5, 100)}
+    assert {r["template_duration"] for r in rows} == {None}
+    broken = broken_cells(spark, tmp_dir).collect()
+    assert [(r["rows"], r["broken_rows"], r["broken_cells"]) for r in broken] == [(1, 1, 1)] * 3
+    with open(os.path.join(tmp_dir, "sequencing_summary_9.txt"), "w") as fh:
+        fh.write("\t".join(n for n in names if n != "channel") + "\n" + "\t".join(cells[n] for n in names if n != "channel") + "\n")
+    with pytest.raises(Exception, match="channel"):
+        scan_summary(spark, tmp_dir).collect()
+
+
 def _names(spark, kind, numbers, fmt):
     return spark.createDataFrame([(fmt.format(n),) for n in numbers], "path string")
 
@@ -110,9 +139,13 @@ def test_scan_compact_checksums(spark, tmp_dir):
     assert len(rows) == 6 and {r["number"] for r in rows} == {0, 1}
     assert all(r["md5"] == hashlib.md5(bytes(r["content"])).hexdigest() for r in rows)
     assert all(r["member"].startswith(f"{r['number']}/") for r in rows)
-    # mode ignore really skips an existing table
-    batches.compact_batches(spark, os.path.join(run, "reads"), out, mode="ignore")
-    assert spark.read.parquet(out).count() == 6
+    # one file per batch, and a batch that is given again replaces itself and no other
+    assert all(len([f for f in os.listdir(os.path.join(out, d)) if f.endswith(".parquet")]) == 1
+               for d in os.listdir(out) if d.startswith("number="))
+    os.makedirs(os.path.join(run, "reads", "2"))
+    open(os.path.join(run, "reads", "2", "p_2_x_0_y_0_z.fast5"), "wb").write(b"new")
+    batches.compact_batches(spark, [os.path.join(run, "reads", "2"), os.path.join(run, "reads", "1")], out)
+    assert {r["number"]: r["count"] for r in spark.read.parquet(out).groupBy("number").count().collect()} == {0: 3, 1: 3, 2: 1}
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fastq").load(run)
     sums = {r["file"]: r["md5"] for r in batches.checksums(files, "fastq").collect()}
     assert sums["fastq_0.fastq"] == hashlib.md5(b"@r\nA\n+\n!\n").hexdigest()
@@ -137,8 +170,7 @@ def test_batch_tables_checksums_manifest_io(spark, tmp_dir):
         with open(os.path.join(sm_dir, f"sequencing_summary_{b}.txt"), "w") as fh:
             fh.write("read_id\trun_id\tchannel\n" + f"x{b}\ta\t1\n")
     s = scan_summary(spark, sm_dir, with_file=True, with_time_columns=False,
-                     schema=__import__("pyspark.sql.types", fromlist=["StructType"]).StructType.fromDDL(
-                         "read_id string, run_id string, channel int"))
+                     schema=StructType.fromDDL("read_id string, run_id string, channel int"))
     rel = batches.relocate_summary(s, os.path.join(tmp_dir, "summary_table"))
     assert sorted((r["number"], r["read_id"]) for r in rel.collect()) == [(3, "x3"), (4, "x4")]
     # checksums append across runs, and render as md5sum lines
