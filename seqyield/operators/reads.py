@@ -22,13 +22,25 @@ def merge_reads(summary: DataFrame, fastq: DataFrame, keys: Sequence[str] = READ
 
 
 def unmatched_reads(summary: DataFrame, fastq: DataFrame, keys: Sequence[str] = READ_KEYS) -> DataFrame:
-    """Rows the inner join drops, from both sides: ``(side, *keys)``."""
+    """Rows the inner join drops, from both sides: ``(side, *keys)``.
+
+    Both sides are counted by key in one shuffle, combined map-side first, so
+    a key with many rows costs one entry per task.  A key with a NULL matches
+    nothing, as in the join.
+    """
     keys = list(keys)
-    left = summary.select(*keys).join(fastq.select(*keys), keys, "left_anti") \
-        .select(F.lit("summary_only").alias("side"), *keys)
-    right = fastq.select(*keys).join(summary.select(*keys), keys, "left_anti") \
-        .select(F.lit("fastq_only").alias("side"), *keys)
-    return left.unionByName(right)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = summary.select(*keys, one.alias("__s"), none.alias("__f")).unionByName(
+        fastq.select(*keys, none.alias("__s"), one.alias("__f")))
+    counted = both.groupBy(*keys).agg(F.sum("__s").alias("__s"), F.sum("__f").alias("__f"))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.when(no_key | (F.col(other) == 0), F.col(own)).otherwise(0).alias("n"))
+                      for side, own, other in (("summary_only", "__s", "__f"), ("fastq_only", "__f", "__s"))])
+    found = counted.select(*keys, F.explode(sides).alias("__x")).where("__x.n > 0")
+    return found.select(F.col("__x.side").alias("side"), *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__x.n"))).alias("__k")) \
+        .drop("__k")
 
 
 def dedup_reads(df: DataFrame, keys: Sequence[str] = READ_KEYS,

@@ -38,6 +38,12 @@ def test_merge_and_audit(spark):
     assert sorted(r["read_id"] for r in m.collect()) == ["a", "a"]      # duplicates multiply
     u = {(r["side"], r["read_id"]) for r in unmatched_reads(s, f).collect()}
     assert u == {("summary_only", "b"), ("summary_only", "c"), ("fastq_only", "c")}
+    # repeated rows stay repeated, and a missing key matches nothing
+    s2 = s.unionByName(spark.createDataFrame([("b", "r", 1), (None, "r", 9)], s.schema))
+    f2 = f.unionByName(spark.createDataFrame([(None, "r", 9, "S")], f.schema))
+    got = sorted((r["side"], str(r["read_id"])) for r in unmatched_reads(s2, f2).collect())
+    assert got == [("fastq_only", "None"), ("fastq_only", "c"), ("summary_only", "None"), ("summary_only", "b"),
+                   ("summary_only", "b"), ("summary_only", "c")]
 
 
 def test_dedup_prefers_first(spark):

@@ -1,6 +1,6 @@
-"""Write PLANS.md: physical plans of key operators on their distributed (large-input) paths.
+"""Write PLANS.md: physical plans of key operators.  They are the same at every size.
 
-Usage: python tools/plans.py [sf_dir]   (size checks are forced to the large-input branch)
+Usage: python tools/plans.py [sf_dir]
 """
 from __future__ import annotations
 
@@ -12,38 +12,33 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from seqyield.operators import dist as dmod  # noqa: E402
-from seqyield.operators import prefix as pmod  # noqa: E402
-from seqyield.operators import quantiles as qmod  # noqa: E402
 from seqyield.plans.queries import QUERIES  # noqa: E402
 from seqyield.session import build_session  # noqa: E402
 
-KEEP = re.compile(r"Exchange|Join|Window|Scan|Aggregate|Sort|Generate|Subquery|Project|Filter|Union")
+KEEP = re.compile(r"Exchange|Join|Window|Scan|Aggregate|Sort|Generate|Subquery|Project|Filter|Union|MapInArrow")
 SHOW = ["merge_reads", "trim_reads", "running_yield", "running_yield_by_channel", "running_count_by_pass",
         "quantiles", "nx_compat", "dedup_reads", "flowcell_grid", "quality_kde", "quality_ridges",
-        "speed_quality_hexbin", "pair_sample", "stream_yield"]
+        "speed_quality_hexbin", "pair_sample", "pair_kde_2d", "unmatched_reads", "fastq_headers", "stream_yield"]
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
-    pmod.SMALL_ROWS, qmod.SMALL_DISTINCT, dmod.KDE_EXACT_ROWS = 0, 0, 0
-    out = ["# Physical plans (large-input branches forced)\n",
-           "Generated by `tools/plans.py`; `SMALL_ROWS`, `SMALL_DISTINCT` and `KDE_EXACT_ROWS` are set to 0 so ",
-           "every operator takes the branch it takes on a large cluster. Only operator lines are kept; ",
-           "`FileScan parquet …` of a hash-named location is a table written once under the checkpoint root ",
-           "(the merged/trimmed read tables, the range-bucketed rows of a two-phase prefix sum).\n\n",
-           "Reading guide: row data moves only through `hashpartitioning` exchanges (on the bucket, the group ",
-           "key or the aggregation key, after partial aggregation). `Exchange SinglePartition` appears only ",
-           "above bounded inputs — the per-bucket totals of a two-phase prefix sum (at most B rows) and the ",
-           "final assembly of a handful of result rows. Broadcasts carry per-group parameter tables or ",
-           "offsets whose size the code checks or bounds by construction. There are no nested-loop or ",
-           "cartesian joins. The read merge carries no join hint: it is a broadcast hash join here only ",
-           "because the test tables are small, and Spark's size-based choice (with AQE) makes it a ",
-           "sort-merge join on the three read keys at scale.\n"]
+    out = ["# Physical plans\n",
+           "Generated by `tools/plans.py`. No operator chooses its plan by the size of its input, so these are the plans of ",
+           "any run, except that Spark itself picks broadcast or sort-merge joins by size. Only operator lines are kept; a ",
+           "`FileScan parquet` of a named location is a table written once under the checkpoint root (the merged and trimmed ",
+           "read tables, the range-sorted rows of a running total).\n\n",
+           "Reading guide: the rows of a running total move once, in the range shuffle of the job that writes its table: that ",
+           "job's plan comes first where a query has one. `Exchange SinglePartition` appears only above bounded inputs: the ",
+           "totals of the buckets (one row each) and a handful of result rows. There are no nested-loop or cartesian joins.\n"]
+    from seqyield.plans.queries import trimmed
+    t = trimmed(spark, sf).select("read_id", "start_time_float_by_sample", "sequence_length_template")
+    dealt = t.repartitionByRange("start_time_float_by_sample", "read_id").sortWithinPartitions(
+        "start_time_float_by_sample", "read_id").mapInArrow(lambda x: x, t.schema)
     from seqyield.plans.tables import merge_events
     named = [("merge: summary ⋈ FASTQ headers (written once; the rest reads the written copy)",
-              merge_events(spark, sf))] + [(n, None) for n in SHOW]
+              merge_events(spark, sf)), ("the job that writes a running total's table", dealt)] + [(n, None) for n in SHOW]
     for name, df in named:
         df = df if df is not None else QUERIES[name](spark, sf)
         buf = io.StringIO()
