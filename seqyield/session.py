@@ -53,6 +53,18 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver imported it.
+
+    For local runs from any working folder; on a cluster the package is
+    shipped with the job (``--py-files``) or installed.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint root, setting one only when none is configured.
 
@@ -60,6 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     from the session; otherwise a fresh local folder in local mode, or a folder
     under the (shared) warehouse directory on a cluster.
     """
+    share_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
