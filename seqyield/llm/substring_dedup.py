@@ -40,7 +40,7 @@ MIN_WORDS = 25
 TELLING = 16
 #: Bytes of text and documents of a block, and chunks a bucket aims at.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 23, 1 << 14
-BUCKET = 1 << 21
+BUCKET = 1 << 19
 
 _GEAR = np.random.default_rng(20).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0   # the zero bytes between documents leave no trace
@@ -106,12 +106,13 @@ def _order(id_col: str, kind: T.DataType) -> Column:
     return F.coalesce(number, F.lit((1 << 63) - 1))
 
 
-#: Chunks of a block, one row for each of its documents: ends and digests packed.
-_CHUNKS = "row long, place long, id {}, block long, ends binary, words binary, digests binary"
+#: Chunks of a block, one row for each of its documents: their lengths in code points, the words
+#: that begin in them, and their digests, packed.
+_CHUNKS = "row long, place long, id {}, block long, lengths binary, words binary, digests binary"
 
 
 def _chunked(docs: DataFrame, average: int) -> DataFrame:
-    """``docs`` (row, place, id, text in UTF-8) as rows of ``_CHUNKS``; ends count code points."""
+    """``docs`` (row, place, id, text in UTF-8) as rows of ``_CHUNKS``."""
     def chunk(batches):
         for batch in batches:
             held, size = [], 0
@@ -127,19 +128,19 @@ def _chunked(docs: DataFrame, average: int) -> DataFrame:
     def rows(batch, held):
         index = pa.array([i for i, _ in held])
         texts = [t for _, t in held]
-        ends, words, digests = [], [], []
+        lengths, words, digests = [], [], []
         for text, own in zip(texts, chunk_ends(texts, average)):
             data = np.frombuffer(text, np.uint8)
             characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             begun = np.concatenate([[0], np.cumsum(word_starts(data))])
-            ends.append(characters[own].astype("<i8").tobytes())
-            words.append(begun[own].astype("<i8").tobytes())
+            lengths.append(np.diff(characters[own], prepend=0).astype("<u4").tobytes())
+            words.append(np.diff(begun[own], prepend=0).astype("<u4").tobytes())
             digests.append(np.array(_digests(text, own), "<u8").tobytes())
         row = batch.column(0).take(index)
         block = pa.array(np.full(len(held), row[0].as_py()))
         return pa.RecordBatch.from_arrays(
-            [row, batch.column(1).take(index), batch.column(2).take(index), block, *(pa.array(x, pa.binary()) for x in (ends, words, digests))],
-            names=["row", "place", "id", "block", "ends", "words", "digests"])
+            [row, batch.column(1).take(index), batch.column(2).take(index), block, *(pa.array(x, pa.binary()) for x in (lengths, words, digests))],
+            names=["row", "place", "id", "block", "lengths", "words", "digests"])
 
     return docs.select("row", "place", "id", "text").mapInArrow(
         chunk, _CHUNKS.format(docs.schema["id"].dataType.simpleString()))
@@ -164,14 +165,25 @@ def _firsts(digest, place, row, number, count) -> tuple[np.ndarray, ...]:
             np.add.reduceat(count[order], starts) if len(starts) else count[:0])
 
 
-_PACKED = np.dtype([("digest", "<u8"), ("place", "<i8"), ("row", "<i8"), ("number", "<i4"), ("count", "<i4")])
+#: Columns of packed digests: they travel one after the other, as equal high bytes compress.
+_PACKED = [("digest", "<u8"), ("place", "<i8"), ("row", "<i8"), ("number", "<u4"), ("count", "<u4")]
 
 
-def _pack(*columns: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(columns[0]), _PACKED)
-    for name, column in zip(_PACKED.names, columns):
-        out[name] = np.minimum(column, (1 << 31) - 1) if name == "count" else column
-    return out
+def _pack(columns: tuple[np.ndarray, ...], which=slice(None)) -> bytes:
+    return b"".join(np.minimum(c[which], (1 << 32) - 1).astype(t).tobytes() if n == "count" else c[which].astype(t).tobytes()
+                    for c, (n, t) in zip(columns, _PACKED))
+
+
+def _unpack(packed: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The columns of several packed pieces, put together."""
+    width, parts = sum(np.dtype(t).itemsize for _, t in _PACKED), [[] for _ in _PACKED]
+    for piece in packed:
+        at, n = 0, len(piece) // width
+        for part, (name, t) in zip(parts, _PACKED):
+            part.append(np.frombuffer(piece, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return tuple(np.concatenate(p or [np.zeros(0, t)]).astype(np.uint64 if name == "digest" else np.int64)
+                 for p, (name, t) in zip(parts, _PACKED))
 
 
 def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -181,47 +193,55 @@ def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
             blocks = np.asarray(batch.column("block"))
             for block in np.unique(blocks):
                 digest, place, row, number, _ = _spread(batch.filter(pa.array(blocks == block)))
-                own = _pack(*_firsts(digest, place, row, number, np.ones(len(digest), np.int64)))
-                bucket = own["digest"] % np.uint64(buckets)
-                own, bucket = own[np.argsort(bucket, kind="stable")], np.sort(bucket)
-                for b in np.unique(bucket):
-                    part = own[np.searchsorted(bucket, b):np.searchsorted(bucket, b, side="right")]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)]), "block": pa.array([int(block)]),
-                                                      "sent": pa.array([part.tobytes()], pa.binary())})
+                own = _firsts(digest, place, row, number, np.ones(len(digest), np.int64))
+                bucket = own[0] % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.nonzero(np.diff(starts))[0]:
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": pa.array([int(b)]), "block": pa.array([int(block)]),
+                        "sent": pa.array([_pack(own, order[starts[b]:starts[b + 1]])], pa.binary())})
 
     def meet(table):
-        parts = [np.frombuffer(b.as_py(), _PACKED) for b in table.column("sent")]
-        blocks = np.repeat(np.asarray(table.column("block")), [len(p) for p in parts])
-        every = np.concatenate(parts)
-        first = _pack(*_firsts(*(every[n].astype(np.uint64 if n == "digest" else np.int64) for n in _PACKED.names)))
-        first = first[first["count"] > 1]
-        here = np.searchsorted(first["digest"], every["digest"])
-        known = here < len(first)
-        known[known] = first["digest"][here[known]] == every["digest"][known]
+        pieces = [b.as_py() for b in table.column("sent")]
+        every = _unpack(pieces)
+        width = sum(np.dtype(t).itemsize for _, t in _PACKED)
+        blocks = np.repeat(np.asarray(table.column("block")), [len(p) // width for p in pieces])
+        first = _firsts(*every)
+        first = tuple(c[first[4] > 1] for c in first)
+        here = np.searchsorted(first[0], every[0])
+        known = here < len(first[0])
+        known[known] = first[0][here[known]] == every[0][known]
         here, blocks = here[known], blocks[known]
         order = np.argsort(blocks, kind="stable")
         here, blocks = here[order], blocks[order]
         starts = np.concatenate([[0], np.nonzero(blocks[1:] != blocks[:-1])[0] + 1]) if len(blocks) else blocks
         return pa.table({"block": pa.array(blocks[starts] if len(blocks) else [], pa.int64()), "found": pa.array(
-            [first[here[i:j]].tobytes() for i, j in zip(starts, np.append(starts[1:], len(here)))], pa.binary())})
+            [_pack(first, here[i:j]) for i, j in zip(starts, np.append(starts[1:], len(here)))], pa.binary())})
 
     return (chunks.select("row", "place", "block", "digests").mapInArrow(send, "bucket long, block long, sent binary")
             .groupBy("bucket").applyInArrow(meet, "block long, found binary"))
 
 
-def _runs(table: pa.Table, found: np.ndarray, min_words: int):
+def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int):
     """Repeated passages of the documents of one block: (row, start, length, words, rows of the originals)."""
-    found = found[np.argsort(found["digest"], kind="stable")]
     digest, _, row, number, document = _spread(table)
-    here = np.minimum(np.searchsorted(found["digest"], digest), max(len(found) - 1, 0))
-    if not len(found) or not len(digest):
+    if not len(found[0]) or not len(digest):
         return
-    first = found[here]
-    repeat = (first["digest"] == digest) & ((first["row"] != row) | (first["number"] != number))
-    ends = np.concatenate([np.frombuffer(b.as_py(), "<i8") for b in table.column("ends")])
-    words = np.concatenate([np.frombuffer(b.as_py(), "<i8") for b in table.column("words")])
-    start = np.where(number > 0, np.concatenate([[0], ends[:-1]]), 0)
-    begun = np.where(number > 0, np.concatenate([[0], words[:-1]]), 0)
+    order = np.argsort(found[0], kind="stable")
+    known, first_row, first_number = (found[i][order] for i in (0, 2, 3))
+    here = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+    repeat = (known[here] == digest) & ((first_row[here] != row) | (first_number[here] != number))
+    first_row = first_row[here]
+    at_start = number == 0
+
+    def ends_of(column):   # running sums that begin anew with every document
+        each = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column(column)]).astype(np.int64)
+        total = np.cumsum(each)
+        return total - (total - each)[at_start][np.cumsum(at_start) - 1], each
+
+    (ends, lengths), (words, each_words) = ends_of("lengths"), ends_of("words")
+    start, begun = ends - lengths, words - each_words
     before = np.concatenate([[False], repeat[:-1]]) & (number > 0)
     after = np.concatenate([repeat[1:], [False]]) & np.concatenate([document[1:] == document[:-1], [False]])
     telling = ends - start >= TELLING
@@ -231,7 +251,7 @@ def _runs(table: pa.Table, found: np.ndarray, min_words: int):
         if len(some) and words[j] - begun[i] >= min_words:
             i, j = some[0], some[-1]
             yield (int(row[i]), int(start[i]), int(ends[j] - start[i]), int(words[j] - begun[i]),
-                   np.unique(first["row"][some]).tolist())
+                   np.unique(first_row[some]).tolist())
 
 
 def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -244,8 +264,8 @@ def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame,
     found, _ = stored(repeated(chunks, max(1, -(-total // BUCKET))), "repeated")
 
     def passages_of(own: pa.Table, repeats: pa.Table) -> pa.Table:
-        got = [np.frombuffer(b.as_py(), _PACKED) for b in repeats.column("found")]
-        rows = list(_runs(own, np.concatenate(got), min_words)) if got and own.num_rows else []
+        got = _unpack([b.as_py() for b in repeats.column("found")])
+        rows = list(_runs(own, got, min_words)) if own.num_rows else []
         columns = [*zip(*rows)] or [()] * 5
         out = {n: pa.array(c, pa.int64()) for n, c in zip(("row", "start", "length", "n_words"), columns)}
         return pa.table(out | {"originals": pa.array(columns[4], pa.list_(pa.int64()))})
