@@ -45,6 +45,32 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
+def most_frequent(counted: DataFrame, count_col: str, size: int) -> DataFrame:
+    """The rows of ``counted`` with the largest counts: at most ``size``, and all down to some count.
+
+    The bound is found from a histogram of the counts on a logarithmic scale
+    (some hundred rows), so no task sends its own top rows to the driver.
+    """
+    step = F.floor(F.log2(F.col(count_col).cast("double")) * 16).cast("int")
+    taken, lowest = 0, None
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        taken += r["n"]
+        if taken > size:
+            break
+        lowest = r["step"]
+    return counted.where(F.lit(False) if lowest is None else step >= lowest)
+
+
+def hash_sample(df: DataFrame, key: Column, rows: int, size: int) -> DataFrame:
+    """About nine tenths of ``size`` rows of ``df``, chosen by the hash of ``key``; all rows if there are fewer.
+
+    Every task decides on its own rows; ``size`` is only passed with odds nobody will see.
+    """
+    if rows <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 32)) < F.lit(int((1 << 32) * 0.9 * size / rows)))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` under the shared checkpoint folder; the frame read back and its path."""
     spark = df.sparkSession

@@ -3,8 +3,10 @@
 1. One scan of the texts gives a narrow table (id, digest, length), written
    once under the checkpoint folder.
 2. Misra-Gries: each task keeps ``k`` counters over its digests; the counters
-   of all tasks are summed by digest and the ``k`` largest sums are the
-   candidates.  A digest with more than 2N/(k+1) of the N rows always is one.
+   of all tasks are summed by digest, and the candidates are the sums above
+   N/(k+1) of the N rows.  The sums add up to N at most, so there are at most
+   ``k``; and they fall short by N/(k+1) at most, so a digest with more than
+   2N/(k+1) rows always is one.
 3. The candidates (at most ``k`` digests) are counted exactly with map-side
    combining.  Those above N/(k+1) rows are *heavy*; their winners, at most
    ``k`` rows, are broadcast, and their rows never enter a shuffle.
@@ -51,8 +53,8 @@ def misra_gries(batches: Iterator[pa.RecordBatch], k: int) -> dict[bytes, int]:
     return counters
 
 
-def heavy_candidates(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """At most ``k`` digests (column ``digest``) holding every one with over 2N/(k+1) rows."""
+def heavy_candidates(digests: DataFrame, rows: int, k: int = COUNTERS) -> DataFrame:
+    """At most ``k`` digests (column ``digest``) of ``rows`` in all, holding every one with over 2N/(k+1) rows."""
     def summaries(batches):
         counters = misra_gries(batches, k)
         if counters:
@@ -61,13 +63,13 @@ def heavy_candidates(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
 
     return (digests.mapInArrow(summaries, "digest binary, n long")
             .groupBy("digest").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "digest").limit(k).select("digest"))
+            .where(F.col("n") > rows // (k + 1)).select("digest"))
 
 
 def heavy_winners(narrow: DataFrame, k: int = COUNTERS) -> tuple[DataFrame, str]:
     """Verified heavy digests of ``narrow`` (digest, order): digest, size, best; and their scratch path."""
     rows = narrow.count()
-    candidates = heavy_candidates(narrow.select("digest"), k)
+    candidates = heavy_candidates(narrow.select("digest"), rows, k)
     verified = (narrow.join(F.broadcast(candidates), "digest")
                 .groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min("order").alias("best"))
                 .where(F.col("size") > rows // (k + 1)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqyield.llm.common import stored
+from seqyield.llm.common import hash_sample, stored
 
 K = 20
 #: Pruning factor; measured recall with it is in the README.
@@ -164,13 +164,14 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                      .withColumn("row", F.monotonically_increasing_id()), "vectors")
     copies = Window.partitionBy("v").orderBy("id", "row")
     points = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
-    points, _ = stored(points.select("id", "row", "v"), "points")
+    points, _ = stored(points.select("id", "row", "v", "copy"), "points")
     queries = rows.where("is_query").select("id", "row", "v")
     n, n_queries = points.count(), queries.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // block))
 
-    some = points.select("v", F.xxhash64("v").alias("order")).dropDuplicates(["order"]).orderBy("order").limit(sample)
-    known = spark.sparkContext.broadcast([np.array(r[0], np.float64) for r in some.select("v").toPandas().itertuples(index=False)])
+    # One copy of equal vectors.
+    some = hash_sample(points.where("copy = 1").select("v"), F.col("v"), n, sample)
+    known = spark.sparkContext.broadcast([np.array(r[0], np.float64) for r in some.toPandas().itertuples(index=False)])
 
     def floors(batches):
         by_length: dict[int, np.ndarray] = {}

@@ -6,8 +6,8 @@ are the square root of the term's share times its inverse document frequency,
 which is counted over all documents of the table.
 
 *Latent space*: the right singular vectors of the labelled documents' term
-matrix.  Labelled documents are bounded by ``MAX_LABELLED`` (those with the
-lowest hash of their id are taken beyond it); counts and scores cover all rows.
+matrix.  Labelled documents are bounded by ``MAX_LABELLED`` (beyond it the
+hash of the id decides); counts and scores cover all rows.
 
 *Vote*: the labelled vectors are broadcast (at most MAX_LABELLED x DIMENSIONS
 numbers).  Every document's cosine with every labelled vector is computed
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqyield.llm.common import free_names, id_text, whole
+from seqyield.llm.common import free_names, hash_sample, id_text, whole
 
 BUCKETS, LAGS = 2048, 4
 TERMS = BUCKETS + LAGS
@@ -126,9 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     given = (labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
              .groupBy(F.col(label_id).alias("label_id")).agg(F.min(label_col).alias("label")))
     # The hash alone picks the rows, so the texts are read for the chosen ones only.
-    chosen = (docs.where(train).select(F.col(id_col).alias("label_id")).distinct().join(given, "label_id")
-              .withColumn("order", F.xxhash64(F.col("label_id").cast("string")))
-              .orderBy("order", "label_id").limit(max_labelled).select("label_id", "label"))
+    teaching = docs.where(train).select(F.col(id_col).alias("label_id")).distinct().join(given, "label_id")
+    chosen = hash_sample(teaching, F.col("label_id").cast("string"), teaching.count(), max_labelled)
     picked = docs.select(F.col(id_col).alias("label_id"), whole(text_col).cast("binary").alias("text")).join(
         F.broadcast(chosen), "label_id").dropDuplicates(["label_id", "text"])
 

@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqyield.llm.common import stored, whole
+from seqyield.llm.common import most_frequent, stored, whole
 
 MIN_LENGTH = 16
 DICTIONARY = 8192
@@ -92,8 +92,8 @@ def letter_transitions(counts: DataFrame) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """(word, rank) of the ``size`` most frequent words of three or more letters."""
-    top = counts.where(F.char_length("word") >= 3).orderBy(F.desc("n"), "word").limit(size)
+    """(word, rank) of the most frequent words of three or more letters, ``size`` at most."""
+    top = most_frequent(counts.where(F.char_length("word") >= 3), "n", size)
     ordered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("all"))
     return ordered.select(F.posexplode("all").alias("rank", "x")).select("x.word", "rank")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqyield.llm.common import discard, free_names, stored, whole
+from seqyield.llm.common import discard, free_names, hash_sample, stored, whole
 
 WORDS = 3
 BITS = 2
@@ -165,7 +165,7 @@ def link_shard(points: np.ndarray, bits: int = BITS, block: int = BLOCK) -> tupl
 def links(points: DataFrame, bits: int = BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Stars (a, b), b < a as unsigned, linking the distinct longs of column ``fp``."""
     spark, n = points.sparkSession, points.count()
-    some = points.select("fp", F.xxhash64("fp").alias("order")).orderBy("order", "fp").limit(sample).toPandas()
+    some = hash_sample(points.select("fp"), F.col("fp"), n, sample).toPandas()
     fitted = np.unique(some["fp"].to_numpy(np.int64).view(np.uint64))
     nodes = fit_tree(fitted, bits, max(16, round(shard * len(fitted) / max(n, 1))))
     tree = spark.sparkContext.broadcast(nodes)
