@@ -22,11 +22,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqyield.llm.common import WHITE, free_names, id_text, stored, whole
-from seqyield.operators.prefix import running_totals
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -39,11 +38,26 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(whole(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """(source, source_size, rank): the place of each source in code-point order, null last.
+
+    Sources are range-partitioned and numbered within their partition; the
+    partitions' totals, one row each, give what to add.
+    """
+    dealt, _ = stored(sizes.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source")
+                      .withColumn("part", F.spark_partition_id()), "dealt-sources")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).select(
+        "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("last", "source")))
+    return numbered.join(F.broadcast(totals), F.col("part") == F.col("p")).select(
+        "source", "source_size", (F.col("place") + F.col("earlier")).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
                    cap: int = CAP) -> DataFrame:
     """(source, source_size) of each source to (source, source_size, weight, target, rate)."""
-    ranked = running_totals(sizes.withColumn("no_source", F.col("source").isNull()), ["no_source", "source"],
-                            {"rank": F.lit(1)})
+    ranked = _ranked(sizes)
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]),
                           ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     ranked, _ = stored(ranked.select("source", "source_size", weight.alias("weight")), "sources")
