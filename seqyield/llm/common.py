@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def hash_sample(df: DataFrame, key: Column, rows: int, size: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 32)) < F.lit(int((1 << 32) * 0.9 * size / rows)))
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Limit the Arrow batches of the jobs that run inside to ``size`` bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` under the shared checkpoint folder; the frame read back and its path."""
     spark = df.sparkSession

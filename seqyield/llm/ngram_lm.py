@@ -18,9 +18,9 @@ is what is broadcast to the workers.  All bits of an n-gram lie in one segment.
 either token's count, and ``p`` the additive estimate (c + 0.5) / (N + 0.5 (V + 1))
 on the counts read from the filter.
 
-*Base score*: the same estimate on exact counts.  The ``HEAD`` most frequent
-words of at most ``LONGEST`` bytes are broadcast with their counts; all other
-words are joined by an ordinary shuffle.
+*Base score*: the same estimate on exact counts.  The most frequent words, at
+most ``HEAD`` of at most ``LONGEST`` bytes each, are broadcast with their
+counts; all other words are joined by an ordinary shuffle.
 
 Null texts are empty; a null id counts as the empty text in the fold.  Empty
 texts consist of the end token.  Repeated rows are scored alike; extra columns
@@ -29,19 +29,20 @@ are not read.  Without training rows N = V = 0 and all counts are 0.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqyield.llm.common import stored, whole
+from seqyield.llm.common import batch_bytes, most_frequent, stored, whole
 
-HEAD, LONGEST = 1 << 18, 64
+HEAD, LONGEST = 1 << 17, 64
 MOST_BITS = 1 << 29
 BITS_PER_TOKEN = 6
 HASHES = 3
@@ -49,8 +50,8 @@ PAIR_WEIGHT = 0.2
 SEED = 42
 #: Hash of the end token, which no word has but by chance; word hashes are XXH64.
 END = 0x9E3779B97F4A7C15
-#: Words a task keeps the hashes of, and training tokens a segment aims at.
-CACHE, SEGMENT_TOKENS = 1 << 18, 1 << 19
+#: Bytes of a batch of texts, pairs a task holds, and training tokens a segment aims at.
+BATCH_BYTES, HELD_PAIRS, SEGMENT_TOKENS = 1 << 22, 1 << 21, 1 << 19
 
 # Counts at which the levels 1, 2, ... begin: at first every number, then steps of a fifth.
 _steps = [1]
@@ -77,24 +78,45 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * np.uint64(3) + mix64(second))
 
 
-class Hasher:
-    """XXH64 of words, remembering a bounded number of them."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts with A-Z in lower case, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    some = np.asarray(pc.binary_length(flat)) > 0   # white space at an end leaves an empty word there
+    if not some.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        flat = flat.filter(pa.array(some))
+    return flat, sizes
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word, SEED)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words) -> np.ndarray:
+    """XXH64 of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(SEED)), np.uint64, len(words))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a UTF-8 text with A-Z in lower case; bytes split at the ASCII white space."""
-    return text.lower().split()
+class Block:
+    """The tokens of some texts as numbers of distinct words; the last number is the end token, after every text."""
+
+    def __init__(self, texts: pa.Array):
+        flat, sizes = words_of(texts)
+        numbered = flat.dictionary_encode()
+        self.words = numbered.dictionary
+        self.keys = self.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.sizes = sizes + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        inner = np.ones(len(flat) + len(texts), bool)
+        inner[self.starts + sizes] = False
+        self.codes = np.full(len(inner), len(self.words), np.int64)
+        self.codes[inner] = np.asarray(numbered.indices)
+        self.hashes = np.append(word_hashes(self.keys), np.uint64(END))
+        self.before = np.empty_like(self.codes)
+        self.before[1:] = self.codes[:-1]
+        self.before[self.starts] = len(self.words)
+
+    def pairs(self) -> np.ndarray:
+        """Key of each token with the one before it; a text's first token follows an end token."""
+        scattered = mix64(self.hashes)
+        return mix64(self.hashes[self.before] * np.uint64(3) + scattered[self.codes])
 
 
 class Filter:
@@ -112,11 +134,14 @@ class Filter:
         return segments, bits // segments
 
     @staticmethod
-    def places(keys: np.ndarray, at_level: np.ndarray, width: int, hashes: int) -> np.ndarray:
-        """Bits within their segment, one column for each hash."""
-        base = mix64(keys + at_level.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        step = (base >> np.uint64(32)) | np.uint64(1)
-        return (base[:, None] + step[:, None] * np.arange(hashes, dtype=np.uint64)) & np.uint64(width - 1)
+    def bases(keys: np.ndarray, at_level: int) -> np.ndarray:
+        return mix64(keys + np.uint64(at_level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+
+    @staticmethod
+    def place(bases: np.ndarray, which: int, width: int) -> np.ndarray:
+        """The bit within its segment that hash ``which`` gives."""
+        step = (bases >> np.uint64(32)) | np.uint64(1)
+        return (bases + step * np.uint64(which)) & np.uint64(width - 1)
 
     @staticmethod
     def segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -124,15 +149,17 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key: the number of levels from 1 on that are all found."""
-        out, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base = self.segment(keys, self.segments) * np.uint64(self.width)
+        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        offset = self.segment(keys, self.segments) * np.uint64(self.width)
         for at in range(1, len(LEVELS)):
-            if not len(open_):
+            if not len(left):
                 break
-            bit = base[open_, None] + self.places(keys[open_], np.full(len(open_), at), self.width, self.hashes)
-            hit = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-            open_ = open_[hit.all(axis=1)]
-            out[open_] = at
+            bases = self.bases(keys[left], at)
+            for which in range(self.hashes):   # a key that misses one bit is not looked up further
+                bit = offset[left] + self.place(bases, which, self.width)
+                hit = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                left, bases = left[hit], bases[hit]
+            out[left] = at
         return out
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -144,14 +171,18 @@ class Filter:
 def segment_bits(keys: np.ndarray, counts: np.ndarray, width: int, hashes: int = HASHES) -> np.ndarray:
     """The bytes of one segment holding all ``keys``."""
     if len(keys):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
         keys, counts = keys[starts], np.add.reduceat(counts, starts)
-    found, out = level(counts), np.zeros(width, bool)
-    at = 1
+    out, at = np.zeros(width, bool), 1
+    found = np.ones(len(keys), np.int64)
+    more = counts > 1
+    found[more] = level(counts[more])
     while len(keys):
-        out[Filter.places(keys, np.full(len(keys), at), width, hashes).ravel()] = True
+        bases = Filter.bases(keys, at)
+        for which in range(hashes):
+            out[Filter.place(bases, which, width)] = True
         more = found > at
         keys, found, at = keys[more], found[more], at + 1
     return np.packbits(out, bitorder="little")
@@ -183,23 +214,13 @@ def _wide(packed: bytes) -> np.ndarray:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over the UTF-8 texts of column ``text``, without the end token."""
+    """(word, c) over the texts of column ``text``, without the end token; words are counted per batch first."""
     def count(batches):
-        found: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.binary()),
-                                               "c": pa.array(list(found.values()), pa.int64())})
-
         for batch in batches:
-            for text in batch.column(0):
-                found.update(words_of(text.as_py()))
-                if len(found) > CACHE:
-                    yield out()
-                    found.clear()
-        yield out()
+            found = words_of(batch.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
 
-    return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def build_filter(texts: DataFrame, words: DataFrame, documents: int, tokens: int) -> Filter:
@@ -207,26 +228,23 @@ def build_filter(texts: DataFrame, words: DataFrame, documents: int, tokens: int
     segments, width = Filter.shape(tokens)
 
     def pairs(batches):
-        hasher, kept, size = Hasher(), [], 0
+        kept, size = [], 0
 
         def out():
-            keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            yield from _packed(keys, counts, segments)
+            yield from _packed(*np.unique(np.concatenate(kept), return_counts=True), segments)
 
         for batch in batches:
-            for text in batch.column(0):
-                tokens = np.append(hasher(words_of(text.as_py())), np.uint64(END))
-                kept.append(pair_keys(np.append(np.uint64(END), tokens[:-1]), tokens))
-                size += len(tokens)
-                if size > 1 << 22:
-                    yield from out()
-                    kept, size = [], 0
+            kept.append(Block(batch.column(0)).pairs())
+            size += len(kept[-1])
+            if size > HELD_PAIRS:
+                yield from out()
+                kept, size = [], 0
         if kept:
             yield from out()
 
     def singles(batches):
         for batch in batches:
-            keys = np.array([xxhash.xxh64_intdigest(w.as_py(), SEED) for w in batch.column(0)], np.uint64)
+            keys = word_hashes(batch.column(0).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
             distinct, back = np.unique(keys, return_inverse=True)
             counts = np.bincount(back, batch.column(1).to_numpy(zero_copy_only=False), len(distinct))
             yield from _packed(distinct, counts.astype(np.int64), segments)
@@ -247,33 +265,24 @@ def build_filter(texts: DataFrame, words: DataFrame, documents: int, tokens: int
         bits[at:at + width // 8] = np.frombuffer(row["bits"], np.uint8)
     out = Filter(bits, segments, width)
     if documents:  # the end token is counted without passing through the tasks
-        keys, n = np.array([END], np.uint64), level(np.array([documents]))[0]
-        at = np.repeat(keys, n)
-        bit = (Filter.segment(at, segments) * np.uint64(width))[:, None] + Filter.places(
-            at, np.arange(1, n + 1), width, out.hashes)
-        np.bitwise_or.at(bits, (bit >> np.uint64(3)).ravel().astype(np.int64),
-                         (1 << (bit & np.uint64(7)).ravel()).astype(np.uint8))
+        key = np.array([END], np.uint64)
+        for at in range(1, int(level(np.array([documents]))[0]) + 1):
+            for which in range(out.hashes):
+                bit = int(Filter.segment(key, segments)[0]) * width + int(Filter.place(Filter.bases(key, at), which, width)[0])
+                bits[bit >> 3] |= np.uint8(1 << (bit & 7))
     return out
 
 
-def score_tokens(filter_: Filter, texts: list[np.ndarray], n: int, v: int, pair_weight: float) -> np.ndarray:
-    """log10 probability of each text, given the hashes of its words."""
-    if not texts:
+def score_block(filter_: Filter, block: Block, n: int, v: int, pair_weight: float) -> np.ndarray:
+    """log10 probability of each text of a block."""
+    if not len(block.sizes):
         return np.zeros(0)
-    tokens = np.concatenate([np.append(t, np.uint64(END)) for t in texts])
-    sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    before = np.concatenate([[np.uint64(END)], tokens[:-1]])
-    before[starts] = END
-    single = filter_.counts(np.append(tokens, np.uint64(END)))
-    single, end = single[:-1], single[-1]
-    previous = np.concatenate([[end], single[:-1]])
-    previous[starts] = end
-    both = np.minimum(np.minimum(filter_.counts(pair_keys(before, tokens)), single), previous)
-    p = (single + 0.5) / (n + 0.5 * (v + 1))
-    seen = previous > 0
-    p = np.where(seen, pair_weight * both / np.maximum(previous, 1) + (1 - pair_weight) * p, p)
-    return np.add.reduceat(np.log10(p), starts)
+    single = filter_.counts(block.hashes)
+    token, previous = single[block.codes], single[block.before]
+    both = np.minimum(np.minimum(filter_.counts(block.pairs()), token), previous)
+    p = (token + 0.5) / (n + 0.5 * (v + 1))
+    p = np.where(previous > 0, pair_weight * both / np.maximum(previous, 1) + (1 - pair_weight) * p, p)
+    return np.add.reduceat(np.log10(p), block.starts)
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -283,58 +292,53 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     The model learns from the rows for which ``train`` (over ``docs``) holds.
     """
     spark = docs.sparkSession
-    raw = whole(text_col).cast("binary")
+    raw = whole(text_col)
     taught = docs.where(train).select(raw.alias("text"))
-    counted, _ = stored(word_counts(taught), "words")
+    with batch_bytes(spark, BATCH_BYTES):
+        counted, _ = stored(word_counts(taught), "words")
     documents = taught.count()
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     n, v = n + documents, v + (documents > 0)
     divisor = n + 0.5 * (v + 1)
-    frequent = (counted.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(head)
-                .select("word", "c").toPandas())
-    in_head = dict(zip(map(bytes, frequent["word"]), frequent["c"].tolist()))
-    known = spark.sparkContext.broadcast(in_head)
-    model = spark.sparkContext.broadcast(build_filter(taught, counted, documents, n))
+    frequent = most_frequent(counted.where(F.octet_length("word") <= LONGEST), "c", head).toPandas()
+    known = spark.sparkContext.broadcast(([w.encode() for w in frequent["word"]], np.log10(
+        (frequent["c"].to_numpy(float) + 0.5) / divisor)))
+    del frequent
+    with batch_bytes(spark, BATCH_BYTES):
+        model = spark.sparkContext.broadcast(build_filter(taught, counted, documents, n))
     end_log = math.log10((documents + 0.5) / divisor)
 
     def score(batches):
-        hasher, counts, lm = Hasher(), known.value, model.value
-        logs = {w: math.log10((c + 0.5) / divisor) for w, c in counts.items()}
+        lm, logs = model.value, dict(zip(known.value[0], known.value[1].tolist()))
         for batch in batches:
-            held: list = []
-            size = 0
-            for i, text in enumerate(batch.column(1)):
-                held.append((i, words_of(text.as_py())))
-                size += len(held[-1][1])
-                if size > 1 << 19:
-                    yield rows(batch, held, hasher, logs, lm)
-                    held, size = [], 0
-            if held:
-                yield rows(batch, held, hasher, logs, lm)
-
-    def rows(batch, held, hasher, logs, lm):
-        base, tail, known_words = [], [], []
-        for _, words in held:
-            of = [logs.get(w) for w in words]
-            rare = Counter(w for w, x in zip(words, of) if x is None)
-            found = [x for x in of if x is not None]
-            base.append(math.fsum(found) + end_log)
-            known_words.append(len(found) + (documents > 0))
-            tail.append([{"word": w, "n": k} for w, k in rare.items()])
+            if batch.num_rows:
+                yield rows(batch.column(0), Block(batch.column(1)), logs, lm)
+
+    def rows(ids, block, logs, lm):
+        # log of each distinct word's estimate; NaN where the word is not broadcast
+        log = np.array([*map(logs.get, block.keys, itertools.repeat(math.nan)), end_log])
+        each = log[block.codes]
+        rare = np.isnan(each)
+        text = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        found, times = np.unique(text[rare] * len(log) + block.codes[rare], return_counts=True)
+        of, code = np.divmod(found, len(log))
+        words = block.words.take(pa.array(code))
+        tail = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(of, np.arange(len(block.sizes) + 1)), pa.int32()),
+            pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], names=["word", "n"]))
+        in_head = np.add.reduceat((~rare).astype(np.int64), block.starts) - (documents == 0)
         return pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array([i for i, _ in held])),
-            pa.array([len(w) + 1 for _, w in held], pa.int64()), pa.array(known_words, pa.int64()),
-            pa.array(base, pa.float64()),
-            pa.array(score_tokens(lm, [hasher(w) for _, w in held], n, v, pair_weight), pa.float64()),
-            pa.array(tail, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+            ids, pa.array(block.sizes), pa.array(in_head),
+            pa.array(np.add.reduceat(np.where(rare, 0.0, each), block.starts)),
+            pa.array(score_block(lm, block, n, v, pair_weight)), tail],
             names=["id", "n_tokens", "n_known", "base", "score", "tail"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    scored, _ = stored(
-        docs.select(F.col(id_col).alias("id"), raw.alias("text")).mapInArrow(
-            score, f"id {kind}, n_tokens long, n_known long, base double, score double, "
-                   "tail array<struct<word: binary, n: long>>").withColumn("row", F.monotonically_increasing_id()),
-        "scored")
+    with_scores = docs.select(F.col(id_col).alias("id"), raw.alias("text")).mapInArrow(
+        score, f"id {kind}, n_tokens long, n_known long, base double, score double, "
+               "tail array<struct<word: string, n: long>>")
+    with batch_bytes(spark, BATCH_BYTES):
+        scored, _ = stored(with_scores.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(
         counted, "word", "left")
     c = F.coalesce("c", F.lit(0))

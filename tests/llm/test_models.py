@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -107,26 +108,32 @@ def test_model_is_a_probability_and_beats_the_base_on_copies(spark):
     assert got.base < got.score < 0
 
 
-def test_scores_match_a_filter_read_one_by_one(spark):
-    texts = [["a", "b", "a", "c"], ["a", "b"], []]
-    hashed = [ngram_lm.Hasher()([w.encode() for w in t]) for t in texts]
+def test_scores_match_a_filter_read_one_by_one():
+    texts = [[b"a", b"b", b"a", b"c"], [], [b"a", b"b"]]
+    block = ngram_lm.Block(pa.array([" ".join(w.decode() for w in t) for t in texts]))
+    key = {w: int(h) for w, h in zip([b"a", b"b", b"c"], ngram_lm.word_hashes([b"a", b"b", b"c"]))}
+    key[None] = ngram_lm.END
+    pair = lambda a, b: int(ngram_lm.pair_keys(np.array([key[a]], np.uint64), np.array([key[b]], np.uint64))[0])
     counts: Counter = Counter()
-    for t in hashed:
-        seq = [*t.tolist(), ngram_lm.END]
-        counts.update(seq)
-        for a, b in zip([ngram_lm.END, *seq], seq):
-            counts[int(ngram_lm.pair_keys(np.array([a], np.uint64), np.array([b], np.uint64))[0])] += 1
+    for t in texts:
+        for a, b in zip([None, *t], [*t, None]):
+            counts.update([key[b], pair(a, b)])
     keys = np.array(list(counts), np.uint64)
-    bits = ngram_lm.segment_bits(keys, np.array(list(counts.values())), 1 << 16)
-    built = ngram_lm.Filter(bits, 1, 1 << 16)
-    got = ngram_lm.score_tokens(built, hashed, 9, 4, 0.2)
-    for t, score in zip(hashed, got):
-        seq, total = [*t.tolist(), ngram_lm.END], 0.0
-        for a, b in zip([ngram_lm.END, *seq], seq):
-            pair = counts[int(ngram_lm.pair_keys(np.array([a], np.uint64), np.array([b], np.uint64))[0])]
-            total += math.log10(0.2 * pair / counts[a] + 0.8 * (counts[b] + 0.5) / (9 + 0.5 * 5))
-        # counts 1 and 2 are read back as 1 and sqrt(2 * 2)
-        assert score == pytest.approx(total, abs=0.35)
+    built = ngram_lm.Filter(ngram_lm.segment_bits(keys, np.array(list(counts.values())), 1 << 16), 1, 1 << 16)
+    read = lambda k: ngram_lm.MEANS[ngram_lm.level(np.array([counts[k]]))[0]] if counts[k] else 0.0
+    for t, score in zip(texts, ngram_lm.score_block(built, block, 9, 4, 0.2)):
+        total = 0.0
+        for a, b in zip([None, *t], [*t, None]):
+            both = min(read(pair(a, b)), read(key[a]), read(key[b]))
+            total += math.log10(0.2 * both / read(key[a]) + 0.8 * (read(key[b]) + 0.5) / (9 + 0.5 * 5))
+        assert score == pytest.approx(total)
+
+
+def test_words_split_at_the_ascii_white_space():
+    texts = [" a  B\tc\n", "", "   ", "x\x1cY \x85z\xa0w\x0bq", "A\x00B É", "Ünï \u2003 x"]
+    flat, sizes = ngram_lm.words_of(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert [w.encode() for w in flat.to_pylist()] == [w for t in want for w in t] and sizes.tolist() == list(map(len, want))
 
 
 def test_language_model_awkward_tables(spark):
