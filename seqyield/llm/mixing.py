@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqyield.llm.common import WHITE, free_names, id_text, stored, whole
+from seqyield.llm.common import free_names, id_text, stored, whole
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
