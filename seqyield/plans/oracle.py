@@ -683,11 +683,12 @@ FROM ev GROUP BY 1, 2""",
     "stream_channel_totals": READS + """
 SELECT channel, CAST(sum(sequence_length_template) AS BIGINT) AS channel_yield, count(*) AS reads FROM ev GROUP BY channel""",
     "stream_running_yield": READS + """
-SELECT coalesce(mean_qscore_template > 9, false) AS pass, read // 2500 AS batch_id,
+, b AS (SELECT *, read // 500 // (SELECT (max(read) // 500 + 4) // 4 FROM ev) AS batch_id FROM ev)
+SELECT coalesce(mean_qscore_template > 9, false) AS pass, batch_id,
        CAST(sum(sum(sequence_length_template)) OVER w AS BIGINT) AS quality_yield,
        CAST(sum(count(*)) OVER w AS BIGINT) AS quality_count
-FROM ev GROUP BY 1, 2
-WINDOW w AS (PARTITION BY coalesce(mean_qscore_template > 9, false) ORDER BY read // 2500)""",
+FROM b GROUP BY 1, 2
+WINDOW w AS (PARTITION BY coalesce(mean_qscore_template > 9, false) ORDER BY batch_id)""",
     "stream_summary": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm WHERE number % 2 = 1",
     "stream_fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short AND number % 2 = 0""",

@@ -566,11 +566,16 @@ def q_checksums(spark, sf):
 
 # --- streaming (run to completion on the data present: trigger availableNow) -------
 
+def _quarter(spark, folder):
+    """A quarter of a folder's files: a stream of it takes four micro-batches."""
+    return max(1, -(-path_stamp(spark, folder)[0] // 4))
+
+
 def _event_stream(spark, sf, late=False):
-    """``events`` as a stream of several files, five to a micro-batch, oldest first."""
+    """``events`` as a stream of several files, a quarter of them to a micro-batch, oldest first."""
     schema = runfiles.table(spark, sf, "events").schema
-    return jobs.file_stream(spark, runfiles.event_stream_folder(spark, sf, late), schema, glob="events_*.parquet",
-                            files_per_trigger=5)
+    folder = runfiles.event_stream_folder(spark, sf, late)
+    return jobs.file_stream(spark, folder, schema, glob="events_*.parquet", files_per_trigger=_quarter(spark, folder))
 
 
 def q_stream_reads(spark, sf):
@@ -625,12 +630,14 @@ def q_stream_running_yield(spark, sf):
 
 def q_stream_summary(spark, sf):
     """The folder whose columns stand in reverse order."""
-    s = jobs.stream_summary(spark, runfiles.summary_folders(spark, sf).split(",")[1], files_per_trigger=2)
+    folder = runfiles.summary_folders(spark, sf).split(",")[1]
+    s = jobs.stream_summary(spark, folder, files_per_trigger=_quarter(spark, folder))
     return _summary_out(jobs.run_once(s.select(*SUMMARY_OUT), spark, "summary"))
 
 
 def q_stream_fastq_headers(spark, sf):
-    h = jobs.stream_fastq_headers(spark, runfiles.fastq_folders(spark, sf).split(",")[0], files_per_trigger=2)
+    folder = runfiles.fastq_folders(spark, sf).split(",")[0]
+    h = jobs.stream_fastq_headers(spark, folder, files_per_trigger=_quarter(spark, folder))
     return jobs.run_once(h.select("read_id", "run_id", "sample_id", "read", "channel",
                                   F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
 
