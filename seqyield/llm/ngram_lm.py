@@ -51,7 +51,7 @@ SEED = 42
 #: Hash of the end token, which no word has but by chance; word hashes are XXH64.
 END = 0x9E3779B97F4A7C15
 #: Bytes of a batch of texts, pairs a task holds, and training tokens a segment aims at.
-BATCH_BYTES, HELD_PAIRS, SEGMENT_TOKENS = 1 << 22, 1 << 21, 1 << 19
+BATCH_BYTES, HELD_PAIRS, SEGMENT_TOKENS = 1 << 21, 1 << 20, 1 << 19
 
 # Counts at which the levels 1, 2, ... begin: at first every number, then steps of a fifth.
 _steps = [1]
@@ -106,7 +106,7 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         inner = np.ones(len(flat) + len(texts), bool)
         inner[self.starts + sizes] = False
-        self.codes = np.full(len(inner), len(self.words), np.int64)
+        self.codes = np.full(len(inner), len(self.words), np.int32)
         self.codes[inner] = np.asarray(numbered.indices)
         self.hashes = np.append(word_hashes(self.keys), np.uint64(END))
         self.before = np.empty_like(self.codes)
@@ -320,7 +320,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         each = log[block.codes]
         rare = np.isnan(each)
         text = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        found, times = np.unique(text[rare] * len(log) + block.codes[rare], return_counts=True)
+        found, times = np.unique(text[rare] * np.int64(len(log)) + block.codes[rare], return_counts=True)
         of, code = np.divmod(found, len(log))
         words = block.words.take(pa.array(code))
         tail = pa.ListArray.from_arrays(
