@@ -84,11 +84,11 @@ def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` under the shared checkpoint folder; the frame read back and its path."""
+def stored(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` under the shared checkpoint folder, with the writer's options; the frame read back and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -1,17 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 *Training* counts every word exactly (one pass, words combined per task, then
-one shuffle) and every pair of neighbouring tokens (a second pass; pairs are
-combined per task and travel packed, by filter segment).  A count ``c`` is
-stored as its level on a logarithmic scale (1, 2, 3, ... and from there on
-steps of a fifth): an n-gram with level ``l`` enters the filter as the keys
-(n-gram, 1) ... (n-gram, l).  Its count is read back by probing level 1, 2, ...
-until a probe fails, so counts are never too small, and too large only where a
-probe hits by chance.
-
-*The filter* has as many bits as the training tokens ask for, up to
-``MOST_BITS`` (64 MB), in segments that are built by one task each; that bound
-is what is broadcast to the workers.  All bits of an n-gram lie in one segment.
+one shuffle).  A count ``c`` is stored as its level on a logarithmic scale
+(1, 2, 3, ... and from there on steps of a fifth): an n-gram with level ``l``
+enters the filter as the keys (n-gram, 1) ... (n-gram, l).  Its count is read
+back by probing level 1, 2, ... until a probe fails, so counts are never too
+small, and too large only where a probe hits by chance.
+
+*The filter* has ``BITS_PER_TOKEN`` bits or more for every training token,
+however many there are, in segments of a fixed size.  All bits of an n-gram lie
+in one segment, and a segment never leaves its task: blocks of documents send
+their distinct words and pairs of neighbouring tokens there, packed, with how
+often they are taught; the segment is built from the taught ones, all are
+probed, and their levels go back to the blocks.  Nothing of the filter reaches
+the driver or is broadcast.
 
 *Score*: the probability of a token after another is
 ``W * c(pair) / c(first) + (1 - W) * p(token)``, ``c(pair)`` being at most
@@ -39,19 +41,22 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seqyield.llm.common import batch_bytes, most_frequent, stored, whole
 
 HEAD, LONGEST = 1 << 17, 64
-MOST_BITS = 1 << 29
 BITS_PER_TOKEN = 6
 HASHES = 3
 PAIR_WEIGHT = 0.2
 SEED = 42
 #: Hash of the end token, which no word has but by chance; word hashes are XXH64.
 END = 0x9E3779B97F4A7C15
-#: Bytes of a batch of texts, pairs a task holds, and training tokens a segment aims at.
-BATCH_BYTES, HELD_PAIRS, SEGMENT_TOKENS = 1 << 21, 1 << 20, 1 << 19
+#: Bytes of a batch of texts and of a block of documents, and training tokens a segment aims at.
+BATCH_BYTES, BLOCK_BYTES, SEGMENT_TOKENS = 1 << 21, 1 << 23, 1 << 19
+#: Bytes of its key an n-gram keeps within its segment.  A segment holds about a million n-grams at
+#: every size of the input, so one in a million shares its place with another.
+SHORT = 5
 
 # Counts at which the levels 1, 2, ... begin: at first every number, then steps of a fifth.
 _steps = [1]
@@ -109,14 +114,23 @@ class Block:
         self.codes = np.full(len(inner), len(self.words), np.int32)
         self.codes[inner] = np.asarray(numbered.indices)
         self.hashes = np.append(word_hashes(self.keys), np.uint64(END))
-        self.before = np.empty_like(self.codes)
-        self.before[1:] = self.codes[:-1]
-        self.before[self.starts] = len(self.words)
+        self.before = _before(self.codes, self.starts)
 
     def pairs(self) -> np.ndarray:
         """Key of each token with the one before it; a text's first token follows an end token."""
-        scattered = mix64(self.hashes)
-        return mix64(self.hashes[self.before] * np.uint64(3) + scattered[self.codes])
+        return _pairs(self.codes, self.before, self.hashes)
+
+
+def _before(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of the word before each token; that of the end token, the last one's, before each text."""
+    out = np.empty_like(codes)
+    out[1:] = codes[:-1]
+    out[starts] = codes[-1:]
+    return out
+
+
+def _pairs(codes: np.ndarray, before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes[before] * np.uint64(3) + mix64(hashes)[codes])
 
 
 class Filter:
@@ -128,14 +142,19 @@ class Filter:
     @staticmethod
     def shape(tokens: int) -> tuple[int, int]:
         """(segments, width) for so many training tokens."""
-        bits = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(max(tokens, 1) * BITS_PER_TOKEN))))
+        bits = 1 << max(16, math.ceil(math.log2(max(tokens, 1) * BITS_PER_TOKEN)))
         segments = min(bits >> 13, 1 << max(0, math.ceil(math.log2(max(tokens, 1) / SEGMENT_TOKENS))))
         segments = max(segments, 1)
         return segments, bits // segments
 
     @staticmethod
-    def bases(keys: np.ndarray, at_level: int) -> np.ndarray:
-        return mix64(keys + np.uint64(at_level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+    def short(keys: np.ndarray) -> np.ndarray:
+        """What tells the keys of one segment apart: their first ``SHORT`` bytes."""
+        return keys >> np.uint64(64 - 8 * SHORT)
+
+    @staticmethod
+    def bases(short: np.ndarray, at_level: int) -> np.ndarray:
+        return mix64(short + np.uint64(at_level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
 
     @staticmethod
     def place(bases: np.ndarray, which: int, width: int) -> np.ndarray:
@@ -149,12 +168,16 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key: the number of levels from 1 on that are all found."""
-        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        offset = self.segment(keys, self.segments) * np.uint64(self.width)
+        return self.levels_at(self.short(keys), self.segment(keys, self.segments))
+
+    def levels_at(self, short: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Levels of short keys in their segments."""
+        out, left = np.zeros(len(short), np.int64), np.arange(len(short))
+        offset = segment * np.uint64(self.width)
         for at in range(1, len(LEVELS)):
             if not len(left):
                 break
-            bases = self.bases(keys[left], at)
+            bases = self.bases(short[left], at)
             for which in range(self.hashes):   # a key that misses one bit is not looked up further
                 bit = offset[left] + self.place(bases, which, self.width)
                 hit = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -170,6 +193,11 @@ class Filter:
 
 def segment_bits(keys: np.ndarray, counts: np.ndarray, width: int, hashes: int = HASHES) -> np.ndarray:
     """The bytes of one segment holding all ``keys``."""
+    return short_bits(Filter.short(keys), counts, width, hashes)
+
+
+def short_bits(keys: np.ndarray, counts: np.ndarray, width: int, hashes: int = HASHES) -> np.ndarray:
+    """The bytes of one segment holding all short keys."""
     if len(keys):
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -188,21 +216,6 @@ def segment_bits(keys: np.ndarray, counts: np.ndarray, width: int, hashes: int =
     return np.packbits(out, bitorder="little")
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    """Distinct keys with their counts, one row for each segment."""
-    if not len(keys):
-        return
-    segment = Filter.segment(keys, segments)
-    order = np.argsort(segment, kind="stable")
-    keys, counts, segment = keys[order], counts[order].astype("<i8"), segment[order]
-    starts = np.concatenate([[0], np.nonzero(segment[1:] != segment[:-1])[0] + 1])
-    ends = np.append(starts[1:], len(keys))
-    yield pa.RecordBatch.from_pydict({
-        "segment": pa.array(segment[starts].astype(np.int64)),
-        "keys": pa.array([keys[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
-        "counts": pa.array([_narrow(counts[i:j]) for i, j in zip(starts, ends)], pa.binary())})
-
-
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts in as many bytes each as the largest needs; the first byte says how many."""
     wide = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w - 1))
@@ -213,6 +226,17 @@ def _wide(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed[1:], f"<i{packed[0]}").astype(np.int64)
 
 
+def _planes(numbers: np.ndarray, wide: int) -> bytes:
+    """The low ``wide`` bytes of numbers, all first bytes first: the high ones of small or sorted numbers compress."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def _from_planes(packed: bytes, wide: int) -> np.ndarray:
+    out = np.zeros((len(packed) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(packed, np.uint8).reshape(wide, -1).T
+    return out.reshape(-1).view("<u8")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the texts of column ``text``, without the end token; words are counted per batch first."""
     def count(batches):
@@ -223,66 +247,93 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def build_filter(texts: DataFrame, words: DataFrame, documents: int, tokens: int) -> Filter:
-    """The filter of all words, the end token, and all pairs of neighbouring tokens."""
-    segments, width = Filter.shape(tokens)
+def _grams(row: dict) -> tuple[np.ndarray, ...]:
+    """Of a stored block: sizes, token numbers, numbers before, keys (distinct words, then distinct pairs), pair of each token."""
+    sizes, hashes = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["hashes"], "<u8")
+    codes = _from_planes(row["codes"], 4).astype(np.int64)
+    before = _before(codes, np.cumsum(sizes) - sizes)
+    pairs, back = np.unique(_pairs(codes, before, hashes), return_inverse=True)
+    return sizes, codes, before, np.concatenate([hashes, pairs]), back
 
-    def pairs(batches):
-        kept, size = [], 0
 
-        def out():
-            yield from _packed(*np.unique(np.concatenate(kept), return_counts=True), segments)
+def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys by segment, segments that hold any, where each begins in that order)."""
+    segment = Filter.segment(keys, segments)
+    order = np.argsort(segment, kind="stable")
+    some, starts = np.unique(segment[order], return_index=True)
+    return order, some, starts
+
 
+def gram_levels(blocks: DataFrame, segments: int, width: int) -> DataFrame:
+    """(block, segment, levels): for each block the level of each of its keys in a segment, a byte each, as it sent them."""
+    def send(batches):
         for batch in batches:
-            kept.append(Block(batch.column(0)).pairs())
-            size += len(kept[-1])
-            if size > HELD_PAIRS:
-                yield from out()
-                kept, size = [], 0
-        if kept:
-            yield from out()
-
-    def singles(batches):
-        for batch in batches:
-            keys = word_hashes(batch.column(0).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
-            distinct, back = np.unique(keys, return_inverse=True)
-            counts = np.bincount(back, batch.column(1).to_numpy(zero_copy_only=False), len(distinct))
-            yield from _packed(distinct, counts.astype(np.int64), segments)
-
-    def segment(key, table):
-        keys = [np.frombuffer(b.as_py(), "<u8") for b in table.column("keys")]
-        counts = [_wide(b.as_py()) for b in table.column("counts")]
-        got = segment_bits(np.concatenate(keys), np.concatenate(counts), width)
-        return pa.table({"segment": pa.array([key[0].as_py()]), "bits": pa.array([got.tobytes()], pa.binary())})
-
-    schema = "segment long, keys binary, counts binary"
-    grams = texts.mapInArrow(pairs, schema).unionByName(words.select("word", "c").mapInArrow(singles, schema))
-    built = grams.groupBy("segment").applyInArrow(segment, "segment long, bits binary")
-    bits = np.zeros(segments * width // 8, np.uint8)
-    # At most MOST_BITS bits in all.
-    for row in built.toLocalIterator():
-        at = row["segment"] * width // 8
-        bits[at:at + width // 8] = np.frombuffer(row["bits"], np.uint8)
-    out = Filter(bits, segments, width)
-    if documents:  # the end token is counted without passing through the tasks
-        key = np.array([END], np.uint64)
-        for at in range(1, int(level(np.array([documents]))[0]) + 1):
-            for which in range(out.hashes):
-                bit = int(Filter.segment(key, segments)[0]) * width + int(Filter.place(Filter.bases(key, at), which, width)[0])
-                bits[bit >> 3] |= np.uint8(1 << (bit & 7))
-    return out
+            for row in batch.to_pylist():
+                sizes, codes, _, keys, back = _grams(row)
+                taught = np.repeat(np.frombuffer(row["taught"], np.bool_), sizes)
+                words = len(row["hashes"]) // 8
+                counts = np.concatenate([np.bincount(codes[taught], minlength=words),
+                                         np.bincount(back[taught], minlength=len(keys) - words)])
+                order, some, starts = _by_segment(keys, segments)
+                keys, counts, ends = keys[order], counts[order], np.append(starts[1:], len(keys))
+                yield pa.RecordBatch.from_pydict({
+                    "segment": pa.array(some.astype(np.int64)), "block": pa.array(np.full(len(some), row["block"])),
+                    "keys": pa.array([_planes(Filter.short(keys[i:j]), SHORT) for i, j in zip(starts, ends)], pa.binary()),
+                    "counts": pa.array([_narrow(counts[i:j]) for i, j in zip(starts, ends)], pa.binary())})
+
+    def probe(key, table):
+        sent = [_from_planes(b.as_py(), SHORT) for b in table.column("keys")]
+        counts = np.concatenate([_wide(b.as_py()) for b in table.column("counts")])
+        keys, back = np.unique(np.concatenate(sent), return_inverse=True)
+        summed = np.zeros(len(keys), np.int64)
+        np.add.at(summed, back, counts)
+        built = Filter(short_bits(keys[summed > 0], summed[summed > 0], width), 1, width)
+        found = built.levels_at(keys, np.zeros(len(keys), np.uint64)).astype(np.uint8)[back]
+        ends = np.cumsum([len(k) for k in sent])
+        return pa.table({
+            "block": table.column("block"), "segment": table.column("segment"),
+            "levels": pa.array([found[j - len(k):j].tobytes() for k, j in zip(sent, ends)], pa.binary())})
+
+    return (blocks.select("block", "taught", "sizes", "codes", "hashes")
+            .mapInArrow(send, "segment long, block long, keys binary, counts binary")
+            .groupBy("segment").applyInArrow(probe, "block long, segment long, levels binary"))
+
+
+def _log_scores(single: np.ndarray, pairs: np.ndarray, codes: np.ndarray, before: np.ndarray, starts: np.ndarray,
+                n: int, v: int, pair_weight: float) -> np.ndarray:
+    """log10 probability of each text, from the counts of the distinct words and of each token's pair."""
+    token, previous = single[codes], single[before]
+    both = np.minimum(np.minimum(pairs, token), previous)
+    p = (token + 0.5) / (n + 0.5 * (v + 1))
+    p = np.where(previous > 0, pair_weight * both / np.maximum(previous, 1) + (1 - pair_weight) * p, p)
+    return np.add.reduceat(np.log10(p), starts)
 
 
 def score_block(filter_: Filter, block: Block, n: int, v: int, pair_weight: float) -> np.ndarray:
     """log10 probability of each text of a block."""
     if not len(block.sizes):
         return np.zeros(0)
-    single = filter_.counts(block.hashes)
-    token, previous = single[block.codes], single[block.before]
-    both = np.minimum(np.minimum(filter_.counts(block.pairs()), token), previous)
-    p = (token + 0.5) / (n + 0.5 * (v + 1))
-    p = np.where(previous > 0, pair_weight * both / np.maximum(previous, 1) + (1 - pair_weight) * p, p)
-    return np.add.reduceat(np.log10(p), block.starts)
+    return _log_scores(filter_.counts(block.hashes), filter_.counts(block.pairs()), block.codes, block.before,
+                       block.starts, n, v, pair_weight)
+
+
+def block_scores(blocks: DataFrame, levels: DataFrame, segments: int, n: int, v: int, pair_weight: float) -> DataFrame:
+    """(block, at, score): the log10 probability of each text of each block."""
+    def score(own, got):
+        row = own.to_pylist()[0]
+        sizes, codes, before, keys, back = _grams(row)
+        order, _, _ = _by_segment(keys, segments)
+        pieces = got.column("levels").to_pylist()
+        pieces = [pieces[i] for i in np.argsort(np.asarray(got.column("segment")))]
+        counts = np.zeros(len(keys))
+        counts[order] = MEANS[np.minimum(np.frombuffer(b"".join(pieces), np.uint8), len(MEANS) - 1)]
+        words = len(row["hashes"]) // 8
+        found = _log_scores(counts[:words], counts[words:][back], codes, before, np.cumsum(sizes) - sizes, n, v, pair_weight)
+        return pa.table({"block": pa.array(np.full(len(sizes), row["block"])),
+                         "at": pa.array(np.arange(len(sizes), dtype=np.int32)), "score": pa.array(found)})
+
+    return blocks.select("block", "sizes", "codes", "hashes").groupBy("block").cogroup(
+        levels.groupBy("block")).applyInArrow(score, "block long, at int, score double")
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -304,17 +355,21 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     known = spark.sparkContext.broadcast(([w.encode() for w in frequent["word"]], np.log10(
         (frequent["c"].to_numpy(float) + 0.5) / divisor)))
     del frequent
-    with batch_bytes(spark, BATCH_BYTES):
-        model = spark.sparkContext.broadcast(build_filter(taught, counted, documents, n))
     end_log = math.log10((documents + 0.5) / divisor)
 
-    def score(batches):
-        lm, logs = model.value, dict(zip(known.value[0], known.value[1].tolist()))
+    def blocked(batches):
+        logs, held = dict(zip(known.value[0], known.value[1].tolist())), []
         for batch in batches:
             if batch.num_rows:
-                yield rows(batch.column(0), Block(batch.column(1)), logs, lm)
-
-    def rows(ids, block, logs, lm):
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+                yield from rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], logs)
+                held = []
+        if held:
+            yield from rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], logs)
+
+    def rows(batch, logs):
+        block, number = Block(batch.column(2)), batch.column(0)[0].as_py()
         # log of each distinct word's estimate; NaN where the word is not broadcast
         log = np.array([*map(logs.get, block.keys, itertools.repeat(math.nan)), end_log])
         each = log[block.codes]
@@ -327,25 +382,45 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             pa.array(np.searchsorted(of, np.arange(len(block.sizes) + 1)), pa.int32()),
             pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], names=["word", "n"]))
         in_head = np.add.reduceat((~rare).astype(np.int64), block.starts) - (documents == 0)
-        return pa.RecordBatch.from_arrays([
-            ids, pa.array(block.sizes), pa.array(in_head),
-            pa.array(np.add.reduceat(np.where(rare, 0.0, each), block.starts)),
-            pa.array(score_block(lm, block, n, v, pair_weight)), tail],
-            names=["id", "n_tokens", "n_known", "base", "score", "tail"])
-
-    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    with_scores = docs.select(F.col(id_col).alias("id"), raw.alias("text")).mapInArrow(
-        score, f"id {kind}, n_tokens long, n_known long, base double, score double, "
-               "tail array<struct<word: string, n: long>>")
+        size = len(block.sizes)
+        per_text = {
+            "block": pa.array(np.full(size, number)), "at": pa.array(np.arange(size, dtype=np.int32)), "id": batch.column(1),
+            "n_tokens": pa.array(block.sizes), "n_known": pa.array(in_head),
+            "base": pa.array(np.add.reduceat(np.where(rare, 0.0, each), block.starts)), "tail": tail}
+        per_block = {"block": pa.array([number]), "at": pa.array([-1], pa.int32())} | {
+            name: pa.array([packed], pa.binary()) for name, packed in (
+                ("taught", batch.column(3).to_numpy(zero_copy_only=False).astype(np.bool_).tobytes()),
+                ("sizes", block.sizes.astype("<i8").tobytes()), ("codes", _planes(block.codes, 4)),
+                ("hashes", block.hashes.astype("<u8").tobytes()))}
+        for columns, length in ((per_text, size), (per_block, 1)):
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(length, f.type)) for f in schema], schema=schema)
+
+    first = docs.select(F.monotonically_increasing_id().alias("block"), F.col(id_col).alias("id"), raw.alias("text"),
+                        F.coalesce(train, F.lit(False)).alias("taught"))
+    kind = first.schema["id"].dataType
+    schema = pa.schema([
+        ("block", pa.int64()), ("at", pa.int32()), ("id", to_arrow_type(kind)), ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()), ("base", pa.float64()),
+        ("tail", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
+        *((name, pa.binary()) for name in ("taught", "sizes", "codes", "hashes"))])
+    segments, width = Filter.shape(n)
     with batch_bytes(spark, BATCH_BYTES):
-        scored, _ = stored(with_scores.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(
+        # A row for each text and, numbered -1, one for the block: what its keys are made from.
+        made, _ = stored(first.mapInArrow(
+            blocked, f"block long, at int, id {kind.simpleString()}, n_tokens long, n_known long, base double, "
+                     "tail array<struct<word: string, n: long>>, taught binary, sizes binary, codes binary, hashes binary"),
+            "blocks", compression="zstd")
+        blocks = made.where("at < 0")
+        scored, _ = stored(block_scores(blocks, gram_levels(blocks, segments, width), segments, n, v, pair_weight), "scored")
+    texts = made.where("at >= 0")
+    rare = texts.select("block", "at", F.explode("tail").alias("t")).select("block", "at", "t.word", "t.n").join(
         counted, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("row").agg(
+    rare = rare.groupBy("block", "at").agg(
         F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(divisor))).alias("rare"),
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    return scored.join(rare, "row", "left").select(
+    return texts.select("block", "at", "id", "n_tokens", "n_known", "base").join(scored, ["block", "at"]).join(
+        rare, ["block", "at"], "left").select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

@@ -129,6 +129,32 @@ def test_scores_match_a_filter_read_one_by_one():
         assert score == pytest.approx(total)
 
 
+@pytest.mark.parametrize("tokens_", [10**6, 10**9, 10**11])
+def test_filter_grows_with_the_training_tokens(tokens_):
+    segments, width = ngram_lm.Filter.shape(tokens_)
+    assert segments * width >= ngram_lm.BITS_PER_TOKEN * tokens_ and width <= 1 << 24
+
+
+def test_scores_by_segment_are_those_of_the_whole_filter(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SEGMENT_TOKENS", 1 << 4)
+    docs = data.frame(spark)
+    held = common.crc_fold("doc_id", 5) == 1
+    taught = ngram_lm.Block(pa.array([r.text or "" for r in docs.where(~held).collect()]))
+    n, v = len(taught.codes), len(taught.hashes)
+    segments, width = ngram_lm.Filter.shape(n)
+    assert segments > 1
+    keys, counts = np.unique(np.concatenate([taught.hashes[taught.codes], taught.pairs()]), return_counts=True)
+    segment = ngram_lm.Filter.segment(keys, segments)
+    built = ngram_lm.Filter(np.concatenate([ngram_lm.segment_bits(keys[segment == s], counts[segment == s], width)
+                                            for s in range(segments)]), segments, width)
+    rows = docs.collect()
+    want = ngram_lm.score_block(built, ngram_lm.Block(pa.array([r.text or "" for r in rows])), n, v, ngram_lm.PAIR_WEIGHT)
+    got = ngram_lm.scores(docs, ~held).collect()
+    key = lambda i: -1 if i is None else i
+    for a, b in zip(sorted((key(r.doc_id), s) for r, s in zip(rows, want)), sorted((key(r.doc_id), r.score) for r in got), strict=True):
+        assert a == pytest.approx(b)
+
+
 def test_words_split_at_the_ascii_white_space():
     texts = [" a  B\tc\n", "", "   ", "x\x1cY \x85z\xa0w\x0bq", "A\x00B É", "Ünï \u2003 x"]
     flat, sizes = ngram_lm.words_of(pa.array(texts))
