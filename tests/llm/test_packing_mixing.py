@@ -102,6 +102,12 @@ def test_both_encoders_agree_on_every_letter_they_share(exact):
         assert packing.token_ids(text, PATH).tolist() == exact(text), repr(text)
 
 
+@pytest.mark.parametrize("blanks", [" " * 10**6, "\n" * 10**6, " \n" * 5 * 10**5, " " * (packing.BLANKS - 1)])
+def test_long_runs_of_blanks_have_their_ids(exact, blanks):
+    text = f"word{blanks}next"
+    assert packing.token_ids(text, PATH).tolist() == exact(text)
+
+
 def level_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
