@@ -68,10 +68,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.get("w", F.col("word") + 1), F.lit("")).alias("after"),
         F.aggregate(F.slice("w", F.lit(1), F.col("word")), F.lit(0).cast("long"),
                     lambda n, x: n + F.char_length(x) + 1).alias("offset"))
-    each = near.select("*", F.explode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("candidate"))
-    at = F.instr("text", F.col("candidate"))
-    return each.select("id", "word", (F.col("offset") + at - 1).alias("start"), "candidate",
-                       F.substring("text", F.lit(1), at - 1).alias("prefix"), "before", "after")
+    # What stands between the candidates of a word gives each its own place, also where one occurs twice.
+    cut = near.withColumns({"found": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
+                            "between": F.split("text", CANDIDATE, -1)})
+    ahead = F.transform("found", lambda x, i: F.char_length(F.get("between", i)) + F.when(
+        i > 0, F.char_length(F.get("found", i - 1))).otherwise(0))
+    each = cut.withColumn("ahead", ahead).select("*", F.posexplode("found").alias("number", "candidate"))
+    at = F.aggregate(F.slice("ahead", F.lit(1), F.col("number") + 1), F.lit(0), lambda n, x: n + x)
+    return each.withColumn("at", at).select(
+        "id", "word", (F.col("offset") + F.col("at")).alias("start"), "candidate",
+        F.substring("text", F.lit(1), F.col("at")).alias("prefix"), "before", "after")
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -352,6 +352,18 @@ def test_secret_candidates_are_complete(spark):
         assert texts[r.id][r.start:r.start + len(r.candidate)] == r.candidate
 
 
+def test_repeated_and_nested_candidates_have_their_own_places(spark):
+    key, other = "Zk3vQ9xL2mN8pR5tW7yB", "q7Hs2Kd9Lm4Xc8Vb1Nz6"
+    texts = [f'{{"a":"{key}","b":"{key}","c":"{other}","d":"{key}"}}', f"x Ünï:{key}{other}:{other}:{key}, {key}",
+             f"{key};{key}", f"{key}\u3000{other}🙂{key} end", ",".join([key] * 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.candidates(docs).collect()
+    want = [(i, at, c) for i, t in enumerate(texts) for at, c in python_candidates(t)]
+    assert sorted((r.id, r.start, r.candidate) for r in got) == sorted(want)
+    for r in got:
+        assert r.prefix == re.split(r"[\x20\x09-\x0D]", texts[r.id][:r.start])[-1]
+
+
 def test_secrets_are_found_and_false_positives_removed(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     extra = [(100000, "see commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b for that"), (100001, "uuid 123e4567-e89b-12d3-a456-426614174000 here"),
