@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,13 @@ def hash_sample(df: DataFrame, key: Column, rows: int, size: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 32)) < F.lit(int((1 << 32) * 0.9 * size / rows)))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, null equal to null; the result has ``left``'s keys once."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 @contextmanager
 def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
     """Limit the Arrow batches of the jobs that run inside to ``size`` bytes."""

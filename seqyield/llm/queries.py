@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqyield.llm import (exact_dedup, html_text, mixing, nearest, ngram_lm, packing, quality, secrets,
-                          simhash_dedup, substring_dedup)
+from seqyield.llm import (conversation_repair, exact_dedup, filter_audit, html_text, minhash_dedup, mixing, nearest,
+                          ngram_lm, packing, quality, secrets, simhash_dedup, substring_dedup)
 from seqyield.llm.common import crc_fold
 
 
@@ -65,6 +65,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damage(rows))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -76,4 +89,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_minhash": op13_minhash,
 }
