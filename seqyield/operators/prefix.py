@@ -64,8 +64,12 @@ def _summed(batches, measures: list[str], by: list[str], schema_names: list[str]
         sums = []
         for i, m in enumerate(measures):
             v = np.asarray(batch.column(batch.schema.get_field_index(m)))
-            run = np.cumsum(v)
-            run -= (run[at] - v[at])[group]
+            if v.dtype.kind == "f":
+                # Every group starts anew: a large, infinite or NaN sum must not reach the next one.
+                run = np.concatenate([np.cumsum(x) for x in np.split(v, at[1:])])
+            else:
+                run = np.cumsum(v)
+                run -= (run[at] - v[at])[group]
             if carry is not None:
                 run[group == 0] += carry[i]
             sums.append(run)

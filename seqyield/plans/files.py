@@ -8,6 +8,7 @@ instrument gives its files:
 * summary TSV files in two folders; the second has its columns in reverse order;
 * gzip FASTQ files in two folders: every third file has malformed headers,
   another third has records with a short quality line, and one file is empty;
+* gzip FASTQ files, four of five of them damaged or made of several members;
 * a run folder with plain FASTQ, summary files and folders of ``.fast5`` files;
 * Parquet files of ``events`` with increasing modification times, as a stream.
 """
@@ -15,13 +16,16 @@ instrument gives its files:
 from __future__ import annotations
 
 import gzip
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqyield.plans.tables import events_reads, table
 from seqyield.session import file_system, path_stamp, scratch_path, shared_folder
 from seqyield.sources.fastq import fastq_record_text
+from seqyield.sources.fastq_source import file_system as arrow_file_system
 
 # Fixed values of the synthetic run folder.
 FLOWCELL_ID = "FAB00000"
@@ -98,6 +102,40 @@ def fastq_folders(spark: SparkSession, sf: str) -> str:
     return f"{root}/a,{root}/b"
 
 
+def damaged_archive(records: list[bytes], kind: int) -> bytes:
+    """A gzip file of records: 0 one member, 1 several, 2 cut off after the first half, 3 two members, the first
+    with a wrong check sum, 4 the first half and then something else."""
+    half = len(records) // 2
+    one, two = b"".join(records[:half]), b"".join(records[half:])
+    if kind == 1:
+        return b"".join(gzip.compress(b"".join(records[i:i + 100])) for i in range(0, len(records), 100))
+    if kind == 2:
+        made = zlib.compressobj(wbits=31)
+        whole = made.compress(one) + made.flush(zlib.Z_FULL_FLUSH)
+        return whole + (made.compress(two) + made.flush())[:5]
+    if kind == 3:
+        first = bytearray(gzip.compress(one))
+        first[-8] ^= 0xFF
+        return bytes(first) + gzip.compress(two)
+    return gzip.compress(one) + b"no member" if kind == 4 else gzip.compress(one + two)
+
+
+def damaged_folder(spark: SparkSession, sf: str) -> str:
+    """``fastq_<n>.fastq.gz`` of ``events``, damaged by their number modulo 5 (see :func:`damaged_archive`)."""
+    def write(path):
+        file_system(spark, path)[0].mkdirs(file_system(spark, path)[1])
+
+        def encode(key, table):
+            number = key[0].as_py()
+            records = [v.as_py().encode() + b"\n" for v in table.sort_by("read").column("value")]
+            fs, target = arrow_file_system(f"{path}/fastq_{number}.fastq.gz")
+            with fs.open_output_stream(target, compression=None) as out:
+                out.write(damaged_archive(records, number % 5))
+            return pa.table({"file": pa.array([number], pa.int64())})
+        _records(spark, sf).groupBy("file").applyInArrow(encode, "file long").write.format("noop").mode("overwrite").save()
+    return shared_folder(spark, _key(spark, "damaged", sf, "events"), write, "damaged")
+
+
 def _summary_rows(spark: SparkSession, sf: str) -> DataFrame:
     r = events_reads(spark, sf)
     broken = F.pmod(F.col("read"), F.lit(333)) == 0

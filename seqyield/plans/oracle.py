@@ -385,6 +385,13 @@ WITH f0 AS (
 fq AS (SELECT *, bare OR flagged AS bad, seq_len - CAST(short AS INTEGER) AS qual_len FROM f0)
 """
 
+# What archives damaged by their number modulo 5 still give: 2 and 4 lose their second half.
+DAMAGED = FASTQ_EXPECTED + """
+, given AS (
+  SELECT *, number % 5 AS kind FROM fq
+  QUALIFY number % 5 NOT IN (2, 4) OR ordinal < count(*) OVER (PARTITION BY number) // 2)
+"""
+
 # Summary rows as the files hold them: every 333rd template duration is unreadable.
 SUMMARY_EXPECTED = """
 , sm AS (
@@ -613,6 +620,27 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT
        CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey,
            CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_qty
 FROM lineitem""",
+    "lineitem_running_price": """
+SELECT l_returnflag, l_orderkey, l_linenumber, round(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) OVER (
+           PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE, 2) AS running_price
+FROM lineitem""",
+    "fastq_damaged_records": DAMAGED + """
+SELECT number, read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len, NOT short AS framing_ok
+FROM given""",
+    "fastq_damaged_report": DAMAGED + """
+SELECT number, count(*) AS records, count(*) FILTER (WHERE short) AS bad_framing,
+       ANY_VALUE(CASE kind WHEN 2 THEN 'member 0: cut off' WHEN 3 THEN 'member 0: wrong check sum'
+                           WHEN 4 THEN 'member 1: not gzip' END) AS error
+FROM given GROUP BY number""",
+    "fastq_damaged_kept": DAMAGED + """
+SELECT number, read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len, true AS framing_ok
+FROM given g WHERE kind < 2 AND NOT EXISTS (SELECT 1 FROM fq b WHERE b.short AND b.number = g.number)""",
+    "fastq_source_records": FASTQ_EXPECTED + """
+SELECT number, ordinal, read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len,
+       NOT short AS framing_ok FROM fq""",
+    "fastq_source_stream": FASTQ_EXPECTED + """
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short""",
     "fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short""",
     "fastq_file_quarantine": FASTQ_EXPECTED + """
@@ -630,7 +658,7 @@ UNION ALL SELECT 999999, 0, 0, 0""",
     "fastq_records": FASTQ_EXPECTED + """
 SELECT number, ordinal, read_id, CAST(seq_len AS BIGINT) AS seq_len, CAST(qual_len AS BIGINT) AS qual_len,
        NOT short AS framing_ok FROM fq""",
-    "summary_scan": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm WHERE number % 2 = 0",
+    "summary_scan": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm",
     "summary_scan_reordered": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm",
     "summary_broken_cells": """
 SELECT event_id // 500 AS number, count(*) AS rows, count(*) FILTER (WHERE event_id % 333 = 0) AS broken_rows,
@@ -662,9 +690,18 @@ FROM mb WHERE number < (SELECT max(number) FROM mb)""",
 SELECT number, ordinal, read_id, NOT short AS framing_ok FROM fq WHERE number < (SELECT max(number) FROM fq)""",
     "relocate_summary": READS + SUMMARY_EXPECTED + """
 SELECT number, read_id, sequence_length_template FROM sm WHERE number < (SELECT max(number) FROM sm)""",
-    "checksums": _MEMBERS + """
-SELECT number, md5(content) || '  PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS line
-FROM mb WHERE number < (SELECT max(number) FROM mb)""",
+    "checksums": _MEMBERS + """,
+""" + FASTQ_EXPECTED.replace("WITH", "", 1) + """,
+ft AS (
+  SELECT number, string_agg('@' || read_id || ' ' || CASE WHEN bare THEN 'flag' ELSE
+           printf('runid=%s sampleid=%s read=%d ch=%d start_time=%s', run_id, sample_id, read, channel,
+                  strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) || CASE WHEN flagged THEN ' flag' ELSE '' END END || chr(10)
+         || substr(repeat('ACGT', 13), 1, seq_len) || chr(10) || '+' || chr(10) || substr(repeat('@I!#', 13), 1, qual_len) || chr(10),
+         '' ORDER BY ordinal) AS content
+  FROM fq GROUP BY number)
+SELECT 'fast5' AS kind, number, md5(content) || '  PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS line
+FROM mb WHERE number < (SELECT max(number) FROM mb)
+UNION ALL SELECT 'fastq', number, md5(content) || '  fastq_' || number || '.fastq' FROM ft WHERE number < (SELECT max(number) FROM mb)""",
     "stream_reads": READS + """
 SELECT read_id, coalesce(mean_qscore_template > 9, false) AS pass,
        CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,
@@ -689,9 +726,9 @@ SELECT coalesce(mean_qscore_template > 9, false) AS pass, batch_id,
        CAST(sum(count(*)) OVER w AS BIGINT) AS quality_count
 FROM b GROUP BY 1, 2
 WINDOW w AS (PARTITION BY coalesce(mean_qscore_template > 9, false) ORDER BY batch_id)""",
-    "stream_summary": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm WHERE number % 2 = 1",
+    "stream_summary": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm",
     "stream_fastq_headers": FASTQ_EXPECTED + """
-SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short AND number % 2 = 0""",
+SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short""",
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",

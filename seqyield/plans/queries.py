@@ -17,6 +17,7 @@ from seqyield.functions.expr import batch_name
 from seqyield.operators import batches, dist, flowcell, running, stats, trim
 from seqyield.plans import files as runfiles
 from seqyield.sources import fastq as fq_src
+from seqyield.sources import fastq_source as fq_files
 from seqyield.sources import summary as sum_src
 from seqyield.operators.quantiles import exact_quantiles
 from seqyield.operators.reads import check_single_sample, dedup_reads, elapsed_time, unmatched_reads
@@ -376,6 +377,15 @@ def q_lineitem_running_quantity(spark, sf):
     return running_totals(li, order, {"running_qty": "qty"})
 
 
+def q_lineitem_running_price(spark, sf):
+    """Running sums of doubles, anew for every return flag."""
+    li = runfiles.table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    r = running_totals(li, order, {"running_price": "l_extendedprice"}, by=["l_returnflag"])
+    return r.select("l_returnflag", "l_orderkey", "l_linenumber", F.round("running_price", 2).alias("running_price"))
+
+
 # --- sources and run folders ------------------------------------------------------
 
 def _parsed_fastq(spark, sf):
@@ -413,6 +423,45 @@ def q_fastq_records(spark, sf):
                     "framing_ok")
 
 
+def _record_out(r):
+    return r.select(_file_number(), F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"),
+                    F.length("seq").cast("long").alias("seq_len"), F.length("qual").cast("long").alias("qual_len"),
+                    "framing_ok")
+
+
+def q_fastq_damaged_records(spark, sf):
+    """Every whole record that damaged archives still give."""
+    return _record_out(fq_files.records(fq_files.scan_content(spark, runfiles.damaged_folder(spark, sf))))
+
+
+def q_fastq_damaged_report(spark, sf):
+    rows = fq_files.fastq_reader(spark, runfiles.damaged_folder(spark, sf), "*.fastq.gz").load()
+    return fq_files.file_report(rows).select(_file_number(), "records", "bad_framing", "error")
+
+
+def q_fastq_damaged_kept(spark, sf):
+    """Records of the files without any fault."""
+    rows = fq_files.scan_content(spark, runfiles.damaged_folder(spark, sf))
+    return _record_out(fq_files.sound_records(rows, mode="file"))
+
+
+def q_fastq_source_records(spark, sf):
+    """Plain files cut every 16 KiB: several tasks to a file, records numbered by their place."""
+    rows = fq_files.fastq_reader(spark, runfiles.run_folder(spark, sf), "*.fastq", partition_bytes=1 << 14).load()
+    placed = running_totals(fq_files.records(rows), ["offset"], {"upto": 1}, by=["file"])
+    return placed.select(
+        _file_number(), (F.col("upto") - 1).alias("ordinal"), F.regexp_extract("header", r"^@+(\S*)", 1).alias("read_id"),
+        F.length("seq").cast("long").alias("seq_len"), F.length("qual").cast("long").alias("qual_len"), "framing_ok")
+
+
+def q_fastq_source_stream(spark, sf):
+    """The header rows of the run's plain files, streamed by the data source."""
+    rows = fq_files.fastq_reader(spark, runfiles.run_folder(spark, sf), "*.fastq", partition_bytes=1 << 14, stream=True).load()
+    good = fq_src.quarantine(fq_src.parse_fastq(fq_files.records(rows)))
+    return jobs.run_once(good.select("read_id", "run_id", "sample_id", "read", "channel",
+                                     F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq-source")
+
+
 SUMMARY_OUT = ("read_id", "run_id", "channel", "start_time_float", "num_events", "template_duration",
                "sequence_length_template", "mean_qscore_template")
 
@@ -422,8 +471,9 @@ def _summary_out(s):
 
 
 def q_summary_scan(spark, sf):
-    """The first folder: columns in the instrument's order."""
-    return _summary_out(sum_src.scan_summary(spark, runfiles.summary_folders(spark, sf).split(",")[0]))
+    """All files below the run's folder, whatever folder they are in."""
+    above = runfiles.summary_folders(spark, sf).split(",")[0].rsplit("/", 1)[0]
+    return _summary_out(sum_src.scan_summary(spark, above, recursive=True))
 
 
 def q_summary_scan_reordered(spark, sf):
@@ -559,9 +609,7 @@ def q_relocate_summary(spark, sf):
 
 def q_checksums(spark, sf):
     t = spark.read.parquet(f"{_archive(spark, sf)}/checksums").select("kind", "number", "file", "md5")
-    lines = batches.checksum_lines(t).select("kind", "line").where("kind = 'fast5'")
-    return t.where("kind = 'fast5'").select(F.col("number").cast("long").alias("number"), F.concat_ws("  ", "md5", "file").alias("line")) \
-        .join(lines.select("line").distinct(), "line", "left_semi")
+    return t.select("kind", F.col("number").cast("long").alias("number"), F.concat_ws("  ", "md5", "file").alias("line"))
 
 
 # --- streaming (run to completion on the data present: trigger availableNow) -------
@@ -629,15 +677,15 @@ def q_stream_running_yield(spark, sf):
 
 
 def q_stream_summary(spark, sf):
-    """The folder whose columns stand in reverse order."""
-    folder = runfiles.summary_folders(spark, sf).split(",")[1]
-    s = jobs.stream_summary(spark, folder, files_per_trigger=_quarter(spark, folder))
+    """Both folders, whose columns stand in two orders."""
+    folders = runfiles.summary_folders(spark, sf)
+    s = jobs.stream_summary(spark, folders, files_per_trigger=_quarter(spark, folders.split(",")[0]))
     return _summary_out(jobs.run_once(s.select(*SUMMARY_OUT), spark, "summary"))
 
 
 def q_stream_fastq_headers(spark, sf):
-    folder = runfiles.fastq_folders(spark, sf).split(",")[0]
-    h = jobs.stream_fastq_headers(spark, folder, files_per_trigger=_quarter(spark, folder))
+    folders = runfiles.fastq_folders(spark, sf)
+    h = jobs.stream_fastq_headers(spark, folders, files_per_trigger=_quarter(spark, folders.split(",")[0]))
     return jobs.run_once(h.select("read_id", "run_id", "sample_id", "read", "channel",
                                   F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
 
@@ -695,7 +743,13 @@ QUERIES: dict[str, Query] = {
     "documents_weighted_histogram": q_documents_weighted_histogram,
     "documents_yield_by_quality": q_documents_yield_by_quality,
     "lineitem_running_quantity": q_lineitem_running_quantity,
+    "lineitem_running_price": q_lineitem_running_price,
     "fastq_headers": q_fastq_headers,
+    "fastq_damaged_records": q_fastq_damaged_records,
+    "fastq_damaged_report": q_fastq_damaged_report,
+    "fastq_damaged_kept": q_fastq_damaged_kept,
+    "fastq_source_records": q_fastq_source_records,
+    "fastq_source_stream": q_fastq_source_stream,
     "fastq_file_quarantine": q_fastq_file_quarantine,
     "bad_fastq_headers": q_bad_fastq_headers,
     "bad_fastq_files": q_bad_fastq_files,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,36 +61,23 @@ def summary_cells(lines: DataFrame, schema: T.StructType = SUMMARY_SCHEMA) -> Da
     return rows.select("file", F.transform(at, lambda i: F.get("cells", i)).alias("cells"))
 
 
-def align_cells(lines: DataFrame, schema: T.StructType = SUMMARY_SCHEMA) -> DataFrame:
-    """:func:`summary_cells` for a stream: lines ``(file, arrival, value)`` to ``(file, arrival, cells)``.
+def whole_file_cells(files: DataFrame, schema: T.StructType = SUMMARY_SCHEMA, carried: Sequence[str] = ()) -> DataFrame:
+    """:func:`summary_cells` of whole files ``(*carried, file, value)``, one row a file, as a stream gives them.
 
-    A stream cannot join a file with itself; a file's lines reach one task in
-    order here, and its first line is the header.
+    A stream cannot join a file with itself; here every row holds its file's
+    header, so no line depends on which task reads it.
     """
-    names = schema.names
-
-    def align(batches):
-        current, places = None, None
-        for batch in batches:
-            kept, cells = [], []
-            for i, (file, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                row = value.split("\t")
-                if file != current:
-                    missing = [n for n in names if n not in row]
-                    if missing:
-                        raise ValueError(f"summary file {file} has no column {', '.join(missing)}")
-                    current, places = file, [row.index(n) for n in names]
-                elif value:
-                    kept.append(i)
-                    cells.append([row[p] if p < len(row) else None for p in places])
-            if kept:
-                index = pa.array(kept)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(cells, pa.list_(pa.string()))],
-                    names=["file", "arrival", "cells"])
-
-    kind = lines.schema["arrival"].dataType.simpleString()
-    return lines.select("file", "arrival", "value").mapInArrow(align, f"file string, arrival {kind}, cells array<string>")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
+    names = F.split(F.get("__lines", F.lit(0)), "\t")
+    missing = F.array_except(F.array(*[F.lit(n) for n in schema.names]), "__names")
+    places = F.when(F.size(missing) > 0, F.raise_error(F.concat(
+        F.lit("summary file "), F.col("file"), F.lit(" has no column "), F.array_join(missing, ", ")))).otherwise(
+        F.array(*[F.array_position("__names", n).cast("int") - 1 for n in schema.names]))
+    rows = (files.withColumn("__lines", lines).where(F.size("__lines") > 0).withColumn("__names", names)
+            .withColumn("__at", places)
+            .select(*carried, "file", "__at", F.explode(F.slice("__lines", F.lit(2), F.size("__lines"))).alias("__line")))
+    rows = rows.withColumn("__cells", F.split("__line", "\t"))
+    return rows.select(*carried, "file", F.transform("__at", lambda i: F.get("__cells", i)).alias("cells"))
 
 
 def _value(cell: Column, kind: T.DataType) -> Column:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,38 +194,40 @@ def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append"
     return latest(spark, out, keys or []) if mode == "update" else spark.read.parquet(out)
 
 
-def _text_stream(spark: SparkSession, folder: str, glob: str, files_per_trigger: int | None,
-                 recursive: bool = False) -> DataFrame:
-    r = spark.readStream.format("text").option("pathGlobFilter", glob)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    return r.load(folder).select(F.col("_metadata.file_path").alias("file"),
-                                 F.col("_metadata.file_modification_time").alias("arrival"), "value")
+def _text_stream(spark: SparkSession, folders: Sequence[str], glob: str, files_per_trigger: int | None,
+                 recursive: bool = False, whole: bool = False) -> DataFrame:
+    """Lines (or whole files) of all folders as they arrive; ``files_per_trigger`` files of each to a micro-batch."""
+    streams = []
+    for folder in folders:
+        r = spark.readStream.format("text").option("pathGlobFilter", glob).option("wholetext", str(whole).lower())
+        if files_per_trigger:
+            r = r.option("maxFilesPerTrigger", files_per_trigger)
+        if recursive:
+            r = r.option("recursiveFileLookup", "true")
+        streams.append(r.load(folder).select(F.col("_metadata.file_path").alias("file"),
+                                             F.col("_metadata.file_modification_time").alias("arrival"), "value"))
+    return reduce(DataFrame.union, streams)
 
 
 def stream_summary(spark: SparkSession, dirs, glob: str = "*sequencing_summary*.txt",
                    files_per_trigger: int | None = 4) -> DataFrame:
-    """Summary TSV files as they arrive: columns by header name and renames as in the batch scan.
+    """Summary TSV files of all folders as they arrive: columns by header name and renames as in the batch scan.
 
-    A file's rows stay together in arrival order, so its header line says where
-    its columns are (files below ``spark.sql.files.maxPartitionBytes`` each).
+    A file is one row until its lines meet its header, so a file of any number
+    of splits is read alike (below 2 GB, Spark's limit of a value).
     """
     from seqyield.operators.reads import summary_time_columns
-    from seqyield.sources.summary import SUMMARY_SCHEMA, align_cells, cells_to_rows, split_dirs
+    from seqyield.sources.summary import SUMMARY_SCHEMA, cells_to_rows, split_dirs, whole_file_cells
 
-    paths = split_dirs(dirs)
-    if len(paths) != 1:
-        raise ValueError("a file stream reads one folder (use one query per folder)")
-    lines = _text_stream(spark, paths[0], glob, files_per_trigger)
-    return summary_time_columns(cells_to_rows(align_cells(lines), SUMMARY_SCHEMA, ["arrival"]))
+    files = _text_stream(spark, split_dirs(dirs), glob, files_per_trigger, whole=True)
+    return summary_time_columns(cells_to_rows(whole_file_cells(files, carried=["arrival"]), SUMMARY_SCHEMA, ["arrival"]))
 
 
-def stream_fastq_headers(spark: SparkSession, folder: str, glob: str = "*.fastq.gz",
+def stream_fastq_headers(spark: SparkSession, dirs, glob: str = "*.fastq.gz",
                          files_per_trigger: int | None = 4, recursive: bool = False) -> DataFrame:
-    """FASTQ header rows as files arrive (record-level quarantine: malformed records are dropped)."""
+    """FASTQ header rows of all folders as files arrive (record-level quarantine: malformed records are dropped)."""
     from seqyield.sources.fastq import HEADER_COLUMNS, frame_records, parse_fastq, quarantine
+    from seqyield.sources.summary import split_dirs
 
-    lines = _text_stream(spark, folder, glob, files_per_trigger, recursive)
+    lines = _text_stream(spark, split_dirs(dirs), glob, files_per_trigger, recursive)
     return quarantine(parse_fastq(frame_records(lines, ("file", "arrival")))).select("arrival", *HEADER_COLUMNS)
