@@ -7,12 +7,13 @@ one small aggregate whose few numbers come back as literals.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqyield.session import literal_rows, materialize
@@ -29,6 +30,8 @@ PAIR_SAMPLE = 10_000
 PAIR_RATIO_MAX = 5
 PAIR_COLUMNS = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
 PAIR_BINS = 10
+# Shares of a density that its contour levels enclose; the ground below the largest is not shaded.
+CONTOUR_MASSES = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
 # Display names of the pair view's variables.
 PAIR_DISPLAY_NAMES = {"mean_qscore_template": "Mean QScore Template", "pore_speed": "Pore Speed (b/s)",
                       "sequence_length_template": "Read Length", "events_ratio": "Events / base"}
@@ -254,15 +257,37 @@ def quality_ridges(df: DataFrame, time_col: str = "start_time_float_by_sample",
     return kde_1d(tb, quality_col, by=["time_bin_label"])
 
 
-def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass",
-                 bins: int = TREND_BINS) -> DataFrame:
-    """Mean of y at the nearest of ``bins`` percentile points of x, per group, with the
-    least-squares line on the unbinned rows and a normal-approximation 95 % interval.
+#: Replicates of a bootstrap, and the modulus of its draws.
+REPLICATES, PRIME = 1000, (1 << 31) - 1
 
-    ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept, y_axis_max)``;
-    ``y_axis_max`` is twice the mean of y over all rows, the plot's axis limit.
+
+def _md5_number(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def poisson_limits(k: int = 10) -> list[int]:
+    """A draw r of 0 .. PRIME - 1 has the Poisson(1) weight of how many of these numbers are r or less."""
+    return [math.floor(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) * PRIME) for j in range(k)]
+
+
+def poisson_weights(h1: np.ndarray, h2: np.ndarray, replicates: int) -> np.ndarray:
+    """Weights (a row per row) of rows with the hashes h1 and h2 in every replicate.
+
+    Replicate b draws (h1 a_b + h2 c_b) mod PRIME; a_b and c_b come from MD5, so a
+    row weighs the same wherever and however often it is read.
     """
-    data = df.select(F.col(by).alias("group"), _num(x_col).alias("__x"), _num(y_col).alias("__y")) \
+    a = np.array([_md5_number(f"a:{b}") % (PRIME - 1) + 1 for b in range(replicates)], np.int64)
+    c = np.array([_md5_number(f"c:{b}") % (PRIME - 1) + 1 for b in range(replicates)], np.int64)
+    drawn = (h1[:, None] * a % PRIME + h2[:, None] * c % PRIME) % PRIME
+    weights = np.zeros(drawn.shape, np.int8)
+    for limit in poisson_limits():
+        weights += drawn >= limit
+    return weights
+
+
+def _placed(df: DataFrame, x_col: str, y_col: str, by: str, bins: int, *carried: Column) -> DataFrame:
+    """Rows (group, __x, __y) with the percentile points ``__c`` of x in their group and the nearest one, ``x_centre``."""
+    data = df.select(F.col(by).alias("group"), _num(x_col).alias("__x"), _num(y_col).alias("__y"), *carried) \
         .where("__x is not null and __y is not null")
     probs = [k / (bins + 1) for k in range(1, bins + 1)]
     # One row per group: its percentile points in order and the midpoints between them.
@@ -273,17 +298,97 @@ def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_p
     placed = data.join(centres, data["group"].eqNullSafe(F.col("__g")))
     # Nearest centre, the lower one on a tie: the number of midpoints strictly below x.
     nearest = F.get("__c", F.size(F.filter("__mid", lambda m: m < F.col("__x"))))
-    per_bin = placed.groupBy("group", nearest.alias("x_centre")).agg(
-        F.count(F.lit(1)).alias("reads"), F.avg("__y").alias("y_mean"),
-        F.stddev_samp("__y").alias("__sd"))
-    half = 1.959963984540054 * F.col("__sd") / F.sqrt(F.col("reads").cast("double"))
-    line = data.groupBy(F.col("group").alias("__g")).agg(F.regr_slope("__y", "__x").alias("slope"),
-                                                         F.regr_intercept("__y", "__x").alias("intercept"))
+    return placed.withColumn("x_centre", nearest).drop("__g", "__mid")
+
+
+def bootstrap_sums(placed: DataFrame, id_col: str, replicates: int = REPLICATES) -> DataFrame:
+    """Poisson bootstrap: ``(group, x_centre, origin, replicate, w, wx, wy, wxx, wxy)``.
+
+    One pass over the rows of :func:`_placed`, no copy of any: every row weighs
+    in each replicate by a Poisson(1) number drawn from its id, and a task sends
+    the weighted sums of its bins as one matrix per sum.  x counts from
+    ``origin``, a percentile point of the group.
+    """
+    digest = F.md5(F.concat(F.lit("bootstrap-1:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME
+    origin = F.get("__c", F.floor((F.size("__c") - 1) / 2).cast("int"))
+    rows = placed.select("group", "x_centre", origin.alias("origin"), (F.col("__x") - origin).alias("x"), F.col("__y").alias("y"),
+                         part(1).alias("h1"), part(9).alias("h2"))
+    kind = placed.schema["group"].dataType.simpleString()
+
+    def sums(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                keys = list(zip(*(some.column(i).to_pylist() for i in range(3))))
+                x, y, h1, h2 = (some.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
+                found = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+                member = np.zeros((len(found), len(keys)))
+                member[[found[k] for k in keys], np.arange(len(keys))] = 1.0
+                w = poisson_weights(h1, h2, replicates).astype(float)
+                got = np.stack([(member * v) @ w for v in (1.0, x, y, x * x, x * y)], axis=-1)
+                for k, i in found.items():
+                    total[k] = total[k] + got[i] if k in total else got[i]
+        for (group, centre, start), m in total.items():
+            n = len(m)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * n), pa.array([centre] * n, pa.float64()), pa.array([start] * n, pa.float64()),
+                 pa.array(np.arange(n, dtype=np.int32)), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(5)]],
+                names=["group", "x_centre", "origin", "replicate", "w", "wx", "wy", "wxx", "wxy"])
+
+    schema = f"group {kind}, x_centre double, origin double, replicate int, w double, wx double, wy double, wxx double, wxy double"
+    return rows.mapInArrow(sums, schema).groupBy("group", "x_centre", "origin", "replicate").agg(
+        *[F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
+
+
+def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass", bins: int = TREND_BINS,
+                 id_col: str = "read_id", replicates: int = REPLICATES) -> DataFrame:
+    """Mean of y at the nearest of ``bins`` percentile points of x, per group, with its 95 % bootstrap
+    interval, and the least-squares line on the unbinned rows.
+
+    ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept, y_axis_max)``;
+    ``y_axis_max`` is twice the mean of y over all rows, the plot's axis limit.
+    """
+    placed = _placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id"))
+    per_bin = placed.groupBy("group", "x_centre").agg(F.count(F.lit(1)).alias("reads"), F.avg("__y").alias("y_mean"))
+    means = bootstrap_sums(placed, "__id", replicates).where("w > 0")
+    bounds = means.groupBy(F.col("group").alias("__b"), F.col("x_centre").alias("__bx")).agg(
+        F.percentile(F.col("wy") / F.col("w"), F.lit(0.025)).alias("ci_low"),
+        F.percentile(F.col("wy") / F.col("w"), F.lit(0.975)).alias("ci_high"))
+    line = placed.groupBy(F.col("group").alias("__g")).agg(F.regr_slope("__y", "__x").alias("slope"),
+                                                           F.regr_intercept("__y", "__x").alias("intercept"))
     # Axis limit: twice the mean of y over all rows (a scalar subquery).
     limit = df.agg(2 * F.avg(_num(y_col))).scalar()
-    return per_bin.join(line, per_bin["group"].eqNullSafe(F.col("__g"))).select(
-        "group", "x_centre", "reads", "y_mean", (F.col("y_mean") - half).alias("ci_low"),
-        (F.col("y_mean") + half).alias("ci_high"), "slope", "intercept", limit.alias("y_axis_max"))
+    return (per_bin.join(line, per_bin["group"].eqNullSafe(F.col("__g")))
+            .join(bounds, per_bin["group"].eqNullSafe(F.col("__b")) & (per_bin["x_centre"] == F.col("__bx")), "left")
+            .select("group", "x_centre", "reads", "y_mean", "ci_low", "ci_high", "slope", "intercept",
+                    limit.alias("y_axis_max")))
+
+
+def trend_band(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass", bins: int = TREND_BINS,
+               id_col: str = "read_id", replicates: int = REPLICATES, points: int = 100) -> DataFrame:
+    """The least-squares line of each group and the 95 % band of the lines of all replicates, at ``points`` places
+    from the group's least to its largest x: ``(group, point, x, y_fit, y_low, y_high)``.
+
+    The lines come from the weighted sums of the replicates alone, a few
+    numbers each, whatever the number of rows.
+    """
+    placed = _placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id"))
+    sums = bootstrap_sums(placed, "__id", replicates).groupBy("group", "origin", "replicate").agg(
+        *[F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
+    spread = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
+    lines = sums.where(spread > 0).withColumn("__slope", (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / spread)
+    lines = lines.select("group", "origin", "__slope", ((F.col("wy") - F.col("__slope") * F.col("wx")) / F.col("w")).alias("__level"))
+    ends = placed.groupBy(F.col("group").alias("__g")).agg(
+        F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.regr_slope("__y", "__x").alias("__b"),
+        F.regr_intercept("__y", "__x").alias("__a"))
+    x = F.col("__low") + F.col("point") * ((F.col("__high") - F.col("__low")) / (points - 1))
+    at = (lines.join(ends, lines["group"].eqNullSafe(F.col("__g")))
+          .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
+          .withColumn("__y", F.col("__level") + F.col("__slope") * (F.col("x") - F.col("origin"))))
+    return at.groupBy("group", "point", "x", (F.col("__a") + F.col("__b") * F.col("x")).alias("y_fit")).agg(
+        F.percentile("__y", F.lit(0.025)).alias("y_low"), F.percentile("__y", F.lit(0.975)).alias("y_high"))
 
 
 def _fd_bins(n: int, iqr: float | None, mn: float, mx: float) -> int:
@@ -470,6 +575,71 @@ def pair_kde_2d(sample: DataFrame, columns: Sequence[str] = PAIR_COLUMNS, gridsi
     return kde_2d_pairs(sample, [(columns[b], columns[a]) for a in range(len(columns)) for b in range(a)], gridsize)
 
 
+def density_levels(grid: DataFrame, masses: Sequence[float] = CONTOUR_MASSES, by: Sequence[str] = ("x_var", "y_var")) -> DataFrame:
+    """``(*by, level, mass, density)``: the density down to which the cells of a grid hold each share of the whole.
+
+    Cells are summed from the densest on; grids are small (``gridsize`` squared), so each is one window.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc("density"), "i", "j")
+    summed = grid.select(*by, "density", F.sum("density").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+                         F.sum("density").over(Window.partitionBy(*by)).alias("__all"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(m)).alias("mass")) for k, m in enumerate(sorted(masses, reverse=True))])
+    reached = summed.withColumn("l", F.explode(levels)).where("__upto >= l.mass * __all")
+    return reached.groupBy(*by, F.col("l.level").alias("level"), F.col("l.mass").alias("mass")).agg(F.max("density").alias("density"))
+
+
+def contour_lines(grid: DataFrame, levels: DataFrame, by: Sequence[str] = ("x_var", "y_var")) -> DataFrame:
+    """Marching squares: ``(*by, level, i, j, part, x0, y0, x1, y1)``, the pieces of each level's line in the cell
+    from grid point (i, j) to (i + 1, j + 1).
+
+    A corner is inside at the level's density or more; a side whose corners
+    differ is crossed where the density, taken as linear, meets the level.  Where
+    all four sides are crossed the mean of the corners says which corners are
+    joined.
+    """
+    by = list(by)
+    right = grid.select(*by, (F.col("i") - 1).alias("i"), "j", F.col("x").alias("x1"), F.col("density").alias("b"))
+    up = grid.select(*by, "i", (F.col("j") - 1).alias("j"), F.col("y").alias("y1"), F.col("density").alias("d"))
+    across = grid.select(*by, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.col("density").alias("c"))
+    cells = grid.withColumnsRenamed({"x": "x0", "y": "y0", "density": "a"})
+    for corner in (right, up, across):
+        cells = cells.join(corner, [*by, "i", "j"])
+    cells = cells.join(levels.select(*by, "level", F.col("density").alias("z")), by)
+    x0, x1, y0, y1, z = (F.col(c) for c in ("x0", "x1", "y0", "y1", "z"))
+
+    def crossing(p: str, q: str, place):
+        """Where the line crosses the side from corner p to corner q; null if it doesn't."""
+        p, q = F.col(p), F.col(q)
+        share = (z - p) / (q - p)
+        x, y = place(share)
+        return F.when((p >= z) != (q >= z), F.struct(x.alias("x"), y.alias("y")))
+    sides = {"bottom": crossing("a", "b", lambda t: (x0 + t * (x1 - x0), y0)),
+             "right": crossing("b", "c", lambda t: (x1, y0 + t * (y1 - y0))),
+             "top": crossing("d", "c", lambda t: (x0 + t * (x1 - x0), y1)),
+             "left": crossing("a", "d", lambda t: (x0, y0 + t * (y1 - y0)))}
+    cells = cells.withColumns(sides).withColumn(
+        "crossed", F.filter(F.array("bottom", "right", "top", "left"), lambda s: s.isNotNull()))
+
+    def piece(p: Column, q: Column) -> Column:
+        return F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"))
+    middle = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4
+    # Lines cut off corners b and d, or a and c.
+    off_b_d = (F.col("a") >= z) == (middle >= z)
+    saddle = F.when(off_b_d, F.array(piece(F.col("bottom"), F.col("right")), piece(F.col("top"), F.col("left")))).otherwise(
+        F.array(piece(F.col("bottom"), F.col("left")), piece(F.col("right"), F.col("top"))))
+    pieces = F.when(F.size("crossed") == 4, saddle).when(
+        F.size("crossed") == 2, F.array(piece(F.get("crossed", F.lit(0)), F.get("crossed", F.lit(1)))))
+    return cells.select(*by, "level", "i", "j", F.posexplode(pieces).alias("part", "s")).select(
+        *by, "level", "i", "j", "part", "s.*")
+
+
+def shaded_cells(grid: DataFrame, levels: DataFrame, by: Sequence[str] = ("x_var", "y_var")) -> DataFrame:
+    """``(*by, i, j, x, y, shade)``: the highest level each grid point reaches; points below the lowest are left out."""
+    by = list(by)
+    reached = grid.join(levels.select(*by, "level", F.col("density").alias("__z")), by).where("density >= __z")
+    return reached.groupBy(*by, "i", "j", "x", "y").agg(F.max("level").alias("shade"))
+
+
 def pair_view(sample: DataFrame, names: dict[str, str] = PAIR_DISPLAY_NAMES) -> DataFrame:
     """The pair sample with the four variables under their display names (plus the pass class)."""
     return sample.select(*[F.col(c).alias(n) for c, n in names.items()], "qualitative_pass")

@@ -186,8 +186,12 @@ def run_folder(spark: SparkSession, sf: str, first_half: bool = False) -> str:
     return shared_folder(spark, _key(spark, "run-half" if first_half else "run", sf, "events"), write, "run")
 
 
-def event_stream_folder(spark: SparkSession, sf: str, late: bool = False) -> str:
-    """``events_<n>.parquet`` one second apart; with ``late`` every fourth arrives two hours later."""
+def event_stream_folder(spark: SparkSession, sf: str, late: bool = False, closing: bool = False) -> str:
+    """``events_<n>.parquet`` one second apart; with ``late`` every fourth arrives two hours later.
+
+    With ``closing`` a last file follows two days later, with one row of a far
+    time and a negative number: the end of the run, which only moves the watermarks.
+    """
     def write(path):
         raw = scratch_path(spark, "events-raw")
         ev = table(spark, sf, "events")
@@ -195,7 +199,14 @@ def event_stream_folder(spark: SparkSession, sf: str, late: bool = False) -> str
             .write.partitionBy("file").parquet(raw)
         _place(spark, raw, lambda k: f"{path}/events_{k:08d}.parquet",
                lambda k: FIRST_ARRIVAL_MS + 1000 * k + (LATE_MS if late and k % 4 == 3 else 0))
-    return shared_folder(spark, _key(spark, "events-late" if late else "events", sf, "events"), write, "events")
+        if closing:
+            end = scratch_path(spark, "events-end")
+            values = {"event_id": F.lit(-1), "ts": F.lit("2200-01-01 00:00:00")}
+            spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ev.schema],
+                                  F.lit(99_999_999).alias("file")).write.partitionBy("file").parquet(end)
+            _place(spark, end, lambda k: f"{path}/events_{k}.parquet", lambda k: FIRST_ARRIVAL_MS + 48 * 3600 * 1000)
+    kind = "events" + "-late" * late + "-closing" * closing
+    return shared_folder(spark, _key(spark, kind, sf, "events"), write, "events")
 
 
 def batch_names(spark: SparkSession, sf: str):

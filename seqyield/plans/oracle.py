@@ -7,6 +7,8 @@ so that a second engine checks the first.  Tables ``events`` etc. are views.
 
 from __future__ import annotations
 
+import math
+
 # The read table from `events` and the merged/enriched read view.
 READS = r"""
 WITH ev AS (
@@ -140,23 +142,69 @@ def _kde(src: str, col: str, by: str | None = None, name: str = "k") -> str:
 """
 
 
-def _trend(src: str, y: str) -> str:
+def _poisson_limits() -> str:
+    """Cumulative Poisson(1) odds on the scale of the draws."""
+    odds, limits, term = 0.0, [], math.exp(-1)
+    for k in range(10):
+        odds += term
+        limits.append(math.floor(odds * 2147483647))
+        term /= k + 1
+    return " + ".join(f"CAST(r >= {t} AS INTEGER)" for t in limits)
+
+
+def _trend_rows(src: str, y: str) -> str:
+    """Rows at their nearest percentile point, and the weighted sums of 200 replicates."""
     probs = ", ".join(repr(k / 11) for k in range(1, 11))
     return BASE + f""", td AS (
-  SELECT qualitative_pass AS "group", start_time_float_by_sample AS x, CAST({y} AS DOUBLE) AS y FROM {src}
+  SELECT qualitative_pass AS "group", start_time_float_by_sample AS x, CAST({y} AS DOUBLE) AS y,
+         md5('bootstrap-1:' || read_id) AS h FROM {src}
   WHERE start_time_float_by_sample IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({y})),
 cen AS (SELECT "group", quantile_cont(x, [{probs}]) AS cl FROM td GROUP BY "group"),
 tb AS (
-  SELECT td.*, cen.cl[1 + len(list_filter(list_transform(range(1, 10), lambda i: (cen.cl[i] + cen.cl[i + 1]) / 2), lambda m: m < td.x))] AS x_centre
+  SELECT td.*, cen.cl[5] AS origin, cen.cl[1 + len(list_filter(list_transform(range(1, 10), lambda i: (cen.cl[i] + cen.cl[i + 1]) / 2), lambda m: m < td.x))] AS x_centre
   FROM td JOIN cen USING ("group")),
-pb AS (SELECT "group", x_centre, count(*) AS reads, avg(y) AS y_mean, stddev_samp(y) AS sd FROM tb GROUP BY "group", x_centre),
+co AS (
+  SELECT b, CAST('0x' || substr(md5('a:' || b), 1, 8) AS BIGINT) % 2147483646 + 1 AS a,
+         CAST('0x' || substr(md5('c:' || b), 1, 8) AS BIGINT) % 2147483646 + 1 AS c FROM range(200) t(b)),
+dr AS (
+  SELECT "group", x_centre, origin, x - origin AS x, y, b,
+         (CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 * a % 2147483647
+          + CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 * c % 2147483647) % 2147483647 AS r
+  FROM tb CROSS JOIN co),
+bs AS (
+  SELECT "group", x_centre, origin, b, sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy
+  FROM (SELECT *, {_poisson_limits()} AS w FROM dr) GROUP BY ALL)
+"""
+
+
+def _trend(src: str, y: str) -> str:
+    return _trend_rows(src, y) + f""",
+pb AS (SELECT "group", x_centre, count(*) AS reads, avg(y) AS y_mean FROM tb GROUP BY "group", x_centre),
+ci AS (SELECT "group", x_centre, quantile_cont(wy / w, [0.025, 0.975]) AS q FROM bs WHERE w > 0 GROUP BY "group", x_centre),
 ln AS (SELECT "group", regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM td GROUP BY "group"),
 lim AS (SELECT 2 * avg(CAST({y} AS DOUBLE)) AS y_axis_max FROM {src} WHERE NOT isnan(CAST({y} AS DOUBLE)))
 SELECT pb."group", round(x_centre, 6) AS x_centre, reads, round(y_mean, 6) AS y_mean,
-       round(y_mean - 1.959963984540054 * sd / sqrt(CAST(reads AS DOUBLE)), 6) AS ci_low,
-       round(y_mean + 1.959963984540054 * sd / sqrt(CAST(reads AS DOUBLE)), 6) AS ci_high,
+       round(q[1], 6) AS ci_low, round(q[2], 6) AS ci_high,
        round(slope, 12) AS slope, round(intercept, 6) AS intercept, round(y_axis_max, 6) AS y_axis_max
-FROM pb JOIN ln USING ("group") CROSS JOIN lim
+FROM pb JOIN ln USING ("group") JOIN ci USING ("group", x_centre) CROSS JOIN lim
+"""
+
+
+def _band(src: str, y: str) -> str:
+    return _trend_rows(src, y) + """,
+rl AS (
+  SELECT "group", origin, b, sum(w) AS w, sum(wx) AS wx, sum(wy) AS wy, sum(wxx) AS wxx, sum(wxy) AS wxy FROM bs GROUP BY ALL),
+ra AS (
+  SELECT "group", origin, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS slope, wx / w AS mx, wy / w AS my
+  FROM rl WHERE w * wxx - wx * wx > 0),
+en AS (
+  SELECT "group", min(x) AS lo, max(x) AS hi, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM td GROUP BY "group"),
+gp AS (SELECT en.*, CAST(k AS INTEGER) AS point, lo + k * ((hi - lo) / 99) AS gx FROM en CROSS JOIN range(100) t(k)),
+gy AS (
+  SELECT "group", point, gx, gp.intercept + gp.slope * gx AS y_fit,
+         quantile_cont(my + ra.slope * (gx - origin - mx), [0.025, 0.975]) AS q
+  FROM gp JOIN ra USING ("group") GROUP BY ALL)
+SELECT "group", point, round(gx, 6) AS x, round(y_fit, 6) AS y_fit, round(q[1], 6) AS y_low, round(q[2], 6) AS y_high FROM gy
 """
 
 
@@ -429,41 +477,96 @@ WITH docs AS (
 """
 
 
-def _kde2_pair(xv: str, yv: str, k: int) -> str:
-    """2-D density of one variable pair on the pair sample: the kernel products of all reads, summed
-    (for each grid line the reads' kernel values as one list, then a dot product per grid point)."""
-    return f""", d{k} AS (
-  SELECT read_id, CAST({xv} AS DOUBLE) AS x, CAST({yv} AS DOUBLE) AS y FROM ps
-  WHERE {xv} IS NOT NULL AND {yv} IS NOT NULL AND NOT isnan(CAST({xv} AS DOUBLE)) AND NOT isnan(CAST({yv} AS DOUBLE))),
-s{k} AS (
-  SELECT count(*) AS n, stddev_samp(x) AS sx, stddev_samp(y) AS sy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
+def _pair_grid() -> str:
+    """2-D densities of all variable pairs on the pair sample (table ``kd``): the exact sums over all reads.
+
+    Reads are dealt over chunks; a chunk holds, for every grid line, the kernel values of its reads
+    as one list, and a grid point sums the chunks' dot products.
+    """
+    cols = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
+    pairs = [(cols[b], cols[a]) for a in range(len(cols)) for b in range(a)]
+    rows = " UNION ALL ".join(
+        f"SELECT '{x}' AS x_var, '{y}' AS y_var, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, read_id FROM ps "
+        f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE)) AND NOT isnan(CAST({y} AS DOUBLE))" for x, y in pairs)
+    return BASE + _pair_sample_cte() + f""", pd AS ({rows}),
+pt AS (
+  SELECT x_var, y_var, count(*) AS n, stddev_samp(x) AS sx, stddev_samp(y) AS sy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
          quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS ix, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iy
-  FROM d{k}),
-b{k} AS (
+  FROM pd GROUP BY x_var, y_var),
+pw AS (
   SELECT *, 1.059 * (CASE WHEN ix > 0 THEN least(sx, ix / 1.349) ELSE sx END) * pow(CAST(n AS DOUBLE), -0.2) AS bwx,
             1.059 * (CASE WHEN iy > 0 THEN least(sy, iy / 1.349) ELSE sy END) * pow(CAST(n AS DOUBLE), -0.2) AS bwy
-  FROM s{k}),
-g{k} AS (SELECT *, x0 - 3 * bwx AS lx, x1 + 3 * bwx AS hx, y0 - 3 * bwy AS ly, y1 + 3 * bwy AS hy FROM b{k}),
-p{k} AS (SELECT k, lx + k * ((hx - lx) / 99) AS gx, ly + k * ((hy - ly) / 99) AS gy, n, bwx, bwy FROM g{k} CROSS JOIN range(100) r(k)),
-e{k} AS (
-  SELECT p.k, p.gx, p.gy, p.n, p.bwx, p.bwy,
-         list(exp(-0.5 * ((p.gx - d.x) / p.bwx) * ((p.gx - d.x) / p.bwx)) ORDER BY d.read_id) AS ex,
-         list(exp(-0.5 * ((p.gy - d.y) / p.bwy) * ((p.gy - d.y) / p.bwy)) ORDER BY d.read_id) AS ey
-  FROM p{k} p CROSS JOIN d{k} d GROUP BY ALL),
-o{k} AS (
-  SELECT '{xv}' AS x_var, '{yv}' AS y_var, CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j,
-         round(a.gx, 6) AS x, round(b.gy, 6) AS y,
-         round(list_dot_product(a.ex, b.ey) / (a.n * a.bwx * a.bwy * 2 * pi()), 12) AS density
-  FROM e{k} a CROSS JOIN e{k} b)
+  FROM pt),
+pg AS (
+  SELECT x_var, y_var, n, bwx, bwy, k, (x0 - 3 * bwx) + k * (((x1 + 3 * bwx) - (x0 - 3 * bwx)) / 99) AS gx,
+         (y0 - 3 * bwy) + k * (((y1 + 3 * bwy) - (y0 - 3 * bwy)) / 99) AS gy
+  FROM pw CROSS JOIN range(100) r(k)),
+pc AS (
+  SELECT x_var, y_var, c, list(x) AS xs, list(y) AS ys
+  FROM (SELECT *, row_number() OVER (PARTITION BY x_var, y_var ORDER BY read_id) // 250 AS c FROM pd) GROUP BY x_var, y_var, c),
+pe AS (
+  SELECT x_var, y_var, c, k, list_transform(xs, lambda v: exp(-0.5 * ((gx - v) / bwx) * ((gx - v) / bwx))) AS ex,
+         list_transform(ys, lambda v: exp(-0.5 * ((gy - v) / bwy) * ((gy - v) / bwy))) AS ey
+  FROM pc JOIN pg USING (x_var, y_var)),
+px AS (
+  SELECT a.x_var, a.y_var, a.k AS i, b.k AS j, sum(list_dot_product(a.ex, b.ey)) AS s
+  FROM pe AS a JOIN pe AS b ON a.x_var = b.x_var AND a.y_var = b.y_var AND a.c = b.c GROUP BY ALL),
+kd AS (
+  SELECT px.x_var, px.y_var, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, g.gx AS x, h.gy AS y,
+         s / (g.n * g.bwx * g.bwy * 2 * pi()) AS density
+  FROM px JOIN pg AS g ON g.x_var = px.x_var AND g.y_var = px.y_var AND g.k = i
+  JOIN pg AS h ON h.x_var = px.x_var AND h.y_var = px.y_var AND h.k = j)
 """
 
 
-def _pair_kde_2d() -> str:
-    cols = ("mean_qscore_template", "pore_speed", "sequence_length_template", "events_ratio")
-    pairs = [(cols[b], cols[a]) for a in range(len(cols)) for b in range(a)]
-    body = "".join(_kde2_pair(x, y, k) for k, (x, y) in enumerate(pairs))
-    return BASE + _pair_sample_cte() + body + " UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(len(pairs)))
+_KDE_OUT = "SELECT x_var, y_var, i, j, round(x, 6) AS x, round(y, 6) AS y, round(density, 12) AS density FROM kd"
 
+_LEVELS = """,
+ku AS (
+  SELECT x_var, y_var, density, sum(density) OVER (PARTITION BY x_var, y_var ORDER BY density DESC, i, j ROWS UNBOUNDED PRECEDING) AS upto,
+         sum(density) OVER (PARTITION BY x_var, y_var) AS whole FROM kd),
+lv AS (
+  SELECT x_var, y_var, CAST(k AS INTEGER) AS level, (9 - k) / 10 AS mass, max(density) AS density
+  FROM ku CROSS JOIN range(9) t(k) WHERE upto >= (9 - k) / 10 * whole GROUP BY x_var, y_var, k)
+"""
+
+# The sixteen cases of marching squares by which corners (a b c d, from the lower left, anticlockwise) are inside.
+_CONTOURS = """,
+ce AS (
+  SELECT a.x_var, a.y_var, level, a.i, a.j, a.x AS xa, a.y AS ya, c.x AS xb, c.y AS yb,
+         a.density AS a, b.density AS b, c.density AS c, d.density AS d, lv.density AS z
+  FROM kd AS a
+  JOIN kd AS b ON b.x_var = a.x_var AND b.y_var = a.y_var AND b.i = a.i + 1 AND b.j = a.j
+  JOIN kd AS c ON c.x_var = a.x_var AND c.y_var = a.y_var AND c.i = a.i + 1 AND c.j = a.j + 1
+  JOIN kd AS d ON d.x_var = a.x_var AND d.y_var = a.y_var AND d.i = a.i AND d.j = a.j + 1
+  JOIN lv ON lv.x_var = a.x_var AND lv.y_var = a.y_var),
+cc AS (
+  SELECT *, (a >= z)::INT + 2 * (b >= z)::INT + 4 * (c >= z)::INT + 8 * (d >= z)::INT AS corners, (a + b + c + d) / 4 >= z AS mid,
+         xa + (z - a) / (b - a) * (xb - xa) AS bottom, ya + (z - b) / (c - b) * (yb - ya) AS "right",
+         xa + (z - d) / (c - d) * (xb - xa) AS top, ya + (z - a) / (d - a) * (yb - ya) AS "left"
+  FROM ce),
+cp AS (
+  SELECT *, unnest(CASE
+    WHEN corners IN (1, 14) THEN ['BL'] WHEN corners IN (2, 13) THEN ['BR'] WHEN corners IN (4, 11) THEN ['RT']
+    WHEN corners IN (8, 7) THEN ['TL'] WHEN corners IN (3, 12) THEN ['RL'] WHEN corners IN (6, 9) THEN ['BT']
+    WHEN corners IN (5, 10) THEN CASE WHEN (corners = 5) = mid THEN ['BR', 'TL'] ELSE ['BL', 'RT'] END
+    ELSE [] END) AS sides,
+    unnest(CASE WHEN corners IN (0, 15) THEN [] WHEN corners IN (5, 10) THEN [0, 1] ELSE [0] END) AS part
+  FROM cc)
+SELECT x_var, y_var, level, i, j, CAST(part AS INTEGER) AS part,
+       round(CASE sides[1] WHEN 'B' THEN bottom WHEN 'R' THEN xb WHEN 'T' THEN top ELSE xa END, 6) AS x0,
+       round(CASE sides[1] WHEN 'B' THEN ya WHEN 'R' THEN "right" WHEN 'T' THEN yb ELSE "left" END, 6) AS y0,
+       round(CASE sides[2] WHEN 'B' THEN bottom WHEN 'R' THEN xb WHEN 'T' THEN top ELSE xa END, 6) AS x1,
+       round(CASE sides[2] WHEN 'B' THEN ya WHEN 'R' THEN "right" WHEN 'T' THEN yb ELSE "left" END, 6) AS y1
+FROM cp"""
+
+
+_SKETCHED = """
+, sk AS (
+  SELECT 'sequence_length_template' AS "column", CAST(sequence_length_template AS DOUBLE) AS v FROM ev
+  UNION ALL SELECT 'start_time_float', start_time_float FROM ev
+  UNION ALL SELECT 'mean_qscore_template', mean_qscore_template FROM ev)
+"""
 
 _PEARSON = """
 , pr AS (
@@ -598,6 +701,8 @@ SELECT CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS
     "quality_ridges": _ridges(),
     "events_ratio_trend": _trend("trimmed", "events_ratio"),
     "pore_speed_trend": _trend("trimmed", "pore_speed"),
+    "events_ratio_band": _band("trimmed", "events_ratio"),
+    "pore_speed_band": _band("trimmed", "pore_speed"),
     "speed_quality_hexbin": BASE + _hexbin("trimmed", "pore_speed", "mean_qscore_template"),
     "length_quality_hexbin": BASE + _qtrim("trimmed", 0.98, "t98") + _hexbin("t98", "sequence_length_template",
                                                                               "mean_qscore_template"),
@@ -607,7 +712,12 @@ SELECT CAST(point AS INTEGER) AS point, round(gx, 6) AS x, round(density, 12) AS
 SELECT round(mean_qscore_template, 6) AS "Mean QScore Template", round(pore_speed, 6) AS "Pore Speed (b/s)",
        sequence_length_template AS "Read Length", round(events_ratio, 6) AS "Events / base", qualitative_pass FROM ps""",
     "pair_histogram": _pair_hist(),
-    "pair_kde_2d": _pair_kde_2d(),
+    "pair_kde_2d": _pair_grid() + _KDE_OUT,
+    "pair_contour_levels": _pair_grid() + _LEVELS + "SELECT x_var, y_var, level, mass, round(density, 12) AS density FROM lv",
+    "pair_contour_lines": _pair_grid() + _LEVELS + _CONTOURS,
+    "pair_shaded_cells": _pair_grid() + _LEVELS + """
+SELECT x_var, y_var, i, j, max(level) AS shade FROM kd JOIN lv USING (x_var, y_var) WHERE kd.density >= lv.density
+GROUP BY x_var, y_var, i, j""",
     "documents_nx": DOCS + _nx_compat("docs") + _nx_standard("docs")
                     + " UNION ALL SELECT 'compat_' || label AS label, value FROM nx",
     "documents_weighted_histogram": DOCS + _hist("docs", "sequence_length_template", "49",
@@ -729,6 +839,24 @@ WINDOW w AS (PARTITION BY coalesce(mean_qscore_template > 9, false) ORDER BY bat
     "stream_summary": READS + SUMMARY_EXPECTED + f"SELECT {_SUMMARY_COLUMNS} FROM sm",
     "stream_fastq_headers": FASTQ_EXPECTED + """
 SELECT read_id, run_id, sample_id, read, channel, start_time_us FROM fq WHERE NOT bad AND NOT short""",
+    "stream_running_reads": READS + """
+SELECT read_id, channel, epoch_us(start_time_utc) AS time_us, count(*) OVER w AS channel_count,
+       CAST(sum(sequence_length_template) OVER w AS BIGINT) AS channel_yield
+FROM ev WINDOW w AS (PARTITION BY channel ORDER BY epoch_us(start_time_utc), read_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "stream_unmatched": READS + """
+SELECT read_id, run_id, channel, 'summary' AS side FROM ev WHERE read // 500 % 4 = 3 OR read % 13 = 0
+UNION ALL
+SELECT CASE WHEN read % 13 = 0 THEN read_id || '-x' ELSE read_id END, run_id, channel, 'fastq'
+FROM ev WHERE read // 500 % 4 = 3 OR read % 13 = 0""",
+    "stream_dedup": READS + """
+SELECT read_id, run_id, channel, sequence_length_template FROM ev""",
+    "sketch_describe": READS + _SKETCHED + """
+SELECT "column", unnest(['count', 'mean', 'std', 'min', 'max']) AS stat,
+       round(unnest([count(v)::DOUBLE, avg(v), stddev_samp(v), min(v), max(v)]), 4) AS value
+FROM sk WHERE v IS NOT NULL GROUP BY sk."column" """,
+    "sketch_rank_errors": READS + _SKETCHED + """
+SELECT "column", unnest([0.001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999])::DOUBLE AS p, count(v) AS n, true AS within
+FROM sk WHERE v IS NOT NULL GROUP BY sk."column" """,
     "batch_manifest": MANIFEST + "SELECT * FROM manifest",
     "drop_active_batch": MANIFEST + "SELECT * FROM manifest WHERE number < (SELECT max(number) FROM manifest)",
     "archive_plan": MANIFEST + f""",

@@ -45,6 +45,8 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
     t98 = trim.quantile_trim(t, "sequence_length_template", 0.98)
     grid = flowcell.flowcell_grid(t)
     sample = materialize(dist.pair_sample(t), "pairs")
+    kde = materialize(dist.pair_kde_2d(sample), "pair-grid")
+    levels = dist.density_levels(kde)
     return {
         "reads": rc,
         "venn": trim.trim_exclusions(m, bounds=bounds),
@@ -60,6 +62,7 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
         "flowcellmap": grid,
         "flowcellmap_limits": flowcell.grid_limits(grid),
         "pore_speed": dist.binned_trend(t, "start_time_float_by_sample", "pore_speed"),
+        "pore_speed_band": dist.trend_band(t, "start_time_float_by_sample", "pore_speed"),
         "quality_hist": dist.histogram(t, "mean_qscore_template"),
         "quality_kde": dist.kde_1d(t, "mean_qscore_template"),
         "q_score_time_split": dist.quality_ridges(t),
@@ -69,10 +72,13 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
         "length_vs_qscore_pearson": stats.pearson(t98, "sequence_length_template", "mean_qscore_template",
                                                   with_p_value=True),
         "events_ratio": dist.binned_trend(t, "start_time_float_by_sample", "events_ratio"),
+        "events_ratio_band": dist.trend_band(t, "start_time_float_by_sample", "events_ratio"),
         "pair_sample": sample,
         "pair_view": dist.pair_view(sample),
         "pair_hist": dist.pair_histogram(sample),
-        "pair_kde": dist.pair_kde_2d(sample),
+        "pair_kde": kde,
+        "pair_kde_contours": dist.contour_lines(kde, levels),
+        "pair_kde_shades": dist.shaded_cells(kde, levels),
     }
 
 

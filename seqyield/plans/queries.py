@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqyield.functions.expr import batch_name
-from seqyield.operators import batches, dist, flowcell, running, stats, trim
+from seqyield.operators import batches, dist, flowcell, running, sketches, stats, trim
 from seqyield.plans import files as runfiles
 from seqyield.sources import fastq as fq_src
 from seqyield.sources import fastq_source as fq_files
@@ -26,7 +26,7 @@ from seqyield.operators.prefix import running_totals
 from seqyield.plans.tables import (SUMMARY_COLS, derive, documents_reads, events_fastq, events_summary,
                                    merge_events, reads_view)
 from seqyield.session import path_stamp, scratch_path, shared_folder, shared_table
-from seqyield.streaming import jobs
+from seqyield.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -297,11 +297,24 @@ def _trend_out(t):
 
 
 def q_events_ratio_trend(spark, sf):
-    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "events_ratio"))
+    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "events_ratio", replicates=200))
 
 
 def q_pore_speed_trend(spark, sf):
-    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "pore_speed"))
+    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "pore_speed", replicates=200))
+
+
+def _band_out(b):
+    return b.select("group", "point", r6("x").alias("x"), r6("y_fit").alias("y_fit"), r6("y_low").alias("y_low"),
+                    r6("y_high").alias("y_high"))
+
+
+def q_events_ratio_band(spark, sf):
+    return _band_out(dist.trend_band(trimmed(spark, sf), "start_time_float_by_sample", "events_ratio", replicates=200))
+
+
+def q_pore_speed_band(spark, sf):
+    return _band_out(dist.trend_band(trimmed(spark, sf), "start_time_float_by_sample", "pore_speed", replicates=200))
 
 
 def _hex_out(h):
@@ -348,6 +361,26 @@ def q_pair_kde_2d(spark, sf):
     return k.select("x_var", "y_var", "i", "j", r6("x").alias("x"), r6("y").alias("y"), r12("density").alias("density"))
 
 
+def _pair_grid(spark, sf):
+    """The six densities of the pair view, written once: levels, lines and shades hang off them."""
+    return shared_table(spark, _key(spark, sf, "pair-grid"), lambda: dist.pair_kde_2d(sample(spark, sf)), "pair-grid")
+
+
+def q_pair_contour_levels(spark, sf):
+    return dist.density_levels(_pair_grid(spark, sf)).select("x_var", "y_var", "level", "mass", r12("density").alias("density"))
+
+
+def q_pair_contour_lines(spark, sf):
+    grid = _pair_grid(spark, sf)
+    lines = dist.contour_lines(grid, dist.density_levels(grid))
+    return lines.select("x_var", "y_var", "level", "i", "j", "part", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def q_pair_shaded_cells(spark, sf):
+    grid = _pair_grid(spark, sf)
+    return dist.shaded_cells(grid, dist.density_levels(grid)).select("x_var", "y_var", "i", "j", "shade")
+
+
 # --- second read table: documents (n_chars as length, labels.quality as pass) -------
 
 def q_documents_nx(spark, sf):
@@ -619,10 +652,10 @@ def _quarter(spark, folder):
     return max(1, -(-path_stamp(spark, folder)[0] // 4))
 
 
-def _event_stream(spark, sf, late=False):
+def _event_stream(spark, sf, late=False, closing=False):
     """``events`` as a stream of several files, a quarter of them to a micro-batch, oldest first."""
     schema = runfiles.table(spark, sf, "events").schema
-    folder = runfiles.event_stream_folder(spark, sf, late)
+    folder = runfiles.event_stream_folder(spark, sf, late, closing)
     return jobs.file_stream(spark, folder, schema, glob="events_*.parquet", files_per_trigger=_quarter(spark, folder))
 
 
@@ -690,6 +723,68 @@ def q_stream_fastq_headers(spark, sf):
                                   F.unix_micros("start_time_utc").alias("start_time_us")), spark, "fastq")
 
 
+def q_stream_running_reads(spark, sf):
+    """Every read with its ordinal and running yield in its channel; files come in late, a last one ends the run."""
+    reads = reads_view(_event_stream(spark, sf, late=True, closing=True))
+    reads = reads.withColumn("read_id", F.when(F.col("read") >= 0, F.col("read_id")))
+    with stateful.rocksdb_state(spark):
+        # The delay covers the whole run, as files two hours late hold reads of any time of it.
+        r = stateful.running_reads(reads, watermark="400 days")
+        return jobs.run_once(r.select("read_id", "channel", "time_us", "channel_count", "channel_yield"), spark, "running-reads")
+
+
+def q_stream_unmatched(spark, sf):
+    """What the two streams leave unmatched once the run has ended."""
+    rid = F.when(F.pmod(F.col("read"), F.lit(13)) == 0, F.concat("read_id", F.lit("-x"))).otherwise(F.col("read_id"))
+    summary = reads_view(_event_stream(spark, sf, closing=True))
+    fastq = reads_view(_event_stream(spark, sf, late=True, closing=True)).withColumn("read_id", rid)
+    u = stateful.unmatched_stream(summary, fastq)
+    return jobs.run_once(u, spark, "unmatched").select("read_id", "run_id", "channel", "side")
+
+
+def q_stream_dedup(spark, sf):
+    """Every file comes twice, the second time as part of another stream: each read stays once."""
+    once, again = (reads_view(_event_stream(spark, sf)) for _ in range(2))
+    d = stateful.dedup_stream(once.unionByName(again))
+    return jobs.run_once(d.select("read_id", "run_id", "channel", "sequence_length_template"), spark, "dedup")
+
+
+# --- sketches of batches -------------------------------------------------------------
+
+SKETCHED = ("sequence_length_template", "start_time_float", "mean_qscore_template")
+
+
+def _batch_sketches(spark, sf):
+    """The sketches of all batches, stored in two runs: the second adds its batches and reads no earlier one."""
+    def write(path):
+        rows = runfiles.events_reads(spark, sf).withColumn("batch", runfiles.chunk())
+        half = (rows.agg(F.max("batch")).head()[0] or 0) // 2
+        for part in (F.col("batch") <= half, F.col("batch") > half):
+            sketches.batch_sketches(rows.where(part), "batch", SKETCHED).write.mode("append").parquet(path)
+    return spark.read.parquet(shared_folder(spark, _key(spark, sf, "sketches"), write, "sketches"))
+
+
+def q_sketch_describe(spark, sf):
+    """Exact moments merged from the batches; the percentiles' ranks are checked in sketch_rank_errors."""
+    d = sketches.sketched_describe(_batch_sketches(spark, sf))
+    return d.where("stat not like '%\\%'").select("column", "stat", F.round("value", 4).alias("value"))
+
+
+def q_sketch_rank_errors(spark, sf):
+    """For each percentile from the sketches: whether its true rank among all reads is within the promised error."""
+    probs = (0.001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999)
+    q = sketches.sketched_quantiles(_batch_sketches(spark, sf), probs)
+    pairs = ", ".join(f"'{c}', cast({c} as double)" for c in SKETCHED)
+    values = runfiles.events_reads(spark, sf).selectExpr(f"stack({len(SKETCHED)}, {pairs}) as (column, v)").where("v is not null")
+    # A handful of quantiles a column; every value finds them in one map.
+    asked = q.groupBy("column").agg(F.collect_list(F.struct("p", "q")).alias("asked"))
+    seen = values.join(asked, "column").select("column", "v", F.explode("asked").alias("a"))
+    ranks = seen.groupBy("column", "a.p").agg(F.avg((F.col("v") < F.col("a.q")).cast("int")).alias("below"),
+                                              F.avg((F.col("v") <= F.col("a.q")).cast("int")).alias("upto"), F.count("v").alias("n"))
+    error = 2 * sketches.rank_error()
+    return ranks.select("column", "p", "n", ((F.col("below") <= F.col("p") + error) & (F.col("upto") >= F.col("p") - error)).alias("within"))
+
+
 QUERIES: dict[str, Query] = {
     "merge_reads": q_merge_reads,
     "unmatched_reads": q_unmatched_reads,
@@ -732,6 +827,8 @@ QUERIES: dict[str, Query] = {
     "quality_ridges": q_quality_ridges,
     "events_ratio_trend": q_events_ratio_trend,
     "pore_speed_trend": q_pore_speed_trend,
+    "events_ratio_band": q_events_ratio_band,
+    "pore_speed_band": q_pore_speed_band,
     "speed_quality_hexbin": q_speed_quality_hexbin,
     "length_quality_hexbin": q_length_quality_hexbin,
     "pair_sample": q_pair_sample,
@@ -739,6 +836,9 @@ QUERIES: dict[str, Query] = {
     "pair_view": q_pair_view,
     "pair_histogram": q_pair_histogram,
     "pair_kde_2d": q_pair_kde_2d,
+    "pair_contour_levels": q_pair_contour_levels,
+    "pair_contour_lines": q_pair_contour_lines,
+    "pair_shaded_cells": q_pair_shaded_cells,
     "documents_nx": q_documents_nx,
     "documents_weighted_histogram": q_documents_weighted_histogram,
     "documents_yield_by_quality": q_documents_yield_by_quality,
@@ -778,4 +878,9 @@ QUERIES: dict[str, Query] = {
     "stream_running_yield": q_stream_running_yield,
     "stream_summary": q_stream_summary,
     "stream_fastq_headers": q_stream_fastq_headers,
+    "stream_running_reads": q_stream_running_reads,
+    "stream_unmatched": q_stream_unmatched,
+    "stream_dedup": q_stream_dedup,
+    "sketch_describe": q_sketch_describe,
+    "sketch_rank_errors": q_sketch_rank_errors,
 }

@@ -32,6 +32,6 @@ def test_run_plots_writes_every_table_and_leaves_no_scratch(spark, tmp_dir):
     from seqyield.plans.plots import run_plots
     from seqyield.session import ensure_checkpoint_dir
     paths = run_plots(spark, runfiles.summary_folders(spark, SF001), runfiles.fastq_folders(spark, SF001), tmp_dir, "all")
-    assert all(spark.read.parquet(p).columns for p in paths) and len(paths) == 26
+    assert all(spark.read.parquet(p).columns for p in paths) and len(paths) == 30
     root = ensure_checkpoint_dir(spark).removeprefix("file:")
     assert [d for d in os.listdir(root) if d.startswith(("buckets-", "merged-", "trimmed-"))] == []
