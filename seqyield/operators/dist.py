@@ -342,55 +342,63 @@ def bootstrap_sums(placed: DataFrame, id_col: str, replicates: int = REPLICATES)
         *[F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
 
 
-def binned_trend(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass", bins: int = TREND_BINS,
-                 id_col: str = "read_id", replicates: int = REPLICATES) -> DataFrame:
-    """Mean of y at the nearest of ``bins`` percentile points of x, per group, with its 95 % bootstrap
-    interval, and the least-squares line on the unbinned rows.
+def trend_and_band(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass", bins: int = TREND_BINS,
+                   id_col: str = "read_id", replicates: int = REPLICATES, points: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The binned trend and the line's band of one plot, from one pass over the rows (written once, narrow).
 
-    ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept, y_axis_max)``;
-    ``y_axis_max`` is twice the mean of y over all rows, the plot's axis limit.
+    Trend: ``(group, x_centre, reads, y_mean, ci_low, ci_high, slope, intercept, y_axis_max)``, the mean of y
+    at the nearest of ``bins`` percentile points of x, per group, with its 95 % bootstrap interval, and the
+    least-squares line on the unbinned rows; ``y_axis_max`` is twice the mean of y over all rows, the plot's axis limit.
+
+    Band: ``(group, point, x, y_fit, y_low, y_high)``, the line and the 95 % band of the lines of all
+    replicates, at ``points`` places from the group's least to its largest x.  The lines come from the
+    weighted sums of the replicates alone, a few numbers each, whatever the number of rows.
     """
-    placed = _placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id"))
-    per_bin = placed.groupBy("group", "x_centre").agg(F.count(F.lit(1)).alias("reads"), F.avg("__y").alias("y_mean"))
-    means = bootstrap_sums(placed, "__id", replicates).where("w > 0")
-    bounds = means.groupBy(F.col("group").alias("__b"), F.col("x_centre").alias("__bx")).agg(
-        F.percentile(F.col("wy") / F.col("w"), F.lit(0.025)).alias("ci_low"),
-        F.percentile(F.col("wy") / F.col("w"), F.lit(0.975)).alias("ci_high"))
-    line = placed.groupBy(F.col("group").alias("__g")).agg(F.regr_slope("__y", "__x").alias("slope"),
-                                                           F.regr_intercept("__y", "__x").alias("intercept"))
+    placed = materialize(_placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id")), "placed")
+    sums = materialize(bootstrap_sums(placed, "__id", replicates), "replicates")
+    ends = placed.groupBy(F.col("group").alias("__g")).agg(
+        F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.regr_slope("__y", "__x").alias("slope"),
+        F.regr_intercept("__y", "__x").alias("intercept"))
     # Axis limit: twice the mean of y over all rows (a scalar subquery).
     limit = df.agg(2 * F.avg(_num(y_col))).scalar()
-    return (per_bin.join(line, per_bin["group"].eqNullSafe(F.col("__g")))
+    return _trend(placed, sums, ends, limit), _band(sums, ends, points)
+
+
+def _trend(placed: DataFrame, sums: DataFrame, ends: DataFrame, limit: Column) -> DataFrame:
+    per_bin = placed.groupBy("group", "x_centre").agg(F.count(F.lit(1)).alias("reads"), F.avg("__y").alias("y_mean"))
+    mean = F.col("wy") / F.col("w")
+    bounds = sums.where("w > 0").groupBy(F.col("group").alias("__b"), F.col("x_centre").alias("__bx")).agg(
+        F.percentile(mean, F.lit(0.025)).alias("ci_low"), F.percentile(mean, F.lit(0.975)).alias("ci_high"))
+    return (per_bin.join(ends, per_bin["group"].eqNullSafe(F.col("__g")))
             .join(bounds, per_bin["group"].eqNullSafe(F.col("__b")) & (per_bin["x_centre"] == F.col("__bx")), "left")
             .select("group", "x_centre", "reads", "y_mean", "ci_low", "ci_high", "slope", "intercept",
                     limit.alias("y_axis_max")))
 
 
-def trend_band(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative_pass", bins: int = TREND_BINS,
-               id_col: str = "read_id", replicates: int = REPLICATES, points: int = 100) -> DataFrame:
-    """The least-squares line of each group and the 95 % band of the lines of all replicates, at ``points`` places
-    from the group's least to its largest x: ``(group, point, x, y_fit, y_low, y_high)``.
-
-    The lines come from the weighted sums of the replicates alone, a few
-    numbers each, whatever the number of rows.
-    """
-    placed = _placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id"))
-    sums = bootstrap_sums(placed, "__id", replicates).groupBy("group", "origin", "replicate").agg(
-        *[F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
+def _band(sums: DataFrame, ends: DataFrame, points: int) -> DataFrame:
+    whole = sums.groupBy("group", "origin", "replicate").agg(*[F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy")])
     spread = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
-    lines = sums.where(spread > 0).withColumn("__slope", (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / spread)
-    lines = lines.select("group", "origin", "__slope", ((F.col("wy") - F.col("__slope") * F.col("wx")) / F.col("w")).alias("__level"))
-    ends = placed.groupBy(F.col("group").alias("__g")).agg(
-        F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.regr_slope("__y", "__x").alias("__b"),
-        F.regr_intercept("__y", "__x").alias("__a"))
+    tilt = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / spread
+    lines = whole.where(spread > 0).withColumn("__tilt", tilt).select(
+        "group", "origin", "__tilt", ((F.col("wy") - F.col("__tilt") * F.col("wx")) / F.col("w")).alias("__level"))
     x = F.col("__low") + F.col("point") * ((F.col("__high") - F.col("__low")) / (points - 1))
     at = (lines.join(ends, lines["group"].eqNullSafe(F.col("__g")))
           .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
-          .withColumn("__y", F.col("__level") + F.col("__slope") * (F.col("x") - F.col("origin"))))
-    return at.groupBy("group", "point", "x", (F.col("__a") + F.col("__b") * F.col("x")).alias("y_fit")).agg(
+          .withColumn("__y", F.col("__level") + F.col("__tilt") * (F.col("x") - F.col("origin"))))
+    return at.groupBy("group", "point", "x", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_fit")).agg(
         F.percentile("__y", F.lit(0.025)).alias("y_low"), F.percentile("__y", F.lit(0.975)).alias("y_high"))
 
 
+def binned_trend(df: DataFrame, x_col: str, y_col: str, **options) -> DataFrame:
+    """The trend of :func:`trend_and_band`."""
+    return trend_and_band(df, x_col, y_col, **options)[0]
+
+
+def trend_band(df: DataFrame, x_col: str, y_col: str, **options) -> DataFrame:
+    """The band of :func:`trend_and_band`."""
+    return trend_and_band(df, x_col, y_col, **options)[1]
+
+
 def _fd_bins(n: int, iqr: float | None, mn: float, mx: float) -> int:
     if n < 2:
         return 1

@@ -47,6 +47,8 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
     sample = materialize(dist.pair_sample(t), "pairs")
     kde = materialize(dist.pair_kde_2d(sample), "pair-grid")
     levels = dist.density_levels(kde)
+    speed, speed_band = dist.trend_and_band(t, "start_time_float_by_sample", "pore_speed")
+    ratio, ratio_band = dist.trend_and_band(t, "start_time_float_by_sample", "events_ratio")
     return {
         "reads": rc,
         "venn": trim.trim_exclusions(m, bounds=bounds),
@@ -61,8 +63,8 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
         "unweighted_kde": dist.kde_1d(t99, "sequence_length_template"),
         "flowcellmap": grid,
         "flowcellmap_limits": flowcell.grid_limits(grid),
-        "pore_speed": dist.binned_trend(t, "start_time_float_by_sample", "pore_speed"),
-        "pore_speed_band": dist.trend_band(t, "start_time_float_by_sample", "pore_speed"),
+        "pore_speed": speed,
+        "pore_speed_band": speed_band,
         "quality_hist": dist.histogram(t, "mean_qscore_template"),
         "quality_kde": dist.kde_1d(t, "mean_qscore_template"),
         "q_score_time_split": dist.quality_ridges(t),
@@ -71,8 +73,8 @@ def plot_tables(merged: DataFrame, check_sample: bool = True) -> dict[str, DataF
         "length_vs_qscore": dist.hexbin(t98, "sequence_length_template", "mean_qscore_template"),
         "length_vs_qscore_pearson": stats.pearson(t98, "sequence_length_template", "mean_qscore_template",
                                                   with_p_value=True),
-        "events_ratio": dist.binned_trend(t, "start_time_float_by_sample", "events_ratio"),
-        "events_ratio_band": dist.trend_band(t, "start_time_float_by_sample", "events_ratio"),
+        "events_ratio": ratio,
+        "events_ratio_band": ratio_band,
         "pair_sample": sample,
         "pair_view": dist.pair_view(sample),
         "pair_hist": dist.pair_histogram(sample),

@@ -296,12 +296,17 @@ def _trend_out(t):
                     r6("y_axis_max").alias("y_axis_max"))
 
 
+def _trend_tables(spark, sf, y):
+    """200 replicates, as SQL draws every one of them for each row."""
+    return dist.trend_and_band(trimmed(spark, sf), "start_time_float_by_sample", y, replicates=200)
+
+
 def q_events_ratio_trend(spark, sf):
-    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "events_ratio", replicates=200))
+    return _trend_out(_trend_tables(spark, sf, "events_ratio")[0])
 
 
 def q_pore_speed_trend(spark, sf):
-    return _trend_out(dist.binned_trend(trimmed(spark, sf), "start_time_float_by_sample", "pore_speed", replicates=200))
+    return _trend_out(_trend_tables(spark, sf, "pore_speed")[0])
 
 
 def _band_out(b):
@@ -310,11 +315,11 @@ def _band_out(b):
 
 
 def q_events_ratio_band(spark, sf):
-    return _band_out(dist.trend_band(trimmed(spark, sf), "start_time_float_by_sample", "events_ratio", replicates=200))
+    return _band_out(_trend_tables(spark, sf, "events_ratio")[1])
 
 
 def q_pore_speed_band(spark, sf):
-    return _band_out(dist.trend_band(trimmed(spark, sf), "start_time_float_by_sample", "pore_speed", replicates=200))
+    return _band_out(_trend_tables(spark, sf, "pore_speed")[1])
 
 
 def _hex_out(h):
