@@ -11,14 +11,18 @@ has arrived since and repeats nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqyield.functions.expr import basename, batch_name, rnumber_from_fast5
 from seqyield.session import file_system, materialize
 from seqyield.sources.fastq import scan_fastq_records
+from seqyield.sources.fastq_source import file_system as arrow_file_system
 from seqyield.sources.summary import scan_summary
 
 # Batch name patterns, anchored at both ends (the reference's are open-ended).
@@ -237,6 +241,37 @@ def checksums(files: DataFrame, kind: str, *carried: str) -> DataFrame:
                         F.md5("content").alias("md5"))
 
 
+#: Bytes of a file that are hashed at a time.
+PIECE = 8 << 20
+
+
+def streamed_checksums(files: DataFrame, *carried: str) -> DataFrame:
+    """``(*carried, file, md5)`` for listed files (column ``path``) of any size.
+
+    A task opens its files itself and hashes a piece at a time, so no content is
+    ever a value of a row; ``carried`` columns of the listing are kept.
+    """
+    listed = files.select(*carried, "path").repartition(F.col("path"))
+    names = [*carried, "file", "md5"]
+    schema = T.StructType([*[listed.schema[c] for c in carried], T.StructField("file", T.StringType()),
+                           T.StructField("md5", T.StringType())])
+
+    def hashed(batches):
+        for batch in batches:
+            sums = []
+            for path in batch.column(len(carried)).to_pylist():
+                fs, place = arrow_file_system(path)
+                total = hashlib.md5()
+                with fs.open_input_file(place) as source:
+                    while piece := source.read(PIECE):
+                        total.update(piece)
+                sums.append(total.hexdigest())
+            bases = [p.rsplit("/", 1)[-1] for p in batch.column(len(carried)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bases, pa.string()), pa.array(sums, pa.string())],
+                                             names=names)
+    return listed.mapInArrow(hashed, schema)
+
+
 def append_checksums(sums: DataFrame, out: str) -> None:
     """Append to the checksum table, partitioned by kind (reruns add rows, like the text file)."""
     sums.write.mode("append").partitionBy("kind").parquet(out)

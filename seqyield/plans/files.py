@@ -180,9 +180,10 @@ def run_folder(spark: SparkSession, sf: str, first_half: bool = False) -> str:
         _by_file(records, "file").write.partitionBy("file").text(f"{raw}/fastq")
         _by_file(rows, "file").write.partitionBy("file").option("sep", "\t").option("header", True).csv(f"{raw}/summary")
         _by_file(members, "file", "member").write.partitionBy("file", "member").text(f"{raw}/fast5")
-        _place(spark, f"{raw}/fastq", lambda k: f"{path}/fastq_{k}.fastq")
-        _place(spark, f"{raw}/summary", lambda k: f"{path}/sequencing_summary_{k}.txt")
-        _place(spark, f"{raw}/fast5", lambda k, m: f"{path}/reads/{k}/PC_{RNUMBER}_FAH_{m}_ch_{m}_strand.fast5")
+        arrival = lambda k, *_: FIRST_ARRIVAL_MS + 60_000 * k  # noqa: E731  a batch a minute
+        _place(spark, f"{raw}/fastq", lambda k: f"{path}/fastq_{k}.fastq", arrival)
+        _place(spark, f"{raw}/summary", lambda k: f"{path}/sequencing_summary_{k}.txt", arrival)
+        _place(spark, f"{raw}/fast5", lambda k, m: f"{path}/reads/{k}/PC_{RNUMBER}_FAH_{m}_ch_{m}_strand.fast5", arrival)
     return shared_folder(spark, _key(spark, "run-half" if first_half else "run", sf, "events"), write, "run")
 
 

@@ -469,6 +469,22 @@ WITH mb AS (
 """
 
 
+# MD5 of every FASTQ and FAST5 file of the run folder, from its whole content.
+_FILE_SUMS = _MEMBERS + """,
+""" + FASTQ_EXPECTED.replace("WITH", "", 1) + """,
+ft AS (
+  SELECT number, string_agg('@' || read_id || ' ' || CASE WHEN bare THEN 'flag' ELSE
+           printf('runid=%s sampleid=%s read=%d ch=%d start_time=%s', run_id, sample_id, read, channel,
+                  strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) || CASE WHEN flagged THEN ' flag' ELSE '' END END || chr(10)
+         || substr(repeat('ACGT', 13), 1, seq_len) || chr(10) || '+' || chr(10) || substr(repeat('@I!#', 13), 1, qual_len) || chr(10),
+         '' ORDER BY ordinal) AS content
+  FROM fq GROUP BY number),
+sums AS (
+  SELECT 'fast5' AS kind, number, 'PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS file, md5(content) AS md5 FROM mb
+  UNION ALL SELECT 'fastq', number, 'fastq_' || number || '.fastq', md5(content) FROM ft)
+"""
+
+
 DOCS = """
 WITH docs AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS read_id, d.n_chars AS sequence_length_template,
@@ -800,18 +816,14 @@ FROM mb WHERE number < (SELECT max(number) FROM mb)""",
 SELECT number, ordinal, read_id, NOT short AS framing_ok FROM fq WHERE number < (SELECT max(number) FROM fq)""",
     "relocate_summary": READS + SUMMARY_EXPECTED + """
 SELECT number, read_id, sequence_length_template FROM sm WHERE number < (SELECT max(number) FROM sm)""",
-    "checksums": _MEMBERS + """,
-""" + FASTQ_EXPECTED.replace("WITH", "", 1) + """,
-ft AS (
-  SELECT number, string_agg('@' || read_id || ' ' || CASE WHEN bare THEN 'flag' ELSE
-           printf('runid=%s sampleid=%s read=%d ch=%d start_time=%s', run_id, sample_id, read, channel,
-                  strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) || CASE WHEN flagged THEN ' flag' ELSE '' END END || chr(10)
-         || substr(repeat('ACGT', 13), 1, seq_len) || chr(10) || '+' || chr(10) || substr(repeat('@I!#', 13), 1, qual_len) || chr(10),
-         '' ORDER BY ordinal) AS content
-  FROM fq GROUP BY number)
-SELECT 'fast5' AS kind, number, md5(content) || '  PC_4242_FAH_' || m || '_ch_' || m || '_strand.fast5' AS line
-FROM mb WHERE number < (SELECT max(number) FROM mb)
-UNION ALL SELECT 'fastq', number, md5(content) || '  fastq_' || number || '.fastq' FROM ft WHERE number < (SELECT max(number) FROM mb)""",
+    "checksums": _FILE_SUMS + """
+SELECT kind, number, md5 || '  ' || file AS line FROM sums WHERE number < (SELECT max(number) FROM sums)""",
+    "checksums_streamed": _FILE_SUMS + "SELECT kind, number, md5 || '  ' || file AS line FROM sums",
+    "checksums_appended": _FILE_SUMS + "SELECT kind, number, file, md5, CAST(2 AS BIGINT) AS times FROM sums",
+    "live_manifest": """
+WITH b AS (SELECT event_id // 500 AS number, 2 + count(DISTINCT event_id % 5) AS files FROM events GROUP BY 1)
+SELECT number, 'sequencing_summary_' || number || '.txt' AS sequencing_summary_file, 'fastq_' || number || '.fastq' AS fastq_file,
+       CAST(number AS VARCHAR) AS fast5_dir, files FROM b WHERE number < (SELECT max(number) FROM b)""",
     "stream_reads": READS + """
 SELECT read_id, coalesce(mean_qscore_template > 9, false) AS pass,
        CASE WHEN coalesce(mean_qscore_template > 9, false) THEN 'Passed' ELSE 'Failed' END AS qualitative_pass,

@@ -650,6 +650,29 @@ def q_checksums(spark, sf):
     return t.select("kind", F.col("number").cast("long").alias("number"), F.concat_ws("  ", "md5", "file").alias("line"))
 
 
+def _streamed_sums(spark, sf):
+    """Sums of every FASTQ and FAST5 file of the run, hashed piece by piece."""
+    run = runfiles.run_folder(spark, sf)
+    fastq = batches.list_paths(spark, run, "fastq_*.fastq").select(
+        F.lit("fastq").alias("kind"), _file_number("path"), "path")
+    fast5 = batches.list_paths(spark, f"{run}/reads", "*.fast5", recursive=True).select(
+        F.lit("fast5").alias("kind"), F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).cast("long").alias("number"), "path")
+    return batches.streamed_checksums(fastq.unionByName(fast5), "kind", "number")
+
+
+def q_checksums_streamed(spark, sf):
+    return _streamed_sums(spark, sf).select("kind", "number", F.concat_ws("  ", "md5", "file").alias("line"))
+
+
+def q_checksums_appended(spark, sf):
+    """Two runs append to one table, as the text file grows: every line stands there twice."""
+    out = scratch_path(spark, "checksums")
+    sums = _streamed_sums(spark, sf)
+    for _ in range(2):
+        batches.append_checksums(sums, out)
+    return spark.read.parquet(out).groupBy("kind", "number", "file", "md5").agg(F.count(F.lit(1)).alias("times"))
+
+
 # --- streaming (run to completion on the data present: trigger availableNow) -------
 
 def _quarter(spark, folder):
@@ -754,6 +777,15 @@ def q_stream_dedup(spark, sf):
     return jobs.run_once(d.select("read_id", "run_id", "channel", "sequence_length_template"), spark, "dedup")
 
 
+def q_live_manifest(spark, sf):
+    """The run's batches as its files arrive, a batch a minute; the last is still active when the stream ends."""
+    run = runfiles.run_folder(spark, sf)
+    files = stateful.run_files(spark, run, max(1, 2 * _quarter(spark, run)))
+    sessions = jobs.run_once(stateful.live_manifest(files, "30 seconds", "0 seconds"), spark, "manifest")
+    return stateful.finished_batches(sessions).select(
+        "number", *[_base(c).alias(c) for c in ("sequencing_summary_file", "fastq_file", "fast5_dir")], "files")
+
+
 # --- sketches of batches -------------------------------------------------------------
 
 SKETCHED = ("sequence_length_template", "start_time_float", "mean_qscore_template")
@@ -871,6 +903,9 @@ QUERIES: dict[str, Query] = {
     "fastq_table": q_fastq_table,
     "relocate_summary": q_relocate_summary,
     "checksums": q_checksums,
+    "checksums_streamed": q_checksums_streamed,
+    "checksums_appended": q_checksums_appended,
+    "live_manifest": q_live_manifest,
     "batch_manifest": q_batch_manifest,
     "drop_active_batch": q_drop_active_batch,
     "archive_plan": q_archive_plan,

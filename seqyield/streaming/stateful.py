@@ -8,6 +8,8 @@
 * ``unmatched_stream`` — full outer join of the summary and the FASTQ stream: a
   read without its other half leaves once, when the watermark says that the half can no longer
   come.
+* ``live_manifest`` — the batches of a growing run folder, each when no file of it
+  has come for a while.
 * ``dedup_stream`` — the first of equal keys; keys are forgotten after the
   watermark's delay.
 """
@@ -17,12 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from seqyield.functions.expr import micros
+from seqyield.functions.expr import basename, micros
+from seqyield.operators.batches import FAST5_DIR, FASTQ_NAME, SUMMARY_NAME
 from seqyield.streaming.jobs import READ_KEYS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,3 +131,41 @@ def dedup_stream(reads: DataFrame, keys: Sequence[str] = READ_KEYS, time_col: st
                  watermark: str = "1 hour") -> DataFrame:
     """The first arrival of every read; what arrives again within the watermark's delay is dropped."""
     return reads.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(list(keys))
+
+
+def run_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """``(path, modificationTime)`` of the files below a run folder as they arrive; contents are not read."""
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(
+        "path string, modificationTime timestamp, length long, content binary")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(folder).select("path", "modificationTime")
+
+
+def live_manifest(files: DataFrame, quiet: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
+    """``(number, sequencing_summary_file, fastq_file, fast5_dir, files, ended)``: batches that have come to rest.
+
+    The files of a batch are one session by arrival; it ends when none has come
+    for ``quiet``, and leaves when the watermark has passed that.  Until then the batch is
+    active and its few numbers are all the state there is.  A file that comes
+    after that opens another session of the batch (see :func:`finished_batches`).
+    """
+    def number(pattern: str, of: Column) -> Column:
+        return F.nullif(F.regexp_extract(of, pattern, 1), F.lit("")).cast("long")
+    path = F.col("path")
+    base, parent = basename(path), F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
+    kinds = {"sequencing_summary_file": (number(SUMMARY_NAME, base), path), "fastq_file": (number(FASTQ_NAME, base), path),
+             "fast5_dir": (F.when(base.endswith(".fast5"), number(FAST5_DIR, basename(parent))), parent)}
+    named = files.withWatermark("modificationTime", watermark).select(
+        "modificationTime", F.coalesce(*[n for n, _ in kinds.values()]).alias("number"),
+        *[F.when(n.isNotNull(), value).alias(c) for c, (n, value) in kinds.items()])
+    sessions = named.groupBy(F.session_window("modificationTime", quiet).alias("w"), "number").agg(
+        *[F.max(c).alias(c) for c in kinds], F.count(F.lit(1)).alias("files"))
+    return sessions.where("number is not null").select("number", *kinds, "files", F.col("w.end").alias("ended"))
+
+
+def finished_batches(sessions: DataFrame) -> DataFrame:
+    """The manifest rows of stored sessions: batches of which all three kinds have come."""
+    kinds = ["sequencing_summary_file", "fastq_file", "fast5_dir"]
+    whole = sessions.groupBy("number").agg(*[F.max(c).alias(c) for c in kinds], F.sum("files").alias("files"))
+    return whole.where(" and ".join(f"{c} is not null" for c in kinds))

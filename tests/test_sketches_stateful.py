@@ -142,3 +142,44 @@ def test_dedup_over_micro_batches(spark, tmp_dir):
     d = stateful.dedup_stream(stream(spark, f"{tmp_dir}/in")).select("read_id")
     got = [r.read_id for r in run(spark, d, f"{tmp_dir}/out", f"{tmp_dir}/ckpt").collect()]
     assert sorted(got) == sorted([r[0] for r in rows] + ["new"])
+
+
+def test_streamed_checksums_of_large_and_empty_files(spark, tmp_dir):
+    """Files of several pieces, an empty one, names with blanks."""
+    import hashlib
+
+    from seqyield.operators import batches
+    files = {"large.fast5": os.urandom(1 << 20) * 19, "empty.fast5": b"", "a name.fast5": b"x" * 1000}
+    for name, content in files.items():
+        with open(f"{tmp_dir}/{name}", "wb") as f:
+            f.write(content)
+    listing = spark.createDataFrame([(f"file:{tmp_dir}/{n}", k) for k, n in enumerate(files)], "path string, number int")
+    got = {r.file: (r.number, r.md5) for r in batches.streamed_checksums(listing, "number").collect()}
+    assert got == {n: (k, hashlib.md5(c).hexdigest()) for k, (n, c) in enumerate(files.items())}
+    assert batches.streamed_checksums(listing.where("false"), "number").count() == 0
+
+
+def test_live_manifest_of_a_growing_run(spark, tmp_dir):
+    """Batches leave when they have come to rest; a late file completes its batch; others never count as whole."""
+    run_dir, out, ckpt = (f"{tmp_dir}/{x}" for x in ("run", "out", "ckpt"))
+
+    def arrive(at, *names):
+        for name in names:
+            os.makedirs(os.path.dirname(f"{run_dir}/{name}"), exist_ok=True)
+            with open(f"{run_dir}/{name}", "w") as f:
+                f.write("x")
+            os.utime(f"{run_dir}/{name}", (at, at))
+
+    def now():
+        with jobs.state_partitions(spark, 2):
+            jobs.run_to_table(stateful.live_manifest(stateful.run_files(spark, run_dir), "60 seconds", "0 seconds"), out, ckpt).awaitTermination()
+        return sorted(r.number for r in stateful.finished_batches(spark.read.parquet(out)).collect())
+    arrive(1000, "sequencing_summary_1.txt", "fastq_1.fastq", "reads/1/a.fast5", "notes.txt", "fastq_2.fastq")
+    arrive(1030, "reads/1/b.fast5")
+    assert now() == []
+    arrive(2000, "sequencing_summary_2.txt", "sequencing_summary_3.txt", "fastq_3.fastq", "reads/3/a.fast5", "fastq_4.fastq")
+    assert now() == [1]
+    arrive(3000, "reads/2/a.fast5", "sequencing_summary_5.txt")
+    assert now() == [1, 3]
+    arrive(4000, "fastq_5.fastq")
+    assert now() == [1, 2, 3]
