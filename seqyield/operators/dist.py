@@ -353,8 +353,11 @@ def trend_and_band(df: DataFrame, x_col: str, y_col: str, by: str = "qualitative
     Band: ``(group, point, x, y_fit, y_low, y_high)``, the line and the 95 % band of the lines of all
     replicates, at ``points`` places from the group's least to its largest x.  The lines come from the
     weighted sums of the replicates alone, a few numbers each, whatever the number of rows.
+
+    A frame without ``id_col`` draws by group, x and y; equal rows then weigh alike.
     """
-    placed = materialize(_placed(df, x_col, y_col, by, bins, F.col(id_col).alias("__id")), "placed")
+    name = F.col(id_col) if id_col in df.columns else F.concat_ws("|", *[F.col(c).cast("string") for c in (by, x_col, y_col)])
+    placed = materialize(_placed(df, x_col, y_col, by, bins, name.alias("__id")), "placed")
     sums = materialize(bootstrap_sums(placed, "__id", replicates), "replicates")
     ends = placed.groupBy(F.col("group").alias("__g")).agg(
         F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.regr_slope("__y", "__x").alias("slope"),
