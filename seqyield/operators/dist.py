@@ -411,56 +411,52 @@ def _fd_bins(n: int, iqr: float | None, mn: float, mx: float) -> int:
     return int(math.ceil((mx - mn) / h))
 
 
+def _hex_columns(points: DataFrame, ends) -> int:
+    """Hexagons across: the mean of the Freedman–Diaconis bin counts of both axes, each at most ``MAX_AUTO_BINS``."""
+    stacked = points.selectExpr("stack(2, 'x', px, 'y', py) as (axis, v)")
+    quartiles = {(r["axis"], r["p"]): r["q"] for r in exact_quantiles(stacked, "v", [0.25, 0.75], by=["axis"]).collect()}
+    counts = [min(_fd_bins(ends["n"], quartiles[axis, 0.75] - quartiles[axis, 0.25], ends[f"{axis}_low"], ends[f"{axis}_high"]),
+                  MAX_AUTO_BINS) for axis in ("x", "y")]
+    return int(sum(counts) / 2)
+
+
 def hexbin(df: DataFrame, x_col: str, y_col: str, gridsize: int | None = None) -> DataFrame:
     """Hexagonal cell counts: ``(lattice, i, j, x_centre, y_centre, reads)``.
 
-    Grid size: mean of the two Freedman–Diaconis counts (each at most 50).
-    Two offset rectangular lattices; a point goes to the nearer centre by
-    ``dx² + 3·dy²`` in grid units, as in the usual hexbin construction.
+    The centres of hexagons are two rectangular lattices, the second shifted by
+    half a step both ways; a point belongs to the nearer of its closest centres,
+    distances being ``across² + 3·up²`` in steps.  Without ``gridsize`` the number
+    across follows from the data, and the number up is smaller by √3.
     """
-    data = df.select(_num(x_col).alias("__x"), _num(y_col).alias("__y")).where(
-        "__x is not null and __y is not null")
-    st = data.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("xmn"), F.max("__x").alias("xmx"),
-                  F.min("__y").alias("ymn"), F.max("__y").alias("ymx")).collect()[0]
-    n = st["n"]
-    spark = df.sparkSession
-    if not n:
-        return literal_rows(spark, [], "lattice int, i long, j long, x_centre double, "
-                                         "y_centre double, reads long")
-    if gridsize is None:
-        stacked = data.selectExpr("stack(2, 'x', __x, 'y', __y) as (__k, __v)")
-        qs = {(r["__k"], r["p"]): r["q"] for r in
-              exact_quantiles(stacked, "__v", [0.25, 0.75], by=["__k"]).collect()}
-        xb = min(_fd_bins(n, qs[("x", 0.75)] - qs[("x", 0.25)], st["xmn"], st["xmx"]), MAX_AUTO_BINS)
-        yb = min(_fd_bins(n, qs[("y", 0.75)] - qs[("y", 0.25)], st["ymn"], st["ymx"]), MAX_AUTO_BINS)
-        gridsize = int((xb + yb) / 2)
-    nx = max(int(gridsize), 1)
-    ny = max(int(nx / math.sqrt(3)), 1)
-    xmin, xmax = _nonsingular(st["xmn"], st["xmx"])
-    ymin, ymax = _nonsingular(st["ymn"], st["ymx"])
-    pad = 1.0e-9 * (xmax - xmin)
-    xmin, xmax = xmin - pad, xmax + pad
-    sx, sy = (xmax - xmin) / nx, (ymax - ymin) / ny
-    ix = (F.col("__x") - F.lit(xmin)) / F.lit(sx)
-    iy = (F.col("__y") - F.lit(ymin)) / F.lit(sy)
-    g = data.select(ix.alias("ix"), iy.alias("iy"))
-    g = g.select("ix", "iy", F.rint("ix").cast("long").alias("ix1"), F.rint("iy").cast("long").alias("iy1"),
-                 F.floor("ix").cast("long").alias("ix2"), F.floor("iy").cast("long").alias("iy2"))
-    d1 = F.pow(F.col("ix") - F.col("ix1"), 2) + 3.0 * F.pow(F.col("iy") - F.col("iy1"), 2)
-    d2 = F.pow(F.col("ix") - F.col("ix2") - 0.5, 2) + 3.0 * F.pow(F.col("iy") - F.col("iy2") - 0.5, 2)
-    first = d1 < d2
-    cell = g.select(F.when(first, 1).otherwise(2).alias("lattice"),
-                    F.when(first, F.col("ix1")).otherwise(F.col("ix2")).alias("i"),
-                    F.when(first, F.col("iy1")).otherwise(F.col("iy2")).alias("j"))
-    inside = F.when(F.col("lattice") == 1,
-                    (F.col("i") >= 0) & (F.col("i") < nx + 1) & (F.col("j") >= 0) & (F.col("j") < ny + 1)
-                    ).otherwise((F.col("i") >= 0) & (F.col("i") < nx) & (F.col("j") >= 0) & (F.col("j") < ny))
-    counts = cell.where(inside).groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("reads"))
-    off = F.when(F.col("lattice") == 1, F.lit(0.0)).otherwise(F.lit(0.5))
-    return counts.select("lattice", "i", "j",
-                         (F.lit(xmin) + (F.col("i").cast("double") + off) * F.lit(sx)).alias("x_centre"),
-                         (F.lit(ymin) + (F.col("j").cast("double") + off) * F.lit(sy)).alias("y_centre"),
-                         "reads")
+    points = df.select(_num(x_col).alias("px"), _num(y_col).alias("py")).where("px is not null and py is not null")
+    ends = points.agg(F.count(F.lit(1)).alias("n"), F.min("px").alias("x_low"), F.max("px").alias("x_high"),
+                      F.min("py").alias("y_low"), F.max("py").alias("y_high")).head()
+    if not ends["n"]:
+        return literal_rows(df.sparkSession, [], "lattice int, i long, j long, x_centre double, y_centre double, reads long")
+    across = max(int(_hex_columns(points, ends) if gridsize is None else gridsize), 1)
+    up = max(int(across / math.sqrt(3)), 1)
+    left, right = _nonsingular(ends["x_low"], ends["x_high"])
+    bottom, top = _nonsingular(ends["y_low"], ends["y_high"])
+    margin = 1.0e-9 * (right - left)   # the outermost points lie inside
+    left, right = left - margin, right + margin
+    width, height = (right - left) / across, (top - bottom) / up
+    steps = points.select(((F.col("px") - F.lit(left)) / F.lit(width)).alias("u"),
+                          ((F.col("py") - F.lit(bottom)) / F.lit(height)).alias("v"))
+
+    def closest(lattice: int, to_whole, shift: float) -> Column:
+        """The lattice's centre that is closest to a point, and its distance."""
+        i, j = to_whole("u").cast("long"), to_whole("v").cast("long")
+        far = F.pow(F.col("u") - i - shift, F.lit(2)) + 3.0 * F.pow(F.col("v") - j - shift, F.lit(2))
+        return F.struct(F.lit(lattice).alias("lattice"), i.alias("i"), j.alias("j"), far.alias("far"))
+    both = steps.select(closest(1, F.rint, 0.0).alias("corner"), closest(2, F.floor, 0.5).alias("middle"))
+    cells = both.select(F.when(F.col("corner.far") < F.col("middle.far"), F.col("corner")).otherwise(F.col("middle")).alias("c")).select("c.*")
+    # The first lattice has one more centre each way than there are steps.
+    more = F.when(F.col("lattice") == 1, 1).otherwise(0)
+    inside = F.col("i").between(0, across - 1 + more) & F.col("j").between(0, up - 1 + more)
+    shift = F.when(F.col("lattice") == 1, F.lit(0.0)).otherwise(F.lit(0.5))
+    return cells.where(inside).groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("reads")).select(
+        "lattice", "i", "j", (F.lit(left) + (F.col("i").cast("double") + shift) * F.lit(width)).alias("x_centre"),
+        (F.lit(bottom) + (F.col("j").cast("double") + shift) * F.lit(height)).alias("y_centre"), "reads")
 
 
 def _nonsingular(lo: float, hi: float, expander: float = 0.1) -> tuple[float, float]:

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,38 +72,46 @@ def fastq_record_text(read_id: Column, header_rest: Column, seq: Column, qual: C
 RECORD_SCHEMA = "file string, ordinal long, header string, seq string, plus string, qual string"
 
 
-def _framed(batches, kept: int):
-    """Groups of four lines per file; ``kept`` columns (the file first) are carried along."""
-    state = None   # constant columns, lines waiting, records so far
-    for batch in batches:
-        heads, ordinals, lines = [], [], [[], [], [], []]
-
-        def put(head, ordinal, four):
-            heads.append(head)
-            ordinals.append(ordinal)
-            for place, line in zip(lines, four):
-                place.append(line)
-
-        def rest(s):
-            if s and s[1]:
-                put(s[0], s[2], [*s[1], *[None] * (4 - len(s[1]))])
-
-        constants = [batch.column(i).to_pylist() for i in range(kept)]
-        for n, text in enumerate(batch.column(kept).to_pylist()):
-            head = tuple(c[n] for c in constants)
-            if state is None or state[0][0] != head[0]:
-                rest(state)
-                state = [head, [], 0]
-            waiting = state[1]
-            for line in text.split("\n"):
-                waiting.append(line)
-                if len(waiting) == 4:
-                    put(head, state[2], waiting)
-                    waiting.clear()
-                    state[2] += 1
-        yield heads, ordinals, lines, [batch.schema.field(i).type for i in range(kept)]
-    if state and state[1]:
-        yield [state[0]], [state[2]], [[x] for x in [*state[1], *[None] * (4 - len(state[1]))]], None
+class _Framer:
+    """Groups of four lines per file, as whole Arrow arrays; at most three lines wait for the next batch."""
+
+    def __init__(self):
+        self.head, self.waiting, self.ordinal = None, None, 0
+
+    def _group(self, lines: pa.Array, whole: bool):
+        """(head, ordinals, the four columns) of the lines of the present file; the rest waits unless ``whole``."""
+        if self.waiting is not None and len(self.waiting):
+            lines = pa.concat_arrays([self.waiting, lines])
+        n = len(lines) // 4 * 4
+        self.waiting = lines.slice(n)
+        if whole and len(self.waiting):   # what is left at a file's end is a record that lacks lines
+            missing = pa.nulls(4 - len(self.waiting), pa.string())
+            lines, n, self.waiting = pa.concat_arrays([lines, missing]), n + 4, None
+        count = n // 4
+        if count:
+            ordinals = np.arange(self.ordinal, self.ordinal + count)
+            self.ordinal += count
+            yield self.head, ordinals, [lines.take(pa.array(np.arange(p, n, 4))) for p in range(4)]
+
+    def feed(self, heads: list[pa.Array], values: pa.Array):
+        """Lines (or texts of several lines) with the columns that are constant within a file, the file first."""
+        split = pc.split_pattern(values, "\n")
+        ends = np.cumsum(np.asarray(pc.list_value_length(split)))
+        lines, files = split.flatten(), heads[0]
+        changes = np.asarray(pc.fill_null(pc.not_equal(files.slice(0, len(files) - 1), files.slice(1)), True))
+        starts = np.concatenate([[0], np.nonzero(changes)[0] + 1])
+        for row, after in zip(starts, np.append(starts[1:], len(files))):
+            head = [h[int(row)] for h in heads]
+            if self.head is None or self.head[0] != head[0]:
+                yield from self.end()
+                self.head, self.ordinal = head, 0
+            first = int(ends[row - 1]) if row else 0
+            yield from self._group(lines.slice(first, int(ends[after - 1]) - first), whole=False)
+
+    def end(self):
+        if self.waiting is not None and len(self.waiting):
+            yield from self._group(pa.array([], pa.string()), whole=True)
+        self.waiting = None
 
 
 def frame_records(lines: DataFrame, carried: Sequence[str] = ("file",), value_col: str = "value") -> DataFrame:
@@ -115,13 +125,16 @@ def frame_records(lines: DataFrame, carried: Sequence[str] = ("file",), value_co
     names, kept = out.names, len(fields)
 
     def frame(batches):
-        types = None
-        for heads, ordinals, four, seen in _framed(batches, kept):
-            types = seen or types
-            if heads:
+        framer = _Framer()
+
+        def rows(groups):
+            for head, ordinals, four in groups:
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([h[i] for h in heads], t) for i, t in enumerate(types)],
-                     pa.array(ordinals, pa.int64()), *[pa.array(x, pa.string()) for x in four]], names=names)
+                    [*[pa.repeat(h, len(ordinals)) for h in head], pa.array(ordinals, pa.int64()), *four], names=names)
+        for batch in batches:
+            if batch.num_rows:
+                yield from rows(framer.feed([batch.column(i) for i in range(kept)], batch.column(kept)))
+        yield from rows(framer.end())
 
     framed = lines.select(*carried, value_col).mapInArrow(frame, out)
     # A line end at the end of a plain file leaves one empty line, which is no record.

@@ -183,3 +183,29 @@ def test_running_doubles_start_anew_in_every_group(spark, large):
         got = {(r.g, r.t): r.s for r in running_totals(df, ["t"], {"s": "x"}, by=["g"], n_buckets=buckets).collect()}
         assert got["b", 1] == 0.1 and abs(got["b", 2] - 0.3) < 1e-12 and abs(got["b", 3] - 0.3) < 1e-12
         assert got[None, 1] == 0.5 and got[None, 2] == 0.75
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_framing_does_not_depend_on_batches(seed):
+    """Lines of several files in batches of any size; values of several lines."""
+    import pyarrow as pa
+
+    from seqyield.sources.fastq import _Framer
+    rng = random.Random(seed)
+    files = {f: [f"{f}-{i}" for i in range(rng.randrange(1, 30))] for f in "abcde"}
+    rows = [(f, line) for f, lines in files.items() for line in lines]
+    if seed % 2:  # some values hold several lines
+        rows = [(f, "\n".join(lines[i:i + k])) for f, lines in files.items() for k in [rng.randrange(1, 7)] for i in range(0, len(lines), k)]
+    framer, got = _Framer(), []
+
+    def take(groups):
+        for head, ordinals, four in groups:
+            got.extend((head[0].as_py(), int(n), *(c[i].as_py() for c in four)) for i, n in enumerate(ordinals))
+    at = 0
+    while at < len(rows):
+        some = rows[at:at + rng.randrange(1, 9)]
+        at += len(some)
+        take(framer.feed([pa.array([f for f, _ in some])], pa.array([v for _, v in some])))
+    take(framer.end())
+    want = [(f, i // 4, *(lines[i:i + 4] + [None] * 4)[:4]) for f, lines in files.items() for i in range(0, len(lines), 4)]
+    assert got == want
