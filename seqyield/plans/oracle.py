@@ -519,7 +519,7 @@ pg AS (
   FROM pw CROSS JOIN range(100) r(k)),
 pc AS (
   SELECT x_var, y_var, c, list(x) AS xs, list(y) AS ys
-  FROM (SELECT *, row_number() OVER (PARTITION BY x_var, y_var ORDER BY read_id) // 250 AS c FROM pd) GROUP BY x_var, y_var, c),
+  FROM (SELECT *, row_number() OVER (PARTITION BY x_var, y_var ORDER BY read_id) // 100 AS c FROM pd) GROUP BY x_var, y_var, c),
 pe AS (
   SELECT x_var, y_var, c, k, list_transform(xs, lambda v: exp(-0.5 * ((gx - v) / bwx) * ((gx - v) / bwx))) AS ex,
          list_transform(ys, lambda v: exp(-0.5 * ((gy - v) / bwy) * ((gy - v) / bwy))) AS ey
