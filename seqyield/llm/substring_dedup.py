@@ -13,8 +13,16 @@ by bucket; so a chunk that a third of all documents holds costs one entry a
 block, and the number of buckets follows the number of chunks.  What comes
 back to a block is the digests that occur elsewhere too.
 
-*Passages.*  Consecutive repeats of at least ``MIN_WORDS`` words in all are a
-repeated passage.  Shorter ones are left: common phrases and single lines.
+*Passages.*  Consecutive repeats are a run.  The chunks at the ends of a copied
+passage hold foreign bytes, so a run is extended, character by character, as
+far as it agrees with the original of its outer chunks.  That is never
+further than one more chunk and ``WINDOW`` characters, or that chunk would be a
+repeat as well (chunks cut at ``LONGEST`` bytes excepted).  Only those neighbouring
+characters travel, one piece per original chunk and block.  An extended run
+of ``MIN_WORDS`` words or ``MIN_CHARACTERS`` code points is a repeated
+passage.  Shorter ones are left: common phrases and single lines.  Runs that
+could not get that long are left out before anything travels.  In scripts
+written without blanks each character counts as a word.  Passages may overlap.
 
 Null and empty texts have no chunks.  Null ids come after all others; ids that
 are not integers are ordered by their hash.  Rows that repeat an id are rows
@@ -27,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +44,11 @@ from seqyield.llm.common import free_names, stored, whole
 
 WINDOW = 32
 AVERAGE, LONGEST = 24, 4096
-MIN_WORDS = 25
+MIN_WORDS, MIN_CHARACTERS = 25, 400
 #: Code points from which a chunk counts on its own.
 TELLING = 16
+#: Telling chunks at either end of a run that choose the original to compare with.
+OUTER = 8
 #: Bytes of text and documents of a block, and chunks a bucket aims at.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 23, 1 << 14
 BUCKET = 1 << 19
@@ -88,9 +99,20 @@ def _split(text: bytes, start: int, end: int, longest: int) -> np.ndarray:
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
-    """Whether a word begins at each byte."""
+    """Whether a word begins at each byte; kana, ideographs, Thai, Lao, Burmese and Khmer letters are words of their own."""
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    return ~space & np.concatenate([[True], space[:-1]])
+    out = ~space & np.concatenate([[True], space[:-1]])
+    if len(data) and data.max() >= 0xE0:
+        after = np.concatenate([data[1:], [0]])
+        out |= (data >= 0xE3) & (data <= 0xE9)
+        out |= (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+        out |= (data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))
+    return out
+
+
+def _characters(text: bytes) -> np.ndarray:
+    """The byte at which each character begins, and the end."""
+    return np.append(np.nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)[0], len(text))
 
 
 def _digests(text: bytes, ends: np.ndarray) -> list[int]:
@@ -107,8 +129,8 @@ def _order(id_col: str, kind: T.DataType) -> Column:
 
 
 #: Chunks of a block, one row for each of its documents: their lengths in code points, the words
-#: that begin in them, and their digests, packed.
-_CHUNKS = "row long, place long, id {}, block long, lengths binary, words binary, digests binary"
+#: that begin in them, and their digests, packed.  The first row has the texts of the block, compressed.
+_CHUNKS = "row long, place long, id {}, block long, at long, size long, lengths binary, words binary, digests binary, texts binary"
 
 
 def _chunked(docs: DataFrame, average: int) -> DataFrame:
@@ -138,9 +160,12 @@ def _chunked(docs: DataFrame, average: int) -> DataFrame:
             digests.append(np.array(_digests(text, own), "<u8").tobytes())
         row = batch.column(0).take(index)
         block = pa.array(np.full(len(held), row[0].as_py()))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        packed = [zstandard.compress(b"".join(texts), 1), *[None] * (len(held) - 1)]
         return pa.RecordBatch.from_arrays(
-            [row, batch.column(1).take(index), batch.column(2).take(index), block, *(pa.array(x, pa.binary()) for x in (lengths, words, digests))],
-            names=["row", "place", "id", "block", "lengths", "words", "digests"])
+            [row, batch.column(1).take(index), batch.column(2).take(index), block, pa.array(np.cumsum(sizes) - sizes), pa.array(sizes),
+             *(pa.array(x, pa.binary()) for x in (lengths, words, digests, packed))],
+            names=["row", "place", "id", "block", "at", "size", "lengths", "words", "digests", "texts"])
 
     return docs.select("row", "place", "id", "text").mapInArrow(
         chunk, _CHUNKS.format(docs.schema["id"].dataType.simpleString()))
@@ -223,38 +248,136 @@ def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
             .groupBy("bucket").applyInArrow(meet, "block long, found binary"))
 
 
-def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int):
-    """Repeated passages of the documents of one block: (row, start, length, words, rows of the originals)."""
+class _Texts:
+    """The texts of the documents of one block, from their rows of ``_CHUNKS``."""
+
+    def __init__(self, own: pa.Table):
+        self.spans = dict(zip(own.column("row").to_pylist(), zip(own.column("at").to_pylist(), own.column("size").to_pylist())))
+        packed = own.column("texts").drop_null()
+        self.text = zstandard.decompress(packed[0].as_py()) if len(packed) else b""
+        self.row = self.own = self.bytes = None
+
+    def piece(self, row: int, start: int, end: int) -> bytes:
+        """Characters ``start`` to ``end`` of a document, as far as it has them."""
+        if row != self.row:
+            begin, size = self.spans[row]
+            self.row, self.own = row, self.text[begin:begin + size]
+            self.bytes = _characters(self.own)
+        start, end = (min(max(i, 0), len(self.bytes) - 1) for i in (start, end))
+        return self.own[self.bytes[start]:self.bytes[end]]
+
+
+#: A run of repeats: ``start`` and ``length`` without the extension, the distance and words from either end to the chunk
+#: that is compared with its original, the number of words between, and the characters beside it.
+_RUNS = ("block long, row long, start long, length long, n_words long, originals array<long>, "
+         "left_row long, left_number long, left_off long, left_words long, left_need long, left_own binary, "
+         "right_row long, right_number long, right_off long, right_words long, right_need long, right_own binary")
+
+
+def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int, min_characters: int) -> list[tuple]:
+    """Runs of repeats of the documents of one block that may be a passage: rows of ``_RUNS``."""
     digest, _, row, number, document = _spread(table)
     if not len(found[0]) or not len(digest):
-        return
+        return []
     order = np.argsort(found[0], kind="stable")
-    known, first_row, first_number = (found[i][order] for i in (0, 2, 3))
+    known, known_row, known_number = (found[i][order] for i in (0, 2, 3))
     here = np.minimum(np.searchsorted(known, digest), len(known) - 1)
-    repeat = (known[here] == digest) & ((first_row[here] != row) | (first_number[here] != number))
-    first_row = first_row[here]
-    at_start = number == 0
-
-    def ends_of(column):   # running sums that begin anew with every document
-        each = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column(column)]).astype(np.int64)
-        total = np.cumsum(each)
-        return total - (total - each)[at_start][np.cumsum(at_start) - 1], each
-
-    (ends, lengths), (words, each_words) = ends_of("lengths"), ends_of("words")
-    start, begun = ends - lengths, words - each_words
-    before = np.concatenate([[False], repeat[:-1]]) & (number > 0)
-    after = np.concatenate([repeat[1:], [False]]) & np.concatenate([document[1:] == document[:-1], [False]])
-    telling = ends - start >= TELLING
-    for i, j in zip(np.nonzero(repeat & ~before)[0], np.nonzero(repeat & ~after)[0]):
-        # Chunks of a few letters repeat by chance: they neither begin nor end a passage, nor name its original.
-        some = np.nonzero(telling[i:j + 1])[0] + i
-        if len(some) and words[j] - begun[i] >= min_words:
-            i, j = some[0], some[-1]
-            yield (int(row[i]), int(start[i]), int(ends[j] - start[i]), int(words[j] - begun[i]),
-                   np.unique(first_row[some]).tolist())
-
-
-def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    repeat = (known[here] == digest) & ((known_row[here] != row) | (known_number[here] != number))
+    first_row, first_number = known_row[here], known_number[here]
+    lengths, words = (np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column(c)]).astype(np.int64)
+                      for c in ("lengths", "words"))
+    # Running sums over the whole block, and where the document of each chunk begins and ends.
+    end, said = np.cumsum(lengths), np.cumsum(words)
+    begin, before = end - lengths, said - words
+    opens = np.nonzero(number == 0)[0]
+    which = np.cumsum(number == 0) - 1
+    doc_begin, doc_last = begin[opens][which], np.append(opens[1:], len(digest))[which] - 1
+
+    apart = np.concatenate([[True], document[1:] != document[:-1]])
+    firsts = np.nonzero(repeat & (apart | ~np.concatenate([[False], repeat[:-1]])))[0]
+    lasts = np.nonzero(repeat & (np.append(apart[1:], True) | ~np.append(repeat[1:], False)))[0]
+    lower = np.maximum(begin[np.maximum(firsts - 1, opens[which[firsts]])] - WINDOW, doc_begin[firsts])
+    beyond = np.minimum(lasts + 1, doc_last[lasts])
+    most_words = said[beyond] - before[np.searchsorted(end, lower, side="right")]
+    may = (most_words >= min_words) | (end[beyond] - lower >= min_characters)
+    texts, out = None, []
+    for i, j, low, high in zip(firsts[may].tolist(), lasts[may].tolist(), lower[may].tolist(), end[beyond[may]].tolist()):
+        # Chunks of a few letters repeat by chance: where there are others, they neither begin nor end a run, nor name its original.
+        some = np.nonzero(lengths[i:j + 1] >= TELLING)[0] + i
+        if not len(some):
+            some = np.array([i + int(np.argmax(lengths[i:j + 1]))])
+        left, right = some[:OUTER], some[-OUTER:][::-1]
+        a, b = (int(side[_commonest(first_row[side], lengths[side])]) for side in (left, right))
+        s, e = int(some[0]), int(some[-1])
+        texts = texts or _Texts(table)
+        own, zero = int(row[i]), int(doc_begin[i])
+        out.append((
+            own, int(begin[s]) - zero, int(end[e] - begin[s]), int(said[e] - before[s]), np.unique(first_row[some]).tolist(),
+            int(first_row[a]), int(first_number[a]), int(begin[a] - begin[s]), int(before[a] - before[s]),
+            int(begin[a]) - low, texts.piece(own, low - zero, int(begin[a]) - zero),
+            int(first_row[b]), int(first_number[b]), int(end[e] - end[b]), int(said[e] - said[b]),
+            high - int(end[b]), texts.piece(own, int(end[b]) - zero, high - zero)))
+    return out
+
+
+def _commonest(rows: np.ndarray, weights: np.ndarray) -> int:
+    """The first place of the row with the largest weight."""
+    names, each = np.unique(rows, return_inverse=True)
+    total = np.bincount(each, weights)[each]
+    return int(np.argmax(total)) if len(names) > 1 else 0
+
+
+def agreement(own: bytes, other: bytes, at_end: bool) -> int:
+    """How many bytes of whole characters ``own`` and ``other`` have in common, at their ends or at their beginnings."""
+    n = min(len(own), len(other))
+    if not n:
+        return 0
+    one, two = ((np.frombuffer(x[-n:] if at_end else x[:n], np.uint8)) for x in (own, other))
+    differ = np.nonzero(one != two)[0]
+    if at_end:
+        same = n - 1 - int(differ[-1]) if len(differ) else n
+        while same and own[-same] & 0xC0 == 0x80:
+            same -= 1
+    else:
+        same = int(differ[0]) if len(differ) else n
+        while 0 < same < len(own) and own[same] & 0xC0 == 0x80:
+            same -= 1
+    return same
+
+
+def _beside(chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """(block, chunk_row, number, side, beside): for each block the characters beside the original chunks its runs name."""
+    sides = [runs.select("block", F.col(f"{s}_row").alias("chunk_row"), F.col(f"{s}_number").alias("number"),
+                         F.lit(s == "left").alias("at_left"), F.col(f"{s}_need").alias("need")) for s in ("left", "right")]
+    keys = ["chunk_row", "number", "at_left"]
+    # A hot original is asked for once a block, and cut once.
+    asked, _ = stored(sides[0].unionAll(sides[1]).groupBy("block", *keys).agg(F.max("need").alias("need")), "asked")
+    wanted = (asked.groupBy(*keys).agg(F.max("need").alias("need"))
+              .join(chunks.select(F.col("row").alias("chunk_row"), F.col("block").alias("home")), "chunk_row"))
+
+    def cut(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"chunk_row": [], "number": [], "at_left": [], "beside": []}
+        if own.num_rows and asked.num_rows:
+            texts = _Texts(own)
+            lengths = dict(zip(own.column("row").to_pylist(), own.column("lengths").to_pylist()))
+            row, ends = None, None
+            for r in asked.sort_by("chunk_row").select(["chunk_row", "number", "at_left", "need"]).to_pylist():
+                if r["chunk_row"] != row:
+                    row = r["chunk_row"]
+                    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths[row], "<u4"), dtype=np.int64)])
+                at = int(ends[r["number"] + (not r["at_left"])])
+                span = (at - r["need"], at) if r["at_left"] else (at, at + r["need"])
+                for name in ("chunk_row", "number", "at_left"):
+                    out[name].append(r[name])
+                out["beside"].append(texts.piece(row, *span))
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))})
+
+    pieces = chunks.select("block", "row", "at", "size", "lengths", "texts").groupBy("block").cogroup(
+        wanted.groupBy("home")).applyInArrow(cut, "chunk_row long, number long, at_left boolean, beside binary")
+    return asked.select("block", *keys).join(pieces, keys)
+
+
+def _spans(narrow: DataFrame, average: int, min_words: int, min_characters: int) -> tuple[DataFrame, DataFrame]:
     """Repeated passages of ``narrow`` (row, place, id, text in UTF-8): row, start, length, n_words, originals.
 
     And (row, id) of all rows, as they were numbered when the texts were read.
@@ -263,20 +386,47 @@ def _spans(narrow: DataFrame, average: int, min_words: int) -> tuple[DataFrame,
     total = chunks.agg(F.coalesce(F.sum(F.length("digests")), F.lit(0))).head()[0] // 8
     found, _ = stored(repeated(chunks, max(1, -(-total // BUCKET))), "repeated")
 
-    def passages_of(own: pa.Table, repeats: pa.Table) -> pa.Table:
-        got = _unpack([b.as_py() for b in repeats.column("found")])
-        rows = list(_runs(own, got, min_words)) if own.num_rows else []
-        columns = [*zip(*rows)] or [()] * 5
-        out = {n: pa.array(c, pa.int64()) for n, c in zip(("row", "start", "length", "n_words"), columns)}
-        return pa.table(out | {"originals": pa.array(columns[4], pa.list_(pa.int64()))})
-
-    spans = chunks.drop("id").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        passages_of, "row long, start long, length long, n_words long, originals array<long>")
+    def runs_of(own: pa.Table, repeats: pa.Table) -> pa.Table:
+        rows = []
+        if own.num_rows:
+            block = own.column("block")[0].as_py()
+            got = _unpack([b.as_py() for b in repeats.column("found")])
+            rows = [(block, *r) for r in _runs(own, got, min_words, min_characters)]
+        columns = [*zip(*rows)] or [()] * len(names)
+        return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)})
+
+    names = [part.split()[0] for part in _RUNS.split(", ")]
+    kinds = {"originals": pa.list_(pa.int64()), "left_own": pa.binary(), "right_own": pa.binary()}
+    runs, _ = stored(chunks.drop("id").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(runs_of, _RUNS), "runs")
+
+    def extend(own: pa.Table, beside: pa.Table) -> pa.Table:
+        pieces = {(r["chunk_row"], r["number"], r["at_left"]): r["beside"] for r in beside.to_pylist()}
+        out = []
+        for r in own.to_pylist():
+            gain = {}
+            for side, at_left in (("left", True), ("right", False)):
+                text = r[f"{side}_own"]
+                same = agreement(text, pieces[r[f"{side}_row"], r[f"{side}_number"], at_left], at_left)
+                data = np.frombuffer(text, np.uint8)
+                reached = slice(len(data) - same, None) if at_left else slice(0, same)
+                length = int(((data & 0xC0) != 0x80)[reached].sum()) - r[f"{side}_off"]
+                # What lies between the compared chunk and the end of the run is a repeat anyway.
+                gain[side] = (length, int(word_starts(data)[reached].sum()) - r[f"{side}_words"]) if length > 0 else (0, 0)
+            (left, left_words), (right, right_words) = gain["left"], gain["right"]
+            length, n_words = r["length"] + left + right, r["n_words"] + left_words + right_words
+            if n_words >= min_words or length >= min_characters:
+                out.append((r["row"], r["start"] - left, length, n_words, r["originals"]))
+        columns = [*zip(*out)] or [()] * 5
+        return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in
+                         zip(("row", "start", "length", "n_words", "originals"), columns)})
+
+    spans = runs.groupBy("block").cogroup(_beside(chunks, runs).groupBy("block")).applyInArrow(
+        extend, "row long, start long, length long, n_words long, originals array<long>")
     return spans, chunks.select("row", "id")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE,
-             min_words: int = MIN_WORDS) -> DataFrame:
+             min_words: int = MIN_WORDS, min_characters: int = MIN_CHARACTERS) -> DataFrame:
     """A row per repeated passage: id_col, start and length (code points), n_words, originals.
 
     ``originals`` lists the ids of the documents that hold the originals of the passage's chunks.
@@ -284,7 +434,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", av
     kind = docs.schema[id_col].dataType
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                          _order(id_col, kind).alias("place"), whole(text_col).cast("binary").alias("text"))
-    spans, ids = _spans(narrow, average, min_words)
+    spans, ids = _spans(narrow, average, min_words, min_characters)
     spans, _ = stored(spans, "spans")
     named = spans.select("row", "start", F.explode("originals").alias("original")).join(
         ids.select(F.col("row").alias("original"), "id"), "original").groupBy("row", "start").agg(
@@ -294,13 +444,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", av
 
 
 def without_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", average: int = AVERAGE,
-                     min_words: int = MIN_WORDS) -> DataFrame:
+                     min_words: int = MIN_WORDS, min_characters: int = MIN_CHARACTERS) -> DataFrame:
     """``docs`` with every repeated passage cut out of its text; all other columns as they were."""
     row, cuts = free_names(docs, ["__row", "__cuts"])
     numbered, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     narrow = numbered.select(F.col(row).alias("row"), _order(id_col, docs.schema[id_col].dataType).alias("place"),
                              F.lit(None).cast("long").alias("id"), whole(text_col).cast("binary").alias("text"))
-    spans = _spans(narrow, average, min_words)[0].groupBy(F.col("row").alias(row)).agg(
+    spans = _spans(narrow, average, min_words, min_characters)[0].groupBy(F.col("row").alias(row)).agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
     text = F.col(f"`{text_col}`")
     # What lies between the cuts, then what follows the last.
@@ -308,7 +458,7 @@ def without_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         F.col(cuts), F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda done, cut: F.struct(
             F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), (cut["start"] - done["at"]).cast("int"))).alias("text"),
-            (cut["start"] + cut["length"]).alias("at")),
+            F.greatest(done["at"], cut["start"] + cut["length"]).alias("at")),
         lambda done: F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.lit((1 << 31) - 1))))
     joined = numbered.join(spans, row, "left")
     return joined.select(*[(F.when(F.col(cuts).isNull(), text).otherwise(kept) if c == text_col else F.col(f"`{c}`")).alias(c)

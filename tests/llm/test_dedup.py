@@ -217,3 +217,74 @@ def test_substring_awkward_rows(spark):
     assert substring_dedup.without_passages(docs).columns == docs.columns
     assert substring_dedup.passages(data.empty(spark)).count() == 0
     assert substring_dedup.without_passages(data.empty(spark)).count() == 0
+
+
+def longest_shared(text, other):
+    """(start, end) of the longest piece of ``text`` that ``other`` holds, by growing it character by character."""
+    best = (0, 0)
+    start = 0
+    for end in range(1, len(text) + 1):
+        while text[start:end] not in other:
+            start += 1
+        if end - start > best[1] - best[0]:
+            best = (start, end)
+    return best
+
+
+@pytest.mark.parametrize("letters, words", [((1, 5), 60), ((2, 7), 51), ((2, 9), 51), ((2, 9), 130)])
+def test_passages_reach_their_true_ends(spark, letters, words):
+    rng = random.Random(words * letters[1])
+    write = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*letters))) for _ in range(n))
+    rows = []
+    for i in range(120):
+        passage = write(words)
+        rows += [(2 * i, f"{write(40)} {passage} {write(30)}"), (2 * i + 1, f"{write(rng.randint(0, 50))} {passage} {write(20)}")]
+    got = defaultdict(list)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r.doc_id].append((r.start, r.start + r.length))
+    assert not [i for i in got if i % 2 == 0]
+    texts = dict(rows)
+    exact = [longest_shared(texts[i], texts[i - 1]) for i in range(1, 240, 2)]
+    missed = [i for i, _ in enumerate(exact) if 2 * i + 1 not in got]
+    assert len(missed) <= (2 if letters == (1, 5) else 0)   # a passage without two cuts can't be met by chunks
+    assert sum(got[2 * i + 1] == [span] for i, span in enumerate(exact)) >= 118 - len(missed)
+
+
+def test_passages_of_texts_without_blanks(spark):
+    rng = random.Random(3)
+    chinese = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    base64 = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(n))
+    rows = [(1, chinese(300)), (3, base64(3000)), (5, chinese(400))]
+    rows += [(2, chinese(40) + rows[0][1][100:200] + chinese(70)), (4, base64(50) + rows[1][1][500:1400] + base64(100))]
+    got = {(r.doc_id, r.start, r.length): r for r in substring_dedup.passages(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    want = {(i, *longest_shared(texts[i], texts[o])) for i, o in ((2, 1), (4, 3))}
+    assert {(i, start, start + length) for i, start, length in got} == want
+    assert all(r.n_words >= 100 for r in got.values() if r.doc_id == 2)
+
+
+def test_agreement_keeps_whole_characters():
+    one, two = "aé日".encode(), "bé曥".encode()
+    assert substring_dedup.agreement(one, one, True) == len(one)
+    assert substring_dedup.agreement("日x".encode(), "旦x".encode(), False) == 0   # the first two bytes agree
+    assert substring_dedup.agreement("x日".encode(), "x旦".encode(), False) == 1
+    assert substring_dedup.agreement("éz".encode(), "ùz".encode(), True) == 1
+    assert substring_dedup.agreement(one[:3], two[:3], True) == 2
+    assert substring_dedup.agreement(b"", one, True) == 0
+
+
+def test_passages_with_a_hot_original_and_repeats_inside_a_text(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 5)} {passage} {prose(rng, 5)}") for i in range(300)]
+    rows.append((900, f"{prose(rng, 30)}\n" + prose(rng, 80) + "\n" + " - ".join([prose(rng, 70)] * 3)))
+    got = defaultdict(list)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == {*range(1, 300), 900}
+    texts = dict(rows)
+    for i in range(1, 300):
+        assert len(got[i]) == 1 and passage in texts[i][got[i][0].start:got[i][0].start + got[i][0].length]
+        assert 0 in got[i][0].originals   # a chunk across the end may agree by chance with another copy only
+    assert sum(r.length for r in got[900]) >= 2 * 70 * 5
