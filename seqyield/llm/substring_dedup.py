@@ -16,7 +16,7 @@ back to a block is the digests that occur elsewhere too.
 *Passages.*  Consecutive repeats are a run.  The chunks at the ends of a copied
 passage hold foreign bytes, so a run is extended, character by character, as
 far as it agrees with the original of its outer chunks.  That is never
-further than one more chunk and ``WINDOW`` characters, or that chunk would be a
+further than one more chunk and ``WINDOW`` bytes, or that chunk would be a
 repeat as well (chunks cut at ``LONGEST`` bytes excepted).  Only those neighbouring
 characters travel, one piece per original chunk and block.  An extended run
 of ``MIN_WORDS`` words or ``MIN_CHARACTERS`` code points is a repeated
@@ -98,9 +98,13 @@ def _split(text: bytes, start: int, end: int, longest: int) -> np.ndarray:
     return np.array([*out, *([end] if not out or out[-1] < end else [])], np.int64)
 
 
+def white(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+
+
 def word_starts(data: np.ndarray) -> np.ndarray:
     """Whether a word begins at each byte; kana, ideographs, Thai, Lao, Burmese and Khmer letters are words of their own."""
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    space = white(data)
     out = ~space & np.concatenate([[True], space[:-1]])
     if len(data) and data.max() >= 0xE0:
         after = np.concatenate([data[1:], [0]])
@@ -110,16 +114,11 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _characters(text: bytes) -> np.ndarray:
-    """The byte at which each character begins, and the end."""
-    return np.append(np.nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)[0], len(text))
-
-
-def _digests(text: bytes, ends: np.ndarray) -> list[int]:
+def _digests(text: bytes, sizes: np.ndarray) -> list[int]:
     at, out = 0, []
-    for end in ends.tolist():
-        out.append(xxhash.xxh3_64_intdigest(text[at:end]))
-        at = end
+    for size in sizes.tolist():
+        out.append(xxhash.xxh3_64_intdigest(text[at:at + size]))
+        at += size
     return out
 
 
@@ -128,9 +127,9 @@ def _order(id_col: str, kind: T.DataType) -> Column:
     return F.coalesce(number, F.lit((1 << 63) - 1))
 
 
-#: Chunks of a block, one row for each of its documents: their lengths in code points, the words
-#: that begin in them, and their digests, packed.  The first row has the texts of the block, compressed.
-_CHUNKS = "row long, place long, id {}, block long, at long, size long, lengths binary, words binary, digests binary, texts binary"
+#: Chunks of a block, one row for each of its documents: where its text begins in the block, its bytes, those of its
+#: chunks, and their digests, packed.  The first row has the texts of the block, compressed.
+_CHUNKS = "row long, place long, id {}, block long, at long, size long, sizes binary, digests binary, texts binary"
 
 
 def _chunked(docs: DataFrame, average: int) -> DataFrame:
@@ -150,74 +149,77 @@ def _chunked(docs: DataFrame, average: int) -> DataFrame:
     def rows(batch, held):
         index = pa.array([i for i, _ in held])
         texts = [t for _, t in held]
-        lengths, words, digests = [], [], []
-        for text, own in zip(texts, chunk_ends(texts, average)):
-            data = np.frombuffer(text, np.uint8)
-            characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            begun = np.concatenate([[0], np.cumsum(word_starts(data))])
-            lengths.append(np.diff(characters[own], prepend=0).astype("<u4").tobytes())
-            words.append(np.diff(begun[own], prepend=0).astype("<u4").tobytes())
-            digests.append(np.array(_digests(text, own), "<u8").tobytes())
+        parts = [np.diff(own, prepend=0) for own in chunk_ends(texts, average)]
+        digests = [np.array(_digests(text, own), "<u8").tobytes() for text, own in zip(texts, parts)]
+        parts = [own.astype("<u2").tobytes() for own in parts]
         row = batch.column(0).take(index)
         block = pa.array(np.full(len(held), row[0].as_py()))
         sizes = np.array([len(t) for t in texts], np.int64)
         packed = [zstandard.compress(b"".join(texts), 1), *[None] * (len(held) - 1)]
         return pa.RecordBatch.from_arrays(
             [row, batch.column(1).take(index), batch.column(2).take(index), block, pa.array(np.cumsum(sizes) - sizes), pa.array(sizes),
-             *(pa.array(x, pa.binary()) for x in (lengths, words, digests, packed))],
-            names=["row", "place", "id", "block", "at", "size", "lengths", "words", "digests", "texts"])
+             *(pa.array(x, pa.binary()) for x in (parts, digests, packed))],
+            names=["row", "place", "id", "block", "at", "size", "sizes", "digests", "texts"])
 
     return docs.select("row", "place", "id", "text").mapInArrow(
         chunk, _CHUNKS.format(docs.schema["id"].dataType.simpleString()))
 
 
-def _spread(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, place, row, number in its document, document) of all chunks of some rows of ``_CHUNKS``."""
-    lists = [np.frombuffer(d.as_py(), "<u8") for d in table.column("digests")]
+def _spread(table, column: str, kind: str) -> tuple[np.ndarray, ...]:
+    """(value, row, number in its document, document) of all chunks of some rows of ``_CHUNKS``."""
+    lists = [np.frombuffer(d.as_py(), kind) for d in table.column(column)]
     sizes = np.array([len(x) for x in lists], np.int64)
-    digest = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-    number = np.arange(len(digest)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place, row = (np.repeat(np.asarray(table.column(c)).astype(np.int64), sizes) for c in ("place", "row"))
-    return digest, place, row, number, np.repeat(np.arange(len(sizes)), sizes)
+    value = np.concatenate(lists) if lists else np.zeros(0, kind)
+    number = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    return value, np.asarray(table.column("row")).astype(np.int64)[document], number, document
 
 
 def _firsts(digest, place, row, number, count) -> tuple[np.ndarray, ...]:
-    """Each digest once: with its first (place, row, number) and the sum of its counts."""
+    """Each digest once: with its first (place, row, number), the sum of its counts, and where the first was."""
     order = np.lexsort((number, row, place, digest))
     digest = digest[order]
     starts = np.concatenate([[0], np.nonzero(digest[1:] != digest[:-1])[0] + 1]) if len(digest) else order
-    return (digest[starts], place[order][starts], row[order][starts], number[order][starts],
-            np.add.reduceat(count[order], starts) if len(starts) else count[:0])
+    first = order[starts]
+    return (digest[starts], place[first], row[first], number[first],
+            np.add.reduceat(count[order], starts) if len(starts) else count[:0], first)
 
 
-#: Columns of packed digests: they travel one after the other, as equal high bytes compress.
-_PACKED = [("digest", "<u8"), ("place", "<i8"), ("row", "<i8"), ("number", "<u4"), ("count", "<u4")]
+#: Columns of packed digests, as sent and as found: they travel one after the other, as equal high bytes compress.
+_SENT = (("digest", "<u8"), ("place", "<i8"), ("row", "<i8"), ("number", "<u4"), ("count", "<u4"))
+_FOUND = (("digest", "<u8"), ("row", "<i8"), ("number", "<u4"), ("home", "<i8"))
 
 
-def _pack(columns: tuple[np.ndarray, ...], which=slice(None)) -> bytes:
+def _pack(columns: tuple[np.ndarray, ...], kinds, which=slice(None)) -> bytes:
     return b"".join(np.minimum(c[which], (1 << 32) - 1).astype(t).tobytes() if n == "count" else c[which].astype(t).tobytes()
-                    for c, (n, t) in zip(columns, _PACKED))
+                    for c, (n, t) in zip(columns, kinds))
 
 
-def _unpack(packed: list[bytes]) -> tuple[np.ndarray, ...]:
+def _width(kinds) -> int:
+    return sum(np.dtype(t).itemsize for _, t in kinds)
+
+
+def _unpack(packed: list[bytes], kinds) -> tuple[np.ndarray, ...]:
     """The columns of several packed pieces, put together."""
-    width, parts = sum(np.dtype(t).itemsize for _, t in _PACKED), [[] for _ in _PACKED]
+    parts = [[] for _ in kinds]
     for piece in packed:
-        at, n = 0, len(piece) // width
-        for part, (name, t) in zip(parts, _PACKED):
+        at, n = 0, len(piece) // _width(kinds)
+        for part, (_, t) in zip(parts, kinds):
             part.append(np.frombuffer(piece, t, n, at))
             at += n * np.dtype(t).itemsize
     return tuple(np.concatenate(p or [np.zeros(0, t)]).astype(np.uint64 if name == "digest" else np.int64)
-                 for p, (name, t) in zip(parts, _PACKED))
+                 for p, (name, t) in zip(parts, kinds))
 
 
 def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(block, found): for each block its digests that occur more than once, with their first place."""
+    """(block, found): for each block its digests that occur more than once, with their first row, number and its block."""
     def send(batches):
         for batch in batches:
             blocks = np.asarray(batch.column("block"))
             for block in np.unique(blocks):
-                digest, place, row, number, _ = _spread(batch.filter(pa.array(blocks == block)))
+                part = batch.filter(pa.array(blocks == block))
+                digest, row, number, document = _spread(part, "digests", "<u8")
+                place = np.asarray(part.column("place")).astype(np.int64)[document]
                 own = _firsts(digest, place, row, number, np.ones(len(digest), np.int64))
                 bucket = own[0] % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -225,15 +227,14 @@ def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
                 for b in np.nonzero(np.diff(starts))[0]:
                     yield pa.RecordBatch.from_pydict({
                         "bucket": pa.array([int(b)]), "block": pa.array([int(block)]),
-                        "sent": pa.array([_pack(own, order[starts[b]:starts[b + 1]])], pa.binary())})
+                        "sent": pa.array([_pack(own, _SENT, order[starts[b]:starts[b + 1]])], pa.binary())})
 
     def meet(table):
         pieces = [b.as_py() for b in table.column("sent")]
-        every = _unpack(pieces)
-        width = sum(np.dtype(t).itemsize for _, t in _PACKED)
-        blocks = np.repeat(np.asarray(table.column("block")), [len(p) // width for p in pieces])
-        first = _firsts(*every)
-        first = tuple(c[first[4] > 1] for c in first)
+        every = _unpack(pieces, _SENT)
+        blocks = np.repeat(np.asarray(table.column("block")), [len(p) // _width(_SENT) for p in pieces])
+        digest, _, row, number, count, at = _firsts(*every)
+        first = tuple(c[count > 1] for c in (digest, row, number, blocks[at]))
         here = np.searchsorted(first[0], every[0])
         known = here < len(first[0])
         known[known] = first[0][here[known]] == every[0][known]
@@ -242,56 +243,55 @@ def repeated(chunks: DataFrame, buckets: int) -> DataFrame:
         here, blocks = here[order], blocks[order]
         starts = np.concatenate([[0], np.nonzero(blocks[1:] != blocks[:-1])[0] + 1]) if len(blocks) else blocks
         return pa.table({"block": pa.array(blocks[starts] if len(blocks) else [], pa.int64()), "found": pa.array(
-            [_pack(first, here[i:j]) for i, j in zip(starts, np.append(starts[1:], len(here)))], pa.binary())})
+            [_pack(first, _FOUND, here[i:j]) for i, j in zip(starts, np.append(starts[1:], len(here)))], pa.binary())})
 
     return (chunks.select("row", "place", "block", "digests").mapInArrow(send, "bucket long, block long, sent binary")
             .groupBy("bucket").applyInArrow(meet, "block long, found binary"))
 
 
-class _Texts:
-    """The texts of the documents of one block, from their rows of ``_CHUNKS``."""
-
-    def __init__(self, own: pa.Table):
-        self.spans = dict(zip(own.column("row").to_pylist(), zip(own.column("at").to_pylist(), own.column("size").to_pylist())))
-        packed = own.column("texts").drop_null()
-        self.text = zstandard.decompress(packed[0].as_py()) if len(packed) else b""
-        self.row = self.own = self.bytes = None
-
-    def piece(self, row: int, start: int, end: int) -> bytes:
-        """Characters ``start`` to ``end`` of a document, as far as it has them."""
-        if row != self.row:
-            begin, size = self.spans[row]
-            self.row, self.own = row, self.text[begin:begin + size]
-            self.bytes = _characters(self.own)
-        start, end = (min(max(i, 0), len(self.bytes) - 1) for i in (start, end))
-        return self.own[self.bytes[start]:self.bytes[end]]
+def _texts(own: pa.Table) -> bytes:
+    """The texts of a block, one after the other in the order of ``at``."""
+    packed = own.column("texts").drop_null()
+    return zstandard.decompress(packed[0].as_py()) if len(packed) else b""
 
 
 #: A run of repeats: ``start`` and ``length`` without the extension, the distance and words from either end to the chunk
-#: that is compared with its original, the number of words between, and the characters beside it.
+#: that is compared with its original, the number of words between, and the bytes beside it.
 _RUNS = ("block long, row long, start long, length long, n_words long, originals array<long>, "
-         "left_row long, left_number long, left_off long, left_words long, left_need long, left_own binary, "
-         "right_row long, right_number long, right_off long, right_words long, right_need long, right_own binary")
+         "left_home long, left_row long, left_number long, left_off long, left_words long, left_need long, left_own binary, "
+         "right_home long, right_row long, right_number long, right_off long, right_words long, right_need long, right_own binary")
 
 
 def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int, min_characters: int) -> list[tuple]:
-    """Runs of repeats of the documents of one block that may be a passage: rows of ``_RUNS``."""
-    digest, _, row, number, document = _spread(table)
-    if not len(found[0]) or not len(digest):
+    """Runs of repeats of the documents of one block that may be a passage: rows of ``_RUNS`` without the block."""
+    table = table.sort_by("at")
+    size, row, number, document = _spread(table, "sizes", "<u2")
+    if not len(found[0]) or not len(size):
         return []
+    # Running sums over the bytes of the whole block, and where the document of each chunk begins and ends.
+    text = _texts(table)
+    end = np.cumsum(size, dtype=np.int64)
+    begin = end - size
+    opens = np.nonzero(number == 0)[0]
+    which = np.cumsum(number == 0) - 1
+    doc_begin, doc_last = begin[opens][which], np.append(opens[1:], len(size))[which] - 1
+
     order = np.argsort(found[0], kind="stable")
-    known, known_row, known_number = (found[i][order] for i in (0, 2, 3))
+    known, known_row, known_number, known_home = (c[order] for c in found)
+    digest = np.array(_digests(text, size), np.uint64)
     here = np.minimum(np.searchsorted(known, digest), len(known) - 1)
     repeat = (known[here] == digest) & ((known_row[here] != row) | (known_number[here] != number))
-    first_row, first_number = known_row[here], known_number[here]
-    lengths, words = (np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column(c)]).astype(np.int64)
-                      for c in ("lengths", "words"))
-    # Running sums over the whole block, and where the document of each chunk begins and ends.
-    end, said = np.cumsum(lengths), np.cumsum(words)
-    begin, before = end - lengths, said - words
-    opens = np.nonzero(number == 0)[0]
-    which = np.cumsum(number == 0) - 1
-    doc_begin, doc_last = begin[opens][which], np.append(opens[1:], len(digest))[which] - 1
+    if not repeat.any():
+        return []
+    first_row, first_number, first_home = known_row[here], known_number[here], known_home[here]
+
+    data = np.frombuffer(text, np.uint8)
+    words = word_starts(data)
+    words[begin[opens]] = ~white(data[begin[opens]])   # what precedes is another document
+    said = np.cumsum(np.add.reduceat(words, begin, dtype=np.int64))
+    lengths = np.add.reduceat((data & 0xC0) != 0x80, begin, dtype=np.int64)
+    chars = np.cumsum(lengths)
+    before, ahead = np.append(0, said[:-1]), chars - lengths
 
     apart = np.concatenate([[True], document[1:] != document[:-1]])
     firsts = np.nonzero(repeat & (apart | ~np.concatenate([[False], repeat[:-1]])))[0]
@@ -300,7 +300,7 @@ def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int, min_ch
     beyond = np.minimum(lasts + 1, doc_last[lasts])
     most_words = said[beyond] - before[np.searchsorted(end, lower, side="right")]
     may = (most_words >= min_words) | (end[beyond] - lower >= min_characters)
-    texts, out = None, []
+    out = []
     for i, j, low, high in zip(firsts[may].tolist(), lasts[may].tolist(), lower[may].tolist(), end[beyond[may]].tolist()):
         # Chunks of a few letters repeat by chance: where there are others, they neither begin nor end a run, nor name its original.
         some = np.nonzero(lengths[i:j + 1] >= TELLING)[0] + i
@@ -309,14 +309,13 @@ def _runs(table: pa.Table, found: tuple[np.ndarray, ...], min_words: int, min_ch
         left, right = some[:OUTER], some[-OUTER:][::-1]
         a, b = (int(side[_commonest(first_row[side], lengths[side])]) for side in (left, right))
         s, e = int(some[0]), int(some[-1])
-        texts = texts or _Texts(table)
-        own, zero = int(row[i]), int(doc_begin[i])
         out.append((
-            own, int(begin[s]) - zero, int(end[e] - begin[s]), int(said[e] - before[s]), np.unique(first_row[some]).tolist(),
-            int(first_row[a]), int(first_number[a]), int(begin[a] - begin[s]), int(before[a] - before[s]),
-            int(begin[a]) - low, texts.piece(own, low - zero, int(begin[a]) - zero),
-            int(first_row[b]), int(first_number[b]), int(end[e] - end[b]), int(said[e] - said[b]),
-            high - int(end[b]), texts.piece(own, int(end[b]) - zero, high - zero)))
+            int(row[i]), int(ahead[s] - ahead[opens[which[i]]]), int(chars[e] - ahead[s]), int(said[e] - before[s]),
+            np.unique(first_row[some]).tolist(),
+            int(first_home[a]), int(first_row[a]), int(first_number[a]), int(ahead[a] - ahead[s]), int(before[a] - before[s]),
+            int(begin[a]) - low, text[low:begin[a]],
+            int(first_home[b]), int(first_row[b]), int(first_number[b]), int(chars[e] - chars[b]), int(said[e] - said[b]),
+            high - int(end[b]), text[end[b]:high]))
     return out
 
 
@@ -346,33 +345,35 @@ def agreement(own: bytes, other: bytes, at_end: bool) -> int:
 
 
 def _beside(chunks: DataFrame, runs: DataFrame) -> DataFrame:
-    """(block, chunk_row, number, side, beside): for each block the characters beside the original chunks its runs name."""
-    sides = [runs.select("block", F.col(f"{s}_row").alias("chunk_row"), F.col(f"{s}_number").alias("number"),
-                         F.lit(s == "left").alias("at_left"), F.col(f"{s}_need").alias("need")) for s in ("left", "right")]
+    """(block, chunk_row, number, at_left, beside): for each block the bytes beside the original chunks its runs name."""
+    sides = [runs.select("block", F.col(f"{s}_home").alias("home"), F.col(f"{s}_row").alias("chunk_row"),
+                         F.col(f"{s}_number").alias("number"), F.lit(s == "left").alias("at_left"), F.col(f"{s}_need").alias("need"))
+             for s in ("left", "right")]
     keys = ["chunk_row", "number", "at_left"]
     # A hot original is asked for once a block, and cut once.
-    asked, _ = stored(sides[0].unionAll(sides[1]).groupBy("block", *keys).agg(F.max("need").alias("need")), "asked")
-    wanted = (asked.groupBy(*keys).agg(F.max("need").alias("need"))
-              .join(chunks.select(F.col("row").alias("chunk_row"), F.col("block").alias("home")), "chunk_row"))
+    asked, _ = stored(sides[0].unionAll(sides[1]).where("need > 0").groupBy("block", "home", *keys).agg(
+        F.max("need").alias("need")), "asked")
+    wanted = asked.groupBy("home", *keys).agg(F.max("need").alias("need"))
 
     def cut(own: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"chunk_row": [], "number": [], "at_left": [], "beside": []}
         if own.num_rows and asked.num_rows:
-            texts = _Texts(own)
-            lengths = dict(zip(own.column("row").to_pylist(), own.column("lengths").to_pylist()))
-            row, ends = None, None
+            text = _texts(own)
+            places = {r["row"]: r for r in own.select(["row", "at", "size", "sizes"]).to_pylist()}
+            row = None
             for r in asked.sort_by("chunk_row").select(["chunk_row", "number", "at_left", "need"]).to_pylist():
                 if r["chunk_row"] != row:
                     row = r["chunk_row"]
-                    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths[row], "<u4"), dtype=np.int64)])
+                    begin = places[row]["at"]
+                    stop = begin + places[row]["size"]
+                    ends = np.cumsum(np.append([begin], np.frombuffer(places[row]["sizes"], "<u2")), dtype=np.int64)
                 at = int(ends[r["number"] + (not r["at_left"])])
-                span = (at - r["need"], at) if r["at_left"] else (at, at + r["need"])
                 for name in ("chunk_row", "number", "at_left"):
                     out[name].append(r[name])
-                out["beside"].append(texts.piece(row, *span))
+                out["beside"].append(text[max(at - r["need"], begin):at] if r["at_left"] else text[at:min(at + r["need"], stop)])
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))})
 
-    pieces = chunks.select("block", "row", "at", "size", "lengths", "texts").groupBy("block").cogroup(
+    pieces = chunks.select("block", "row", "at", "size", "sizes", "texts").groupBy("block").cogroup(
         wanted.groupBy("home")).applyInArrow(cut, "chunk_row long, number long, at_left boolean, beside binary")
     return asked.select("block", *keys).join(pieces, keys)
 
@@ -390,14 +391,14 @@ def _spans(narrow: DataFrame, average: int, min_words: int, min_characters: int)
         rows = []
         if own.num_rows:
             block = own.column("block")[0].as_py()
-            got = _unpack([b.as_py() for b in repeats.column("found")])
+            got = _unpack([b.as_py() for b in repeats.column("found")], _FOUND)
             rows = [(block, *r) for r in _runs(own, got, min_words, min_characters)]
         columns = [*zip(*rows)] or [()] * len(names)
         return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)})
 
     names = [part.split()[0] for part in _RUNS.split(", ")]
     kinds = {"originals": pa.list_(pa.int64()), "left_own": pa.binary(), "right_own": pa.binary()}
-    runs, _ = stored(chunks.drop("id").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(runs_of, _RUNS), "runs")
+    runs, _ = stored(chunks.select("block", "row", "at", "size", "sizes", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(runs_of, _RUNS), "runs")
 
     def extend(own: pa.Table, beside: pa.Table) -> pa.Table:
         pieces = {(r["chunk_row"], r["number"], r["at_left"]): r["beside"] for r in beside.to_pylist()}
@@ -406,7 +407,7 @@ def _spans(narrow: DataFrame, average: int, min_words: int, min_characters: int)
             gain = {}
             for side, at_left in (("left", True), ("right", False)):
                 text = r[f"{side}_own"]
-                same = agreement(text, pieces[r[f"{side}_row"], r[f"{side}_number"], at_left], at_left)
+                same = agreement(text, pieces.get((r[f"{side}_row"], r[f"{side}_number"], at_left), b""), at_left)
                 data = np.frombuffer(text, np.uint8)
                 reached = slice(len(data) - same, None) if at_left else slice(0, same)
                 length = int(((data & 0xC0) != 0x80)[reached].sum()) - r[f"{side}_off"]
