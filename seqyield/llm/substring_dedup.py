@@ -421,7 +421,8 @@ def _spans(narrow: DataFrame, average: int, min_words: int, min_characters: int)
         return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in
                          zip(("row", "start", "length", "n_words", "originals"), columns)})
 
-    spans = runs.groupBy("block").cogroup(_beside(chunks, runs).groupBy("block")).applyInArrow(
+    asking = [f"{side}_{name}" for side in ("left", "right") for name in ("home", "need")]
+    spans = runs.drop(*asking).groupBy("block").cogroup(_beside(chunks, runs).groupBy("block")).applyInArrow(
         extend, "row long, start long, length long, n_words long, originals array<long>")
     return spans, chunks.select("row", "id")
 
