@@ -56,18 +56,48 @@ def _words(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]")
 
 
+#: Words whose lengths are summed up together.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, the value computed once, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _word_findings(words: Column) -> Column:
+    """For each word that holds a candidate: its number, offset (code points), text and neighbours.
+
+    Lengths are summed by blocks of words once a text; a candidate then adds the words of its own block, so the
+    time does not grow with words times candidates.
+    """
+    length = lambda w, i: F.char_length(F.get(w, i)).cast("long") + 1
+    total = lambda w, lo, hi: F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"),
+                                          lambda n, i: n + length(w, i))
+
+    def placed(w, heads):
+        hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).rlike(CANDIDATE))
+        return F.transform(hits, lambda i: F.struct(
+            i.alias("word"),
+            (F.get(heads, F.floor(i / BLOCK).cast("int")) + total(w, (F.floor(i / BLOCK) * BLOCK).cast("int"), i)
+             - length(w, i)).alias("offset"),
+            F.get(w, i).alias("text"), F.concat_ws(" ", *[F.get(w, i - k) for k in (3, 2, 1)]).alias("before"),
+            F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")))
+
+    def with_heads(w):
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), lambda b: total(
+            w, b * BLOCK, F.least(b * BLOCK + (BLOCK - 1), F.size(w) - 1)))
+        heads = _bound(sums, lambda s: F.transform(s, lambda _, b: F.aggregate(
+            F.slice(s, F.lit(1), b), F.lit(0).cast("long"), lambda n, x: n + x)))
+        return _bound(heads, lambda h: placed(w, h))
+
+    return _bound(words, with_heads)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per candidate: id, word (its number), start (code points), and ``FINDING``."""
     held = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
-    words = held.select("id", _words(F.col("text")).alias("w"))
-    places = words.select("id", "w", F.explode(F.filter(
-        F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE))).alias("word"))
-    near = places.select(
-        "id", "word", F.get("w", F.col("word")).alias("text"),
-        F.concat_ws(" ", F.slice("w", F.greatest(F.col("word") - 2, F.lit(1)), F.least(F.col("word"), F.lit(3)))).alias("before"),
-        F.coalesce(F.get("w", F.col("word") + 1), F.lit("")).alias("after"),
-        F.aggregate(F.slice("w", F.lit(1), F.col("word")), F.lit(0).cast("long"),
-                    lambda n, x: n + F.char_length(x) + 1).alias("offset"))
+    near = held.select("id", F.explode(_word_findings(_words(F.col("text")))).alias("near")).select("id", "near.*")
     # What stands between the candidates of a word gives each its own place, also where one occurs twice.
     cut = near.withColumns({"found": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
                             "between": F.split("text", CANDIDATE, -1)})

@@ -419,6 +419,29 @@ def test_repeated_and_nested_candidates_have_their_own_places(spark):
         assert r.prefix == re.split(r"[\x20\x09-\x0D]", texts[r.id][:r.start])[-1]
 
 
+@pytest.mark.parametrize("count", [1, 3, 255, 256, 257, 1000])
+def test_secret_candidates_stand_at_their_places_with_their_neighbours(spark, count):
+    rng = random.Random(count)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 7))) for _ in range(count)]
+    for k in range(0, count, 7):
+        words[k] = '"' + "".join(rng.choice("aB3") for _ in range(20)) + '",'
+    text = " ".join(words)
+    got = sorted(secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect(), key=lambda r: r.word)
+    want = [(k, sum(len(w) + 1 for w in words[:k]) + 1, words[k][1:-2], '"', " ".join(words[max(k - 3, 0):k]),
+             words[k + 1] if k + 1 < count else "") for k in range(0, count, 7)]
+    assert [(r.word, r.start, r.candidate, r.prefix, r.before, r.after) for r in got] == want
+
+
+def test_secret_candidates_of_a_long_text(spark):
+    """Time does not grow with words times candidates."""
+    words = ["word"] * 200_000
+    words[::50] = ["aB3" * 8] * 4000
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    started = time.time()
+    assert sum(r.start for r in secrets.candidates(docs).collect()) == sum(k * 49 * 5 + k * 25 for k in range(4000))
+    assert time.time() - started < 30   # one to two seconds; 92 when every candidate summed up all words before it
+
+
 def test_secrets_are_found_and_false_positives_removed(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     extra = [(100000, "see commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b for that"), (100001, "uuid 123e4567-e89b-12d3-a456-426614174000 here"),
