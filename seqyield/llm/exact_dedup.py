@@ -90,9 +90,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     narrow, _ = _narrow(docs, id_col, text_col)
     heavy, _ = heavy_winners(narrow, k)
     marked = narrow.join(F.broadcast(heavy), "digest", "left")
-    by = Window.partitionBy("digest")
-    light = (marked.where(F.col("size").isNull())
-             .withColumn("best", F.min("order").over(by)).withColumn("size", F.count(F.lit(1)).over(by)))
+    light = marked.where(F.col("size").isNull()).drop("size", "best")
+    # Counts are combined before the shuffle; the join streams the rows of a group past one row of sums.
+    groups = light.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min("order").alias("best"))
+    light = light.join(groups, "digest").select(*marked.columns)
     both = marked.where(F.col("size").isNotNull()).unionByName(light)
     return both.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"),
