@@ -16,14 +16,20 @@ instrument gives its files:
 from __future__ import annotations
 
 import gzip
+import os
+import uuid
 import zlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqyield.plans.tables import events_reads, table
-from seqyield.session import file_system, path_stamp, scratch_path, shared_folder
+from seqyield.session import file_system, materialize, path_stamp, shared_folder
 from seqyield.sources.fastq import fastq_record_text
 from seqyield.sources.fastq_source import file_system as arrow_file_system
 
@@ -45,24 +51,104 @@ def chunk(read: str = "read") -> Column:
     return F.floor(F.col(read) / READS_PER_FILE).cast("long")
 
 
-def _place(spark: SparkSession, source: str, name, arrival=None) -> None:
-    """Give the files of a partitioned folder their names: ``name(values of the partition folders)``."""
-    fs, root = file_system(spark, source)
-    path = spark._jvm.org.apache.hadoop.fs.Path
+class _Text:
+    """A text file that is being written: one line a value, after ``head``; packed if its name ends in ``.gz``."""
 
-    def below(folder, values):
-        for status in fs.listStatus(folder):
-            own = status.getPath().getName()
-            if status.isDirectory() and "=" in own:
-                yield from below(status.getPath(), [*values, int(own.split("=")[1])])
-            elif own.startswith("part-"):
-                yield values, status.getPath()
-    for values, part in list(below(root, [])):
-        target = path(name(*values))
-        fs.mkdirs(target.getParent())
-        fs.rename(part, target)
-        if arrival:
-            fs.setTimes(target, arrival(*values), -1)
+    def __init__(self, out, name: str, head: str = ""):
+        self.out, self.packed = out, None
+        if name.endswith(".gz"):
+            self.packed = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0)
+        if head:
+            self._put(head.encode() + b"\n")
+
+    def _put(self, data: bytes) -> None:
+        (self.packed or self.out).write(data)
+
+    def write(self, rows: pa.RecordBatch) -> None:
+        self._put("".join([(v or "") + "\n" for v in rows.column(0).to_pylist()]).encode())
+
+    def close(self) -> None:
+        if self.packed:
+            self.packed.close()
+
+
+class _Parquet:
+    def __init__(self, out, name: str, head: str = ""):
+        self.out, self.made = out, None
+
+    def write(self, rows: pa.RecordBatch) -> None:
+        self.made = self.made or pq.ParquetWriter(self.out, rows.schema)
+        self.made.write_batch(rows)
+
+    def close(self) -> None:
+        self.made.close()
+
+
+def _write_files(rows: DataFrame, numbers: Sequence[str], root: str, name: Callable[..., str], kind=_Text,
+                 head: Callable[..., str] | None = None, arrival: Callable[..., int] | None = None,
+                 order: str = "read") -> None:
+    """One file ``name(*numbers)`` below ``root`` for every value of the number columns, its rows by ``order``.
+
+    Tasks write the files themselves, one open at a time: a file appears under
+    its name once it is whole, with ``arrival(*numbers)`` (ms) as its time.
+    """
+    spark = rows.sparkSession
+    fs, place = file_system(spark, root)
+    root = fs.makeQualified(place).toString()
+    fs.mkdirs(place)
+    kept = ["value"] if kind is _Text else [c for c in rows.columns if c not in numbers]
+    sorted_ = rows.repartition(*numbers).sortWithinPartitions(*numbers, order).select(*numbers, *kept)
+    n = len(numbers)
+
+    def write(batches):
+        store, base = arrow_file_system(root)
+        folders, key, out, made, target, hidden = set(), None, None, None, "", ""
+        late = []
+
+        def finish():
+            made.close()
+            out.close()
+            store.move(hidden, target)
+            if arrival:
+                ms = arrival(*key)
+                if isinstance(store, pa.fs.LocalFileSystem):
+                    os.utime(target, ns=(ms * 1_000_000, ms * 1_000_000))
+                else:
+                    late.append((f"{root}/{name(*key)}", ms))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if any(batch.column(i).null_count for i in range(n)):
+                raise ValueError(f"a row without {' or '.join(numbers)}")
+            values = [np.asarray(batch.column(i)) for i in range(n)]
+            changes = np.zeros(batch.num_rows, bool)
+            for v in values:
+                changes[1:] |= v[1:] != v[:-1]
+            starts = [0, *np.nonzero(changes)[0].tolist(), batch.num_rows]
+            body = pa.RecordBatch.from_arrays(batch.columns[n:], schema=pa.schema([batch.schema.field(i) for i in range(n, batch.num_columns)]))
+            for a, b in zip(starts, starts[1:]):
+                own = tuple(int(v[a]) for v in values)
+                if own != key:
+                    if key is not None:
+                        finish()
+                    key, target = own, f"{base}/{name(*own)}"
+                    folder, file = target.rsplit("/", 1)
+                    if folder not in folders:
+                        store.create_dir(folder, recursive=True)
+                        folders.add(folder)
+                    hidden = f"{folder}/.{file}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(hidden, compression=None)
+                    made = kind(out, file, head(*own) if head else "")
+                made.write(body.slice(a, b - a))
+        if key is not None:
+            finish()
+        if late:
+            yield pa.RecordBatch.from_pylist([{"path": p, "ms": ms} for p, ms in late],
+                                             schema=pa.schema([("path", pa.string()), ("ms", pa.int64())]))
+    # Only a store whose times Python cannot set gives rows.
+    for r in materialize(sorted_.mapInArrow(write, "path string, ms long"), "arrivals").toLocalIterator():
+        own, target = file_system(spark, r["path"])
+        own.setTimes(target, r["ms"], -1)
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,17 +168,10 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("file", "read", fastq_record_text(F.col("read_id"), rest, seq, qual).alias("value"))
 
 
-def _by_file(df: DataFrame, *columns: str) -> DataFrame:
-    """One task per file, its rows in order of their number; written without the number."""
-    return df.repartition(*columns).sortWithinPartitions(*columns, "read").drop("read")
-
-
 def fastq_folders(spark: SparkSession, sf: str) -> str:
     """Two folders (comma list) of ``fastq_<n>.fastq.gz``, odd numbers in the second."""
     def write(path):
-        raw = scratch_path(spark, "fastq-raw")
-        _by_file(_records(spark, sf), "file").write.partitionBy("file").option("compression", "gzip").text(raw)
-        _place(spark, raw, lambda k: f"{path}/{'ab'[k % 2]}/fastq_{k}.fastq.gz")
+        _write_files(_records(spark, sf), ["file"], path, lambda k: f"{'ab'[k % 2]}/fastq_{k}.fastq.gz")
         fs, empty = file_system(spark, f"{path}/a/fastq_999999.fastq.gz")
         out = fs.create(empty)
         out.write(bytearray(gzip.compress(b"")))
@@ -151,17 +230,25 @@ def _summary_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-0.0003).alias("strand_score_template"))
 
 
+def _summary_lines(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(file, read, value): the rows as lines of a summary file."""
+    return rows.select("file", "read", F.to_csv(F.struct(*names), {"sep": "\t"}).alias("value"))
+
+
+def _summary_names(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("file", "read")]
+
+
 def summary_folders(spark: SparkSession, sf: str) -> str:
     """Two folders (comma list) of ``sequencing_summary_<n>.txt``; the second has the columns reversed."""
     def write(path):
-        rows = _by_file(_summary_rows(spark, sf), "file")
-        names = [c for c in rows.columns if c != "file"]
+        rows = _summary_rows(spark, sf)
+        names = _summary_names(rows)
         for k, (folder, order) in enumerate((("a", names), ("b", names[::-1]))):
-            raw = scratch_path(spark, "summary-raw")
-            rows.where(F.pmod("file", F.lit(2)) == k).select("file", *order).write.partitionBy("file") \
-                .option("sep", "\t").option("header", True).csv(raw)
             file_system(spark, path)[0].mkdirs(file_system(spark, f"{path}/{folder}")[1])
-            _place(spark, raw, lambda n, folder=folder: f"{path}/{folder}/sequencing_summary_{n}.txt")
+            top = "\t".join(order)
+            _write_files(_summary_lines(rows.where(F.pmod("file", F.lit(2)) == k), order), ["file"], f"{path}/{folder}",
+                         lambda n: f"sequencing_summary_{n}.txt", head=lambda n, top=top: top)
     root = shared_folder(spark, _key(spark, "summary", sf, "events"), write, "summary")
     return f"{root}/a,{root}/b"
 
@@ -176,14 +263,14 @@ def run_folder(spark: SparkSession, sf: str, first_half: bool = False) -> str:
         if first_half:
             last = events_reads(spark, sf).agg(F.max(chunk())).head()[0] or 0
             records, rows, members = (d.where(F.col("file") <= last // 2) for d in (records, rows, members))
-        raw = scratch_path(spark, "run-raw")
-        _by_file(records, "file").write.partitionBy("file").text(f"{raw}/fastq")
-        _by_file(rows, "file").write.partitionBy("file").option("sep", "\t").option("header", True).csv(f"{raw}/summary")
-        _by_file(members, "file", "member").write.partitionBy("file", "member").text(f"{raw}/fast5")
+        names = _summary_names(rows)
+        top = "\t".join(names)
         arrival = lambda k, *_: FIRST_ARRIVAL_MS + 60_000 * k  # noqa: E731  a batch a minute
-        _place(spark, f"{raw}/fastq", lambda k: f"{path}/fastq_{k}.fastq", arrival)
-        _place(spark, f"{raw}/summary", lambda k: f"{path}/sequencing_summary_{k}.txt", arrival)
-        _place(spark, f"{raw}/fast5", lambda k, m: f"{path}/reads/{k}/PC_{RNUMBER}_FAH_{m}_ch_{m}_strand.fast5", arrival)
+        _write_files(records, ["file"], path, lambda k: f"fastq_{k}.fastq", arrival=arrival)
+        _write_files(_summary_lines(rows, names), ["file"], path, lambda k: f"sequencing_summary_{k}.txt",
+                     head=lambda k: top, arrival=arrival)
+        _write_files(members, ["file", "member"], path,
+                     lambda k, m: f"reads/{k}/PC_{RNUMBER}_FAH_{m}_ch_{m}_strand.fast5", arrival=arrival)
     return shared_folder(spark, _key(spark, "run-half" if first_half else "run", sf, "events"), write, "run")
 
 
@@ -194,18 +281,15 @@ def event_stream_folder(spark: SparkSession, sf: str, late: bool = False, closin
     time and a negative number: the end of the run, which only moves the watermarks.
     """
     def write(path):
-        raw = scratch_path(spark, "events-raw")
         ev = table(spark, sf, "events")
-        ev.withColumn("file", chunk("event_id")).repartition("file").sortWithinPartitions("file", "event_id") \
-            .write.partitionBy("file").parquet(raw)
-        _place(spark, raw, lambda k: f"{path}/events_{k:08d}.parquet",
-               lambda k: FIRST_ARRIVAL_MS + 1000 * k + (LATE_MS if late and k % 4 == 3 else 0))
+        _write_files(ev.withColumn("file", chunk("event_id")), ["file"], path, lambda k: f"events_{k:08d}.parquet", _Parquet,
+                     arrival=lambda k: FIRST_ARRIVAL_MS + 1000 * k + (LATE_MS if late and k % 4 == 3 else 0), order="event_id")
         if closing:
-            end = scratch_path(spark, "events-end")
             values = {"event_id": F.lit(-1), "ts": F.lit("2200-01-01 00:00:00")}
-            spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ev.schema],
-                                  F.lit(99_999_999).alias("file")).write.partitionBy("file").parquet(end)
-            _place(spark, end, lambda k: f"{path}/events_{k}.parquet", lambda k: FIRST_ARRIVAL_MS + 48 * 3600 * 1000)
+            end = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ev.schema],
+                                        F.lit(99_999_999).alias("file"))
+            _write_files(end, ["file"], path, lambda k: f"events_{k}.parquet", _Parquet,
+                         arrival=lambda k: FIRST_ARRIVAL_MS + 48 * 3600 * 1000, order="event_id")
     kind = "events" + "-late" * late + "-closing" * closing
     return shared_folder(spark, _key(spark, kind, sf, "events"), write, "events")
 
