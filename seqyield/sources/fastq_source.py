@@ -44,8 +44,10 @@ from seqyield.sources.summary import split_dirs
 
 #: Bytes of a file taken at a time, and of text framed at a time.
 PIECE, TEXT = 1 << 20, 1 << 22
-#: Bytes of a plain file that a task of the data source reads.
+#: Bytes of a plain file that are cut off at a time, and of all files that a task of the data source reads.
 PARTITION_BYTES = 64 << 20
+#: Bytes that opening a file counts for, when files are dealt over tasks.
+OPEN_BYTES = 1 << 12
 ROWS = ("file string, offset long, header string, seq string, plus string, qual string, framing_ok boolean, "
         "bytes_read long, error string")
 _ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("header", pa.string()), ("seq", pa.string()),
@@ -247,10 +249,10 @@ def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Slice(InputPartition):
-    """Bytes [start, end) of a file; the whole of an archive."""
+    """Bytes [start, end) of files, ``(path, size, start, end)``: the cuts of plain files that one task reads."""
 
-    def __init__(self, path: str, size: int, start: int, end: int):
-        self.path, self.size, self.start, self.end = path, size, start, end
+    def __init__(self, files: Sequence[tuple[str, int, int, int]]):
+        self.files = files
 
 
 class _Files:
@@ -261,6 +263,7 @@ class _Files:
         self.dirs = split_dirs(options["path"])
         self.globs = options.get("glob", "*.fastq.gz,*.fastq").split(",")
         self.step = max(int(options.get("partitionbytes", PARTITION_BYTES)), 1)
+        self.tasks = max(int(options.get("mintasks", 1)), 1)
 
     def listing(self) -> list[tuple[int, str, int]]:
         """(modification time in ns, path, bytes) of the files, oldest first."""
@@ -273,27 +276,42 @@ class _Files:
         return sorted(found)
 
     def slices(self, files: Sequence[tuple[int, str, int]]) -> list[Slice]:
-        found = []
+        """The files dealt over tasks: a task reads whole cuts of ``step`` bytes, as many as make up its share.
+
+        Its share is PARTITION_BYTES, or less where the files are too few for ``tasks`` tasks; an archive is one
+        cut.  No more cuts than ``tasks`` are a task each.
+        """
+        cuts = sum(1 if path.endswith(".gz") else max(-(-size // self.step), 1) for _, path, size in files)
+        share = 1 if cuts <= self.tasks else max(self.step, min(PARTITION_BYTES, -(-sum(max(size, OPEN_BYTES) for _, _, size in files) // self.tasks)))
+        found, held, room = [], [], share
         for _, path, size in files:
-            starts = [0] if path.endswith(".gz") or not size else range(0, size, self.step)
-            found += [Slice(path, size, at, min(at + self.step, size)) for at in starts]
-        return found
+            at = 0
+            while True:
+                if room <= 0:
+                    found.append(Slice(held))
+                    held, room = [], share
+                cuts = max(room // self.step, 1)
+                end = size if path.endswith(".gz") else min(at + cuts * self.step, size)
+                held.append((path, size, at, end))
+                room, at = room - max(end - at, OPEN_BYTES), end
+                if at >= size:
+                    break
+        return [*found, Slice(held)] if held else found
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        fs, path = file_system(part.path)
-        with fs.open_input_file(path) as source:
-            if path.endswith(".gz"):
-                yield from read_archive(part.path, source.read)
-            else:
-                yield from read_plain(part.path, source, part.size, part.start, part.end)
+        for name, size, start, end in part.files:
+            fs, path = file_system(name)
+            with fs.open_input_file(path) as source:
+                if path.endswith(".gz"):
+                    yield from read_archive(name, source.read)
+                    continue
+                for at in range(start, end, self.step) if end > start else [start]:
+                    yield from read_plain(name, source, size, at, min(at + self.step, end))
 
 
 class FastqReader(_Files, DataSourceReader):
     def partitions(self) -> list[Slice]:
-        return self.slices(self.listing()) or [Slice("", 0, 0, 0)]
-
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        return super().read(partition) if partition.path else iter(())
+        return self.slices(self.listing()) or [Slice([])]
 
 
 class FastqStreamReader(_Files, DataSourceStreamReader):
@@ -318,7 +336,8 @@ class FastqDataSource(DataSource):
     """``spark.read.format("fastq")`` and ``spark.readStream.format("fastq")``.
 
     Options: ``path`` (folders, by commas), ``glob`` (name patterns, by commas;
-    names ending in ``.gz`` are archives), ``partitionBytes``.
+    names ending in ``.gz`` are archives), ``partitionBytes`` (a cut of a plain
+    file), ``minTasks`` (small files travel together, in as many tasks at least).
     """
 
     @classmethod
@@ -341,7 +360,7 @@ def fastq_reader(spark: SparkSession, dirs: str | Sequence[str], glob: str = "*.
     spark.dataSource.register(FastqDataSource)
     reader = spark.readStream if stream else spark.read
     return (reader.format("fastq").option("path", ",".join(split_dirs(dirs))).option("glob", glob)
-            .option("partitionBytes", str(partition_bytes)))
+            .option("partitionBytes", str(partition_bytes)).option("minTasks", str(4 * spark.sparkContext.defaultParallelism)))
 
 
 # --- from rows to records and reports -------------------------------------------------
