@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 
 from seqyield.functions.expr import basename, batch_name, rnumber_from_fast5
 from seqyield.session import file_system, materialize
-from seqyield.sources.fastq import scan_fastq_records
+from seqyield.sources import listing
+from seqyield.sources.fastq import frame_records, scan_fastq_records
 from seqyield.sources.fastq_source import file_system as arrow_file_system
-from seqyield.sources.summary import scan_summary
+from seqyield.sources.summary import cells_to_rows, summary_cells
 
 # Batch name patterns, anchored at both ends (the reference's are open-ended).
 SUMMARY_NAME = r"^sequencing_summary_(\d+)\.txt$"
@@ -51,13 +53,11 @@ def fast5_batches(dirs: DataFrame, name_col: str = "path") -> DataFrame:
 
 
 def list_paths(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """``(path, length, modificationTime)`` of the files under ``folder`` — content never read."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    return r.load(folder).select("path", "length", "modificationTime")
+    """``(path, length, modificationTime)`` of the files under ``folder`` — content never read.
+
+    Tasks list the folders (see :mod:`seqyield.sources.listing`).
+    """
+    return listing.list_files(spark, folder, glob, recursive)
 
 
 def scan_batches(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_dir: str):
@@ -65,9 +65,18 @@ def scan_batches(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_di
 
     FAST5 folders are the distinct parents of ``*.fast5`` files one level down.
     """
-    summ = summary_batches(list_paths(spark, summary_dir, "sequencing_summary_*.txt"))
-    fq = fastq_batches(list_paths(spark, fastq_dir, "fastq_*.fastq"))
-    f5_files = list_paths(spark, fast5_dir, "*.fast5", recursive=True)
+    return batch_listings(*run_listings(spark, summary_dir, fastq_dir, fast5_dir))
+
+
+def run_listings(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The files of a run folder: summaries, FASTQ, FAST5 (``path``, ``length``, ``modificationTime``)."""
+    return (list_paths(spark, summary_dir, "sequencing_summary_*.txt"), list_paths(spark, fastq_dir, "fastq_*.fastq"),
+            list_paths(spark, fast5_dir, "*.fast5", recursive=True))
+
+
+def batch_listings(summaries: DataFrame, fastqs: DataFrame, f5_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The batch listings of listed files."""
+    summ, fq = summary_batches(summaries), fastq_batches(fastqs)
     parents = f5_files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("path")).distinct()
     return summ, fq, fast5_batches(parents)
 
@@ -137,46 +146,98 @@ def archive_plan(manifest: DataFrame, existing: DataFrame | None = None, overwri
     return out.select("number", "kind", "source", "target", action.alias("action"))
 
 
-#: Bytes of source files an output file of the compaction aims at.
-COMPACT_BYTES = 256 << 20
+#: Bytes of source files an output file of the compaction aims at, and ranges of batches a table is cut into at least.
+COMPACT_BYTES, RANGES = 256 << 20, 256
 ARCHIVE_KINDS = ("fast5", "fastq", "summary")
+RANGE = "batches_per_range"
+
 
+def batches_per_range(sizes: DataFrame, file_bytes: int = COMPACT_BYTES) -> int:
+    """How many batch numbers share a partition: 1, unless the batches (``number``, ``length``) are many and small."""
+    r = sizes.agg(F.sum("length").alias("bytes"), (F.max("number") - F.min("number") + 1).alias("span")).head()
+    if not r["span"]:
+        return 1
+    return max(1, min(-(-r["span"] // RANGES), file_bytes * r["span"] // max(r["bytes"], 1)))
 
-def write_batches(rows: DataFrame, out: str, *columns: str) -> None:
-    """Write ``rows`` partitioned by ``columns`` (the batch number); partitions that are written are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(columns or ("number",))).parquet(out)
 
+def stored_range(spark: SparkSession, out: str) -> int | None:
+    """Batch numbers to a partition of a table that is there; None if none is."""
+    fs, path = file_system(spark, out)
+    if not fs.exists(path):
+        return None
+    folders = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and not s.getPath().getName().startswith((".", "_"))]
+    wide = [int(f.split("=")[1]) for f in folders if f.startswith(RANGE + "=")]
+    return wide[0] if wide else 1 if folders else None
 
-def fast5_members(spark: SparkSession, folders: str | Sequence[str], glob: str = "*.fast5",
+
+def write_batches(rows: DataFrame, out: str, numbers: DataFrame | None = None, per_range: int = 1,
+                  keys: Sequence[str] = ("number",)) -> None:
+    """Write ``rows`` into a table by batch ``number``; batches that are given are replaced, all others stay.
+
+    A batch (all ``keys``, the number last) is a partition.  With ``per_range`` as many numbers share one: a
+    range is written as a whole, with the batches that are not in ``numbers``
+    (the keys of all that are given) as they were.
+    """
+    spark = rows.sparkSession
+    write = lambda r, *by: r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(out)
+    per_range = stored_range(spark, out) or per_range
+    if per_range == 1:
+        return write(rows, *keys)
+    of = F.floor(F.col("number") / F.lit(per_range)).cast("long")
+    rows = rows.withColumn(RANGE, F.lit(per_range)).withColumn("range", of)
+    fs, path = file_system(spark, f"{out}/{RANGE}={per_range}")
+    if fs.exists(path):
+        # As many values as the table has partitions, of which a run touches few.
+        given = numbers.select(*keys).distinct()
+        there = {s.getPath().getName().split("=")[1] for s in fs.listStatus(path) if "=" in s.getPath().getName()}
+        touched = [r["range"] for r in given.select(of.alias("range")).distinct().toLocalIterator()]
+        shared = [x for x in touched if str(x) in there]
+        if shared:
+            old = spark.read.parquet(out).where(F.col("range").isin(shared))
+            old = old.withColumn(RANGE, F.col(RANGE).cast("int")).withColumn("range", F.col("range").cast("long"))
+            rows = rows.unionByName(old.join(given, list(keys), "left_anti"), allowMissingColumns=True)
+    write(rows.repartition(4 * spark.sparkContext.defaultParallelism, "range"), RANGE, "range")
+
+
+def fast5_members(spark: SparkSession, folders: str | Sequence[str] | DataFrame, glob: str = "*.fast5",
                   batch_dir: str = FAST5_DIR, content: bool = True) -> DataFrame:
     """``(number, member, length[, md5, content])`` of the files in batch folders.
 
-    ``folders`` are batch folders or a folder of them; ``member`` is ``<folder>/<file>``.
+    ``folders`` are batch folders or a folder of them, or listed files; ``member`` is ``<folder>/<file>``.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(folders))
+    rows = _members(spark, folders, glob, batch_dir)
+    return _member_contents(listing.dealt(rows)) if content else rows.drop("path")
+
+
+def _members(spark: SparkSession, folders: str | Sequence[str] | DataFrame, glob: str, batch_dir: str) -> DataFrame:
+    files = folders if isinstance(folders, DataFrame) else listing.list_files(spark, folders, glob, recursive=True)
     parent = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    rows = files.where(parent.rlike(batch_dir)).select(
+    return files.where(parent.rlike(batch_dir)).select(
         F.regexp_extract(parent, batch_dir, 1).cast("long").alias("number"),
-        F.concat_ws("/", parent, basename(F.col("path"))).alias("member"), "length", "content")
-    return rows.withColumn("md5", F.md5("content")) if content else rows.drop("content")
+        F.concat_ws("/", parent, basename(F.col("path"))).alias("member"), "length", "path")
+
+
+def _member_contents(members: DataFrame) -> DataFrame:
+    return listing.contents(members).withColumn("md5", F.md5("content")).drop("path")
 
 
-def compact_batches(spark: SparkSession, folders: str | Sequence[str], out: str, glob: str = "*.fast5",
-                    batch_dir: str = FAST5_DIR, file_bytes: int = COMPACT_BYTES) -> DataFrame:
-    """Small-file compaction: every ``<n>/<glob>`` file into a Parquet table partitioned by batch.
+def compact_batches(spark: SparkSession, folders: str | Sequence[str] | DataFrame, out: str, glob: str = "*.fast5",
+                    batch_dir: str = FAST5_DIR, file_bytes: int = COMPACT_BYTES, per_range: int = 1) -> DataFrame:
+    """Small-file compaction: every ``<n>/<glob>`` file into a Parquet table by batch.
 
-    Rows ``(number, member, length, md5, content)``.  A batch is dealt over as
-    many tasks as its bytes ask for, so it becomes that many files.  Batches
-    that are given are replaced, all others are left as they are.
+    Rows ``(number, member, length, md5, content)``.  The list of the files is
+    dealt over tasks, a batch over as many as its bytes ask for, and each task
+    reads and writes its files.  Batches that are given are replaced, all others
+    are left as they are (``per_range``: see :func:`write_batches`).
     """
-    sizes = fast5_members(spark, folders, glob, batch_dir, content=False)
-    parts = sizes.groupBy(F.col("number").alias("__n")).agg(
+    members = _members(spark, folders, glob, batch_dir)
+    per_range = stored_range(spark, out) or per_range
+    parts = members.groupBy(F.col("number").alias("__n")).agg(
         F.greatest(F.ceil(F.sum("length") / F.lit(file_bytes)), F.lit(1)).cast("long").alias("__parts"))
-    rows = fast5_members(spark, folders, glob, batch_dir)
-    dealt = rows.join(parts, rows["number"] == parts["__n"]).withColumn(
+    split = members.join(parts, members["number"] == parts["__n"]).withColumn(
         "__part", F.pmod(F.xxhash64("member"), F.col("__parts")))
-    write_batches(dealt.repartition("number", "__part").drop("__n", "__parts", "__part"), out)
+    rows = _member_contents(listing.dealt(split, "number", "__part")).drop("__n", "__parts", "__part")
+    write_batches(rows, out, members, per_range)
     return spark.read.parquet(out)
 
 
@@ -196,13 +257,14 @@ def tidy(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_dir: str,
     """Archive a run: inventory, active batch dropped, plan, and the due batches written.
 
     Under ``out`` come the tables ``fast5``, ``fastq``, ``summary`` and
-    ``checksums``, partitioned by batch.  Returns the plan that was carried
+    ``checksums`` by batch.  Returns the plan that was carried
     out, ``(number, kind, source, target, action)``; with ``overwrite`` batches
-    that exist are written again, otherwise they are skipped.
+    that exist are written again, otherwise they are skipped.  The folder is listed once and
+    the due files are rows of that listing: no path passes through the driver.
     """
-    summ, fq, f5 = scan_batches(spark, summary_dir, fastq_dir, fast5_dir)
-    names = list_paths(spark, fast5_dir, "*.fast5", recursive=True)
-    manifest = batch_manifest(summ, fq, f5, flowcell_id, run_rnumber(names), "checksum.fast5.md5", "checksum.fastq.md5")
+    found = dict(zip(("summary", "fastq", "fast5"), run_listings(spark, summary_dir, fastq_dir, fast5_dir)))
+    summ, fq, f5 = batch_listings(*found.values())
+    manifest = batch_manifest(summ, fq, f5, flowcell_id, run_rnumber(found["fast5"]), "checksum.fast5.md5", "checksum.fastq.md5")
     if not keep_active:
         manifest = drop_active_batch(manifest)
     plan, done = archive_plan(manifest), archived(spark, out)
@@ -211,27 +273,37 @@ def tidy(spark: SparkSession, summary_dir: str, fastq_dir: str, fast5_dir: str,
         plan = plan.join(done, (plan["kind"] == F.col("__kind")) & (plan["number"] == F.col("__number")), "left")
         plan = plan.withColumn("action", F.when(F.col("__done"), F.lit("overwrite" if overwrite else "skip")).otherwise("write"))
     plan = materialize(plan.select("number", "kind", "source", "target", "action"), "plan")
-    # One path per batch and kind that is due: as many as the manifest has rows.
-    due = {k: [] for k in ARCHIVE_KINDS}
-    for r in plan.where("action <> 'skip'").select("kind", "source").orderBy("kind", "source").collect():
-        due[r["kind"]].append(r["source"])
+    todo = plan.where("action <> 'skip'").select("kind", "number", "source")
+    kinds = {r["kind"] for r in todo.select("kind").distinct().collect()}
+
+    def due(kind: str) -> DataFrame:
+        """The files of the batches to be written, with their number."""
+        own = todo.where(F.col("kind") == kind).select("number", F.col("source").alias("__source"))
+        at = F.regexp_extract("path", r"^(.*)/[^/]+$", 1) if kind == "fast5" else F.col("path")
+        return found[kind].withColumn("__at", at).join(own, F.col("__at") == F.col("__source")).select("path", "length", "number")
     sums = []
-    if due["fast5"]:
-        t = compact_batches(spark, due["fast5"], f"{out}/fast5")
-        numbers = plan.where("kind = 'fast5' and action <> 'skip'").select(F.col("number").alias("__n"))
-        sums.append(t.join(numbers, t["number"] == F.col("__n"), "left_semi").select(
-            F.lit("fast5").alias("kind"), F.col("number").cast("long").alias("number"),
-            basename(F.col("member")).alias("file"), "md5"))
-    if due["fastq"]:
-        fastq_table(scan_fastq_records(spark, due["fastq"], "*.fastq", **(fastq_options or {})), f"{out}/fastq")
-        files = spark.read.format("binaryFile").load(due["fastq"])
-        number = F.regexp_extract(basename(F.col("path")), FASTQ_NAME, 1).cast("long")
-        sums.append(checksums(files.withColumn("number", number), "fastq", "number"))
-    if due["summary"]:
-        relocate_summary(scan_summary(spark, due["summary"], glob="*.txt", with_file=True, with_time_columns=False), f"{out}/summary")
+    for kind in (k for k in ARCHIVE_KINDS if k in kinds):
+        files, target = materialize(due(kind), f"due-{kind}"), f"{out}/{kind}"
+        per_range = batches_per_range(files)
+        if kind == "fast5":
+            t = compact_batches(spark, files, target, per_range=per_range)
+            numbers = files.select(F.col("number").alias("__n")).distinct()
+            sums.append((files, t.join(numbers, t["number"] == F.col("__n"), "left_semi").select(
+                F.lit(kind).alias("kind"), F.col("number").cast("long").alias("number"), basename(F.col("member")).alias("file"), "md5")))
+        elif kind == "fastq":
+            records = (scan_fastq_records(spark, [r["path"] for r in files.select("path").toLocalIterator()], "*.fastq", **fastq_options)
+                       if fastq_options else frame_records(listing.texts(listing.dealt(files))))
+            fastq_table(records, target, files, per_range)
+            sums.append((files, streamed_checksums(files.withColumn("kind", F.lit(kind)), "kind", "number")))
+        else:
+            cells = summary_cells(listing.lines(listing.dealt(files)).where("value <> ''"))
+            relocate_summary(cells_to_rows(cells, carried=["file"]), target, files, per_range)
     if sums:
-        both = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
-        write_batches(both, f"{out}/checksums", "kind", "number")
+        both = reduce(DataFrame.unionByName, (made for _, made in sums))
+        given = plan.where("action <> 'skip' and kind <> 'summary'").select("kind", "number")
+        # A line a file, however large the file is.
+        size = reduce(DataFrame.unionByName, (files for files, _ in sums)).withColumn("length", F.lit(100))
+        write_batches(both, f"{out}/checksums", given, batches_per_range(size), ("kind", "number"))
     return plan
 
 
@@ -251,7 +323,8 @@ def streamed_checksums(files: DataFrame, *carried: str) -> DataFrame:
     A task opens its files itself and hashes a piece at a time, so no content is
     ever a value of a row; ``carried`` columns of the listing are kept.
     """
-    listed = files.select(*carried, "path").repartition(F.col("path"))
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    listed = files.select(*carried, "path").repartition(tasks, F.col("path"))
     names = [*carried, "file", "md5"]
     schema = T.StructType([*[listed.schema[c] for c in carried], T.StructField("file", T.StringType()),
                            T.StructField("md5", T.StringType())])
@@ -287,16 +360,16 @@ def _with_number(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.withColumn("number", F.when(number != "", number.cast("long")))
 
 
-def fastq_table(records: DataFrame, out: str) -> DataFrame:
-    """Compressed FASTQ record table partitioned by batch number (from ``fastq_<n>`` names); given batches are replaced."""
-    write_batches(_with_number(records, r"^fastq_(\d+)\.fastq(?:\.gz)?$"), out)
+def fastq_table(records: DataFrame, out: str, numbers: DataFrame | None = None, per_range: int = 1) -> DataFrame:
+    """Compressed FASTQ record table by batch number (from ``fastq_<n>`` names); given batches are replaced."""
+    write_batches(_with_number(records, r"^fastq_(\d+)\.fastq(?:\.gz)?$"), out, numbers, per_range)
     return records.sparkSession.read.parquet(out)
 
 
-def relocate_summary(summary: DataFrame, out: str) -> DataFrame:
-    """Summary rows as a Parquet table partitioned by batch number (from the ``file`` column,
+def relocate_summary(summary: DataFrame, out: str, numbers: DataFrame | None = None, per_range: int = 1) -> DataFrame:
+    """Summary rows as a Parquet table by batch number (from the ``file`` column,
     see ``scan_summary(with_file=True)``); given batches are replaced."""
-    write_batches(_with_number(summary, r"sequencing_summary_(\d+)"), out)
+    write_batches(_with_number(summary, r"sequencing_summary_(\d+)"), out, numbers, per_range)
     return summary.sparkSession.read.parquet(out)
 
 

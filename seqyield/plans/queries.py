@@ -25,7 +25,7 @@ from seqyield.functions.expr import micros
 from seqyield.operators.prefix import running_totals
 from seqyield.plans.tables import (SUMMARY_COLS, derive, documents_reads, events_fastq, events_summary,
                                    merge_events, reads_view)
-from seqyield.session import path_stamp, scratch_path, shared_folder, shared_table
+from seqyield.session import file_system, path_stamp, scratch_path, shared_folder, shared_table
 from seqyield.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,10 +575,9 @@ def _run_dirs(spark, sf, first_half=False):
 
 
 def _scanned_manifest(spark, sf):
-    run = runfiles.run_folder(spark, sf)
-    names = batches.list_paths(spark, f"{run}/reads", "*.fast5", recursive=True)
-    return batches.batch_manifest(*batches.scan_batches(spark, *_run_dirs(spark, sf)), runfiles.FLOWCELL_ID,
-                                  batches.run_rnumber(names), MD5_FAST5, MD5_FASTQ)
+    found = batches.run_listings(spark, *_run_dirs(spark, sf))
+    return batches.batch_manifest(*batches.batch_listings(*found), runfiles.FLOWCELL_ID,
+                                  batches.run_rnumber(found[2]), MD5_FAST5, MD5_FASTQ)
 
 
 def q_scan_batches(spark, sf):
@@ -677,7 +676,8 @@ def q_checksums_appended(spark, sf):
 
 def _quarter(spark, folder):
     """A quarter of a folder's files: a stream of it takes four micro-batches."""
-    return max(1, -(-path_stamp(spark, folder)[0] // 4))
+    fs, path = file_system(spark, folder)
+    return max(1, -(-len(fs.listStatus(path)) // 4))
 
 
 def _event_stream(spark, sf, late=False, closing=False):
