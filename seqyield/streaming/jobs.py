@@ -163,6 +163,21 @@ def running_yield_totals(spark: SparkSession, path: str) -> DataFrame:
                     F.sum("reads").over(w).alias("quality_count"))
 
 
+#: Tasks that list the files of a folder or of a micro-batch: by default one for each folder or file, up to 10,000.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing_tasks(spark: SparkSession):
+    """Folders are listed by a few tasks per core; a stream lists its files again in every micro-batch."""
+    old = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(LISTING) if old is None else spark.conf.set(LISTING, old)
+
+
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None):
     """Size the state-store partitions of a new streaming query to the cluster's cores.
@@ -176,7 +191,8 @@ def state_partitions(spark: SparkSession, n: int | None = None):
     old = spark.conf.get(key)
     spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
     try:
-        yield
+        with listing_tasks(spark):
+            yield
     finally:
         spark.conf.set(key, old)
 

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqyield.functions.expr import basename, micros
 from seqyield.operators.batches import FAST5_DIR, FASTQ_NAME, SUMMARY_NAME
-from seqyield.streaming.jobs import READ_KEYS
+from seqyield.streaming.jobs import READ_KEYS, listing_tasks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -139,7 +139,8 @@ def run_files(spark: SparkSession, folder: str, files_per_trigger: int | None =
         "path string, modificationTime timestamp, length long, content binary")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder).select("path", "modificationTime")
+    with listing_tasks(spark):
+        return reader.load(folder).select("path", "modificationTime")
 
 
 def live_manifest(files: DataFrame, quiet: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
