@@ -13,7 +13,8 @@ in one segment, and a segment never leaves its task: blocks of documents send
 their distinct words and pairs of neighbouring tokens there, packed, with how
 often they are taught; the segment is built from the taught ones, all are
 probed, and their levels go back to the blocks.  Nothing of the filter reaches
-the driver or is broadcast.
+the driver or is broadcast.  What travels is in order and written as the gaps
+between neighbours, and compressed; the blocks are deleted once they are scored.
 
 *Score*: the probability of a token after another is
 ``W * c(pair) / c(first) + (1 - W) * p(token)``, ``c(pair)`` being at most
@@ -43,7 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from seqyield.llm.common import batch_bytes, most_frequent, stored, whole
+from seqyield.llm.common import batch_bytes, discard, most_frequent, stored, whole
+from seqyield.session import scratch_path
 
 HEAD, LONGEST = 1 << 17, 64
 BITS_PER_TOKEN = 6
@@ -237,6 +239,34 @@ def _from_planes(packed: bytes, wide: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _gaps(numbers: np.ndarray, wide: int) -> bytes:
+    """Numbers of at most ``wide`` bytes as the steps between them, modulo 2**64; below 8 bytes they must ascend."""
+    return _planes(np.diff(numbers, prepend=np.uint64(0)), wide)
+
+
+def _from_gaps(packed: bytes, wide: int) -> np.ndarray:
+    return np.cumsum(_from_planes(packed, wide), dtype=np.uint64)
+
+
+def _pressed(raw: bytes) -> bytes:
+    """Bytes in zstd behind how many they are, or behind zeros as they are if that is shorter."""
+    small = pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(4, "little") + small if len(small) < len(raw) else bytes(4) + raw
+
+
+def _unpressed(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:4], "little")
+    return pa.decompress(packed[4:], size, codec="zstd", asbytes=True) if size else packed[4:]
+
+
+def _packed_tokens(codes: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Tokens and hashes of the words under new numbers: the most frequent word first, equally frequent ones by hash."""
+    order = np.lexsort((hashes, -np.bincount(codes, minlength=len(hashes))))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return _pressed(_planes(number[codes], 4)), _pressed(_gaps(hashes[order], 8))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the texts of column ``text``, without the end token; words are counted per batch first."""
     def count(batches):
@@ -248,18 +278,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _grams(row: dict) -> tuple[np.ndarray, ...]:
-    """Of a stored block: sizes, token numbers, numbers before, keys (distinct words, then distinct pairs), pair of each token."""
-    sizes, hashes = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["hashes"], "<u8")
-    codes = _from_planes(row["codes"], 4).astype(np.int64)
+    """Of a stored block: sizes, token numbers, numbers before, distinct words and distinct pairs as keys, pair of each token."""
+    sizes, hashes = np.frombuffer(row["sizes"], "<i8"), _from_gaps(_unpressed(row["hashes"]), 8)
+    codes = _from_planes(_unpressed(row["codes"]), 4).astype(np.int64)
     before = _before(codes, np.cumsum(sizes) - sizes)
     pairs, back = np.unique(_pairs(codes, before, hashes), return_inverse=True)
-    return sizes, codes, before, np.concatenate([hashes, pairs]), back
+    return sizes, codes, before, hashes, pairs, back
 
 
 def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the keys by segment, segments that hold any, where each begins in that order)."""
+    """(order of the keys by segment and short key, segments that hold any, where each begins in that order)."""
     segment = Filter.segment(keys, segments)
-    order = np.argsort(segment, kind="stable")
+    order = np.argsort(segment << np.uint64(8 * SHORT) | Filter.short(keys))   # segments have 24 bits at most
     some, starts = np.unique(segment[order], return_index=True)
     return order, some, starts
 
@@ -269,21 +299,21 @@ def gram_levels(blocks: DataFrame, segments: int, width: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                sizes, codes, _, keys, back = _grams(row)
+                sizes, codes, _, words, pairs, back = _grams(row)
                 taught = np.repeat(np.frombuffer(row["taught"], np.bool_), sizes)
-                words = len(row["hashes"]) // 8
-                counts = np.concatenate([np.bincount(codes[taught], minlength=words),
-                                         np.bincount(back[taught], minlength=len(keys) - words)])
+                counts = np.concatenate([np.bincount(codes[taught], minlength=len(words)),
+                                         np.bincount(back[taught], minlength=len(pairs))])
+                keys = np.concatenate([words, pairs])
                 order, some, starts = _by_segment(keys, segments)
-                keys, counts, ends = keys[order], counts[order], np.append(starts[1:], len(keys))
+                keys, counts, ends = Filter.short(keys[order]), counts[order], np.append(starts[1:], len(keys))
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array(some.astype(np.int64)), "block": pa.array(np.full(len(some), row["block"])),
-                    "keys": pa.array([_planes(Filter.short(keys[i:j]), SHORT) for i, j in zip(starts, ends)], pa.binary()),
-                    "counts": pa.array([_narrow(counts[i:j]) for i, j in zip(starts, ends)], pa.binary())})
+                    "keys": pa.array([_pressed(_gaps(keys[i:j], SHORT)) for i, j in zip(starts, ends)], pa.binary()),
+                    "counts": pa.array([_pressed(_narrow(counts[i:j])) for i, j in zip(starts, ends)], pa.binary())})
 
     def probe(key, table):
-        sent = [_from_planes(b.as_py(), SHORT) for b in table.column("keys")]
-        counts = np.concatenate([_wide(b.as_py()) for b in table.column("counts")])
+        sent = [_from_gaps(_unpressed(b.as_py()), SHORT) for b in table.column("keys")]
+        counts = np.concatenate([_wide(_unpressed(b.as_py())) for b in table.column("counts")])
         keys, back = np.unique(np.concatenate(sent), return_inverse=True)
         summed = np.zeros(len(keys), np.int64)
         np.add.at(summed, back, counts)
@@ -292,7 +322,7 @@ def gram_levels(blocks: DataFrame, segments: int, width: int) -> DataFrame:
         ends = np.cumsum([len(k) for k in sent])
         return pa.table({
             "block": table.column("block"), "segment": table.column("segment"),
-            "levels": pa.array([found[j - len(k):j].tobytes() for k, j in zip(sent, ends)], pa.binary())})
+            "levels": pa.array([_pressed(found[j - len(k):j].tobytes()) for k, j in zip(sent, ends)], pa.binary())})
 
     return (blocks.select("block", "taught", "sizes", "codes", "hashes")
             .mapInArrow(send, "segment long, block long, keys binary, counts binary")
@@ -321,14 +351,14 @@ def block_scores(blocks: DataFrame, levels: DataFrame, segments: int, n: int, v:
     """(block, at, score): the log10 probability of each text of each block."""
     def score(own, got):
         row = own.to_pylist()[0]
-        sizes, codes, before, keys, back = _grams(row)
-        order, _, _ = _by_segment(keys, segments)
+        sizes, codes, before, words, pairs, back = _grams(row)
+        order, _, _ = _by_segment(np.concatenate([words, pairs]), segments)
         pieces = got.column("levels").to_pylist()
-        pieces = [pieces[i] for i in np.argsort(np.asarray(got.column("segment")))]
-        counts = np.zeros(len(keys))
+        pieces = [_unpressed(pieces[i]) for i in np.argsort(np.asarray(got.column("segment")))]
+        counts = np.zeros(len(order))
         counts[order] = MEANS[np.minimum(np.frombuffer(b"".join(pieces), np.uint8), len(MEANS) - 1)]
-        words = len(row["hashes"]) // 8
-        found = _log_scores(counts[:words], counts[words:][back], codes, before, np.cumsum(sizes) - sizes, n, v, pair_weight)
+        found = _log_scores(counts[:len(words)], counts[len(words):][back], codes, before, np.cumsum(sizes) - sizes, n, v,
+                            pair_weight)
         return pa.table({"block": pa.array(np.full(len(sizes), row["block"])),
                          "at": pa.array(np.arange(len(sizes), dtype=np.int32)), "score": pa.array(found)})
 
@@ -383,6 +413,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], names=["word", "n"]))
         in_head = np.add.reduceat((~rare).astype(np.int64), block.starts) - (documents == 0)
         size = len(block.sizes)
+        codes, hashes = _packed_tokens(block.codes, block.hashes)
         per_text = {
             "block": pa.array(np.full(size, number)), "at": pa.array(np.arange(size, dtype=np.int32)), "id": batch.column(1),
             "n_tokens": pa.array(block.sizes), "n_known": pa.array(in_head),
@@ -390,8 +421,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         per_block = {"block": pa.array([number]), "at": pa.array([-1], pa.int32())} | {
             name: pa.array([packed], pa.binary()) for name, packed in (
                 ("taught", batch.column(3).to_numpy(zero_copy_only=False).astype(np.bool_).tobytes()),
-                ("sizes", block.sizes.astype("<i8").tobytes()), ("codes", _planes(block.codes, 4)),
-                ("hashes", block.hashes.astype("<u8").tobytes()))}
+                ("sizes", block.sizes.astype("<i8").tobytes()), ("codes", codes), ("hashes", hashes))}
         for columns, length in ((per_text, size), (per_block, 1)):
             yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(length, f.type)) for f in schema], schema=schema)
 
@@ -406,13 +436,16 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     segments, width = Filter.shape(n)
     with batch_bytes(spark, BATCH_BYTES):
         # A row for each text and, numbered -1, one for the block: what its keys are made from.
-        made, _ = stored(first.mapInArrow(
+        made = first.mapInArrow(
             blocked, f"block long, at int, id {kind.simpleString()}, n_tokens long, n_known long, base double, "
-                     "tail array<struct<word: string, n: long>>, taught binary, sizes binary, codes binary, hashes binary"),
-            "blocks", compression="zstd")
-        blocks = made.where("at < 0")
+                     "tail array<struct<word: string, n: long>>, taught binary, sizes binary, codes binary, hashes binary"
+        ).withColumn("text", (F.col("at") >= 0).cast("int"))
+        path = scratch_path(spark, "blocks")
+        made.write.partitionBy("text").option("compression", "zstd").parquet(path)
+        blocks = spark.read.schema(made.schema).parquet(path).where("text = 0")
         scored, _ = stored(block_scores(blocks, gram_levels(blocks, segments, width), segments, n, v, pair_weight), "scored")
-    texts = made.where("at >= 0")
+    discard(spark, f"{path}/text=0")   # the frame returned reads the texts only
+    texts = spark.read.schema(made.schema).parquet(path).where("text = 1")
     rare = texts.select("block", "at", F.explode("tail").alias("t")).select("block", "at", "t.word", "t.n").join(
         counted, "word", "left")
     c = F.coalesce("c", F.lit(0))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
+from seqyield import session
 from seqyield.llm import common, html_text, nearest, ngram_lm, quality, secrets
 from tests.conftest import SF01
 from tests.llm import data
@@ -156,6 +157,40 @@ def test_scores_by_segment_are_those_of_the_whole_filter(spark, monkeypatch):
         assert a == pytest.approx(b)
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    for raw in (b"", b"\0", bytes(1000), rng.bytes(3), rng.bytes(1000)):
+        packed = ngram_lm._pressed(raw)
+        assert ngram_lm._unpressed(packed) == raw and len(packed) <= len(raw) + 4
+    for size in (0, 1, 5000):
+        short = np.sort(rng.integers(0, 1 << 40, size, dtype=np.uint64)).repeat(2)
+        assert (ngram_lm._from_gaps(ngram_lm._gaps(short, 5), 5) == short).all()
+        hashes = rng.integers(0, (1 << 64) - 1, size, dtype=np.uint64, endpoint=True)
+        assert (ngram_lm._from_gaps(ngram_lm._gaps(hashes, 8), 8) == hashes).all()
+
+
+def test_blocks_travel_packed_and_are_deleted(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 2000) % 5000) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    block = ngram_lm.Block(pa.array(texts))
+    words, pairs, sent, levels_of = len(block.hashes), len(np.unique(block.pairs())), [], ngram_lm.gram_levels
+
+    def watched(blocks, segments, width):
+        levels = levels_of(blocks, segments, width)
+        own = blocks.agg(*(F.sum(F.octet_length(c)) for c in ("codes", "hashes"))).head()
+        sent.append((*own, levels.agg(F.sum(F.octet_length("levels"))).head()[0]))
+        return levels
+
+    monkeypatch.setattr(ngram_lm, "gram_levels", watched)
+    got = ngram_lm.scores(docs, F.col("doc_id") % 5 != 1)
+    (codes, hashes, levels), = sent
+    assert codes < 2 * len(block.codes) and hashes < 7.5 * words and levels < 0.5 * (words + pairs)
+    path = next(p for _, p in reversed(session._SCRATCH) if "/blocks-" in p)
+    assert spark.read.parquet(path).agg(F.min("at"), F.count("at")).head() == (0, len(texts))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(len(texts)))
+
+
 def test_words_split_at_the_ascii_white_space():
     texts = [" a  B\tc\n", "", "   ", "x\x1cY \x85z\xa0w\x0bq", "A\x00B É", "Ünï \u2003 x"]
     flat, sizes = ngram_lm.words_of(pa.array(texts))
